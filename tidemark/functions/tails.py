@@ -7,9 +7,10 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def erfc(x: pd.Series) -> pd.Series:
     return x.map(math.erfc, na_action="ignore")
 
@@ -23,7 +24,7 @@ def normal_two_sided(z: Column) -> Column:
     return erfc(F.abs(z) / F.sqrt(F.lit(2.0)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def kolmogorov_tail(x: pd.Series) -> pd.Series:
     """Asymptotic two-sided tail of the Kolmogorov-Smirnov statistic times the root of the effective size."""
 
@@ -55,12 +56,12 @@ def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:
     return min(1.0, total)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series([fisher_two_sided(*map(int, t)) for t in zip(a, b, c, d)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def student_two_sided(r: pd.Series, n: pd.Series) -> pd.Series:
     """p of a correlation r over n pairs, by Student's t with n - 2 degrees of freedom (normal beyond 200)."""
 

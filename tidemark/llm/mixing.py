@@ -103,6 +103,8 @@ def rake(cells: DataFrame, source_power: float, lang_targets: dict, topic_target
         for _ in range(100):
             b = lt / np.maximum(table @ c, 1e-300)
             c = tt / np.maximum(b @ table, 1e-300)
+        # the sources' factors take up any common factor; where no solution exists, factors must not run away
+        b, c = np.maximum(b / b.max(), 1e-12), np.maximum(c / c.max(), 1e-12)
     return weighted(b, c), b[:, None] * c, langs, topics
 
 

@@ -85,9 +85,9 @@ def slot_weights(credit: DataFrame, eta: dict[str, float], alpha: float = 1.0, b
 def choose(weights: DataFrame, draws: DataFrame, low: int = 2, high: int = 5, seed: int = 42) -> DataFrame:
     """draw, slot: for each draw a size between low and high and so many slots without replacement, by weight (least exponential arrival first)."""
     u = lambda *c: (F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
-    rows = draws.crossJoin(F.broadcast(weights)).withColumn("size_", low + F.floor(u("draw") * (high - low + 1)))  # slots are few
-    w = Window.partitionBy("draw").orderBy((-F.log(u("draw", "slot"))) / F.nullif("weight", F.lit(0.0)), "slot")
-    return rows.withColumn("r_", F.row_number().over(w)).filter("r_ <= size_ AND weight > 0").select("draw", "slot")
+    rows = draws.crossJoin(F.broadcast(weights.filter("weight > 0"))).withColumn("size_", low + F.floor(u("draw") * (high - low + 1)))  # slots are few
+    w = Window.partitionBy("draw").orderBy((-F.log(u("draw", "slot"))) / F.col("weight"), "slot")
+    return rows.withColumn("r_", F.row_number().over(w)).filter("r_ <= size_").select("draw", "slot")
 
 
 def credit_summary(credit: DataFrame) -> DataFrame:

@@ -165,7 +165,11 @@ def scan(df: DataFrame, pairs: list[tuple[str, str, str]], keys: tuple[str, ...]
     ends = folded.filter(f"bar_idx % {block} = {block - 1}").select(*keys, (F.col("block_") + 1).alias("block_"), *added)
     w = Window.partitionBy(*keys).orderBy("block_").rowsBetween(Window.unboundedPreceding, 0)
     past = F.collect_list(F.struct(*added)).over(w)
-    sums = [F.aggregate("past_", F.lit(0.0), lambda acc, x, k=k: x[f"p{k}_"] * acc + x[f"y{k}_"]).alias(f"in{k}_") for k in range(len(pairs))]
+
+    def arriving(k: int):
+        return F.aggregate("past_", F.lit(0.0), lambda acc, x: x[f"p{k}_"] * acc + x[f"y{k}_"])
+
+    sums = [arriving(k).alias(f"in{k}_") for k in range(len(pairs))]
     incoming = ends.withColumn("past_", past).select(*keys, "block_", *sums)
     joined = folded.join(incoming, [*keys, "block_"], "left")
     return joined.select(*names, *[F.when(F.col(b).isNotNull(), F.col(f"y{k}_") + F.col(f"p{k}_") * F.coalesce(f"in{k}_", F.lit(0.0))).alias(out) for k, (_, b, out) in enumerate(pairs)])

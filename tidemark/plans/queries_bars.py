@@ -112,6 +112,7 @@ def add_to(register) -> None:
         register(f"ind_{name.lower()}", "bars", lambda bars, name=name, columns=columns: with_indicator(bars, name).select(*columns), sql, DIGITS.get(name, 6))
 
     register("flagship", "bars", lambda bars: trades.trade_stats(trades.pair_trades(with_indicator(bars, "SMA")), bars), stats_sql(trades_sql(sql_indicator("SMA"))), 4)
+    register("supplier_bars_trades", "supp_bars", lambda bars: trades.trade_stats(trades.pair_trades(with_indicator(bars, "SMA")), bars), stats_sql(trades_sql(sql_indicator("SMA", "supp_bars")), sql_view("supp_bars")), 3)
     register("src1_bars", "bars", lambda bars: bars, f"SELECT * FROM ({B}) /*round: open, high, low, close, volume*/ /*count: bar_idx*/")
     register("src2_symbols", "bars", lambda bars: bars.select("symbol").distinct(), f"SELECT DISTINCT symbol FROM ({B})")
 

@@ -102,7 +102,7 @@ def summary_rows(text: DataFrame, title: str = "STRATEGY SUMMARY", stop: str = "
 def strategy_row(lines: DataFrame, header: str, name: str) -> DataFrame:
     """The row of a strategy by the names in a header line: trades, profit, win rate (last number of wins-draws-losses, as a share), drawdown."""
     names = [c.strip() for c in header.strip().strip("|│┃").replace("┃", "|").replace("│", "|").split("|")]
-    row = lines.select(F.map_from_arrays(F.array(*map(F.lit, names)), F.slice(cells(F.col("line")), 1, len(names))).alias("m")).filter(F.element_at("m", names[0]) == name)
-    get = lambda part: next((F.element_at("m", n) for n in names if part in n.lower()), F.lit(None).cast("string"))
+    row = lines.select(cells(F.col("line")).alias("c")).filter(F.get("c", 0) == name)
+    get = lambda part: next((F.get("c", k) for k, n in enumerate(names) if part in n.lower()), F.lit(None).cast("string"))
     win = F.element_at(F.split(F.trim(get("win")), r"\s+"), -1)
-    return row.select(F.element_at("m", names[0]).alias("strategy"), number(get("trades")).alias("trades"), number(get("tot profit")).alias("profit"), (number(win) / 100).alias("win_rate"), number(F.element_at(F.split(F.trim(get("drawdown")), r"\s+"), 1)).alias("drawdown"))
+    return row.select(F.get("c", 0).alias("strategy"), number(get("trades")).alias("trades"), number(get("tot profit")).alias("profit"), (number(win) / 100).alias("win_rate"), number(F.element_at(F.split(F.trim(get("drawdown")), r"\s+"), 1)).alias("drawdown"))

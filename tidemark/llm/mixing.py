@@ -25,37 +25,42 @@ _WORD = regex.compile(r"\p{L}{4,}")
 
 
 def _topic(text: str, topics: int) -> tuple[int, int]:
-    """Tokens (runs between white space) and topic of a text: the class of its most frequent word of four letters or more; ties by name."""
-    words = text.lower().split()
-    counts = Counter(words)
-    best: Counter = Counter()
-    for run, n in counts.items():
-        for w in _WORD.findall(run):
-            best[w] += n
-    if not best:
-        return len(words), 0
-    most = max(best.values())
-    return len(words), zlib.crc32(min(w for w, n in best.items() if n == most).encode("utf-8", "replace")) % topics
-
-
-def with_weights(docs: DataFrame, out: str, topics: int = TOPICS) -> DataFrame:
-    """All columns of ``docs`` (source, lang, text) and a struct ``out``: source, lang, topic, tokens. Null source, lang: ``(none)``."""
+    """Tokens (runs between white space) of a text, and its topic: the class of the first by name of its most frequent tokens that have a word of four letters."""
+    counts = Counter(text.split())
+    for few in (32, None):  # short words come first, but rarely so many
+        least, best = 0, None
+        for run, n in counts.most_common(few):
+            if best is not None and n < least:
+                few = None
+                break
+            word = _WORD.search(run)
+            if word:
+                word = word[0].lower()
+                least, best = n, word if best is None else min(best, word)
+        if few is None or len(counts) <= few:
+            break
+    return counts.total(), 0 if best is None else zlib.crc32(best.encode("utf-8", "replace")) % topics
+
+
+def with_weights(docs: DataFrame, out: str, topics: int = TOPICS, keep: list[str] | None = None) -> DataFrame:
+    """Columns ``keep`` (or all) of ``docs`` (source, lang, text) and a struct ``out``: source, lang, topic, tokens. Null source, lang: ``(none)``."""
     arrow_rows(docs.sparkSession)
-    names = [f"c{k}" for k in range(len(docs.columns))]
+    kept = docs.columns if keep is None else keep
+    names = [f"c{k}" for k in range(len(kept))]
     lower = [c.lower() for c in docs.columns]
-    at = {c: lower.index(c) for c in ("source", "lang", "text")}
+    column = {c: docs.columns[lower.index(c)] for c in ("source", "lang", "text")}
     struct = T.StructType([T.StructField(c, k) for c, k in (("source", T.StringType()), ("lang", T.StringType()), ("topic", T.IntegerType()), ("tokens", T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            source, lang = ([NONE if x is None else str(x) for x in batch.column(at[c]).to_pylist()] for c in ("source", "lang"))
-            found = [_topic(t or "", topics) for t in batch.column(at["text"]).to_pylist()]
+            source, lang = ([NONE if x is None else x for x in batch.column(len(names) + k).to_pylist()] for k in (0, 1))
+            found = [_topic(t or "", topics) for t in batch.column(len(names) + 2).to_pylist()]
             added = pa.StructArray.from_arrays([pa.array(source, pa.string()), pa.array(lang, pa.string()), pa.array([t for _, t in found], pa.int32()), pa.array([n for n, _ in found], pa.int64())], ["source", "lang", "topic", "tokens"])
-            yield pa.RecordBatch.from_arrays([*batch.columns, added], [*names, "added"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], added], [*names, "added"])
 
-    renamed = docs.toDF(*names)
-    found = renamed.mapInArrow(run, T.StructType([*renamed.schema.fields, T.StructField("added", struct)]))
-    return found.toDF(*docs.columns, out)
+    own = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names)], *[F.col(f"`{column[c]}`").cast("string").alias(f"own_{c}") for c in ("source", "lang", "text")])
+    found = own.mapInArrow(run, T.StructType([*own.schema.fields[: len(names)], T.StructField("added", struct)]))
+    return found.toDF(*kept, out)
 
 
 def tempered(shares: dict, power: float) -> dict:
@@ -121,20 +126,22 @@ def calibrate(weights: DataFrame, budget: float) -> float:
     return float(2.0**hi)
 
 
-def mix(docs: DataFrame, share: float = 0.8, source_power: float = 0.7, lang_power: float = 0.7, topic_power: float = 0.5, seed: int = 42, topics: int = TOPICS) -> DataFrame:
-    """All columns of ``docs`` and a struct ``mix``: source, lang, topic, tokens, weight, probability, kept.
+def mix(docs: DataFrame, keep: list[str] | None = None, share: float = 0.8, source_power: float = 0.7, lang_power: float = 0.7, topic_power: float = 0.5, seed: int = 42, topics: int = TOPICS) -> DataFrame:
+    """Columns ``keep`` (doc_id among them; or all) of ``docs`` and a struct ``mix``: source, lang, topic, tokens, weight, probability, kept.
 
     Targets are tempered shares of tokens. ``weight`` is a raked share over a share of tokens; the probabilities are least(1, m * weight) with m such that
     ``share`` of all tokens is expected to stay. A document stays if a uniform hash of its doc_id is below its probability, so repeated rows go together.
     Texts without tokens have probability 1. An empty table gives no rows.
     """
     name = fresh(docs, "mix")
-    weighed = with_weights(docs, name, topics)
-    cells = weighed.select(f"{name}.*").groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")).filter("tokens > 0")
+    # texts are read twice if they are kept; else what is left of them is small and read again from a table
+    weighed = with_weights(docs, name, topics) if keep is None else stored(with_weights(docs, name, topics, keep), "mix-documents")
+    narrow = with_weights(docs, name, topics, []) if keep is None else weighed
+    cells = narrow.select(f"{name}.*").groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")).filter("tokens > 0")
     cells = stored(cells, "mix-cells")
     by_lang, by_topic = (dict(cells.groupBy(k).agg(F.sum("tokens")).limit(MOST_CELLS + 1).collect()) for k in ("lang", "topic"))
     u = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    rest = [F.col(f"`{c}`") for c in docs.columns]
+    rest = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]
     if not by_lang:
         return weighed.select(*rest, F.struct(f"{name}.*", F.lit(None).cast("double").alias("weight"), F.lit(1.0).alias("probability"), F.lit(True).alias("kept")).alias(name))
     total = float(sum(by_lang.values()))
@@ -159,5 +166,5 @@ def sample(docs: DataFrame, **options) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text")
-    found = mix(docs)
+    found = mix(docs, keep=["doc_id"])
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), "mix.source", "mix.lang", "mix.topic", "mix.tokens", "mix.weight", "mix.probability", "mix.kept")

@@ -90,7 +90,7 @@ def rake(cells: DataFrame, source_power: float, lang_targets: dict, topic_target
     lt, tt = np.array([lang_targets[k] for k in langs]), np.array([topic_targets[k] for k in topics])
     sources = stored(cells.groupBy("source").agg(F.collect_list(F.struct("lang", "topic", "tokens")).alias("cells"), F.sum("tokens").alias("all_tokens")), "mix-sources")
     total = sources.agg(F.sum(F.pow(F.col("all_tokens").cast("double"), F.lit(source_power)))).first()[0]
-    b, c = np.ones(len(langs)), np.ones(len(topics))
+    b, c, apart = np.ones(len(langs)), np.ones(len(topics)), []
 
     def weighted(b: np.ndarray, c: np.ndarray) -> DataFrame:
         factors = _factors(langs, topics, b[:, None] * c)
@@ -103,8 +103,9 @@ def rake(cells: DataFrame, source_power: float, lang_targets: dict, topic_target
         for g, t, m in got:
             table[langs.index(g), topics.index(t)] = m
         now = table * b[:, None] * c
-        if max(abs(now.sum(1) - lt).max(), abs(now.sum(0) - tt).max()) < tolerance:
-            break
+        apart.append(max(abs(now.sum(1) - lt).max(), abs(now.sum(0) - tt).max()))
+        if apart[-1] < tolerance or len(apart) > 6 and apart[-1] > 0.99 * min(apart[:-3]):
+            break  # met, or no nearer than three rounds ago: targets that can't be met
         for _ in range(100):
             b = lt / np.maximum(table @ c, 1e-300)
             c = tt / np.maximum(b @ table, 1e-300)

@@ -27,14 +27,15 @@ def matched(df: DataFrame, indicator: str, target: str, tolerance: int = 1, keys
         raise ValueError("tolerances beyond 1 are for match_greedy")
     i, t = _flag(indicator), _flag(target)
     df = df.select(*keys, "bar_idx", i.alias("i_"), t.alias("t_"))
-    sides = df.groupBy(*keys).agg(F.count_if("i_").alias("n_indicator"), F.count_if("t_").alias("n_target"), F.count_if(F.col("i_") & F.col("t_")).alias("exact_"))
-    if tolerance == 0:
-        return sides.withColumnRenamed("exact_", "matches")
     w = Window.partitionBy(*keys).orderBy("bar_idx")
-    left = df.filter("i_ <> t_").withColumn("begins_", (~F.coalesce((F.col("bar_idx") - F.lag("bar_idx").over(w) == 1) & (F.col("i_") != F.lag("i_").over(w)), F.lit(False))).cast("int"))
-    islands = left.withColumn("island_", F.sum("begins_").over(w)).groupBy(*keys, "island_").count()
-    more = islands.groupBy(*keys).agg(F.sum(F.floor(F.col("count") / 2)).alias("near_"))
-    return sides.join(more, list(keys), "left").select(*keys, "n_indicator", "n_target", (F.col("exact_") + F.coalesce("near_", F.lit(0))).alias("matches"))
+    before = F.lag(F.when(F.col("i_") != F.col("t_"), F.struct("bar_idx", "i_"))).over(w)
+    goes_on = F.coalesce((F.col("bar_idx") - before["bar_idx"] == 1) & (F.col("i_") != before["i_"]), F.lit(False))
+    single = F.col("i_") != F.col("t_")
+    # one pass: a row for each island (with the bars after it that are in none), then sums of these
+    df = df.withColumn("begins_", (single & ~goes_on).cast("int")).withColumn("island_", F.sum("begins_").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = df.groupBy(*keys, "island_").agg(F.count_if("i_").alias("a_"), F.count_if("t_").alias("b_"), F.count_if(F.col("i_") & F.col("t_")).alias("exact_"), F.count_if(single).alias("n_"))
+    near = F.floor(F.col("n_") / 2) if tolerance else F.lit(0)
+    return islands.groupBy(*keys).agg(F.sum("a_").alias("n_indicator"), F.sum("b_").alias("n_target"), F.sum(F.col("exact_") + near).alias("matches"))
 
 
 def match_greedy(df: DataFrame, indicator: str, target: str, tolerance: int, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -74,9 +75,10 @@ def with_scores(counts: DataFrame) -> DataFrame:
 
 def match_score(df: DataFrame, tolerance: int = 1, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Entry and exit sides (columns entry, exit, target_entry, target_exit) with scores, and the sum of matches."""
-    entry, exit_ = (with_scores(matched(df, a, f"target_{a}", tolerance, keys)) for a in ("entry", "exit"))
+    sides = F.explode(F.array(*[F.struct(F.lit(a).alias("side_"), _flag(a).alias("a_"), _flag(f"target_{a}").alias("b_")) for a in ("entry", "exit")]))
+    found = with_scores(matched(df.select(*keys, "bar_idx", sides.alias("s_")).select(*keys, "bar_idx", "s_.*"), "a_", "b_", tolerance, (*keys, "side_")))
     names = ("n_indicator", "n_target", "matches", "precision", "recall", "f1")
-    both = entry.select(*keys, *[F.col(n).alias(f"entry_{n}") for n in names]).join(exit_.select(*keys, *[F.col(n).alias(f"exit_{n}") for n in names]), list(keys))
+    both = found.groupBy(*keys).agg(*[F.max(F.when(F.col("side_") == side, F.col(n))).alias(f"{side}_{n}") for side in ("entry", "exit") for n in names])
     return both.withColumn("combined_score", F.col("entry_matches") + F.col("exit_matches"))
 
 

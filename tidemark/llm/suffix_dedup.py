@@ -26,7 +26,6 @@ LENGTH, KMER = 200, 32
 #: Different fragments that a group may have before it is split, and bytes of a block.
 GROUP, BLOCK_BYTES = 1000, 1 << 20
 _BASE, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-_BITS = 25
 
 
 class Hashes:
@@ -177,33 +176,18 @@ def _ranges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
+    """id, th, at, kh, fh of every fragment; at: its first window start, 8 bits from there to the anchor, 8 bits to the last window start."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = text_bytes(batch.column(2))
             for lo, hi in slices(at, 1 << 19):
                 found = anchors(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
-                rows = pa.array(found[0] + lo)
-                small = [pa.array(x.astype(np.int32)) for x in found[1:4]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *small, pa.array(found[4]), pa.array(found[5])], ["id", "th", "a", "lo", "hi", "kh", "fh"])
-
-    return docs.select("id", "th", "text").mapInArrow(run, "id long, th long, a int, lo int, hi int, kh long, fh long")
-
-
-def _repeated_anchors(rows: DataFrame) -> DataFrame:
-    """The rows whose anchor occurs again (a few others pass too): by a bitmap of 2**25 bits, whatever the input's size."""
-    spark = rows.sparkSession
-    again = rows.groupBy("kh").count().filter("count > 1").select(F.shiftrightunsigned("kh", 64 - _BITS).alias("bit"))
-    words = again.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
-    table = np.zeros(1 << (_BITS - 6), np.uint64)
-    table[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    shared = spark.sparkContext.broadcast(table)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bit = batch.column(5).to_numpy().view(np.uint64) >> np.uint64(64 - _BITS)
-            yield batch.filter(pa.array((shared.value[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)))
+                rows, at_anchor, first, last = found[:4]
+                place = first << 16 | (at_anchor - first) << 8 | (last - first)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows + lo)), batch.column(1).take(pa.array(rows + lo)), pa.array(place), pa.array(found[4]), pa.array(found[5])], ["id", "th", "at", "kh", "fh"])
 
-    return rows.mapInArrow(keep, rows.schema)
+    return docs.select("id", "th", "text").mapInArrow(run, "id long, th long, at long, kh long, fh long")
 
 
 def _contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -281,14 +265,15 @@ def repeated_ranges(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """id, th, lo, hi: ranges of window starts (bytes) that occur again anywhere. docs: id, th (hash of the text), text."""
     arrow_rows(docs.sparkSession)
     rows = stored(_anchor_rows(docs), "anchors")
-    rows = stored(_repeated_anchors(rows), "repeated-anchors")
-    kinds = rows.groupBy("kh", "fh").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "a", "lo", "hi")).alias("one"))
+    kinds = rows.groupBy("kh", "fh").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("id", "th", "at")])
     kinds = stored(kinds, "fragments")
     groups = kinds.groupBy("kh").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("singles"))
-    whole = rows.join(kinds.filter("n > 1").select("kh", "fh"), ["kh", "fh"]).select("id", "th", "lo", "hi")
+    lo, hi = F.shiftright("at", 16).cast("int"), (F.shiftright("at", 16) + F.col("at").bitwiseAND(255)).cast("int")
+    a = (F.shiftright("at", 16) + F.shiftright("at", 8).bitwiseAND(255)).cast("int")
+    whole = rows.join(kinds.filter("n > 1").select("kh", "fh"), ["kh", "fh"]).select("id", "th", lo.alias("lo"), hi.alias("hi"))
     looked_at = kinds.join(groups.filter("kinds > 1 AND singles > 0"), "kh")
-    wanted = looked_at.select("one.*", F.col("kh").alias("key"), (F.col("n") == 1).alias("open"), "kinds")
-    fragments = stored(_contents(docs, wanted.drop("kinds")), "fragment-bytes")
+    wanted = looked_at.select("id", "th", a.alias("a"), lo.alias("lo"), hi.alias("hi"), F.col("kh").alias("key"), (F.col("n") == 1).alias("open"))
+    fragments = stored(_contents(docs, wanted), "fragment-bytes")
     many = stored(groups.filter((F.col("kinds") > group) & (F.col("singles") > 0)).select(F.col("kh").alias("key")), "large-groups")
     if many.isEmpty():
         return whole.union(_in_blocks(fragments))
@@ -298,11 +283,11 @@ def repeated_ranges(docs: DataFrame, group: int = GROUP) -> DataFrame:
         size = (size + 1) // 2
         cells = _halves(hot, size)
         cells = stored(cells.withColumn("fh", F.xxhash64("bytes")), "split-fragments")
-        alike = stored(cells.groupBy("key", "fh", "place").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "lo")).alias("one")), "split-kinds")
+        alike = stored(cells.groupBy("key", "fh", "place").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("id", "th", "lo")]), "split-kinds")
         # windows of a split fragment that occurs again whole
         found = found.union(cells.filter("open").join(alike.filter("n > 1").select("key", "fh", "place"), ["key", "fh", "place"]).select("id", "th", "lo", (F.col("lo") + F.length("bytes") - LENGTH).alias("hi")))
         groups = alike.groupBy("key").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("singles")).filter("kinds > 1 AND singles > 0")
-        one = alike.join(groups, "key").select("key", "one.*", "place", F.col("n").alias("copies"), "kinds")
+        one = alike.join(groups, "key").select("key", "id", "th", "lo", "place", F.col("n").alias("copies"), "kinds")
         left = cells.join(one, ["key", "id", "th", "lo", "place"]).withColumn("open", F.col("open") & (F.col("copies") == 1))
         left = stored(left.select("key", "bytes", "place", "id", "th", "lo", "open", "kinds"), "split-groups")
         found = found.union(_in_blocks(left.filter(F.col("kinds") <= group)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import url_filter
+from tidemark.llm import decontamination, url_filter
 from tidemark.llm.decontamination import op6_decontamination
 from tidemark.llm.fingerprints import op4_fingerprints
 from tidemark.llm.language_id import op10_language_id
@@ -14,4 +14,4 @@ from tidemark.llm.token_output import op5_token_output
 from tidemark.llm.toxicity import op8_toxicity
 
 QUERIES = {f.__name__: f for f in (url_filter.op1_url_filter, op2_suffix_dedup, op3_mixing, op4_fingerprints, op5_token_output, op6_decontamination, op7_simhash, op8_toxicity, op9_token_counts, op10_language_id)}
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.oracle()}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.oracle(), "op6_decontamination": decontamination.oracle()}

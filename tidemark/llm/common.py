@@ -23,9 +23,11 @@ def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a local one of our own only if unset."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``); a local one of our own only if unset and all is local."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         path = tempfile.mkdtemp(prefix="spark-shared-")

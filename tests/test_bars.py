@@ -334,3 +334,16 @@ def test_dataset_shift_and_alignment(spark):
 def test_add_rejects_unknown_parameters(spark):
     with pytest.raises(ValueError):
         add(SparkSeries(frame(spark, [1, 2])), "RSI", period=3)
+
+
+def test_candlesticks(spark):
+    from tidemark.operators.candles import PATTERNS, add_patterns
+
+    bar = lambda o, h, l, c: {"open": o, "high": h, "low": l, "close": c}
+    falling = [bar(100 - k, 100.5 - k, 98.5 - k, 99 - k) for k in range(12)]
+    rows = [*falling, bar(88, 88.1, 84, 88.1 - 0.05 + 0.9), bar(88, 92, 87, 91), bar(92, 93, 86, 87), bar(87, 87.5, 86.5, 87)]
+    s = SparkSeries(frame(spark, rows))
+    found = add_patterns(s)
+    out = s.df.selectExpr("bar_idx", *[f"{c} AS {n}" for n, c in found.items()]).orderBy("bar_idx").collect()
+    assert len(PATTERNS) == 19 and all(v in (0, 100, -100) for r in out for v in r[1:])
+    assert out[14].engulfing == -100 and out[15].doji == 100 and out[2].three_black_crows == -100 and not any(out[0][1:])

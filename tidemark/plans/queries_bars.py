@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import dataset, labels, match, strategies, trades
+from tidemark.operators import candles, dataset, labels, match, strategies, trades
 from tidemark.operators.indicators import REGISTRY, condition
 from tidemark.operators.series import SparkSeries, SqlSeries
 from tidemark.plans.common import sql_indicator, with_indicator
@@ -131,6 +131,16 @@ def add_to(register) -> None:
     found = predicates(s)
     register("prd1_5_conditions", "bars", run_predicates, s.sql(", ".join(["symbol", "bar_ts", *[f"{v} AS {k}" for k, v in found.items()]])))
 
+    def run_candles(bars: DataFrame) -> DataFrame:
+        s = SparkSeries(bars)
+        found = candles.add_patterns(s)
+        return s.df.selectExpr("symbol", "bar_ts", *[f"{c} AS {n}" for n, c in found.items()])
+
+    s = SqlSeries(B)
+    patterns = candles.add_patterns(s)
+    shapes = s.sql(", ".join(["symbol", "bar_ts", *[f"{c} AS {n}" for n, c in patterns.items()]]))
+    register("ind_candlesticks", "bars", run_candles, f"SELECT * FROM ({shapes}) /*count: {', '.join(patterns)}*/")
+
     def run_strategy(bars: DataFrame) -> DataFrame:
         s = SparkSeries(bars)
         entry, exit_ = strategies.strategy(s, *RULES)

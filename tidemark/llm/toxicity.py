@@ -7,7 +7,6 @@ steps only add its recurrent part.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -21,20 +20,22 @@ from tidemark.llm.common import arrow_rows, crc_mod, fresh
 
 WINDOW, STRIDE = 24, 12
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
-_WORD_DIM, _CHAR_DIM, _HIDDEN, _CHAR_ROWS, _MOST_GRAMS = 12, 8, 8, 4096, 32
+_WORD_DIM, _CHAR_DIM, _HIDDEN, _CHAR_ROWS = 12, 8, 8, 4096
 
 
 def words_of(chunk: str) -> list[str]:
     return _WORD.findall(chunk.lower())
 
 
-def char_grams(word: str) -> list[int]:
-    """Rows of the character table: hashes of a word's trigrams, its bounds included (of very long words the ends)."""
-    padded = f"<{word}>"
-    grams = [padded[k : k + 3] for k in range(max(1, len(padded) - 2))]
-    if len(grams) > _MOST_GRAMS:
-        grams = grams[: _MOST_GRAMS // 2] + grams[-_MOST_GRAMS // 2 :]
-    return [zlib.crc32(g.encode("utf-8", "replace")) % _CHAR_ROWS for g in grams]
+def char_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the character table of all words' trigrams, bounds included, and their number in each word: hashes of three code points."""
+    padded = [f"<{w}>" for w in words]
+    points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(p) for p in padded], np.int64)
+    h = points[:-2] * np.uint64(0x9E3779B97F4A7C15) + points[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + points[2:] * np.uint64(0x165667B19E3779F9)
+    inside = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)[: len(h)]
+    keep = inside < np.repeat(sizes, sizes)[: len(h)] - 2
+    return (h[keep] >> np.uint64(40)).astype(np.int64) % _CHAR_ROWS, sizes - 2
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -58,10 +59,10 @@ class Network:
     def inputs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Input vectors of words: their own vector beside the mean of their trigrams' vectors."""
         rows = np.array([self.vocabulary.get(w, len(self.vocabulary)) for w in words], np.int64)
-        grams = [char_grams(w) for w in words]
-        sizes = np.array([len(g) for g in grams], np.int64)
-        flat = np.fromiter(chain.from_iterable(grams), np.int64, int(sizes.sum()))
-        chars = np.add.reduceat(self.w["char"][flat], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None] if len(words) else np.zeros((0, _CHAR_DIM), np.float32)
+        if not words:
+            return np.zeros((0, _WORD_DIM + _CHAR_DIM), np.float32), rows, rows, rows
+        flat, sizes = char_grams(words)
+        chars = np.add.reduceat(self.w["char"][flat], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
         return np.concatenate([self.w["word"][rows], chars], axis=1).astype(np.float32), rows, flat, sizes
 
     def project(self, words: list[str]) -> np.ndarray:
@@ -199,24 +200,25 @@ def window_logits(net: Network, lists: list[list[str]]) -> list[np.ndarray]:
     flat = list(dict.fromkeys(chain.from_iterable(lists)))
     number = {w: k for k, w in enumerate(flat)}
     table = np.concatenate([net.project(flat), np.zeros((1, 6 * _HIDDEN), np.float32)])
-    return list(_text_logits(net, table, [np.array([number[w] for w in ws], np.int64) for ws in lists]))
+    words = np.fromiter((number[w] for ws in lists for w in ws), np.int64)
+    out, counts = _text_logits(net, table, words, np.array([len(ws) for ws in lists], np.int64), len(flat))
+    return np.split(out, np.cumsum(counts)[:-1])
 
 
-def _text_logits(net: Network, table: np.ndarray, texts: list[np.ndarray], most: int = 4096) -> Iterator[np.ndarray]:
-    """Logits of all windows of each text; texts are rows of ``table``, whose last row stands for nothing."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    counts = np.array([len(window_starts(n)) for n in sizes], np.int64)
-    words = np.concatenate([*texts, np.zeros(WINDOW, np.int64)])
-    of = np.repeat(np.arange(len(texts)), counts)
+def _text_logits(net: Network, table: np.ndarray, words: np.ndarray, sizes: np.ndarray, nothing: int, most: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of all windows of each text, and their number; words: rows of ``table``, one text after another. Row ``nothing`` is zero."""
+    counts = np.maximum(-(-(sizes - WINDOW + STRIDE) // STRIDE), 1)
+    words = np.concatenate([words, np.zeros(WINDOW, np.int64)])
+    of = np.repeat(np.arange(len(sizes)), counts)
     inside = (np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)) * STRIDE
     begin, left = (np.cumsum(sizes) - sizes)[of] + inside, sizes[of] - inside
     out = np.zeros(len(of), np.float32)
     at = np.arange(WINDOW)[:, None]
     for lo in range(0, len(of), most):
         mask = at < left[lo : lo + most]
-        ids = np.where(mask, words[np.minimum(begin[lo : lo + most] + at, len(words) - 1)], len(table) - 1)
+        ids = np.where(mask, words[np.minimum(begin[lo : lo + most] + at, len(words) - 1)], nothing)
         out[lo : lo + most] = net.forward(table[ids], mask.astype(np.float32))
-    return iter(np.split(out, np.cumsum(counts)[:-1])) if len(texts) else iter(())
+    return out, counts
 
 
 def _calibrate(net: Network, best: np.ndarray, windows: np.ndarray, labels: np.ndarray, share: float) -> None:
@@ -257,32 +259,42 @@ class _Scorer:
         self.clear()
 
     def clear(self) -> None:
-        """Rows of distinct words; runs between white space as tuples of rows."""
-        self.words: dict[str, int] = {}
-        self.runs: dict[str, tuple[int, ...]] = {}
+        """Rows of distinct words (row 0: none); runs between white space as numbers of row lists, held one after another."""
+        self.words: dict[str, int] = {"": 0}
+        self.runs: dict[str, int] = {}
         self.table = np.zeros((1024, 6 * _HIDDEN), np.float32)
+        self.rows, self.begin = np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def learn(self, new: list[str]) -> None:
+        parts = [words_of(c) for c in new]
+        fresh_words = [w for w in dict.fromkeys(chain.from_iterable(parts)) if w not in self.words]
+        base = len(self.words)
+        while base + len(fresh_words) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        if fresh_words:
+            self.table[base : base + len(fresh_words)] = self.net.project(fresh_words)
+            self.words.update(zip(fresh_words, range(base, base + len(fresh_words))))
+        self.runs.update(zip(new, range(len(self.runs), len(self.runs) + len(new))))
+        self.rows = np.concatenate([self.rows, np.fromiter(map(self.words.__getitem__, chain.from_iterable(parts)), np.int64)])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(p) for p in parts])])
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The highest logit of each text's windows, and their number."""
         if len(self.words) > self.cap or len(self.runs) > 2 * self.cap:
             self.clear()
         lists = [(t or "").split() for t in texts]
-        new = [c for c in set(chain.from_iterable(lists)) if c not in self.runs]
+        flat = list(chain.from_iterable(lists))
+        new = [c for c in set(flat) if c not in self.runs]
         if new:
-            parts = [words_of(c) for c in new]
-            fresh_words = [w for w in dict.fromkeys(chain.from_iterable(parts)) if w not in self.words]
-            base = len(self.words)
-            while base + len(fresh_words) > len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            if fresh_words:
-                self.table[base : base + len(fresh_words)] = self.net.project(fresh_words)
-                self.words.update(zip(fresh_words, range(base, base + len(fresh_words))))
-            self.runs.update((c, tuple(self.words[w] for w in p)) for c, p in zip(new, parts))
-        rows = [np.fromiter(chain.from_iterable(map(self.runs.__getitem__, ws)), np.int64) for ws in lists]
-        used, back = np.unique(np.concatenate([*rows, np.zeros(0, np.int64)]), return_inverse=True)
-        table = np.concatenate([self.table[used], np.zeros((1, 6 * _HIDDEN), np.float32)])
-        local = np.split(back, np.cumsum([len(r) for r in rows])[:-1]) if rows else []
-        logits = list(_text_logits(self.net, table, local))
-        return np.array([v.max() for v in logits]), np.array([len(v) for v in logits])
+            self.learn(new)
+        runs = np.fromiter(map(self.runs.__getitem__, flat), np.int64, len(flat))
+        n = self.begin[runs + 1] - self.begin[runs]
+        rows = self.rows[np.repeat(self.begin[runs] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        total = np.concatenate([[0], np.cumsum(n)])
+        ends = np.cumsum([len(ws) for ws in lists])
+        sizes = total[ends] - total[ends - [len(ws) for ws in lists]]
+        logits, counts = _text_logits(self.net, self.table, rows, sizes, 0)
+        return np.maximum.reduceat(logits, np.cumsum(counts) - counts), counts
 
 
 _KEPT: list = [None, None]
@@ -294,7 +306,7 @@ def _scorer(net: Network, cap: int) -> _Scorer:
     return _KEPT[1]
 
 
-def score_texts(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = ("doc_id",), memo: int = 150_000, step_bytes: int = 1 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = ("doc_id",), memo: int = 200_000, step_bytes: int = 1 << 20) -> DataFrame:
     """Columns ``keep``, score (0 to 1) and n_windows of every whole text.
 
     Null and empty texts are one empty window, whose score is that of a text without evidence. Without a network every score is 0.

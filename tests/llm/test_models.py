@@ -1,7 +1,10 @@
 import hashlib
 import os
+import zlib
+from collections import Counter
 
 import numpy as np
+import regex
 
 from tidemark.llm import language_id, toxicity, url_filter
 from tidemark.llm.common import crc_mod
@@ -129,6 +132,20 @@ def test_mixing_meets_its_margins(docs, odd, nothing):
     assert sample(nothing).count() == 0 and sample(docs, share=1.0).count() >= 0.95 * docs.count()
 
 
+def topic_by_words(text):
+    counts = Counter(regex.findall(r"\p{L}{4,}", (text or "").lower()))
+    return zlib.crc32(min(counts, key=lambda w: (-counts[w], w)).encode()) % 8 if counts else 0
+
+
+def test_topic_counts_every_word_whatever_its_case_and_punctuation(spark, docs, odd):
+    planted = spark.createDataFrame([(1, "Data, data. (DATA) other other", "en", "a"), (2, "one-more other one-more-more other and-more", "en", "a")], "doc_id long, text string, lang string, source string")
+    assert topic_by_words("data") != topic_by_words("other") != topic_by_words("more")
+    for df in (planted, docs, odd):
+        own = "mix_" if "mix" in df.columns else "mix"
+        rows = mix(df).select("text", f"{own}.topic", f"{own}.tokens").collect()
+        assert len(rows) == df.count() and all((r.topic, r.tokens) == (topic_by_words(r.text), len((r.text or "").split())) for r in rows)
+
+
 def test_urls(spark):
     urls = ["HTTP://A.Example.COM/en/7?x", "https://example.com/en/8", "ftp://x.net/de/1", "http://example.net/de/88", "http://x.org/es/", "no scheme", None, "://", "http://h", "http://q.de/a/b/c/d/e#f", "http://com/en/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")

@@ -18,28 +18,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import arrow_rows, fresh, stored
+from tidemark.llm.common import Generations, arrow_rows, fresh, stored
 
 TOPICS, MOST_CELLS, NONE = 8, 20_000, "(none)"
+#: Longer runs are worked on each time, so the memo stays small.
+MEMO_CHARS = 64
 _WORD = regex.compile(r"\p{L}{4,}")
 
 
-def _topic(text: str, topics: int) -> tuple[int, int]:
-    """Tokens (runs between white space) of a text, and its topic: the class of the first by name of its most frequent tokens that have a word of four letters."""
+def _words(run: str) -> tuple[str, ...]:
+    return tuple(_WORD.findall(run.lower()))
+
+
+def _topic(text: str, topics: int, memo: Generations) -> tuple[int, int]:
+    """Tokens (runs between white space) and topic of a text: the class of its most frequent word of four letters or more, case apart; ties by name."""
     counts = Counter(text.split())
-    for few in (32, None):  # short words come first, but rarely so many
-        least, best = 0, None
-        for run, n in counts.most_common(few):
-            if best is not None and n < least:
-                few = None
-                break
-            word = _WORD.search(run)
-            if word:
-                word = word[0].lower()
-                least, best = n, word if best is None else min(best, word)
-        if few is None or len(counts) <= few:
-            break
-    return counts.total(), 0 if best is None else zlib.crc32(best.encode("utf-8", "replace")) % topics
+    words = memo.fill([run for run in counts if len(run) <= MEMO_CHARS], lambda runs: map(_words, runs))
+    best: dict[str, int] = {}
+    for run, n in counts.items():
+        for w in words[run] if len(run) <= MEMO_CHARS else _words(run):
+            best[w] = best.get(w, 0) + n
+    if not best:
+        return counts.total(), 0
+    most = max(best.values())
+    return counts.total(), zlib.crc32(min(w for w, n in best.items() if n == most).encode("utf-8", "replace")) % topics
 
 
 def with_weights(docs: DataFrame, out: str, topics: int = TOPICS, keep: list[str] | None = None) -> DataFrame:
@@ -52,9 +54,10 @@ def with_weights(docs: DataFrame, out: str, topics: int = TOPICS, keep: list[str
     struct = T.StructType([T.StructField(c, k) for c, k in (("source", T.StringType()), ("lang", T.StringType()), ("topic", T.IntegerType()), ("tokens", T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Generations()
         for batch in batches:
             source, lang = ([NONE if x is None else x for x in batch.column(len(names) + k).to_pylist()] for k in (0, 1))
-            found = [_topic(t or "", topics) for t in batch.column(len(names) + 2).to_pylist()]
+            found = [_topic(t or "", topics, memo) for t in batch.column(len(names) + 2).to_pylist()]
             added = pa.StructArray.from_arrays([pa.array(source, pa.string()), pa.array(lang, pa.string()), pa.array([t for _, t in found], pa.int32()), pa.array([n for n, _ in found], pa.int64())], ["source", "lang", "topic", "tokens"])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], added], [*names, "added"])
 

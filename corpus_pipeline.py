@@ -8,7 +8,7 @@ from tidemark.llm.common import new_path
 from tidemark.llm.decontamination import remove_contaminated
 from tidemark.llm.language_id import keep_known
 from tidemark.llm.mixing import sample
-from tidemark.llm.simhash import keep_one
+from tidemark.llm.similarity import keep_one_similar
 from tidemark.llm.token_output import op5_token_output
 
 
@@ -18,8 +18,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest doc_id."""
-    return keep_one(docs)
+    """One document of each group of near-duplicates (sets of five-word shingles at a similarity of 0.8 or more), that of the smallest doc_id."""
+    return keep_one_similar(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

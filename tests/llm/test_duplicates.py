@@ -6,10 +6,12 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from tidemark.llm import suffix_dedup
 from tidemark.llm.components import components
 from tidemark.llm.decontamination import find_contamination, is_contaminated, remove_contaminated
 from tidemark.llm.simhash import GrayIndex, gray_rank, keep_one, links, near_duplicates
+from tidemark.llm.similarity import similar_groups
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -127,6 +129,48 @@ def test_one_of_each_group_stays(odd, nothing):
     assert keep_one(nothing).count() == 0
 
 
+def similar_components(texts):
+    lists = [(t or "").encode().lower().split() for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in lists]
+    labels = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) - 1e-9 and labels[a] != labels[b]:
+                labels = [labels[b] if x == labels[a] else x for x in labels]
+    return labels
+
+
+def near_copies(seed):
+    """Texts with copies of a changed word or a few: of 200 words 1 to 4 apart, so most pairs are at a similarity of 0.8 to 0.97."""
+    rng, rows = random.Random(seed), []
+    for base in range(12):
+        text = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        for copy in range(6):
+            own = list(text)
+            for k in rng.sample(range(200), copy and 1 + copy % 4):
+                own[k] = f"x{rng.randrange(10**6)}"
+            rows.append((1000 + 6 * base + copy, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("small", [16, 2])
+def test_similar_groups_against_brute_force(spark, docs, odd, small):
+    plain = [(r.doc_id, r.text) for df in (docs.limit(120), odd) for r in df.select("doc_id", "text").collect()]
+    rows = [(k, t) for k, (_, t) in enumerate(plain)] + near_copies(3)
+    labels = similar_components([t for _, t in rows])
+    least = {g: min(i for (i, _), h in zip(rows, labels) if h == g) for g in set(labels)}
+    found = similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), small=small)
+    assert sorted(map(tuple, found.collect())) == sorted((i, least[g]) for (i, _), g in zip(rows, labels))
+
+
+def test_pipeline_stage_drops_planted_near_copies(spark, sf):
+    rows = near_copies(4)
+    labels = similar_components([t for _, t in rows])
+    left = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf)
+    assert sorted(r.doc_id for r in left.collect()) == sorted(rows[labels.index(g)][0] for g in set(labels))
+
+
 def repeats(docs, size):
     bodies = [(d, (t or "").encode()) for d, t in docs]
     counts = {}

@@ -206,14 +206,18 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3, bucket: int
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 3, most: int = 3) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest doc_id (rows that repeat it: any one); columns as in ``docs``."""
+def keep_least(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The document of each group's component_id (``groups``: doc_id, component_id); of rows that repeat it any one; columns as in ``docs``."""
     key, no_id = fresh(docs, "kept_id"), F.lit(-(1 << 63))
-    groups = near_duplicates(docs.select("doc_id", "text"), words, most)
     kept = groups.filter("doc_id <=> component_id").select(F.coalesce("doc_id", no_id).alias(key)).distinct()
     return docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), no_id)).join(kept, key).dropDuplicates([key]).select(*[f"`{c}`" for c in docs.columns])
 
 
+def keep_one(docs: DataFrame, words: int = 3, most: int = 3) -> DataFrame:
+    """One document of each group of near-duplicates, that of the smallest doc_id (rows that repeat it: any one); columns as in ``docs``."""
+    return keep_least(docs, near_duplicates(docs.select("doc_id", "text"), words, most))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -163,3 +163,11 @@ def test_bad_branches_are_rejected(spark):
     pages, bad = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([(k, k % 2) for k in range(100)], "page_id long, bad int")
     found = url_filter.filter_urls(pages, bad).collect()
     assert {(r.template, r.verdict) for r in found} == {("/spam/*", "block"), ("/news/*", "allow")}
+
+
+def test_branches_below_the_third_level(spark):
+    rows = [(k, f"http://h.de/a/b/c/{k}/{'spam' if k % 2 else 'news'}/{k}/x/y") for k in range(200)] + [(500, "http://h.de/a/b/c"), (501, "http://k.de/a/b/c/d/e")]
+    pages, bad = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([(k, k % 2) for k in range(100)], "page_id long, bad int")
+    found = {r.page_id: (r.template, r.verdict) for r in url_filter.filter_urls(pages, bad).collect()}
+    assert len(found) == len(rows) and found[500][0] == "/*/*/*" and found[501][0] == "/*/*/*/**"
+    assert all(found[k] == (("/*/*/*/*/spam/*/*/*", "block") if k % 2 else ("/*/*/*/*/news/*/*/*", "allow")) for k in range(200))

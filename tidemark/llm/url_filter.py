@@ -3,7 +3,8 @@
 Level by level a path's segment becomes a branch of its own, or the wildcard ``*``. Segments with a digit are variable and always wildcards. Of the
 others a branch stays only if enough URLs have it and the share of bad pages under it differs from its parent's by more than chance;
 branches that are statistically alike are merged into the wildcard. A template is rejected if its smoothed share of bad labelled pages is
-high. Explicit rules on hosts and paths come first.
+high. Explicit rules on hosts and paths come first. Below the third level a branch grows as long as ``LEAST_URLS`` of its URLs go on, to the deepest
+path; what is below a smaller one is ``/**``.
 """
 
 from __future__ import annotations
@@ -56,8 +57,8 @@ def template_verdicts(urls: DataFrame) -> DataFrame:
     # one row for each distinct host and path from here on
     paths = stored(paths, "url-paths")
     sums = (F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad_n").alias("bad_n"))
-    tree = paths
-    for level in range(LEVELS):
+
+    def grow(tree: DataFrame, level: int) -> DataFrame:
         tree = tree.withColumn("segment", F.get("segments", level))
         children = tree.filter("segment IS NOT NULL").groupBy("host", "template", "segment").agg(*sums)
         parents = children.groupBy("host", "template").agg(*sums).select("host", "template", F.col("labelled").alias("pl"), F.col("bad_n").alias("pb"))
@@ -69,8 +70,24 @@ def template_verdicts(urls: DataFrame) -> DataFrame:
         tree = tree.join(stay, ["host", "template", "segment"], "left").withColumn(
             "template", F.concat("template", F.when(F.col("segment").isNull(), "").when(F.col("stays"), F.concat(F.lit("/"), "segment")).otherwise("/*"))
         )
-        tree = tree.drop("stays", "segment")
-    tree = stored(tree.withColumn("template", F.concat("template", F.when(F.size("segments") > LEVELS, "/**").otherwise(""))), "url-tree")
+        return tree.drop("stays", "segment")
+
+    tree, done = paths, []
+    for level in range(LEVELS):
+        tree = grow(tree, level)
+    # deeper levels only where enough URLs go on; a branch with fewer could not stay below either
+    deepest = paths.agg(F.max(F.size("segments"))).first()[0] or 0
+    for level in range(LEVELS, deepest):
+        tree, further = stored(tree, "url-level"), F.size("segments") > level
+        going = tree.filter(further).groupBy("host", "template").agg(F.sum("n").alias("going")).filter(F.col("going") >= LEAST_URLS)
+        split = stored(tree.join(going, ["host", "template"], "left").withColumn("grows", further & F.col("going").isNotNull()), "url-level")
+        done.append(split.filter("NOT grows").withColumn("template", F.concat("template", F.when(further, "/**").otherwise(""))).drop("going", "grows"))
+        tree = grow(split.filter("grows").drop("going", "grows"), level)
+        if not going.take(1):
+            break
+    for piece in done:
+        tree = tree.unionByName(piece)
+    tree = stored(tree, "url-tree")
     hosts = tree.groupBy("host").agg(*sums).select("host", _rate(F.col("bad_n"), F.col("labelled"), prior).alias("host_rate"))
     leaves = tree.groupBy("host", "template").agg(*sums).join(hosts, "host").withColumn("template_rate", _rate(F.col("bad_n"), F.col("labelled"), F.col("host_rate")))
     judged = leaves.select("host", "template", "template_rate", F.when(F.col("template_rate") >= REJECT, "block").otherwise("allow").alias("method"))

@@ -22,17 +22,18 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Generations, arrow_rows, by_id_range, filesystem, new_path, partitions_of
+from tidemark.llm.common import arrow_rows, by_id_range, filesystem, new_path, partitions_of, slices, text_bytes
 
 MAGIC = b"TDMKIDS1"
 SEEK = np.dtype([("size", "<u8"), ("ids", "<u8"), ("first", "<u8"), ("docs", "<u8"), ("crc", "<u4")])
 FOOTER = struct.Struct("<QQQI8s")
 FRAME_BYTES = 1 << 20
 NO_ID = np.iinfo(np.int64).min
-_MEMO: dict[str, tuple] = {}
+_MEMO: dict[str, RunIds] = {}
 
 
 class Writer:
@@ -106,46 +107,105 @@ class Reader:
                         yield first + i, raw[at[i] : at[i + 1]]
 
 
-def _encoder(path: str, cap: int):
-    if path not in _MEMO:
+class RunIds:
+    """Ids of distinct runs between white space, in one array; a run is encoded when it is first met and forgotten only when too many are held.
+
+    Runs are given to the library joined by single spaces, ``together`` at a time, and each token goes to the run in which it starts: the tokenizer
+    must cut at white space and drop it.
+    """
+
+    def __init__(self, path: str, cap: int, together: int = 256) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(path)
-        model.no_truncation()
-        model.no_padding()
-        _MEMO[path] = Generations(cap), lambda texts: [np.array(x.ids, "<u4").tobytes() for x in model.encode_batch_fast(texts, add_special_tokens=False)]
+        self.model, self.cap, self.together = Tokenizer.from_file(path), cap, together
+        self.model.no_truncation()
+        self.model.no_padding()
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: dict[bytes, int] = {}
+        self.ids, self.begin = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
+
+    def learn(self, new: list[bytes]) -> None:
+        texts = [w.decode("utf-8", "replace") for w in new]
+        groups = [texts[k : k + self.together] for k in range(0, len(texts), self.together)]
+        count, ids = np.zeros(len(new), np.int64), []
+        for k, (group, found) in enumerate(zip(groups, self.model.encode_batch([" ".join(g) for g in groups], add_special_tokens=False))):
+            stops = np.cumsum(np.fromiter(map(len, group), np.int64, len(group)) + 1)
+            starts = np.array([a for a, _ in found.offsets], np.int64)
+            of = np.searchsorted(stops, starts, "right")
+            count[k * self.together : k * self.together + len(group)] = np.bincount(of, minlength=len(group))
+            ids.append(np.array(found.ids, np.uint32))
+        base, flat = len(self.at), np.concatenate(ids)
+        total = int(self.begin[base])
+        self.ids = _grown(self.ids, total + len(flat))
+        self.begin = _grown(self.begin, base + len(new) + 1)
+        self.ids[total : total + len(flat)] = flat
+        self.begin[base + 1 : base + len(new) + 1] = total + np.cumsum(count)
+        self.at.update(zip(new, range(base, base + len(new))))
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and where each text's begin."""
+        if len(self.at) > self.cap:
+            self.clear()
+        lists = pc.ascii_split_whitespace(texts)
+        ends = lists.offsets.to_numpy()
+        distinct = pc.dictionary_encode(lists.flatten().cast(pa.large_binary()))
+        names = distinct.dictionary.to_numpy(zero_copy_only=False)
+        known = list(map(self.at.get, names))
+        if None in known:
+            self.learn([w for w, k in zip(names, known) if k is None])
+            known = list(map(self.at.__getitem__, names))
+        runs = np.array(known, np.int64)[distinct.indices.to_numpy()]
+        n = self.begin[runs + 1] - self.begin[runs]
+        stops = np.concatenate([[0], np.cumsum(n)])
+        ids = self.ids[np.repeat(self.begin[runs] - stops[:-1], n) + np.arange(stops[-1])]
+        return ids, stops[ends - ends[0]]
+
+
+def _grown(array: np.ndarray, size: int) -> np.ndarray:
+    return array if size <= len(array) else np.concatenate([array, np.zeros(max(size, len(array)), array.dtype)])
+
+
+def _runs(path: str, cap: int) -> RunIds:
+    """One for each worker process and tokenizer."""
+    if path not in _MEMO:
+        _MEMO[path] = RunIds(path, cap)
     return _MEMO[path]
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, out: str, end_id: int = 2, memo: int = 200_000, partitions: int | None = None) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, out: str, end_id: int = 2, memo: int = 1_000_000, partitions: int | None = None) -> DataFrame:
     """Encode every whole text, end it with ``end_id`` and write the ids to files in ``out``, ascending doc_id (nulls last).
 
     Returns the manifest, a row for each file: part, path, bytes, n_docs, n_tokens, start (ids in all files before it).
-    The tokenizer must cut at white space and drop it (a word vocabulary): then each distinct run between white space is encoded once.
-    A retried task writes a file of a new name, and only the names in the manifest count. Null and empty texts have the end id alone.
-    Rows of equal doc_id are in any order. An empty table gives an empty manifest.
+    The tokenizer must cut at white space and drop it (a word vocabulary): then each distinct run between white space is encoded once by a
+    task's worker, which holds about ``memo`` of them. A retried task writes a file of a new name, and only the names in the manifest count. Null
+    and empty texts have the end id alone; a very long text is encoded whole and is one frame. Repeated rows, and other rows of equal doc_id, all
+    stay, in any order. Further columns of ``docs`` are not read. An empty table gives an empty manifest.
     """
     spark = docs.sparkSession
     arrow_rows(spark)
     end = np.array([end_id], "<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo_of, encode = _encoder(tokenizer, memo)
+        runs = _runs(tokenizer, memo)
         part, sink = None, None
         for batch in batches:
-            part_ids = batch.column(2).to_pylist()
-            for doc_id, text, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), part_ids):
-                if sink is None:
-                    part = at
-                    fs, folder = filesystem(out)
-                    fs.create_dir(folder, recursive=True)
-                    name = f"ids-{part:06d}-{uuid.uuid4().hex}.bin"
-                    sink = fs.open_output_stream(f"{folder}/{name}")
-                    writer = Writer(sink)
-                words = (text or "").encode("utf-8", "surrogatepass").split()
-                known = memo_of.fill(dict.fromkeys(words), lambda new: encode([w.decode("utf-8", "replace") for w in new]))
-                writer.add(doc_id, b"".join(chain(map(known.__getitem__, words), (end,))))
+            if not batch.num_rows:
+                continue
+            if sink is None:
+                part = batch.column(2)[0].as_py()
+                fs, folder = filesystem(out)
+                fs.create_dir(folder, recursive=True)
+                name = f"ids-{part:06d}-{uuid.uuid4().hex}.bin"
+                sink = fs.open_output_stream(f"{folder}/{name}")
+                writer = Writer(sink)
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).fill_null("").cast(pa.large_string())
+            for lo, hi in slices(text_bytes(texts)[1], 8 << 20):
+                ids, begin = runs.of(texts.slice(lo, hi - lo))
+                for k in range(hi - lo):
+                    writer.add(doc_ids[lo + k], ids[begin[k] : begin[k + 1]].tobytes() + end)
         if sink is not None:
             writer.close()
             sink.close()

@@ -110,9 +110,10 @@ def by_id_range(docs: DataFrame, key: str, partitions: int, descending: bool = F
     return docs.repartitionByRange(partitions, order).sortWithinPartitions(order)
 
 
-def partitions_of(docs: DataFrame, least: int = 12) -> int:
-    """Shuffle partitions for whole texts: what the session is set to, 12 at least."""
-    return max(least, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+def partitions_of(docs: DataFrame, least: int = 12, each: int = 64 << 20) -> int:
+    """Shuffle partitions for whole texts: what the session is set to, ``least`` at least, and enough for about ``each`` bytes of text in one."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(least, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-total // each))
 
 
 def crc_mod(column: str, mod: int):

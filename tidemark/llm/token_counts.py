@@ -1,21 +1,28 @@
-"""Token counts: pieces are counted once per distinct pre-token, joined to each document's pre-token frequencies, and summed."""
+"""Token counts: pieces are counted once per distinct pre-token, joined to each document's pre-token frequencies, and summed.
+
+Texts are taken in chunks. A chunk keeps its distinct pre-tokens and, for each document, their numbers and frequencies. The distinct pre-tokens of
+all chunks are gathered by Spark, the library counts each of them once, and the counts are joined back to the chunks' pre-tokens. A chunk holds a
+pre-token once however frequent it is, so no key of the join has more rows than there are chunks.
+"""
 
 from __future__ import annotations
 
 import os
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Generations, arrow_rows, text_bytes
+from tidemark.llm.common import arrow_rows, stored, text_bytes
 
 _DOUBLE = re.compile(r"\s\s")
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
-_MEMO: dict[str, tuple] = {}
+_LOADED: dict = {}
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -28,51 +35,92 @@ def pre_tokens(text: str) -> list[str]:
     return [parts[0], *[" " + p for p in parts[1:]]]
 
 
-def _counter(path: str, cap: int):
-    """(memo, function list of strings -> list of counts), one per worker process."""
-    if path not in _MEMO:
+def _counter(path: str):
+    """Function list of strings -> list of counts; the library is loaded once in a worker process."""
+    if path not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         if path.endswith(".model"):
             from sentencepiece import SentencePieceProcessor
 
             model = SentencePieceProcessor(model_file=path)
-            count = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
+            _LOADED[path] = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
         else:
             from tokenizers import Tokenizer
 
             model = Tokenizer.from_file(path)
             model.no_truncation()
             model.no_padding()
-            count = lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
-        _MEMO[path] = Generations(cap), count
-    return _MEMO[path]
+            _LOADED[path] = lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
+    return _LOADED[path]
+
+
+_CHUNK = "chunk string, doc_id array<long>, n_bytes array<long>, pieces array<string>, many array<int>, numbers array<int>, frequencies array<int>"
+
+
+def _chunks(docs: DataFrame, whole: bool, chunk_bytes: int) -> DataFrame:
+    """A row for each chunk: ids and sizes of its documents, its distinct pre-tokens, and of each document (``many``) numbers and frequencies of its own."""
+
+    def chunk(held: list) -> pa.RecordBatch:
+        number: dict[str, int] = {}
+        many, numbers, frequencies = [], [], []
+        for _, _, text in held:
+            own = Counter() if not text else Counter((text,)) if whole else Counter(pre_tokens(text))
+            own.pop("", None)
+            many.append(len(own))
+            numbers += [number.setdefault(piece, len(number)) for piece in own]
+            frequencies += own.values()
+        int_lists = [pa.array([x], pa.list_(pa.int32())) for x in (many, numbers, frequencies)]
+        long_lists = [pa.array([[row[k] for row in held]], pa.list_(pa.int64())) for k in (0, 1)]
+        columns = [pa.array([uuid.uuid4().hex]), *long_lists, pa.array([list(number)], pa.list_(pa.string())), *int_lists]
+        return pa.RecordBatch.from_arrays(columns, ["chunk", "doc_id", "n_bytes", "pieces", "many", "numbers", "frequencies"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            sizes = np.diff(text_bytes(batch.column(1))[1]).tolist()
+            for row in zip(batch.column(0).to_pylist(), sizes, batch.column(1).to_pylist()):
+                held.append(row)
+                size += row[1]
+                if size >= chunk_bytes:
+                    yield chunk(held)
+                    held, size = [], 0
+        if held:
+            yield chunk(held)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _CHUNK)
 
 
-def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, memo: int = 300_000) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, chunk_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every whole text.
 
     ``tokenizer``: path of a tokenizers .json file (byte-level vocabulary, GPT-2 pre-tokens) or of a sentencepiece .model; the latter
-    has no pre-tokens that stand alone, so whole texts are its pieces. ``memo``: distinct pre-tokens whose count a worker keeps.
+    has no pre-tokens that stand alone, so whole texts are its pieces. ``chunk_bytes``: text that a chunk has, or one longer text.
     A null or empty text has 0 bytes and 0 tokens. Repeated rows give repeated rows. Further columns of ``docs`` are not read.
+    An empty table gives no rows.
     """
     arrow_rows(docs.sparkSession)
-    whole = tokenizer.endswith(".model")
+    chunks = stored(_chunks(docs, tokenizer.endswith(".model"), chunk_bytes), "token-chunks")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo_of, pieces = _counter(tokenizer, memo)
         for batch in batches:
-            _, at = text_bytes(batch.column(1))
-            tokens = []
-            for text in batch.column(1).to_pylist():
-                if not text:
-                    tokens.append(0)
-                    continue
-                frequencies = {text: 1} if whole else Counter(pre_tokens(text))
-                known = memo_of.fill(frequencies, pieces)
-                tokens.append(sum(known[k] * n for k, n in frequencies.items()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at[1:] - at[:-1]), pa.array(tokens, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(count, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_counter(tokenizer)(batch.column(0).to_pylist()), pa.int32())], ["piece", "n"])
+
+    places = chunks.select("chunk", F.posexplode("pieces").alias("place", "piece"))
+    counts = stored(places.select("piece").distinct().mapInArrow(count, "piece string, n int"), "token-pieces")
+    # a chunk's counts in the order of its pre-tokens
+    known = places.join(counts, "piece").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("place", "n"))).getField("n").alias("n"))
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                doc_id, n_bytes, many, numbers, frequencies, n = (batch.column(k)[row].values for k in range(6))
+                each = np.array(n, np.int64)[np.array(numbers)] * np.array(frequencies) if n is not None else np.zeros(0, np.int64)
+                ends = np.concatenate([[0], np.cumsum(np.array(many, np.int64))])
+                sums = np.concatenate([[0], np.cumsum(each)])
+                yield pa.RecordBatch.from_arrays([doc_id, n_bytes, pa.array(sums[ends[1:]] - sums[ends[:-1]], pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+
+    joined = chunks.drop("pieces").join(known, "chunk", "left").select("doc_id", "n_bytes", "many", "numbers", "frequencies", "n")
+    return joined.mapInArrow(total, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,14 +44,14 @@ def test_odd_texts_have_no_language(spark, odd, nothing, docs):
 def test_network_gradient():
     net = toxicity.Network({"a": 0, "b": 1, "c": 2}, np.array([0.1, -0.2, 0.3, 0.0]))
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
-    batch, y, weight = [["a", "b", "zz", "c"] * 4, ["b", "c"], ["q"] * 24], np.array([1, 0, 1.0]), np.ones(3)
-    _, gradient = net.gradient(batch, y, weight)
+    batch, bounds, y, weight = [["a", "b", "zz", "c"] * 4, ["b", "c"], ["q"] * 24], [(2, 11), (0, 2), (4, 24)], np.array([1, 0, 1.0]), np.ones(3)
+    _, gradient = net.gradient(batch, bounds, y, weight)
     for name, values in net.w.items():
         flat, at = values.reshape(-1), int(np.argmax(abs(gradient[name].reshape(-1))))
         old, losses = flat[at], []
         for step in (1e-3, -1e-3):
             flat[at] = old + step
-            losses.append(net.gradient(batch, y, weight)[0])
+            losses.append(net.gradient(batch, bounds, y, weight)[0])
         flat[at] = old
         assert abs((losses[0] - losses[1]) / 2e-3 - gradient[name].reshape(-1)[at]) < 1e-4
 
@@ -82,8 +82,51 @@ def test_toxicity_of_odd_texts(spark, odd, nothing):
     assert {r.score for r in toxicity.score_texts(odd, None).collect()} == {0.0}
 
 
+def plain_logits(net, words):
+    """Every window's logit, word by word: blocks of 48 words, run from 8 words before them on in both directions, pooled over 24 words."""
+    sigmoid, h = (lambda x: 1 / (1 + np.exp(-x))), 8
+    states = np.zeros((len(words), 2 * h))
+    for block in range(0, len(words), 48):
+        for k, (d, order) in enumerate((("f", range(max(block - 8, 0), min(block + 48, len(words)))), ("b", range(min(block + 56, len(words)) - 1, block - 1, -1)))):
+            state = np.zeros(h)
+            for t in order:
+                gates, back = net.project([words[t]])[0, 3 * h * k : 3 * h * (k + 1)], state @ net.w[f"rec_{d}"]
+                z, r = sigmoid(gates[:h] + back[:h]), sigmoid(gates[h : 2 * h] + back[h : 2 * h])
+                state = z * state + (1 - z) * np.tanh(gates[2 * h :] + r * back[2 * h :])
+                if block <= t < block + 48:
+                    states[t, h * k : h * (k + 1)] = state
+    out = []
+    for s in range(max(len(words) - 23, 1)):
+        part = states[s : s + 24]
+        weight = np.exp(part @ net.w["attend"])
+        out.append((weight @ (part @ net.w["out"]) / weight.sum() if len(part) else 0.0) + float(net.w["bias"][0]))
+    return out
+
+
 def test_all_windows_are_scored():
-    assert [toxicity.window_starts(n).tolist() for n in (0, 1, 24, 25, 36, 37)] == [[0], [0], [0], [0, 12], [0, 12], [0, 12, 24]]
+    rng = np.random.default_rng(5)
+    net = toxicity.Network({f"w{k}": k for k in range(30)}, rng.normal(0, 1, 31))
+    net.w = {k: rng.normal(0, 0.7, v.shape).astype(np.float32) for k, v in net.w.items()}
+    lists = [[f"w{k}" for k in rng.integers(0, 40, n)] for n in (0, 1, 23, 24, 25, 48, 49, 130, 0, 7)]
+    for found, words in zip(toxicity.window_logits(net, lists), lists):
+        assert np.allclose(found, plain_logits(net, words), atol=1e-4)
+
+
+def test_sliding_sums():
+    x = np.random.default_rng(0).normal(size=100)
+    assert np.allclose(toxicity.sliding(x), [x[k : k + 24].sum() for k in range(100)]) and len(toxicity.sliding(x[:0])) == 0
+
+
+def test_a_toxic_run_at_any_place_is_found(spark):
+    rng = np.random.default_rng(4)
+    text = lambda n: list(rng.choice([f"w{k}" for k in range(200)], n))
+    rows = [(k, " ".join(text(60) + (list(rng.permutation(["scumx", "trashy", "idiotic", "vilest"])) if k % 4 == 0 else []) + text(60)), int(k % 4 == 0)) for k in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    net = toxicity.train(df, df.select("doc_id", "toxic"))
+    body = text(120)
+    planted = [(k, " ".join(body[:k] + ["idiotic", "vilest", "scumx", "trashy"] + body[k:])) for k in range(0, 121, 5)] + [(999, " ".join(body))]
+    found = {r.doc_id: r.score for r in toxicity.score_texts(spark.createDataFrame(planted, "doc_id long, text string"), net).collect()}
+    assert found.pop(999) < 0.5 and all(s >= 0.5 for s in found.values())
 
 
 def test_prefix_hashes():

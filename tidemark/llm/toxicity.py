@@ -1,8 +1,9 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs, trained in numpy.
 
-A text is scored by all its overlapping windows of ``WINDOW`` words; the document's score is the calibrated maximum. What a word gives to the
-gates depends on the word alone, so each distinct word (from its characters and its own vector) is projected once, and a window's
-steps only add its recurrent part.
+The network runs over a text in blocks of ``BLOCK`` words, each begun ``CONTEXT`` words before it in both directions, and gives every word a
+state. Attention pools the states of every window of ``WINDOW`` words, one from each word on: a window's logit is the mean of its states'
+outputs, weighted by their attention, so all windows come from two sliding sums. The document's score is the calibrated maximum over them. What
+a word gives to the gates depends on the word alone, so each distinct word (from its characters and its own vector) is projected once.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_rows, crc_mod, fresh
 
-WINDOW, STRIDE = 24, 12
+WINDOW, BLOCK, CONTEXT = 24, 48, 8
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _WORD_DIM, _CHAR_DIM, _HIDDEN, _CHAR_ROWS = 12, 8, 8, 4096
 
@@ -70,8 +71,8 @@ class Network:
         x = self.inputs(words)[0]
         return np.concatenate([x @ self.w["in_f"] + self.w["bias_f"], x @ self.w["in_b"] + self.w["bias_b"]], axis=1)
 
-    def forward(self, gates: np.ndarray, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """Logits of windows. gates: steps x windows x 6 hidden; mask: steps x windows, 0 where a window has ended."""
+    def states(self, gates: np.ndarray, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """States of both directions. gates: steps x sequences x 6 hidden; mask: steps x sequences, 0 where there is no word."""
         steps, n = mask.shape
         h, hidden = _HIDDEN, np.zeros((steps, n, 2 * _HIDDEN), np.float32)
         for d, offset, order in (("f", 0, range(steps)), ("b", 3 * h, range(steps - 1, -1, -1))):
@@ -85,22 +86,29 @@ class Network:
                 if keep is not None:
                     keep.append((d, t, state, z, r, c, back[:, 2 * h :]))
                 hidden[t, :, at : at + h] = state = new
-        weight = np.exp(hidden @ self.w["attend"]) * mask
+        return hidden
+
+    def forward(self, gates: np.ndarray, mask: np.ndarray, inside: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """Logits of one window in each sequence; inside: steps x sequences, 1 where a word is in the window."""
+        hidden = self.states(gates, mask, keep)
+        weight = np.exp(hidden @ self.w["attend"]) * inside
         weight /= np.maximum(weight.sum(0), 1e-9)
         pooled = (weight[:, :, None] * hidden).sum(0)
         if keep is not None:
             keep.append((hidden, weight, pooled))
         return pooled @ self.w["out"] + self.w["bias"]
 
-    def gradient(self, words: list[list[str]], y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Loss and gradient of windows given as lists of words."""
+    def gradient(self, words: list[list[str]], bounds: list[tuple[int, int]], y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Loss and gradient of windows: lists of words with their context, and the window's bounds in each."""
         flat = list(dict.fromkeys(chain.from_iterable(words)))
         number = {w: k for k, w in enumerate(flat)}
         ids, mask = padded([[number[w] for w in ws] for ws in words])
+        at = np.arange(len(mask))[:, None]
+        inside = ((at >= [a for a, _ in bounds]) & (at < [b for _, b in bounds])).astype(np.float32)
         x, rows, grams, sizes = self.inputs(flat)
         table = np.concatenate([np.concatenate([x @ self.w["in_f"] + self.w["bias_f"], x @ self.w["in_b"] + self.w["bias_b"]], axis=1), np.zeros((1, 6 * _HIDDEN), np.float32)])
         keep: list = []
-        logit = self.forward(table[ids], mask, keep)
+        logit = self.forward(table[ids], mask, inside, keep)
         p = _sigmoid(logit)
         loss = float(-(weight * np.log(np.clip(np.where(y, p, 1 - p), 1e-7, 1))).sum() / weight.sum())
         dlogit = ((p - y) * weight / weight.sum()).astype(np.float32)
@@ -136,18 +144,31 @@ class Network:
 
 
 def padded(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    """Steps x windows of ids (-1 beyond the end) and their mask."""
+    """Steps x sequences of ids (-1 beyond the end) and their mask."""
     sizes = np.array([len(r) for r in rows])
-    at = np.arange(WINDOW)[:, None]
+    at = np.arange(sizes.max(initial=1))[:, None]
     mask = at < sizes
     ids = np.full(mask.shape, -1, np.int64)
     ids.T[mask.T] = np.fromiter(chain.from_iterable(rows), np.int64, int(sizes.sum()))
     return ids, mask.astype(np.float32)
 
 
-def window_starts(n: int) -> np.ndarray:
-    """Starts of the windows that cover n words."""
-    return np.arange(0, max(n - WINDOW + STRIDE, 1), STRIDE)
+def sliding(values: np.ndarray) -> np.ndarray:
+    """Sums of ``WINDOW`` values from each place on (of those that are left at the end), by doubling: no sum holds other values."""
+    padded_values = np.concatenate([values, np.zeros(WINDOW, values.dtype)])
+    total, start, part, width = np.zeros(len(values), values.dtype), 0, padded_values, 1
+    while width <= WINDOW:
+        if WINDOW & width:
+            total += part[start : start + len(values)]
+            start += width
+        part = part[:-width] + part[width:]
+        width *= 2
+    return total
+
+
+def window_counts(sizes: np.ndarray) -> np.ndarray:
+    """Windows of texts of so many words: one from each word on that has enough after it, one for a shorter text."""
+    return np.maximum(sizes - WINDOW + 1, 1)
 
 
 def fit(texts: list[str], labels: np.ndarray, share: float, epochs: int = 8, batch: int = 128, rate: float = 0.02, seed: int = 7) -> Network:
@@ -169,22 +190,25 @@ def fit(texts: list[str], labels: np.ndarray, share: float, epochs: int = 8, bat
         evidence[k] = np.log((seen[w][1] + 0.5) / (n1 + 1)) - np.log((seen[w][0] + 0.5) / (n0 + 1))
     net = Network(vocabulary, (evidence / 3).clip(-1, 2), seed)
     known = {w: max(0.0, evidence[k] - 1) for w, k in vocabulary.items()}
-    starts = [window_starts(len(w)) for w in lists]
-    values = [np.array([sum(known.get(w, 0.0) for w in words[s : s + WINDOW]) for s in at]) for words, at in zip(lists, starts)]
+    counts = window_counts(np.array([len(w) for w in lists], np.int64))
+    values = [sliding(np.array([known.get(w, 0.0) for w in words]))[:n] for words, n in zip(lists, counts)]
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.w.items()}
     step = 0
     for epoch in range(epochs):
         if epoch == epochs // 2:
             values = window_logits(net, lists)
         chosen = []
-        for words, at, value, y in zip(lists, starts, values, labels):
+        for words, n, value, y in zip(lists, counts, values, labels):
             if words:
-                top = at[int(np.argmax(value))]
-                chosen += [(words[s : s + WINDOW], y) for s in ([top] if y else [top, rng.choice(at)])]
+                top = int(np.argmax(value))
+                chosen += [(words, s, y) for s in ([top] if y else [top, int(rng.integers(n))])]
         order = rng.permutation(len(chosen))
         for lo in range(0, len(order), batch):
             part = [chosen[k] for k in order[lo : lo + batch]]
-            _, gradient = net.gradient([w for w, _ in part], np.array([y for _, y in part], np.float32), np.ones(len(part), np.float32))
+            froms = [max(s - CONTEXT, 0) for _, s, _ in part]
+            spans = [ws[a : s + WINDOW + CONTEXT] for a, (ws, s, _) in zip(froms, part)]
+            bounds = [(s - a, min(s + WINDOW, len(ws)) - a) for a, (ws, s, _) in zip(froms, part)]
+            _, gradient = net.gradient(spans, bounds, np.array([y for *_, y in part], np.float32), np.ones(len(part), np.float32))
             step += 1
             for k, g in gradient.items():
                 m, v = moments[k]
@@ -192,7 +216,7 @@ def fit(texts: list[str], labels: np.ndarray, share: float, epochs: int = 8, bat
                 v += 0.01 * (g * g - v)
                 net.w[k] -= (rate * (0.3 if epoch >= epochs // 2 else 1) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
     best = np.array([v.max() for v in window_logits(net, lists)])
-    _calibrate(net, best, np.array([len(s) for s in starts]), labels, share)
+    _calibrate(net, best, counts, labels, share)
     return net
 
 
@@ -207,18 +231,31 @@ def window_logits(net: Network, lists: list[list[str]]) -> list[np.ndarray]:
 
 def _text_logits(net: Network, table: np.ndarray, words: np.ndarray, sizes: np.ndarray, nothing: int, most: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """Logits of all windows of each text, and their number; words: rows of ``table``, one text after another. Row ``nothing`` is zero."""
-    counts = np.maximum(-(-(sizes - WINDOW + STRIDE) // STRIDE), 1)
-    words = np.concatenate([words, np.zeros(WINDOW, np.int64)])
-    of = np.repeat(np.arange(len(sizes)), counts)
-    inside = (np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)) * STRIDE
-    begin, left = (np.cumsum(sizes) - sizes)[of] + inside, sizes[of] - inside
-    out = np.zeros(len(of), np.float32)
-    at = np.arange(WINDOW)[:, None]
+    blocks = -(-sizes // BLOCK)
+    of = np.repeat(np.arange(len(sizes)), blocks)
+    begin = (np.cumsum(sizes) - sizes)[of]
+    stop = begin + sizes[of]
+    core = begin + (np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * BLOCK
+    weight, value = np.zeros(len(words)), np.zeros(len(words))
+    step = np.arange(-CONTEXT, BLOCK + CONTEXT)[:, None]
     for lo in range(0, len(of), most):
-        mask = at < left[lo : lo + most]
-        ids = np.where(mask, words[np.minimum(begin[lo : lo + most] + at, len(words) - 1)], nothing)
-        out[lo : lo + most] = net.forward(table[ids], mask.astype(np.float32))
-    return out, counts
+        at = core[lo : lo + most] + step
+        mask = (at >= begin[lo : lo + most]) & (at < stop[lo : lo + most])
+        ids = np.where(mask, words[np.clip(at, 0, len(words) - 1)], nothing)
+        own = net.states(table[ids], mask.astype(np.float32))[CONTEXT : CONTEXT + BLOCK]
+        inner = mask[CONTEXT : CONTEXT + BLOCK]
+        places = at[CONTEXT : CONTEXT + BLOCK][inner]
+        weight[places] = np.exp((own @ net.w["attend"])[inner].astype(np.float64).clip(-60, 60))
+        value[places] = (own @ net.w["out"])[inner]
+    # every text with room for a whole window, so that none reaches into the next one
+    counts, room = window_counts(sizes), np.maximum(sizes, WINDOW)
+    to = np.repeat(np.cumsum(room) - room - np.cumsum(sizes) + sizes, sizes) + np.arange(len(words))
+    spread = np.zeros((2, int(room.sum())))
+    spread[0, to], spread[1, to] = weight, weight * value
+    total = sliding(spread[0])
+    logits = np.where(total > 0, sliding(spread[1]) / np.where(total > 0, total, 1), 0) + net.w["bias"]
+    first = np.repeat(np.cumsum(room) - room - np.cumsum(counts) + counts, counts)
+    return logits[first + np.arange(counts.sum())], counts
 
 
 def _calibrate(net: Network, best: np.ndarray, windows: np.ndarray, labels: np.ndarray, share: float) -> None:

@@ -9,7 +9,7 @@ import regex
 from tidemark.llm import language_id, toxicity, url_filter
 from tidemark.llm.common import crc_mod
 from tidemark.llm.fingerprints import PrefixHashes, edited, fingerprints, likeness
-from tidemark.llm.mixing import mix, sample
+from tidemark.llm.mixing import mix, report, sample
 
 import pyspark.sql.functions as F
 
@@ -155,24 +155,69 @@ def test_likeness():
     assert likeness(a, a) == 1 and likeness(a, b) < 0.2 and likeness(np.zeros(64, int), np.zeros(64, int)) == 1
 
 
+def plain_mix(cells, share, targets):
+    """Raking under the cap by the book: cells (source, lang, topic) -> tokens; bisection for one name at a time, until nothing moves."""
+    budget = share * sum(cells.values())
+    factors, wanted = [{}, {}, {}], []
+    for d, target in enumerate(targets):
+        have = Counter()
+        for key, t in cells.items():
+            have[key[d]] += t
+        goal = {k: target.get(k, 0.0) if isinstance(target, dict) else v**target for k, v in have.items()}
+        lo, hi = 0.0, 1e9
+        for _ in range(200):
+            m = (lo + hi) / 2
+            lo, hi = (m, hi) if sum(min(have[k], m * g) for k, g in goal.items()) < budget else (lo, m)
+        wanted.append({k: min(have[k], hi * g) for k, g in goal.items()})
+        factors[d] = {k: float(g > 0) for k, g in goal.items()}
+    for _ in range(300):
+        for d in range(3):
+            for name, want in wanted[d].items():
+                mine = [(t, factors[(d + 1) % 3][k[(d + 1) % 3]] * factors[(d + 2) % 3][k[(d + 2) % 3]]) for k, t in cells.items() if k[d] == name]
+                lo, hi = 0.0, 1e12
+                for _ in range(90):
+                    f = (lo * hi) ** 0.5 if lo else hi / 1e6
+                    lo, hi = (f, hi) if sum(t * min(1, f * r) for t, r in mine) < want else (lo, f)
+                    if hi < 1e-12:
+                        break
+                factors[d][name] = hi
+    return {k: min(1.0, factors[0][k[0]] * factors[1][k[1]] * factors[2][k[2]]) for k in cells}, wanted
+
+
+def test_mixing_against_plain_raking(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, " ".join(["w"] * int(rng.integers(1, 60))), str(rng.choice(["en", "de", "fr"], p=[0.7, 0.2, 0.1])), f"s{rng.integers(4)}", int(rng.integers(3))) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, theme int")
+    for targets in ((0.7, 0.6, 0.5), ({"s0": 0.4, "s1": 0.3, "s2": 0.2, "s3": 0.1, "gone": 0.5}, {"en": 0.5, "de": 0.3, "fr": 0.2}, 1.0)):
+        cells = Counter()
+        for _, text, lang, source, theme in rows:
+            cells[source, lang, theme] += len(text.split())
+        expected, _ = plain_mix(cells, 0.6, targets)
+        found = mix(df, share=0.6, source_target=targets[0], lang_target=targets[1], topic_target=targets[2], topic="theme").select("mix.*").collect()
+        assert len(found) == len(rows) and max(abs(r.probability - expected[r.source, r.lang, r.topic]) for r in found) < 0.01
+
+
 def test_mixing_meets_its_margins(docs, odd, nothing):
     for df in (docs, odd):
         rows = mix(df).select("mix.*" if "mix" not in df.columns else "mix_.*").collect()
         assert len(rows) == df.count()
         total = sum(r.tokens for r in rows)
-        for name, power in (("source", 0.7), ("lang", 0.7), ("topic", 0.5)):
-            have, got = {}, {}
-            for r in rows:
-                if r.tokens:
-                    have[r[name]] = have.get(r[name], 0) + r.tokens
-                    got[r[name]] = got.get(r[name], 0) + r.tokens * r.weight / total
-            if df is docs:
-                whole = sum(v**power for v in have.values())
-                assert all(abs(got[k] - have[k] ** power / whole) < 1e-5 for k in have)
         assert abs(sum(r.tokens * r.probability for r in rows) / total - 0.8) < 0.01
     kept = sample(odd)
     assert kept.columns == odd.columns and 0 < kept.count() <= odd.count()
-    assert sample(nothing).count() == 0 and sample(docs, share=1.0).count() >= 0.95 * docs.count()
+    assert sample(nothing).count() == 0 and sample(docs, share=1.0).count() == docs.count()
+    shares = report(docs).collect()
+    assert {r.kind for r in shares} == {"source", "lang", "topic"} and report(nothing).count() == 0
+    for r in shares:
+        # 200 documents: marginals that are reachable alone exclude each other a little; sources are met exactly
+        assert abs(r.expected - r.reachable) < (1e-6 if r.kind == "source" else 0.012) and abs(r.kept - r.expected) < 0.1
+        assert r.target <= r.reachable + 1e-9 or abs(r.reachable * 0.8 - r.have) < 1e-6 or any(o.target > o.reachable for o in shares if o.kind == r.kind)
+
+
+def test_sources_that_get_nothing(spark, docs):
+    names = sorted(r[0] for r in docs.select("source").distinct().collect())
+    rows = mix(docs, share=0.3, source_target={names[0]: 2.0, names[1]: 1.0}).select("mix.*").collect()
+    assert all(r.probability == 0 for r in rows if r.source not in names[:2] and r.tokens) and any(r.kept for r in rows)
 
 
 def topic_by_words(text):

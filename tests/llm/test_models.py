@@ -253,6 +253,27 @@ def test_bad_branches_are_rejected(spark):
     assert {(r.template, r.verdict) for r in found} == {("/spam/*", "block"), ("/news/*", "allow")}
 
 
+def test_alike_branches_are_merged(spark):
+    kinds = ["spam", "junk", "news", "blog", "misc"]
+    bad_share = {"spam": 8, "junk": 8, "news": 0, "blog": 0, "misc": 4}
+    rows = [(k, f"http://h.de/{kinds[k % 5]}/{k}") for k in range(1000)] + [(2000 + k, "http://h.de/777/x") for k in range(40)]
+    labels = [(k, int(k // 5 % 10 < bad_share[kinds[k % 5]])) for k in range(1000)] + [(2000 + k, 1) for k in range(40)]
+    pages, bad = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int")
+    found = {r.page_id: r for r in url_filter.filter_urls(pages.union(pages.filter("page_id < 5")), bad).collect()}
+    templates = {kind: {found[k].template for k in range(1000) if kinds[k % 5] == kind} for kind in kinds}
+    assert templates == {"spam": {"/junk#1/*"}, "junk": {"/junk#1/*"}, "news": {"/blog#1/*"}, "blog": {"/blog#1/*"}, "misc": {"/*/*"}}
+    # a number is a branch like any other if it has the counts
+    assert found[2000].template == "/777/*" and [found[k].verdict for k in range(3)] == ["block", "block", "allow"]
+
+
+def test_urls_of_one_very_common_host_and_path(spark):
+    rows = [(k % 700, "http://h.de/a/1" if k % 3 else f"http://h.de/a/{k}") for k in range(900)] + [(k, f"http://x{k}.de/") for k in range(1000, 1100)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "'mine' AS template", "'mine' AS host", "0 AS n", "1 AS rows").repartition(7)
+    bad = spark.createDataFrame([(k, k % 2) for k in range(0, 700, 5)], "page_id long, bad int")
+    found = url_filter.filter_urls(pages, bad).collect()
+    assert len(found) == len(rows) and sorted(r.page_id for r in found) == sorted(k for k, _ in rows)
+
+
 def test_branches_below_the_third_level(spark):
     rows = [(k, f"http://h.de/a/b/c/{k}/{'spam' if k % 2 else 'news'}/{k}/x/y") for k in range(200)] + [(500, "http://h.de/a/b/c"), (501, "http://k.de/a/b/c/d/e")]
     pages, bad = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([(k, k % 2) for k in range(100)], "page_id long, bad int")

@@ -116,19 +116,26 @@ def partitions_of(docs: DataFrame, least: int = 12, each: int = 64 << 20) -> int
     return max(least, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-total // each))
 
 
-def hot_split(table: DataFrame, weight: str, parts: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """``table`` without its column ``weight``: rows that have a share of 1 / ``parts`` of its sum or more (so ``parts`` at most), and the others."""
-    total = table.agg(F.sum(F.col(weight).cast("double"))).first()[0] or 0.0
+def hot_split(table: DataFrame, weight: str, parts: int = 1000, small: int = 20_000) -> tuple[DataFrame, DataFrame | None]:
+    """``table`` without its column ``weight``: rows that have a share of 1 / ``parts`` of its sum or more (so ``parts`` at most), and the others.
+
+    A table of at most ``small`` rows is all given first, and None.
+    """
+    rows, total = table.agg(F.count("*"), F.sum(F.col(weight).cast("double"))).first()
+    if rows <= small:
+        return table.drop(weight), None
     hot = F.coalesce(F.col(weight) * float(parts) >= total, F.lit(False))
     return table.filter(hot).drop(weight), table.filter(~hot).drop(weight)
 
 
-def hot_join(large: DataFrame, hot: DataFrame, others: DataFrame, keys: str | list[str], how: str = "inner") -> DataFrame:
+def hot_join(large: DataFrame, hot: DataFrame, others: DataFrame | None, keys: str | list[str], how: str = "inner") -> DataFrame:
     """``large`` joined (``how``: inner or left) to a table with a row for each key, cut by ``hot_split`` at the number of rows that a key has in ``large``.
 
     The rows of hot keys stay where they are, as those keys are few and broadcast; so no key of the shuffle has a large part of the rows.
     """
     keys = [keys] if isinstance(keys, str) else keys
+    if others is None:
+        return large.join(F.broadcast(hot), keys, how)
     rest = large.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
     return large.join(F.broadcast(hot), keys).unionByName(rest.join(others, keys, how))
 

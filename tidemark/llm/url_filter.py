@@ -1,10 +1,11 @@
 """URL filter by a path-template tree for each host.
 
-Level by level a path's segment becomes a branch of its own, or the wildcard ``*``. Segments with a digit are variable and always wildcards. Of the
-others a branch stays only if enough URLs have it and the share of bad pages under it differs from its parent's by more than chance;
-branches that are statistically alike are merged into the wildcard. A template is rejected if its smoothed share of bad labelled pages is
-high. Explicit rules on hosts and paths come first. Below the third level a branch grows as long as ``LEAST_URLS`` of its URLs go on, to the deepest
-path; what is below a smaller one is ``/**``.
+Level by level a path's segment becomes a branch or the wildcard ``*``. A segment is a branch only if enough URLs have it and the share of bad
+pages under it differs from its parent's by more than chance, so segments that vary (numbers, names) become the wildcard by their counts.
+Branches of one node whose shares are alike are merged: shares are compared on the arcsine scale, where their deviation depends on counts
+alone, in cells of ``ALIKE``; a merged branch is named by its first segment and how many more it has (``a#2``). A template is
+rejected if its smoothed share of bad labelled pages is high. Explicit rules on hosts and paths come first. Below the third level a
+branch grows as long as ``LEAST_URLS`` of its URLs go on, to the deepest path; what is below a smaller one is ``/**``.
 """
 
 from __future__ import annotations
@@ -12,11 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import hot_join, hot_split, stored
 
 #: (verdict, host and path): a rule fits its host and all subdomains, and paths that start with its path.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-LEVELS, LEAST_URLS, SMOOTHING, Z, REJECT = 3, 8, 4.0, 1.64, 0.5
+LEVELS, LEAST_URLS, SMOOTHING, Z, ALIKE, REJECT = 3, 8, 4.0, 1.64, 0.2, 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,31 +47,39 @@ def _rate(bad, labelled, prior) -> Column:
 def template_verdicts(urls: DataFrame) -> DataFrame:
     """Columns of ``urls`` (host, path, bad: 1, 0 or null) with template, template_rate and method (allow or block).
 
-    All counts are sums by (host, template so far, segment), so a host with a third of all rows is no large group.
+    All counts are sums by (host, template so far, segment), and the few nodes, templates and paths that have many rows are joined by broadcast
+    (``hot_join``), so a host or a URL with a third of all rows is no large group.
     """
     count = (F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad_n"))
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    df = urls.withColumn("segments", segments).withColumn("template", F.lit(""))
-    paths = df.groupBy("host", "segments", "template").agg(*count)
-    overall = urls.agg(F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad_n")).first()
+    df = stored(urls, "url-rows").withColumn("segments", segments)
+    paths = df.withColumn("template", F.lit("")).groupBy("host", "segments", "template").agg(*count)
+    overall = df.agg(F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad_n")).first()
     prior = (overall["bad_n"] + 1.0) / (overall["labelled"] + 2.0)
     # one row for each distinct host and path from here on
     paths = stored(paths, "url-paths")
     sums = (F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad_n").alias("bad_n"))
+    rows = F.count("*").alias("rows")
 
     def grow(tree: DataFrame, level: int) -> DataFrame:
         tree = tree.withColumn("segment", F.get("segments", level))
-        children = tree.filter("segment IS NOT NULL").groupBy("host", "template", "segment").agg(*sums)
-        parents = children.groupBy("host", "template").agg(*sums).select("host", "template", F.col("labelled").alias("pl"), F.col("bad_n").alias("pb"))
-        rate = _rate(F.col("pb"), F.col("pl"), prior)
+        children = stored(tree.filter("segment IS NOT NULL").groupBy("host", "template", "segment").agg(*sums, rows), "url-children")
+        parents = children.groupBy("host", "template").agg(F.sum("labelled").alias("pl"), F.sum("bad_n").alias("pb"), rows)
+        parents = parents.select("host", "template", _rate(F.col("pb"), F.col("pl"), prior).alias("rate"), "rows")
         own = _rate(F.col("bad_n"), F.col("labelled"), F.col("rate"))
         apart = F.abs(own - F.col("rate")) > Z * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("labelled") + SMOOTHING))
-        stay = children.join(parents, ["host", "template"]).withColumn("rate", rate).filter((F.col("n") >= LEAST_URLS) & ~F.col("segment").rlike("[0-9]") & apart)
-        stay = stay.select("host", "template", "segment", F.lit(True).alias("stays"))
-        tree = tree.join(stay, ["host", "template", "segment"], "left").withColumn(
-            "template", F.concat("template", F.when(F.col("segment").isNull(), "").when(F.col("stays"), F.concat(F.lit("/"), "segment")).otherwise("/*"))
-        )
-        return tree.drop("stays", "segment")
+        enough = children.filter((F.col("n") >= LEAST_URLS) & ~F.col("segment").isin("*", "**"))
+        stay = hot_join(enough, *hot_split(parents, "rows"), ["host", "template"]).filter(apart)
+        stay = stay.withColumn("alike", F.floor(F.asin(F.sqrt(own)) / ALIKE))
+        merged = stay.groupBy("host", "template", "alike").agg(F.min("segment").alias("first"), F.count("*").alias("many"))
+        name = F.when(F.col("many") == 1, F.col("first")).otherwise(F.concat("first", F.lit("#"), F.col("many") - 1))
+        merged = merged.select("host", "template", "alike", name.alias("branch"), "many")
+        branches = hot_join(stay.select("host", "template", "segment", "alike"), *hot_split(merged, "many"), ["host", "template", "alike"]).drop("alike")
+        # every segment with its branch or none: the most frequent ones must not gather in one task
+        named = stored(children.select("host", "template", "segment", "rows").join(branches, ["host", "template", "segment"], "left"), "url-names")
+        grown = hot_join(tree.filter("segment IS NOT NULL"), *hot_split(named, "rows"), ["host", "template", "segment"])
+        grown = grown.withColumn("template", F.concat("template", F.lit("/"), F.coalesce("branch", F.lit("*")))).drop("branch")
+        return stored(grown.unionByName(tree.filter("segment IS NULL")).drop("segment"), "url-level")
 
     tree, done = paths, []
     for level in range(LEVELS):
@@ -78,28 +87,32 @@ def template_verdicts(urls: DataFrame) -> DataFrame:
     # deeper levels only where enough URLs go on; a branch with fewer could not stay below either
     deepest = paths.agg(F.max(F.size("segments"))).first()[0] or 0
     for level in range(LEVELS, deepest):
-        tree, further = stored(tree, "url-level"), F.size("segments") > level
-        going = tree.filter(further).groupBy("host", "template").agg(F.sum("n").alias("going")).filter(F.col("going") >= LEAST_URLS)
-        split = stored(tree.join(going, ["host", "template"], "left").withColumn("grows", further & F.col("going").isNotNull()), "url-level")
-        done.append(split.filter("NOT grows").withColumn("template", F.concat("template", F.when(further, "/**").otherwise(""))).drop("going", "grows"))
-        tree = grow(split.filter("grows").drop("going", "grows"), level)
-        if not going.take(1):
+        done.append(tree.filter(F.size("segments") <= level))
+        tree = tree.filter(F.size("segments") > level)
+        going = tree.groupBy("host", "template").agg(F.sum("n").alias("going"), rows)
+        split = stored(hot_join(tree, *hot_split(going, "rows"), ["host", "template"]), "url-level")
+        done.append(split.filter(F.col("going") < LEAST_URLS).withColumn("template", F.concat("template", F.lit("/**"))).drop("going"))
+        tree = split.filter(F.col("going") >= LEAST_URLS).drop("going")
+        if tree.isEmpty():
             break
+        tree = grow(tree, level)
     for piece in done:
         tree = tree.unionByName(piece)
     tree = stored(tree, "url-tree")
-    hosts = tree.groupBy("host").agg(*sums).select("host", _rate(F.col("bad_n"), F.col("labelled"), prior).alias("host_rate"))
-    leaves = tree.groupBy("host", "template").agg(*sums).join(hosts, "host").withColumn("template_rate", _rate(F.col("bad_n"), F.col("labelled"), F.col("host_rate")))
-    judged = leaves.select("host", "template", "template_rate", F.when(F.col("template_rate") >= REJECT, "block").otherwise("allow").alias("method"))
-    by_path = tree.select("host", "segments", "template").join(judged, ["host", "template"])
-    return df.drop("template").join(by_path, ["host", "segments"]).drop("segments")
+    leaves = stored(tree.groupBy("host", "template").agg(*sums, F.count("*").alias("paths")), "url-leaves")
+    hosts = leaves.groupBy("host").agg(*sums, rows).select("host", _rate(F.col("bad_n"), F.col("labelled"), prior).alias("host_rate"), "rows")
+    leaves = hot_join(leaves, *hot_split(hosts, "rows"), "host").withColumn("template_rate", _rate(F.col("bad_n"), F.col("labelled"), F.col("host_rate")))
+    judged = stored(leaves.select("host", "template", "template_rate", F.when(F.col("template_rate") >= REJECT, "block").otherwise("allow").alias("method"), "paths"), "url-judged")
+    by_path = stored(hot_join(tree.select("host", "segments", "template", "n"), *hot_split(judged, "paths"), ["host", "template"]), "url-verdicts")
+    return hot_join(df, *hot_split(by_path, "n"), ["host", "segments"]).drop("segments")
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, template, template_rate for every row of ``pages`` (page_id, url).
 
     ``labels`` (page_id, bad 0 or 1): labelled pages; of several labels of a page the worst counts, and a page without one is not labelled.
-    A null url, or one without ``://``, has an empty host and path. Repeated rows stay; an empty table gives no rows.
+    A null url, or one without ``://``, has an empty host and path; very long paths grow as deep as their branches have URLs. Repeated rows stay, further
+    columns are not read, and an empty table gives no rows.
     """
     url = F.col("url")
     rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
@@ -141,8 +154,10 @@ t0 AS (SELECT host, segments, '' AS template, count(*) AS n, count(bad) AS label
 s{k} AS (SELECT *, segments[{k + 1}] AS segment FROM t{k}),
 c{k} AS (SELECT host, template, segment, {sums} FROM s{k} WHERE segment IS NOT NULL GROUP BY host, template, segment),
 p{k} AS (SELECT host, template, {rate("sum(bad_n)", "sum(labelled)", "any_value(g)")} AS rate FROM c{k}, prior GROUP BY host, template),
-k{k} AS (SELECT host, template, segment, true AS stays FROM c{k} JOIN p{k} USING (host, template) WHERE n >= {LEAST_URLS} AND NOT regexp_matches(segment, '[0-9]') AND abs({rate("bad_n", "labelled", "rate")} - rate) > {Z} * sqrt(rate * (1 - rate) / (labelled + {SMOOTHING}))),
-t{k + 1} AS (SELECT s{k}.host, segments, s{k}.template || CASE WHEN s{k}.segment IS NULL THEN '' WHEN stays THEN '/' || s{k}.segment ELSE '/*' END AS template, n, labelled, bad_n FROM s{k} LEFT JOIN k{k} ON s{k}.host = k{k}.host AND s{k}.template = k{k}.template AND s{k}.segment = k{k}.segment)"""
+b{k} AS (SELECT host, template, segment, floor(asin(sqrt({rate("bad_n", "labelled", "rate")})) / {ALIKE}) AS alike FROM c{k} JOIN p{k} USING (host, template) WHERE n >= {LEAST_URLS} AND segment NOT IN ('*', '**') AND abs({rate("bad_n", "labelled", "rate")} - rate) > {Z} * sqrt(rate * (1 - rate) / (labelled + {SMOOTHING}))),
+m{k} AS (SELECT host, template, alike, CASE WHEN count(*) = 1 THEN min(segment) ELSE min(segment) || '#' || (count(*) - 1) END AS branch FROM b{k} GROUP BY host, template, alike),
+k{k} AS (SELECT b{k}.host, b{k}.template, segment, branch FROM b{k} JOIN m{k} ON b{k}.host = m{k}.host AND b{k}.template = m{k}.template AND b{k}.alike = m{k}.alike),
+t{k + 1} AS (SELECT s{k}.host, segments, s{k}.template || CASE WHEN s{k}.segment IS NULL THEN '' ELSE '/' || coalesce(branch, '*') END AS template, n, labelled, bad_n FROM s{k} LEFT JOIN k{k} ON s{k}.host = k{k}.host AND s{k}.template = k{k}.template AND s{k}.segment = k{k}.segment)"""
     return sql + f""",
 tree AS (SELECT host, segments, template || CASE WHEN len(segments) > {LEVELS} THEN '/**' ELSE '' END AS template, n, labelled, bad_n FROM t{LEVELS}),
 hosts AS (SELECT host, {rate("sum(bad_n)", "sum(labelled)", "any_value(g)")} AS host_rate FROM tree, prior GROUP BY host),

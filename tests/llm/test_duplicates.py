@@ -193,7 +193,8 @@ def test_repeats_against_brute_force(spark, docs, odd, group):
     rng = random.Random(5)
     passage = " ".join(str(rng.random()) for _ in range(30))
     many = spark.createDataFrame([(k, f"{rng.random()} " * rng.randrange(4, 20) + passage[: rng.choice([190, 230, 400])] + f" {rng.random()}" * 9) for k in range(60)], "doc_id long, text string")
-    for df in (docs.limit(60), odd, many):
+    common = spark.createDataFrame([(k, passage + (" end" if k % 3 else f" {k} {rng.random()}" * 9)) for k in range(60)], "doc_id long, text string")
+    for df in (docs.limit(60), odd, many, common):
         rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
         frame = spark.createDataFrame(rows, "doc_id long, text string")
         found = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(frame, group).collect()]
@@ -214,4 +215,13 @@ def test_statistics_of_the_run_length_index():
         suffixes = [s[k:] for s in strings for k in range(len(s))]
         common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
         assert index.statistics().tolist() == [max(common(s, t) for j, t in enumerate(suffixes) if j != i) for i, s in enumerate(suffixes)]
-        assert len(index.runs) <= len(raw)
+        order = sorted(range(len(raw)), key=lambda k: (suffixes[k], k))
+        first = set(at[:-1].tolist())
+        assert np.repeat(index.symbols, index.lengths).tolist() == [-1 if k in first else int(raw[k - 1]) for k in order]
+        assert not hasattr(index, "suffixes") and len(index.heads) == len(index.tails) == len(index.symbols) <= len(raw)
+
+
+def test_repetitive_text_has_few_runs():
+    text = bytes(np.random.default_rng(2).integers(97, 123, 400).astype(np.uint8)) * 50
+    index = suffix_dedup.RunLengthIndex(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert len(index.symbols) < 1000 < len(text) and index.statistics()[0] == len(text) - 400

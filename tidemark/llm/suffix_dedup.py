@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_rows, powers, slices, stored, text_bytes
+from tidemark.llm.common import arrow_rows, hot_join, hot_split, powers, slices, stored, text_bytes
 
 LENGTH, KMER = 200, 32
 #: Different fragments that a group may have before it is split, and bytes of a block.
@@ -79,27 +79,27 @@ def anchors(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 class RunLengthIndex:
-    """Run-length index of a block of strings, and the matching statistics of all its places against all others."""
+    """Run-length index of a block of strings, and the matching statistics of all its places against all others.
+
+    It keeps the transform's runs (``symbols`` and ``lengths``; -1 stands for what comes before a string) and of each run only its ends: the places in
+    the text (``heads``, ``tails``) and the match of each tail with the next head (``match``). The suffix array is needed to build it and not kept.
+    """
 
     def __init__(self, raw: np.ndarray, at: np.ndarray) -> None:
         """raw: the strings' bytes one after another; at: their offsets."""
         self.raw, n = raw, len(raw)
         self.end = np.repeat(at[1:], np.diff(at))
-        self.suffixes = order = self._sorted(n)
+        order = self._sorted(n)
         before = np.full(n, -1, np.int64)
         inner = np.ones(n, bool)
         inner[at[:-1][at[:-1] < n]] = False
         before[inner] = raw[np.flatnonzero(inner) - 1]
         transform = before[order]
         # a run is of equal bytes; what begins a string is a run of its own
-        head = np.concatenate([[True], (transform[1:] != transform[:-1]) | (transform[1:] < 0)])
-        self.runs = np.flatnonzero(head)
-        tails = np.concatenate([self.runs[1:] - 1, [n - 1]])
-        # the samples: at a run's first place the match with the suffix above, at its last with the one below
-        up, down = order[self.runs[1:]], order[tails[:-1]]
-        match = self._match(down, up)
-        self.above = self._streamed(up, match, order[self.runs[:1]])
-        self.below = self._streamed(down, match, order[tails[-1:]])
+        starts = np.flatnonzero(np.concatenate([[True], (transform[1:] != transform[:-1]) | (transform[1:] < 0)]))
+        self.symbols, self.lengths = transform[starts].astype(np.int16), np.diff(np.concatenate([starts, [n]]))
+        self.heads, self.tails = order[starts], order[starts + self.lengths - 1]
+        self.match = self._match(self.tails[:-1], self.heads[1:])
 
     def _sorted(self, n: int) -> np.ndarray:
         """Suffixes in order, by doubling the length that ranks cover; equal suffixes in order of place."""
@@ -154,8 +154,14 @@ class RunLengthIndex:
         return np.maximum(np.maximum.accumulate(reach) - np.arange(len(self.raw)), 0)
 
     def statistics(self) -> np.ndarray:
-        """For each place how long a string from there on also begins elsewhere in the block."""
-        return np.maximum(self.above, self.below)
+        """For each place how long a string from there on also begins elsewhere in the block.
+
+        The suffix above a run's head is the tail before it, that below a tail the next head; all other places have what the place before them in the
+        text has, less one.
+        """
+        above = self._streamed(self.heads[1:], self.match, self.heads[:1])
+        below = self._streamed(self.tails[:-1], self.match, self.tails[-1:])
+        return np.maximum(above, below)
 
 
 def _ranks(keys: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -270,7 +276,8 @@ def repeated_ranges(docs: DataFrame, group: int = GROUP) -> DataFrame:
     groups = kinds.groupBy("kh").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("singles"))
     lo, hi = F.shiftright("at", 16).cast("int"), (F.shiftright("at", 16) + F.col("at").bitwiseAND(255)).cast("int")
     a = (F.shiftright("at", 16) + F.shiftright("at", 8).bitwiseAND(255)).cast("int")
-    whole = rows.join(kinds.filter("n > 1").select("kh", "fh"), ["kh", "fh"]).select("id", "th", lo.alias("lo"), hi.alias("hi"))
+    again = hot_split(kinds.filter("n > 1").select("kh", "fh", "n"), "n")
+    whole = hot_join(rows, *again, ["kh", "fh"]).select("id", "th", lo.alias("lo"), hi.alias("hi"))
     looked_at = kinds.join(groups.filter("kinds > 1 AND singles > 0"), "kh")
     wanted = looked_at.select("id", "th", a.alias("a"), lo.alias("lo"), hi.alias("hi"), F.col("kh").alias("key"), (F.col("n") == 1).alias("open"))
     fragments = stored(_contents(docs, wanted), "fragment-bytes")
@@ -301,7 +308,9 @@ def remove_repeats(docs: DataFrame, group: int = GROUP, texts: bool = True) -> D
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept (null unless ``texts``): texts as UTF-8 bytes (null: empty) without what occurs again.
 
     Every byte goes that is covered by a ``LENGTH``-byte string which also begins anywhere else, in the same text or another. Repeated rows are
-    texts like any other: each makes the other one go. Texts shorter than that stay as they are. An empty table gives no rows.
+    texts like any other: each makes the other one go. Texts shorter than that stay as they are; of very long texts every window counts. Further columns of
+    ``docs`` are not read, whatever their names. An empty table gives no rows. Fragments that occur again whole are told by two 64-bit hashes, their
+    anchor's and their own; all other matches are of bytes.
     """
     no_id = F.lit(-(1 << 63))
     text = F.coalesce("text", F.lit(""))

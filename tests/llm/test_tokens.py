@@ -73,3 +73,18 @@ def test_a_reader_opens_only_the_frames_it_needs():
 def test_empty_tables(spark, nothing):
     assert token_counts(nothing, BYTE).count() == 0
     assert read_tokens(write_tokens(nothing, WORD, new_path(spark, "ids"))).count() == 0
+
+
+def test_each_distinct_pre_token_is_counted_once(docs):
+    from tidemark.llm.token_counts import _chunks, _counts, _unpacked
+
+    chunks = _chunks(docs.repartition(5), False, 20_000).cache()
+    assert chunks.count() > 5
+    found = {r.chunk: {} for r in chunks.select("chunk").collect()}
+    for row in _counts(chunks, BYTE).collect():
+        place, n = _unpacked(row.counts)
+        assert not set(place.tolist()) & set(found[row.chunk])
+        found[row.chunk].update(zip(place.tolist(), n.tolist()))
+    model = Tokenizer.from_file(BYTE)
+    for row in chunks.select("chunk", "pieces").collect():
+        assert [found[row.chunk][k] for k in range(len(row.pieces))] == [len(model.encode(p, add_special_tokens=False).ids) for p in row.pieces]

@@ -1,15 +1,16 @@
 """Token counts: pieces are counted once per distinct pre-token, joined to each document's pre-token frequencies, and summed.
 
-Texts are taken in chunks. A chunk keeps its distinct pre-tokens and, for each document, their numbers and frequencies. The distinct pre-tokens of
-all chunks are gathered by Spark, the library counts each of them once, and the counts are joined back to the chunks' pre-tokens. A chunk holds a
-pre-token once however frequent it is, so no key of the join has more rows than there are chunks.
+Texts are taken in chunks. A chunk keeps its distinct pre-tokens and, for each document, their numbers and frequencies. Spark sorts the pre-tokens of
+all chunks, the library counts each distinct one once, and the counts go back to the chunks that have it, where they are joined to the documents'
+frequencies by number. A chunk sends a pre-token once however frequent it is, so no pre-token has more rows than there are chunks.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import uuid
+import secrets
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -54,25 +55,43 @@ def _counter(path: str):
     return _LOADED[path]
 
 
-_CHUNK = "chunk string, doc_id array<long>, n_bytes array<long>, pieces array<string>, many array<int>, numbers array<int>, frequencies array<int>"
+_CHUNK = "chunk long, doc_id array<long>, n_bytes array<long>, pieces array<string>, own binary"
+
+
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of int32, compressed by byte planes."""
+    import zstandard
+
+    flat = np.concatenate(arrays).astype("<i4")
+    head = np.array([len(arrays), *map(len, arrays)], "<i8").tobytes()
+    return head + zstandard.ZstdCompressor(level=1).compress(flat.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpacked(blob: bytes) -> list[np.ndarray]:
+    import zstandard
+
+    k = int(np.frombuffer(blob[:8], "<i8")[0])
+    sizes = np.frombuffer(blob[8 : 8 + 8 * k], "<i8")
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8 + 8 * k :]), np.uint8).reshape(4, -1)
+    return np.split(np.ascontiguousarray(planes.T).view("<i4").ravel(), np.cumsum(sizes)[:-1])
 
 
 def _chunks(docs: DataFrame, whole: bool, chunk_bytes: int) -> DataFrame:
-    """A row for each chunk: ids and sizes of its documents, its distinct pre-tokens, and of each document (``many``) numbers and frequencies of its own."""
+    """A row for each chunk: ids and sizes of its documents, its distinct pre-tokens, and how many each document has, their numbers and frequencies."""
 
     def chunk(held: list) -> pa.RecordBatch:
         number: dict[str, int] = {}
-        many, numbers, frequencies = [], [], []
+        many, numbers, frequencies = array("i"), array("i"), array("i")
         for _, _, text in held:
             own = Counter() if not text else Counter((text,)) if whole else Counter(pre_tokens(text))
             own.pop("", None)
             many.append(len(own))
-            numbers += [number.setdefault(piece, len(number)) for piece in own]
-            frequencies += own.values()
-        int_lists = [pa.array([x], pa.list_(pa.int32())) for x in (many, numbers, frequencies)]
+            numbers.extend([number.setdefault(piece, len(number)) for piece in own])
+            frequencies.extend(own.values())
         long_lists = [pa.array([[row[k] for row in held]], pa.list_(pa.int64())) for k in (0, 1)]
-        columns = [pa.array([uuid.uuid4().hex]), *long_lists, pa.array([list(number)], pa.list_(pa.string())), *int_lists]
-        return pa.RecordBatch.from_arrays(columns, ["chunk", "doc_id", "n_bytes", "pieces", "many", "numbers", "frequencies"])
+        own = _packed(*(np.frombuffer(x, np.int32) for x in (many, numbers, frequencies)))
+        columns = [pa.array([secrets.randbits(62)]), *long_lists, pa.array([list(number)], pa.list_(pa.string())), pa.array([own], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["chunk", "doc_id", "n_bytes", "pieces", "own"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -90,7 +109,40 @@ def _chunks(docs: DataFrame, whole: bool, chunk_bytes: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _CHUNK)
 
 
-def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, chunk_bytes: int = 8 << 20) -> DataFrame:
+def _counts(chunks: DataFrame, tokenizer: str, most: int = 2_000_000) -> DataFrame:
+    """chunk, counts: for a part of a chunk's pre-tokens their places and numbers of tokens. Each distinct pre-token is counted once."""
+
+    def by_chunk(held: list[tuple]) -> pa.RecordBatch:
+        chunk, place, n = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(chunk, kind="stable")
+        ids, starts = np.unique(chunk[order], return_index=True)
+        blobs = [_packed(place[rows], n[rows]) for rows in np.split(order, starts[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(blobs, pa.binary())], ["chunk", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, last = [], 0, {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            distinct = batch.column(0).dictionary_encode()
+            pieces = distinct.dictionary.to_pylist()
+            new = [p for p in pieces if p not in last]
+            known = last | dict(zip(new, _counter(tokenizer)(new) if new else []))
+            last = {pieces[-1]: known[pieces[-1]]}  # rows are sorted: only the last pre-token can go on
+            n = np.array([known[p] for p in pieces], np.int64)[distinct.indices.to_numpy()]
+            held.append((batch.column(1).to_numpy(), batch.column(2).to_numpy(), n))
+            size += batch.num_rows
+            if size >= most:
+                yield by_chunk(held)
+                held, size = [], 0
+        if held:
+            yield by_chunk(held)
+
+    places = chunks.select(F.posexplode("pieces").alias("place", "piece"), "chunk").select("piece", "chunk", "place")
+    return places.repartition("piece").sortWithinPartitions("piece").mapInArrow(run, "chunk long, counts binary")
+
+
+def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, chunk_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every whole text.
 
     ``tokenizer``: path of a tokenizers .json file (byte-level vocabulary, GPT-2 pre-tokens) or of a sentencepiece .model; the latter
@@ -100,27 +152,23 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, chunk_bytes:
     """
     arrow_rows(docs.sparkSession)
     chunks = stored(_chunks(docs, tokenizer.endswith(".model"), chunk_bytes), "token-chunks")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_counter(tokenizer)(batch.column(0).to_pylist()), pa.int32())], ["piece", "n"])
-
-    places = chunks.select("chunk", F.posexplode("pieces").alias("place", "piece"))
-    counts = stored(places.select("piece").distinct().mapInArrow(count, "piece string, n int"), "token-pieces")
-    # a chunk's counts in the order of its pre-tokens
-    known = places.join(counts, "piece").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("place", "n"))).getField("n").alias("n"))
+    counts = _counts(chunks, tokenizer).groupBy("chunk").agg(F.collect_list("counts").alias("counts"))
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                doc_id, n_bytes, many, numbers, frequencies, n = (batch.column(k)[row].values for k in range(6))
-                each = np.array(n, np.int64)[np.array(numbers)] * np.array(frequencies) if n is not None else np.zeros(0, np.int64)
-                ends = np.concatenate([[0], np.cumsum(np.array(many, np.int64))])
-                sums = np.concatenate([[0], np.cumsum(each)])
+                doc_id, n_bytes = (batch.column(k)[row].values for k in (0, 1))
+                many, numbers, frequencies = _unpacked(batch.column(3)[row].as_py())
+                each = np.zeros(batch.column(2)[row].as_py(), np.int64)
+                for blob in batch.column(4)[row].as_py() or []:
+                    place, n = _unpacked(blob)
+                    each[place] = n
+                sums = np.concatenate([[0], np.cumsum(each[numbers] * frequencies)])
+                ends = np.concatenate([[0], np.cumsum(many.astype(np.int64))])
                 yield pa.RecordBatch.from_arrays([doc_id, n_bytes, pa.array(sums[ends[1:]] - sums[ends[:-1]], pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
-    joined = chunks.drop("pieces").join(known, "chunk", "left").select("doc_id", "n_bytes", "many", "numbers", "frequencies", "n")
-    return joined.mapInArrow(total, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    joined = chunks.select("chunk", "doc_id", "n_bytes", F.size("pieces").alias("size"), "own").join(counts, "chunk", "left")
+    return joined.select("doc_id", "n_bytes", "size", "own", "counts").mapInArrow(total, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,13 +21,82 @@ def test_language_of_held_out_documents(spark, docs):
     assert np.mean([r.accepted for r in rows]) > 0.97 and all(0 <= r.score <= 1 for r in rows)
 
 
-def test_language_model_sums_to_one(docs):
-    model = language_id.train(language_id.learning_rows(docs), order=3)
-    letters = sorted({c for k in model.keys for c in k} | set("abcdefghijklmnopqrstuvwxyzäöüßéèêçñíó "))
-    # the chance of each next character after "th", from words that differ in it alone
-    base = model.score(["th"])[0][0]
-    end = [model.score([f"th{c}"])[0][0] for c in letters if c != " "]
-    assert np.isfinite(np.array(end)).all() and (np.exp(base) < 1).all()
+def plain_kneser_ney(words, order, alphabet):
+    """p(character | what stands before it in its word), straight from the definition: counts at the highest order and at a word's begin, else kinds of contexts."""
+    grams = Counter()
+    for w in words:
+        w = f" {w} "
+        for stop in range(2, len(w) + 1):
+            for n in range(1, min(order, stop) + 1):
+                grams[w[stop - n : stop]] += 1
+
+    def count(gram):
+        if len(gram) == order or (len(gram) > 1 and gram[0] == " "):
+            return grams.get(gram, 0)
+        return sum(1 for g in grams if len(g) == len(gram) + 1 and g[1:] == gram)
+
+    table = {g: count(g) for g in grams}
+    discount = {}
+    for n in range(1, order + 1):
+        ones, twos = (sum(1 for g, c in table.items() if len(g) == n and c == k) for k in (1, 2))
+        discount[n] = min(max(ones / (ones + 2 * twos) if ones else 0.5, 0.1), 0.9)
+
+    def p(context, c):
+        n = len(context) + 1
+        own = {g: v for g, v in table.items() if len(g) == n and g[:-1] == context and v > 0}
+        lower = p(context[1:], c) if context else 1 / alphabet
+        if not own:
+            return lower
+        total = sum(own.values())
+        return max(own.get(context + c, 0) - discount[n], 0) / total + discount[n] * len(own) / total * lower
+
+    return p
+
+
+def test_language_model_against_the_definition():
+    english, german = ["the", "then", "this", "that", "other", "with", "path", "the"], ["der", "die", "das", "dann", "dort", "der", "oder"]
+    letters = sorted({c for w in english + german for c in w}) + [" "]
+    alphabet, order = len(letters) + 1, 3
+    rows = []
+    for lang, words in (("de", german), ("en", english)):
+        grams = Counter(f" {w} "[k - n : k] for w in words for k in range(2, len(w) + 3) for n in range(1, min(order, k) + 1))
+        rows += [(lang, g, n) for g, n in grams.items()]
+    model = language_id.Model(["de", "en"], rows, order)
+    plain = [plain_kneser_ney(w, order, alphabet) for w in (german, english)]
+    for word in ("the", "das", "x", "thx", "ohr"):
+        steps, padded = model.steps([word])[0], f" {word} "
+        for k in range(1, len(padded)):
+            for g in (0, 1):
+                assert abs(np.exp(steps[k, g]) - plain[g](padded[max(0, k - order + 1) : k], padded[k])) < 1e-5
+    # the chances of all characters, and of an unknown one, after "th" add up to one
+    for g in (0, 1):
+        after = [np.exp(model.steps([f"th{c}"])[0][3, g]) for c in [*letters[:-1], "?"]] + [np.exp(model.steps(["th"])[0][3, g])]
+        assert abs(sum(after) - 1) < 1e-5
+
+
+def test_rejection_is_calibrated():
+    rng = np.random.default_rng(1)
+    models = [language_id.Model(["a", "b"], [("a", "x", 3), ("b", "y", 2)], 1)]
+    found = language_id.Identifier(models)
+    language, letters = rng.integers(0, 2, 4000), rng.integers(20, 4000, 4000)
+    cost = 2 + 0.5 * language + rng.normal(0, 0.05, 4000) * np.sqrt(1 + 100 / letters)
+    found.calibrate(language[:1000], cost[:1000], letters[:1000], 1e-3)
+    rejected = found.deviations(language[1000:], cost[1000:], letters[1000:]) > found.bound
+    assert rejected.mean() < 5e-3 and found.deviations(np.array([0]), np.array([3.0]), np.array([500])) > found.bound
+
+
+def test_languages_in_groups_and_of_few_rows(spark, docs):
+    few = docs.withColumn("lang", F.when(F.col("doc_id") == 3, "xx").otherwise(F.col("lang")))
+    model = language_id.train(language_id.learning_rows(few), group=2)
+    assert len(model.models) == 3 and ("xx" in model.languages)
+    rows = language_id.score_texts(docs, model, keep=("doc_id", "lang")).collect()
+    assert np.mean([r.lang_pred == r.lang for r in rows]) > 0.97
+
+
+def test_columns_of_any_name_and_null_languages_pass_the_stage(spark, docs, nothing):
+    odd = docs.withColumn("lang", F.when(F.col("doc_id") % 3 == 0, F.col("lang"))).selectExpr("*", "'mine' AS accepted", "'mine' AS lang_pred", "'mine' AS c0", "'mine' AS part", "'mine' AS share", "'mine' AS aside")
+    kept = language_id.keep_known(odd.union(odd.filter("doc_id < 20")))
+    assert kept.columns == odd.columns and kept.count() > 0.95 * (odd.count() + 20) and language_id.keep_known(nothing).count() == 0
 
 
 def test_odd_texts_have_no_language(spark, odd, nothing, docs):

@@ -17,13 +17,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_rows, crc_mod, fresh
+from tidemark.llm.common import arrow_rows, crc_mod, fresh, stored
 
 UNKNOWN = "und"
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Characters that a score's confidence counts at most: more text doesn't make a close call certain.
 CONFIDENT_CHARS = 50
+#: Rows held aside that a language's own mean and variance need.
+LEAST_ASIDE = 5
 
 
 def words_of(chunk: str) -> list[str]:
@@ -55,7 +57,7 @@ def _hashes(points: np.ndarray, order: int) -> list[np.ndarray]:
 class Model:
     """Kneser-Ney models of several languages. ``grams``: language, n-gram, count (order 1 to ``order``, words padded with spaces)."""
 
-    def __init__(self, languages: list[str], grams: list[tuple[str, str, int]], order: int) -> None:
+    def __init__(self, languages: list[str], grams: list[tuple[str, str, int]], order: int, alphabet: int | None = None) -> None:
         self.languages, self.order = languages, order
         number = {g: k for k, g in enumerate(languages)}
         by_order: list[dict[str, np.ndarray]] = [{} for _ in range(order + 1)]
@@ -64,7 +66,7 @@ class Model:
             if row is None:
                 row = by_order[len(gram)][gram] = np.zeros(len(languages))
             row[number[language]] = n
-        self.alphabet = len(by_order[1]) + 1
+        self.alphabet = alphabet or len(by_order[1]) + 1
         size = len(languages)
         self.keys, self.chances, self.rests = [], [], []
         lower_p, lower_at = None, {}
@@ -91,7 +93,6 @@ class Model:
             p = np.maximum(counts - discount, 0) / np.maximum(total, 1e-9)[of] + rest[of] * under
             lower_p, lower_at = p, at
             self._keep(names, p, list(contexts), rest)
-        self.mean = self.var = np.zeros(size)
 
     def _keep(self, names: list[str], p: np.ndarray, contexts: list[str], rest: np.ndarray) -> None:
         def key(texts: list[str]) -> np.ndarray:
@@ -111,10 +112,8 @@ class Model:
         at = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
         return at, table[at] == hashes
 
-    def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Log probability of each word (and its end) by language, and its number of characters with the end."""
-        if not words:
-            return np.zeros((0, len(self.languages)), np.float32), np.zeros(0, np.int64)
+    def steps(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability by language of each character of " word ", one word after another (0 for the first space), and the words' lengths."""
         points, inside, sizes = _code_points(words)
         hashes = _hashes(points, self.order)
         total = np.zeros((len(points), len(self.languages)), np.float32)
@@ -133,13 +132,58 @@ class Model:
             done[at[found]] = True
             open_ = open_[~done[open_]]
         total[inside == 0] = 0
+        return total, sizes
+
+    def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of each word (and its end) by language, and its number of characters with the end."""
+        if not words:
+            return np.zeros((0, len(self.languages)), np.float32), np.zeros(0, np.int64)
+        total, sizes = self.steps(words)
         return np.add.reduceat(total, np.cumsum(sizes) - sizes, axis=0), sizes - 1
 
 
+class Identifier:
+    """Models of groups of languages, side by side, and what rejection needs: a mean and variance for each language, and the bound for all.
+
+    ``bound``: how many deviations above its language's mean a text's cross-entropy may be (deviations of short texts are wider).
+    """
+
+    def __init__(self, models: list[Model]) -> None:
+        self.models, self.languages, self.alphabet = models, [g for m in models for g in m.languages], models[0].alphabet
+        size = len(self.languages)
+        # without rows held aside: half way to what random characters cost
+        self.mean, self.var, self.bound = np.full(size, (1.0 + np.log(self.alphabet)) / 2), np.full(size, 0.25), 8.0
+
+    def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [m.score(words) for m in self.models]
+        return np.concatenate([f[0] for f in found], axis=1), found[0][1]
+
+    def deviations(self, language: np.ndarray, cost: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        return (cost - self.mean[language]) / np.sqrt(self.var[language] * (1 + 100 / np.maximum(letters, 1)))
+
+    def calibrate(self, language: np.ndarray, cost: np.ndarray, letters: np.ndarray, false_reject: float) -> None:
+        """Means, variances and the bound from rows held aside: language (number), cross-entropy, letters.
+
+        The bound is the deviation that a share ``false_reject`` of such texts exceeds: above the 90th percentile of all languages' deviations a
+        generalised Pareto tail is fitted by its moments, as the share may be far below one row.
+        """
+        for k in range(len(self.languages)):
+            own = cost[language == k]
+            if len(own) >= LEAST_ASIDE:
+                self.mean[k], self.var[k] = own.mean(), max(own.var(), 1e-6)
+        z = self.deviations(language, cost, letters)[np.isin(language, np.flatnonzero(np.bincount(language, minlength=len(self.languages)) >= LEAST_ASIDE))]
+        if len(z) >= 10 * LEAST_ASIDE:
+            start = np.quantile(z, 0.9)
+            excess = z[z > start] - start
+            ratio = excess.mean() ** 2 / max(excess.var(), 1e-12)
+            shape, scale = max(0.5 * (1 - ratio), 1e-3), 0.5 * excess.mean() * (1 + ratio)
+            self.bound = float(max(start + scale / shape * ((0.1 / false_reject) ** shape - 1), z.max()))
+
+
 class _Memo:
     """Scores of distinct runs between white space; forgotten when there are too many."""
 
-    def __init__(self, model: Model, cap: int) -> None:
+    def __init__(self, model: Identifier, cap: int) -> None:
         self.model, self.cap = model, cap
         self.clear()
 
@@ -183,7 +227,7 @@ class _Memo:
 _KEPT: list = [None, None]
 
 
-def _memo(model: Model, cap: int) -> _Memo:
+def _memo(model: Identifier, cap: int) -> _Memo:
     """One for each worker process, of the last model."""
     if _KEPT[0] is not model:
         _KEPT[:] = [model, _Memo(model, cap)]
@@ -208,41 +252,46 @@ def _grams_of(sample: DataFrame, order: int) -> DataFrame:
     return sample.select("text", "lang").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def train(labelled: DataFrame, order: int = 5, per_language: int = 1000, max_languages: int = 400, least_sd: float = 0.15) -> Model | None:
-    """A model from rows doc_id, text, lang; None if no row has a lang.
+def train(labelled: DataFrame, order: int = 5, per_language: int = 1000, most_rows: int = 64_000, group: int = 32, false_reject: float = 1e-4) -> Identifier | None:
+    """Models from rows doc_id, text, lang; None if no row has a lang.
 
-    At most about ``per_language`` whole texts of each language are taken, by a hash of doc_id; four in five of them are counted (in Spark) and
-    the others set the bounds for rejection. ``max_languages`` bounds what a model holds; more are an error.
-    ``least_sd``: the least deviation of cross-entropy (nats a letter) that a language is taken to have, so that odd but readable texts stay.
+    About ``per_language`` whole texts of each language are taken, by a hash of doc_id, and fewer (20 at least) where languages are so many that these
+    would be more than ``most_rows``. Of a language with 25 rows or more, four in five are counted (in Spark) and the others are held aside to
+    calibrate rejection to a share of ``false_reject`` of a language's own texts. ``group`` languages at a time make one model in the driver.
     """
-    labelled = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = dict(labelled.groupBy("lang").count().limit(max_languages + 1).collect())
+    labelled = labelled.select("doc_id", "text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL")
+    sizes = dict(labelled.groupBy("lang").count().collect())
     if not sizes:
         return None
-    if len(sizes) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
+    most = min(per_language, max(20, most_rows // len(sizes)))
+    spark = labelled.sparkSession
+    shares = spark.createDataFrame([(k, min(1.0, most / n), min(most, n) >= 5 * LEAST_ASIDE) for k, n in sizes.items()], "lang string, share double, aside boolean")
     part = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) / 1_000_000
-    share = F.create_map(*chain.from_iterable((F.lit(k), F.lit(min(1.0, per_language / n))) for k, n in sizes.items()))[F.col("lang")]
-    sample = labelled.withColumn("part", part / share).filter("part < 1")
-    grams = _grams_of(sample.filter("part >= 0.2 OR part IS NULL"), order).toArrow()
-    counted = set(grams.column("lang").to_pylist())
-    if not counted:
+    sample = labelled.join(F.broadcast(shares), "lang").withColumn("part", part / F.col("share")).filter("part < 1")  # shares: a row for each language
+    aside = F.col("aside") & (F.col("part") < 0.2)
+    grams = stored(_grams_of(sample.filter(~F.coalesce(aside, F.lit(False))), order), "language-grams")
+    languages = sorted(r[0] for r in grams.select("lang").distinct().collect())
+    if not languages:
         return None
-    model = Model(sorted(counted), list(zip(*(c.to_pylist() for c in grams.columns))), order)
-    aside = score_texts(sample.filter("part < 0.2").select("doc_id", "text", "lang"), model, keep=("lang",)).filter("lang_pred = lang")
-    stats = {r[0]: r for r in aside.groupBy("lang").agg(F.avg("cross_entropy"), F.var_pop("cross_entropy"), F.avg("n_letters")).collect()}
-    other = (1.0 + np.log(model.alphabet)) / 2, 0.25, 200.0
-    rows = [tuple(stats[k])[1:] if k in stats else other for k in model.languages]
-    model.mean = np.array([r[0] for r in rows])
-    model.var = np.array([max(r[1], least_sd**2) for r in rows])
-    return model
-
-
-def score_texts(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), reject_sd: float = 8.0, memo: int = 300_000) -> DataFrame:
+    alphabet = grams.filter(F.char_length("gram") == 1).select("gram").distinct().count() + 1
+    models = []
+    for k in range(0, len(languages), group):
+        rows = grams.filter(F.col("lang").isin(languages[k : k + group])).toArrow()  # bounded: per_language texts of each
+        models.append(Model(languages[k : k + group], list(zip(*(c.to_pylist() for c in rows.columns))), order, alphabet))
+    found = Identifier(models)
+    own = score_texts(sample.filter(aside).select("doc_id", "text", "lang"), found, keep=("lang",)).filter("lang_pred = lang")
+    own = own.select("lang_pred", "cross_entropy", "n_letters").toPandas()  # a fifth of the sample, numbers alone
+    number = {g: k for k, g in enumerate(found.languages)}
+    found.calibrate(own["lang_pred"].map(number).to_numpy(np.int64), own["cross_entropy"].to_numpy(np.float64), own["n_letters"].to_numpy(np.float64), false_reject)
+    return found
+
+
+def score_texts(docs: DataFrame, model: Identifier | None, keep: tuple[str, ...] = ("doc_id",), memo: int = 300_000) -> DataFrame:
     """Columns ``keep`` and lang_pred, score (confidence, 0 to 1), cross_entropy (nats a letter), n_letters, accepted.
 
-    A text is accepted if its cross-entropy is within ``reject_sd`` deviations of what its language's texts have; deviations of short texts are
-    wider. Null texts, texts without a letter, and all texts if there is no model: ``und``, score 0, not accepted. Ties: the first by name.
+    A text is accepted if its cross-entropy is within the calibrated bound of what its language's texts have. Null texts, texts without a letter, and
+    all texts if there is no model: ``und``, score 0, not accepted. Ties: the first by name. Repeated rows stay, whole texts count however long, and
+    an empty table gives no rows. Columns of ``keep`` may not have the names of the new ones.
     """
     spark = docs.sparkSession
     arrow_rows(spark)
@@ -264,11 +313,11 @@ def score_texts(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("
                 best = cost.argmin(axis=1)
                 least = cost[np.arange(n), best]
                 sure = 1 / np.exp((least[:, None] - cost) * np.minimum(letters, CONFIDENT_CHARS)[:, None]).sum(axis=1)
-                bound = model.mean[best] + reject_sd * np.sqrt(model.var[best] * (1 + 100 / np.maximum(letters, 1)))
+                far = model.deviations(best, least, letters)
                 known = letters > 0
                 new = [
                     pa.array([model.languages[b] if k else UNKNOWN for b, k in zip(best, known)], pa.string()), pa.array(np.where(known, sure, 0.0)),
-                    pa.array(least, mask=~known), pa.array(letters.astype(np.int64)), pa.array(known & (least <= bound)),
+                    pa.array(least, mask=~known), pa.array(letters.astype(np.int64)), pa.array(known & (far <= model.bound)),
                 ]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *new], names)
 

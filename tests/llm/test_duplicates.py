@@ -1,13 +1,16 @@
+import gc
 import hashlib
 import random
 import re
+import weakref
 
 import numpy as np
 import pytest
 import xxhash
 
 import corpus_pipeline
-from tidemark.llm import suffix_dedup
+import pyspark.sql.functions as F
+from tidemark.llm import decontamination, suffix_dedup
 from tidemark.llm.components import components
 from tidemark.llm.decontamination import find_contamination, is_contaminated, remove_contaminated
 from tidemark.llm.simhash import GrayIndex, gray_rank, keep_one, links, near_duplicates
@@ -59,6 +62,55 @@ def test_longest_match_goes_beyond_a_window(spark):
     assert found[1].longest == 40 and [tuple(s) for s in found[1].spans] == [(1, 41)] and found[2].n_hit == 0
 
 
+def test_longest_match_against_brute_force():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        items = [" ".join(f"w{x}" for x in rng.integers(0, 3, rng.integers(1, 40))) for _ in range(5)]
+        text = " ".join(f"W{x}" for x in rng.integers(0, 3, 80))
+        index = decontamination.BenchmarkBlock([(str(k), t) for k, t in enumerate(items)], 4)
+        raw = np.frombuffer(text.encode(), np.uint8)
+        _, _, start, size, longest, _ = index.search(raw, np.array([0, len(raw)]))
+        own, lists = words(text), [words(t) for t in items]
+        for a, n, found in zip(start.tolist(), size.tolist(), longest.tolist()):
+            reach = 0
+            for w in lists:
+                for b in range(len(w) - n + 1 if min(4, len(w)) == n else 0):
+                    same = next((k for k, (x, y) in enumerate(zip(own[a:], w[b:])) if x != y), min(len(own) - a, len(w) - b))
+                    reach = max(reach, same if same >= n else 0)
+            assert found == reach
+
+
+def test_a_window_of_very_many_items_and_documents(spark):
+    """The window is in each of 3,000 items and documents; what a task works on grows with their sum, not with their product."""
+    line = " ".join(f"w{k}" for k in range(13))
+    items = spark.createDataFrame([(k, f"{line} tail{k} more{k}") for k in range(3000)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"start{k} {line} tail{k} other") for k in range(3000)], "doc_id long, text string").repartition(4)
+    for block_words in (500_000, 30_000):
+        found = find_contamination(docs, items, block_words=block_words, out="c", keep=["doc_id"]).select("c.n_hit", "c.longest", F.size("c.items").alias("n")).distinct().collect()
+        assert [tuple(r) for r in found] == [(14, 14, 3000)]
+
+
+def test_blocks_are_held_one_at_a_time(spark, docs, monkeypatch):
+    alive = []
+    made = decontamination.BenchmarkBlock.__init__
+
+    def counted(self, *args):
+        made(self, *args)
+        alive.append(weakref.ref(self))
+        gc.collect()
+        assert sum(r() is not None for r in alive) <= 4
+
+    monkeypatch.setattr(decontamination.BenchmarkBlock, "__init__", counted)
+    benchmark = spark.createDataFrame([(k, " ".join(f"q{k}x{j}" for j in range(20))) for k in range(12)], "item_id long, text string")
+    some = docs.limit(20).cache()
+    assert find_contamination(some, benchmark, block_words=20, out="c").filter("c.n_hit > 0 OR c.n_words IS NULL").count() == 0 and len(alive) == 12
+
+
+def test_words_of_equal_hash_are_told_apart_by_their_bytes():
+    a, b = (decontamination.Words(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in (b"One two three", b"one Two thre two"))
+    assert decontamination.same_bytes(a, np.array([0, 1, 2, 1]), b, np.array([0, 1, 2, 3])).tolist() == [True, True, False, True]
+
+
 def test_contaminated_documents_go_and_columns_stay(spark, odd, nothing):
     benchmark = spark.createDataFrame([(1, "the cat sat on the mat and the dog ran to the hill")], "item_id long, text string")
     left = remove_contaminated(odd, benchmark)

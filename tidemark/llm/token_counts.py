@@ -9,13 +9,13 @@ from __future__ import annotations
 
 import os
 import re
-import secrets
 from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +24,8 @@ from tidemark.llm.common import arrow_rows, stored, text_bytes
 _DOUBLE = re.compile(r"\s\s")
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
 _LOADED: dict = {}
+#: Bits of a pre-token's place in its chunk; a chunk's name and they are one number.
+_PLACE_BITS = 24
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -79,7 +81,7 @@ def _unpacked(blob: bytes) -> list[np.ndarray]:
 def _chunks(docs: DataFrame, whole: bool, chunk_bytes: int) -> DataFrame:
     """A row for each chunk: ids and sizes of its documents, its distinct pre-tokens, and how many each document has, their numbers and frequencies."""
 
-    def chunk(held: list) -> pa.RecordBatch:
+    def chunk(name: int, held: list) -> pa.RecordBatch:
         number: dict[str, int] = {}
         many, numbers, frequencies = array("i"), array("i"), array("i")
         for _, _, text in held:
@@ -89,27 +91,30 @@ def _chunks(docs: DataFrame, whole: bool, chunk_bytes: int) -> DataFrame:
             numbers.extend([number.setdefault(piece, len(number)) for piece in own])
             frequencies.extend(own.values())
         long_lists = [pa.array([[row[k] for row in held]], pa.list_(pa.int64())) for k in (0, 1)]
-        own = _packed(*(np.frombuffer(x, np.int32) for x in (many, numbers, frequencies)))
-        columns = [pa.array([secrets.randbits(62)]), *long_lists, pa.array([list(number)], pa.list_(pa.string())), pa.array([own], pa.binary())]
+        many, numbers, frequencies = (np.frombuffer(x, np.int32) for x in (many, numbers, frequencies))
+        # ascending in each document, as steps: small numbers take little room
+        order = np.lexsort((numbers, np.repeat(np.arange(len(many)), many)))
+        own = _packed(many, np.diff(numbers[order], prepend=0), frequencies[order])
+        columns = [pa.array([name]), *long_lists, pa.array([list(number)], pa.list_(pa.string())), pa.array([own], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["chunk", "doc_id", "n_bytes", "pieces", "own"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, name = [], 0, TaskContext.get().partitionId() << 20
         for batch in batches:
             sizes = np.diff(text_bytes(batch.column(1))[1]).tolist()
             for row in zip(batch.column(0).to_pylist(), sizes, batch.column(1).to_pylist()):
                 held.append(row)
                 size += row[1]
                 if size >= chunk_bytes:
-                    yield chunk(held)
-                    held, size = [], 0
+                    yield chunk(name, held)
+                    held, size, name = [], 0, name + 1
         if held:
-            yield chunk(held)
+            yield chunk(name, held)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _CHUNK)
 
 
-def _counts(chunks: DataFrame, tokenizer: str, most: int = 2_000_000) -> DataFrame:
+def _counts(chunks: DataFrame, tokenizer: str, most: int = 1_000_000) -> DataFrame:
     """chunk, counts: for a part of a chunk's pre-tokens their places and numbers of tokens. Each distinct pre-token is counted once."""
 
     def by_chunk(held: list[tuple]) -> pa.RecordBatch:
@@ -130,7 +135,8 @@ def _counts(chunks: DataFrame, tokenizer: str, most: int = 2_000_000) -> DataFra
             known = last | dict(zip(new, _counter(tokenizer)(new) if new else []))
             last = {pieces[-1]: known[pieces[-1]]}  # rows are sorted: only the last pre-token can go on
             n = np.array([known[p] for p in pieces], np.int64)[distinct.indices.to_numpy()]
-            held.append((batch.column(1).to_numpy(), batch.column(2).to_numpy(), n))
+            at = batch.column(1).to_numpy()
+            held.append((at >> _PLACE_BITS, at & ((1 << _PLACE_BITS) - 1), n))
             size += batch.num_rows
             if size >= most:
                 yield by_chunk(held)
@@ -138,7 +144,7 @@ def _counts(chunks: DataFrame, tokenizer: str, most: int = 2_000_000) -> DataFra
         if held:
             yield by_chunk(held)
 
-    places = chunks.select(F.posexplode("pieces").alias("place", "piece"), "chunk").select("piece", "chunk", "place")
+    places = chunks.select(F.posexplode("pieces").alias("place", "piece"), "chunk").select("piece", (F.shiftleft("chunk", _PLACE_BITS) + F.col("place")).alias("at"))
     return places.repartition("piece").sortWithinPartitions("piece").mapInArrow(run, "chunk long, counts binary")
 
 
@@ -151,7 +157,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, chunk_bytes:
     An empty table gives no rows.
     """
     arrow_rows(docs.sparkSession)
-    chunks = stored(_chunks(docs, tokenizer.endswith(".model"), chunk_bytes), "token-chunks")
+    chunks = stored(_chunks(docs, tokenizer.endswith(".model"), chunk_bytes), "token-chunks", "zstd")
     counts = _counts(chunks, tokenizer).groupBy("chunk").agg(F.collect_list("counts").alias("counts"))
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +169,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, chunk_bytes:
                 for blob in batch.column(4)[row].as_py() or []:
                     place, n = _unpacked(blob)
                     each[place] = n
-                sums = np.concatenate([[0], np.cumsum(each[numbers] * frequencies)])
+                sums = np.concatenate([[0], np.cumsum(each[np.cumsum(numbers)] * frequencies)])
                 ends = np.concatenate([[0], np.cumsum(many.astype(np.int64))])
                 yield pa.RecordBatch.from_arrays([doc_id, n_bytes, pa.array(sums[ends[1:]] - sums[ends[:-1]], pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from tidemark.functions.tails import fisher_two_sided
+from tidemark.functions.tails import fisher_two_sided, student_tail
 from tidemark.operators import association, mlprep, population, runlog
 from tidemark.sources import files
 from tidemark.sources.views import load_view
@@ -44,6 +44,36 @@ def test_fisher():
         assert math.isclose(fisher_two_sided(a, b, c, d), exact, rel_tol=1e-6)
 
 
+def test_fisher_of_large_tables():
+    # 4 million rows: the sum over all tables, term by term in logarithms
+    a, b, c, d = 500_100, 499_900, 1_500_000, 1_500_000
+    row, col, n = a + b, a + c, a + b + c + d
+    log = lambda k: math.lgamma(k + 1)
+    p = lambda x: math.exp(log(row) + log(n - row) + log(col) + log(n - col) - log(n) - log(x) - log(row - x) - log(col - x) - log(n - row - col + x))
+    exact = math.fsum(v for x in range(a - 6000, a + 6000) if (v := p(x)) <= p(a) * (1 + 1e-7))
+    assert math.isclose(fisher_two_sided(a, b, c, d), exact, rel_tol=1e-6)
+
+
+@pytest.mark.parametrize("df", [1, 2, 3, 4, 7, 10, 199, 200, 201, 5000])
+def test_student_against_its_finite_sums(df):
+    for t in (0.0, 0.1, 1.0, 2.5, 6.0):
+        angle = math.atan(t / math.sqrt(df))
+        s, c = math.sin(angle), math.cos(angle)
+        if df % 2:
+            terms, term = [], c
+            for k in range(1, df - 1, 2):
+                terms.append(term)
+                term *= c * c * (k + 1) / (k + 2)
+            inside = 2 / math.pi * (angle + s * math.fsum(terms))
+        else:
+            terms, term = [], 1.0
+            for k in range(2, df + 1, 2):
+                terms.append(term)
+                term *= c * c * (k - 1) / k
+            inside = s * math.fsum(terms)
+        assert math.isclose(student_tail(t, df), 1 - inside, rel_tol=1e-6, abs_tol=1e-12)
+
+
 def test_rules_against_brute_force(features):
     import itertools
 

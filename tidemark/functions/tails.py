@@ -37,22 +37,35 @@ def kolmogorov_tail(x: pd.Series) -> pd.Series:
 
 
 def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:
-    """Sum of the probabilities of all two-by-two tables with these margins that are no likelier than this one."""
+    """Sum of the probabilities of all two-by-two tables with these margins that are no likelier than this one.
+
+    Probabilities rise to the mode and fall after it: the last table of each tail is found by bisection, and a tail is summed from there until what
+    is left is nothing, so the steps grow with the deviation and not with the counts.
+    """
     row, col, n = a + b, a + c, a + b + c + d
     log = lambda k: math.lgamma(k + 1)
     fixed = log(row) + log(n - row) + log(col) + log(n - col) - log(n)
     p = lambda x: fixed - log(x) - log(row - x) - log(col - x) - log(n - row - col + x)
-    own, total = p(a), 0.0
-    mode = (row + 1) * (col + 1) // (n + 2)
-    for start, step in ((mode, 1), (mode - 1, -1)):
-        x = start
-        while max(0, row + col - n) <= x <= min(row, col):
-            v = p(x)
-            if v <= own + 1e-7:
+    least, most = max(0, row + col - n), min(row, col)
+    bound, mode = p(a) + 1e-7, min(max((row + 1) * (col + 1) // (n + 2), least), most)
+
+    def bisected(low: int, high: int, rising: bool) -> int:
+        """The place nearest to the mode that is within the bound."""
+        while low < high:
+            middle = (low + high + rising) // 2
+            if (p(middle) <= bound) == rising:
+                low = middle if rising else middle + 1
+            else:
+                high = middle - 1 if rising else middle
+        return low
+
+    total = 0.0
+    for low, high, step in ((least, mode, -1), (mode + 1, most, 1)):
+        if low <= high and p(low if step < 0 else high) <= bound:
+            x = bisected(low, high, step < 0)
+            while least <= x <= most and (v := p(x)) > bound - 60:
                 total += math.exp(v)
-                if v < own - 60:
-                    break
-            x += step
+                x += step
     return min(1.0, total)
 
 
@@ -61,9 +74,36 @@ def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Serie
     return pd.Series([fisher_two_sided(*map(int, t)) for t in zip(a, b, c, d)], dtype=float)
 
 
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    """The continued fraction of the incomplete beta function, by modified Lentz steps."""
+    tiny = 1e-300
+    c, d = 1.0, 1.0 / max(1.0 - (a + b) * x / (a + 1), tiny)
+    out = d
+    for m in range(1, 10_000):
+        before = out
+        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1.0 + top * d, 1.0 + top / c
+            d, c = 1.0 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
+            out *= d * c
+        if abs(out - before) < 1e-15 * abs(out):
+            break
+    return out
+
+
+def student_tail(t: float, df: float) -> float:
+    """Two-sided tail of Student's t: the incomplete beta function of df / (df + t * t) with df / 2 and 1 / 2."""
+    x, a, b = df / (df + t * t), df / 2, 0.5
+    if t == 0:
+        return 1.0
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) - a * math.log1p(t * t / df) + b * math.log(t * t / (df + t * t)))
+    if x < (a + 1) / (a + b + 2):
+        return front * _beta_fraction(a, b, x) / a
+    return 1.0 - front * _beta_fraction(b, a, 1 - x) / b
+
+
 @F.pandas_udf(DoubleType())
 def student_two_sided(r: pd.Series, n: pd.Series) -> pd.Series:
-    """p of a correlation r over n pairs, by Student's t with n - 2 degrees of freedom (normal beyond 200)."""
+    """p of a correlation r over n pairs, by Student's t with n - 2 degrees of freedom."""
 
     def tail(r: float, n: float) -> float:
         df = n - 2
@@ -71,22 +111,6 @@ def student_two_sided(r: pd.Series, n: pd.Series) -> pd.Series:
             return 1.0
         if abs(r) >= 1:
             return 0.0
-        t = abs(r) * math.sqrt(df / (1 - r * r))
-        if df > 200:
-            return math.erfc(t / math.sqrt(2))
-        # finite sums over the angle, for whole degrees of freedom
-        angle = math.atan(t / math.sqrt(df))
-        s, c = math.sin(angle), math.cos(angle)
-        if df % 2:
-            term, total = c, c if df > 1 else 0.0
-            for k in range(3, int(df) - 1, 2):
-                term *= c * c * (k - 1) / k
-                total += term
-            return 1 - 2 / math.pi * (angle + s * total)
-        term, total = 1.0, 1.0
-        for k in range(2, int(df) - 1, 2):
-            term *= c * c * (k - 1) / k
-            total += term
-        return 1 - s * total
+        return student_tail(abs(r) * math.sqrt(df / (1 - r * r)), df)
 
     return pd.Series([tail(a, b) for a, b in zip(r, n)], dtype=float)

@@ -75,6 +75,11 @@ def columns_by_suffix(df: DataFrame, suffixes: tuple[str, ...] = ("_gs_entry", "
     return [c for c in df.columns if c.endswith(suffixes)]
 
 
+def without_metadata(df: DataFrame, metadata: tuple[str, ...] = ("symbol", "bar_ts", "bar_idx", "open", "high", "low", "close", "volume", "signal", "signal_pct_change", "period_id", "tradeable")) -> DataFrame:
+    """The feature columns alone: what names a row, its prices and its labels go (those that are there)."""
+    return df.drop(*metadata)
+
+
 def mode_of(df: DataFrame) -> str:
     """binary if signal columns outnumber other indicator columns (raw)."""
     signals = len(columns_by_suffix(df))

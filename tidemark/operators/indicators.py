@@ -43,20 +43,21 @@ class Indicator:
 REGISTRY: dict[str, Indicator] = {}
 
 
-def _level(s: Series, x: str) -> str:
-    """A side of a crossing; differences below 1e-9, which the order of additions makes, are none."""
-    return s.put(f"round(CAST({x} AS DOUBLE), 9)")
+def _side(s: Series, a: str, b: str) -> str:
+    """1, 0 or -1 as a is above, at or below b; differences below 1e-9 of the price (of one, for higher prices), which the order of additions makes, are none."""
+    gap = f"(CAST({a} AS DOUBLE) - CAST({b} AS DOUBLE))"
+    return s.put(f"CASE WHEN abs({gap}) <= 1e-9 * least(1.0, abs(close)) THEN 0 WHEN {gap} > 0 THEN 1 WHEN {gap} < 0 THEN -1 END")
 
 
 def crossed_above(s: Series, a: str, b: str) -> str:
     """a > b now and a <= b on the bar before; false where unknown, so on a symbol's first bar."""
-    x, y = _level(s, a), _level(s, b)
-    return f"coalesce({x} > {y} AND lag({x}) {s.window()} <= lag({y}) {s.window()}, false)"
+    side = _side(s, a, b)
+    return f"coalesce({side} > 0 AND lag({side}) {s.window()} <= 0, false)"
 
 
 def crossed_below(s: Series, a: str, b: str) -> str:
-    x, y = _level(s, a), _level(s, b)
-    return f"coalesce({x} < {y} AND lag({x}) {s.window()} >= lag({y}) {s.window()}, false)"
+    side = _side(s, a, b)
+    return f"coalesce({side} < 0 AND lag({side}) {s.window()} >= 0, false)"
 
 
 COMPARISONS = {"lt": "<", "gt": ">", "lte": "<=", "gte": ">="}
@@ -138,7 +139,7 @@ def _macd(s: Series, fast: str, slow: str, signal: Callable) -> list[str]:
 @indicator("momentum", "macd macdsignal macdhist", fastperiod=(12, 5, 20), slowperiod=(26, 15, 40), signalperiod=(9, 5, 15), **PAIR)
 def macd(s: Series, fastperiod: int, slowperiod: int, signalperiod: int) -> list[str]:
     fast, slow = min(fastperiod, slowperiod), max(fastperiod, slowperiod)
-    return _macd(s, s.ema("close", fast, seed_at=slow), s.ema("close", slow), lambda x: s.ema(x, signalperiod))
+    return _macd(s, *s.emas_of([("close", fast, None, slow), ("close", slow, None, None)]), lambda x: s.ema(x, signalperiod))
 
 
 @indicator("momentum", "macd macdsignal macdhist", fastperiod=(12, 5, 20), fastmatype=(0, 0, 8), slowperiod=(26, 15, 40), slowmatype=(0, 0, 8), signalperiod=(9, 5, 15), signalmatype=(0, 0, 8), **PAIR)
@@ -148,7 +149,7 @@ def macdext(s: Series, fastperiod: int, slowperiod: int, signalperiod: int, fast
 
 @indicator("momentum", "macd macdsignal macdhist", signalperiod=(9, 5, 15), **PAIR)
 def macdfix(s: Series, signalperiod: int) -> list[str]:
-    return _macd(s, s.ema("close", 12, alpha=0.15, seed_at=26), s.ema("close", 26, alpha=0.075), lambda x: s.ema(x, signalperiod))
+    return _macd(s, *s.emas_of([("close", 12, 0.15, 26), ("close", 26, 0.075, None)]), lambda x: s.ema(x, signalperiod))
 
 
 def _position(s: Series, x: str, high: str, low: str, n: int) -> str:
@@ -359,11 +360,7 @@ def aroonosc(s: Series, timeperiod: int) -> list[str]:
 
 def _chain(s: Series, x: str, n: int, times: int) -> list[str]:
     """Averages of averages, each begun with the first n values of the one before."""
-    out = []
-    for _ in range(times):
-        x = s.ema(x, n)
-        out.append(x)
-    return out
+    return s.cascade(x, n, times)
 
 
 @indicator("overlap", "sma_fast sma_slow", fast_period=(9, 3, 50), slow_period=(21, 10, 200), **PAIR)
@@ -373,7 +370,7 @@ def sma(s: Series, fast_period: int, slow_period: int) -> list[str]:
 
 @indicator("overlap", "ema_fast ema_slow", fast_period=(9, 3, 50), slow_period=(21, 10, 200), **PAIR)
 def ema(s: Series, fast_period: int, slow_period: int) -> list[str]:
-    return [s.ema("close", fast_period), s.ema("close", slow_period)]
+    return s.emas_of([("close", fast_period, None, None), ("close", slow_period, None, None)])
 
 
 def _dema(s: Series, x: str, n: int) -> str:
@@ -500,7 +497,7 @@ def ad(s: Series, sma_period: int) -> list[str]:
 @indicator("volume", "adosc", fastperiod=(3, 2, 10), slowperiod=(10, 5, 20), **ZERO)
 def adosc(s: Series, fastperiod: int, slowperiod: int) -> list[str]:
     x = _accumulation(s)
-    fast, slow = (s.ema(x, 1, alpha=2.0 / (n + 1)) for n in (fastperiod, slowperiod))
+    fast, slow = s.emas_of([(x, 1, 2.0 / (n + 1), None) for n in (fastperiod, slowperiod)])
     return [s.put(f"CASE WHEN bar_idx >= {max(fastperiod, slowperiod) - 1} THEN {fast} - {slow} END")]
 
 

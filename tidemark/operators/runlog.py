@@ -121,10 +121,10 @@ def elite(log: DataFrame, percent: float = 10.0) -> DataFrame:
 
 
 def elite_tests(log: DataFrame, percent: float = 10.0) -> DataFrame:
-    """name, cohens_d, ks, ks_p, u, u_p, influence, rank: each parameter of the elite against the rest.
+    """name, cohens_d, ks, ks_p, u, u_p, influence, low, high, rank, effect: each parameter of the elite against the rest.
 
-    d: pooled sample deviation, 0 if there is none. D is exact and its p asymptotic. U is the elite's, with ties and continuity corrected. All come from
-    counts by distinct value, so nothing larger than these is put in order.
+    d: pooled sample deviation, 0 if there is none. D is exact and its p asymptotic. U is the elite's, with ties and continuity corrected. low and high: the elite's 5th and
+    95th percentiles, linear between ranks. All come from counts by distinct value, so nothing larger than these is put in order.
     """
     rows = _long(with_top(valid(log), percent), parameters_of(log), "top")
     t, value = F.col("top"), F.col("value")
@@ -135,7 +135,13 @@ def elite_tests(log: DataFrame, percent: float = 10.0) -> DataFrame:
     c = F.col("c1") + F.col("c0")
     rank = F.col("f1") + F.col("f0") - c + (c + 1) / 2.0
     gap = F.abs(F.try_divide(F.col("f1"), F.col("n1")) - F.try_divide(F.col("f0"), F.col("n0")))
-    sums = counts.groupBy("name").agg(F.max(gap).alias("ks"), F.sum(F.col("c1") * rank).alias("ranks"), F.sum(c.cast("double") * c * c - c).alias("ties"))
+
+    def at(q: float, up: bool) -> Column:
+        place = (F.col("n1") - 1) * q
+        return F.min(F.when(F.col("f1") > (F.ceil(place) if up else F.floor(place)), F.col("value")))
+
+    ranges = [at(q, up).alias(f"{k}{int(up)}") for k, q in (("low", 0.05), ("high", 0.95)) for up in (False, True)]
+    sums = counts.groupBy("name").agg(*ranges, F.max(gap).alias("ks"), F.sum(F.col("c1") * rank).alias("ranks"), F.sum(c.cast("double") * c * c - c).alias("ties"))
     n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
     n = n1 + n0
     pooled = F.sqrt(((n1 - 1) * F.coalesce("v1", F.lit(0.0)) + (n0 - 1) * F.coalesce("v0", F.lit(0.0))) / F.nullif(n - 2, F.lit(0.0)))
@@ -145,13 +151,32 @@ def elite_tests(log: DataFrame, percent: float = 10.0) -> DataFrame:
     z = F.greatest(F.abs(F.col("u") - n1 * n0 / 2) - 0.5, F.lit(0.0)) / F.nullif(spread, F.lit(0.0))
     df = df.withColumn("u_p", F.coalesce(normal_two_sided(z), F.lit(1.0))).withColumn("ks_p", F.coalesce(kolmogorov_tail(F.col("ks") * F.sqrt(n1 * n0 / F.nullif(n, F.lit(0.0)))), F.lit(1.0)))
     influence = 0.4 * F.least(F.abs("cohens_d"), F.lit(2.0)) / 2 + 0.3 * F.col("ks") + 0.3 * (1 - F.least("ks_p", "u_p"))
-    df = df.select("name", "cohens_d", "ks", "ks_p", "u", "u_p", influence.alias("influence"))
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("influence"), "name"))).withColumn("effect", describe(F.col("cohens_d"), F.col("ks")))  # a row for each parameter
+    between = lambda k, q: (F.col(f"{k}0") + (F.col(f"{k}1") - F.col(f"{k}0")) * (((F.col("n1") - 1) * q) % 1)).alias(k)
+    df = df.select("name", "cohens_d", "ks", "ks_p", "u", "u_p", influence.alias("influence"), between("low", 0.05), between("high", 0.95))
+    df = df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("influence"), "name")))  # a row for each parameter
+    return df.withColumn("effect", describe(*map(F.col, ("cohens_d", "ks", "ks_p", "low", "high"))))
+
+
+#: The words for the least size of an effect, for the p below which and the D above which a difference counts.
+EFFECTS = ((0.8, "very large"), (0.5, "medium"), (0.2, "small"))
+SIGNIFICANCE = ((0.01, "highly significant (p<0.01)"), (0.05, "significant (p<0.05)"))
+DIFFERENCES = ((0.3, "distinct distribution"), (0.15, "moderate distribution shift"))
+
+
+def describe(d: Column, ks: Column, ks_p: Column, low: Column, high: Column) -> Column:
+    """Size and direction of the effect, significance, difference of distributions (none if small) and the elite's range, in words."""
 
+    def choice(cases, otherwise: str | None) -> Column:
+        out = F.lit(otherwise)
+        for condition, word in reversed(cases):
+            out = F.when(condition, word).otherwise(out)
+        return out
 
-def describe(d: Column, ks: Column) -> Column:
-    size = F.when(F.abs(d) >= 0.8, "large").when(F.abs(d) >= 0.5, "medium").when(F.abs(d) >= 0.2, "small").otherwise("negligible")
-    return F.concat_ws(", ", F.concat(size, F.lit(" effect")), F.when(ks >= 0.3, "different distribution").when(ks >= 0.15, "shifted distribution").otherwise("similar distribution"))
+    size = choice([(F.abs(d) >= least, word) for least, word in EFFECTS], "negligible")
+    side = F.when(d > 0, "higher").otherwise("lower")
+    sure = choice([(ks_p < most, word) for most, word in SIGNIFICANCE], "not significant")
+    apart = choice([(ks > above, word) for above, word in DIFFERENCES], None)
+    return F.concat_ws("; ", F.concat(size, F.lit(" effect ("), side, F.lit(" in elites)")), sure, apart, F.format_string("elite range: [%.4f, %.4f]", low, high))
 
 
 def suggestions(importance: DataFrame) -> DataFrame:

@@ -61,12 +61,25 @@ class Series:
         return self.emas([x], n, alpha, seed_at)[0]
 
     def emas(self, xs: list[str], n: int, alpha: float | None = None, seed_at: int | None = None) -> list[str]:
-        alpha, at, pairs = 2.0 / (n + 1) if alpha is None else alpha, seed_at or n, []
-        for x in xs:
+        return self.emas_of([(x, n, alpha, seed_at) for x in xs])
+
+    def emas_of(self, items: list[tuple[str, int, float | None, int | None]]) -> list[str]:
+        """The averages of several (x, n, alpha, seed_at) in one pass over the bars."""
+        pairs = []
+        for x, n, alpha, seed_at in items:
+            alpha, at = 2.0 / (n + 1) if alpha is None else alpha, seed_at or n
             k, first = self.total(f"count({x})"), self.put(f"avg({x}) {self.frame(n)}")
             pairs.append((f"CASE WHEN {k} = {at} THEN 0.0 WHEN {k} > {at} THEN {1.0 - alpha!r} END", f"CASE WHEN {k} = {at} THEN {first} WHEN {k} > {at} THEN {alpha!r} * {x} END"))
         return self.affine_all(pairs)
 
+    def cascade(self, x: str, n: int, times: int) -> list[str]:
+        """An average, the average of that, and so on: each begins with the mean of the first n values of the one before."""
+        out = []
+        for _ in range(times):
+            x = self.ema(x, n)
+            out.append(x)
+        return out
+
     def wilder_sums(self, xs: list[str], n: int) -> list[str]:
         """y = y - y / n + x, from the sum of the first n - 1 values on."""
         pairs = []
@@ -94,6 +107,11 @@ class SparkSeries(Series):
         self.df = scan(self.df, rows, self.keys)
         return [out for _, _, out in rows]
 
+    def cascade(self, x: str, n: int, times: int) -> list[str]:
+        x, outs = self.put(f"CAST({x} AS DOUBLE)"), [self.name() for _ in range(times)]
+        self.df = cascade(self.df, x, n, outs, self.keys)
+        return outs
+
 
 class SqlSeries(Series):
     """The steps as common table expressions; ``source`` is a subquery with bar_idx."""
@@ -124,6 +142,35 @@ class SqlSeries(Series):
         return f"WITH RECURSIVE {', '.join(self.parts)} SELECT {select} FROM v{len(self.parts) - 1}"
 
 
+def cascade(df: DataFrame, x: str, n: int, outs: list[str], keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Columns ``outs``: exponential averages of x, of the first average, and so on, all in one pass over each key's bars in order.
+
+    A level is null until it has met n values; only each level's count and value are held.
+    """
+    ordered = df.repartition(*keys).sortWithinPartitions(*keys, "bar_idx")
+    at, alpha = {c: k for k, c in enumerate(ordered.columns)}, 2.0 / (n + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, []
+        for batch in batches:
+            columns: list[list] = [[] for _ in outs]
+            for *key, value in zip(*(batch.column(at[c]).to_pylist() for c in (*keys, x))):
+                if key != last:
+                    last, state = key, [[0, 0.0] for _ in outs]
+                for level, out in zip(state, columns):
+                    if value is not None:
+                        level[0] += 1
+                        if level[0] > n:
+                            level[1] = (1.0 - alpha) * level[1] + alpha * value
+                        else:
+                            level[1] += value / n
+                    value = level[1] if value is not None and level[0] >= n else None
+                    out.append(value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.float64()) for c in columns)], [*batch.schema.names, *outs])
+
+    return ordered.mapInArrow(run, StructType([*ordered.schema.fields, *(StructField(c, DoubleType()) for c in outs)]))
+
+
 def scan(df: DataFrame, pairs: list[tuple[str, str, str]], keys: tuple[str, ...] = ("symbol",), block: int | None = None) -> DataFrame:
     """For each (a, b, out) a column ``out``: y = a * y(previous bar) + b along each key's bars; null where b is null. The first b has a = 0.
 

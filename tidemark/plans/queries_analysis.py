@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import population, runlog
 from tidemark.sources import files
+from tidemark.plans.common import sql_erfc, sql_student
 from tidemark.sources.views import sql_view
 
 L, TEXT = sql_view("opt_log"), sql_view("bt_text")
@@ -51,7 +52,8 @@ def add_to(register) -> None:
     keys = ("run_id", "iteration", "individual_idx", "fitness")
     register("log1_top", log, lambda d: runlog.with_top(runlog.valid(d)).filter("top").select(*keys), f"SELECT {', '.join(keys)} FROM ({TOP}) WHERE top /*round: fitness*/ /*count: iteration, individual_idx*/")
     register("log2_3_importance", log, lambda d: runlog.feature_importance(d).select("name", "r", "abs_r", "frequency"), f"SELECT * FROM ({IMPORTANCE}) /*round: r, abs_r, frequency*/")
-    register("log2_p_values", log, runlog.feature_importance)
+    columns = [c for c in ("name", "r", "abs_r", "frequency")]
+    register("log2_p_values", log, lambda d: runlog.feature_importance(d).select(*columns, "p"), f"SELECT {', '.join(columns)}, {sql_student('r', 'n')} AS p FROM (SELECT * FROM ({IMPORTANCE}), (SELECT count(*) AS n FROM ({V}))) /*round: r, abs_r, frequency, p*/")
     pairs = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, sum({a} * {b})::DOUBLE / sqrt((CASE WHEN sum({a}) = 0 THEN 1 ELSE sum({a}) END * CASE WHEN sum({b}) = 0 THEN 1 ELSE sum({b}) END)::DOUBLE) AS cosine FROM ({V})" for a in FEATS for b in FEATS if a < b)
     register("log4_cosine", log, runlog.feature_cosine, f"SELECT * FROM ({pairs}) /*round: cosine*/")
     ranked = f"SELECT name, rank() OVER (PARTITION BY name ORDER BY value) + (count(*) OVER (PARTITION BY name, value) - 1) / 2.0 AS a, rank() OVER (PARTITION BY name ORDER BY -fitness) + (count(*) OVER (PARTITION BY name, fitness) - 1) / 2.0 AS b FROM ({LONG_P})"
@@ -66,7 +68,16 @@ def add_to(register) -> None:
     register("log11_stability", log, runlog.feature_stability, f"SELECT name, 1 - var_pop(rate) AS stability, avg(rate) AS mean_rate FROM (SELECT name, iteration, avg(value) AS rate FROM ({LONG_F}) GROUP BY name, iteration) GROUP BY name /*round: stability, mean_rate*/")
     register("log12_elite", log, runlog.elite, f"SELECT count(*) AS n, count(*) FILTER (top) AS n_elite, avg(CASE WHEN top THEN 1.0 ELSE 0.0 END) AS fraction, min(fitness) AS best, {', '.join(f'avg({f}) FILTER (top) AS {f}_rate' for f in FEATS)} FROM ({TOP}) /*round: fraction, best, {', '.join(f + '_rate' for f in FEATS)}*/")
     register("log13_15_tests", log, lambda d: runlog.elite_tests(d).select("name", "cohens_d", "ks", "u"), f"SELECT * FROM ({TESTS}) /*round: cohens_d, ks, u*/")
-    register("log16_influence", log, runlog.elite_tests)
+    quantiles = f"SELECT name, quantile_cont(CAST(value AS DOUBLE), 0.05) FILTER (top) AS low, quantile_cont(CAST(value AS DOUBLE), 0.95) FILTER (top) AS high FROM ({LONG_P}) GROUP BY name"
+    ties = f"SELECT name, sum(c * c * c - c) AS ties FROM (SELECT name, value, count(*)::DOUBLE AS c FROM ({LONG_P}) GROUP BY name, value) GROUP BY name"
+    sizes = f"SELECT name, count(*) FILTER (top)::DOUBLE AS n1, count(*) FILTER (NOT top)::DOUBLE AS n0 FROM ({LONG_P}) GROUP BY name"
+    deviation = "greatest(abs(u - n1 * n0 / 2) - 0.5, 0) / nullif(sqrt(n1 * n0 / 12 * ((n1 + n0 + 1) - ties / ((n1 + n0) * (n1 + n0 - 1)))), 0)"
+    tests = f"SELECT t.*, low, high, ks * sqrt(n1 * n0 / (n1 + n0)) AS x, {deviation} / sqrt(2) AS z FROM ({TESTS}) t JOIN ({sizes}) s ON t.name = s.name JOIN ({quantiles}) q ON t.name = q.name JOIN ({ties}) e ON t.name = e.name"
+    tails = f"SELECT *, CASE WHEN x < 0.2 THEN 1.0 ELSE least(1, greatest(0, 2 * list_sum(list_transform(range(1, 101), lambda k: pow(-1, k - 1) * exp(-2 * k * k * x * x))))) END AS ks_p, coalesce({sql_erfc('z')}, 1.0) AS u_p FROM ({tests})"
+    scores = f"SELECT *, 0.4 * least(abs(cohens_d), 2) / 2 + 0.3 * ks + 0.3 * (1 - least(ks_p, u_p)) AS influence FROM ({tails})"
+    words = """concat_ws('; ', CASE WHEN abs(cohens_d) >= 0.8 THEN 'very large' WHEN abs(cohens_d) >= 0.5 THEN 'medium' WHEN abs(cohens_d) >= 0.2 THEN 'small' ELSE 'negligible' END || ' effect (' || CASE WHEN cohens_d > 0 THEN 'higher' ELSE 'lower' END || ' in elites)',
+        CASE WHEN ks_p < 0.01 THEN 'highly significant (p<0.01)' WHEN ks_p < 0.05 THEN 'significant (p<0.05)' ELSE 'not significant' END, CASE WHEN ks > 0.3 THEN 'distinct distribution' WHEN ks > 0.15 THEN 'moderate distribution shift' END, printf('elite range: [%.4f, %.4f]', low, high))"""
+    register("log16_influence", log, runlog.elite_tests, f"SELECT name, cohens_d, ks, ks_p, u, u_p, influence, low, high, row_number() OVER (ORDER BY influence DESC, name) AS rank, {words} AS effect FROM ({scores}) /*round: cohens_d, ks, ks_p, u, u_p, influence, low, high*/ /*count: rank*/")
     suggest = f"SELECT name, abs_r, frequency, CASE WHEN abs_r > 0.1 AND frequency > 0.5 THEN 'keep' WHEN abs_r < 0.02 AND frequency < 0.2 THEN 'consider_removing' ELSE 'neutral' END AS suggestion FROM ({IMPORTANCE}) /*round: abs_r, frequency*/"
     register("log17_suggestions", log, lambda d: runlog.suggestions(runlog.feature_importance(d)), suggest)
     advice = f"""SELECT n, early, late, CASE WHEN n > 5 AND late > 0.1 * early THEN 150.0 ELSE 100.0 END AS iterations, CASE WHEN rate > 0.8 THEN least(0.2, 0.15) ELSE 0.1 END AS pf_max FROM (SELECT max(n) AS n, max(best) FILTER (i <= 5) - min(best) FILTER (i <= 5) AS early,

@@ -184,7 +184,9 @@ def add_to(register) -> None:
                 return parts
 
             register(f"presets_{category}_{lo // 12}", "bars", run_some, " UNION ALL ".join(preset_sql(n) for n in chosen).join(["SELECT * FROM (", ") /*count: entries, exits*/"]))
-    register("presets_sar", "bars", lambda bars: with_indicator(bars, "SAR", acceleration=0.03, maximum=0.3).groupBy("symbol").agg(F.sum(F.col("entry").cast("int")).alias("entries"), F.sum(F.col("exit").cast("int")).alias("exits")))
+    sides = [F.sum(F.col(c).cast("int")).alias(n) for c, n in (("entry", "entries"), ("exit", "exits"))]
+    for preset in ("SAR_loose", "SAR_standard", "SAR_tight"):
+        register(f"presets_{preset.lower()}", "bars", lambda bars, p=PRESETS[preset][1]: with_indicator(bars, "SAR", **p).groupBy("symbol").agg(*sides))
 
     # labels
     lab = ("symbol", "bar_ts", "bar_idx")
@@ -239,7 +241,9 @@ def add_to(register) -> None:
     register("mat3_alignment", "bars", lambda b: match.alignment(with_targets(b, "MOM")), f"SELECT * FROM ({near}) /*count: bar_idx*/")
     register("mat4_unmatched", "bars", lambda b: match.unmatched(with_targets(b, "MOM")), f"SELECT symbol, bar_idx, 'indicator' AS side FROM ({near}) WHERE indicator AND NOT matched UNION ALL SELECT symbol, bar_idx, 'target' FROM ({near}) WHERE target AND NOT indicator".join(["SELECT * FROM (", ") /*count: bar_idx*/"]))
     register("swp3_sweep", "bars", lambda b: match.sweep(labels.label_periods(b), *SWEEP).select("combo_id", "score", "best"), sweep_sql())
-    register("swp4_sensitivity", "bars", lambda b: match.sweep(labels.label_periods(b), "MOM", [{"timeperiod": n} for n in (5, 10, 20)]).select(F.element_at("params", "timeperiod").alias("value"), "score", "best"), "SELECT value, score, row_number() OVER (ORDER BY score DESC, value) = 1 AS best FROM (" + " UNION ALL ".join(f"SELECT {n}.0::DOUBLE AS value, CAST(sum(combined_score) AS BIGINT) AS score FROM ({score_sql(targets_sql('MOM', timeperiod=n))})" for n in (5, 10, 20)) + ")")
+    values = match.axis(*(lambda q: (q.low, q.high, q.whole))(REGISTRY["MOM"].params["timeperiod"]))
+    each = " UNION ALL ".join(f"SELECT {float(n)}::DOUBLE AS value, CAST(sum(combined_score) AS BIGINT) AS score FROM ({score_sql(targets_sql('MOM', timeperiod=n))})" for n in values)
+    register("swp4_sensitivity", "bars", lambda b: match.sensitivity(labels.label_periods(b), "MOM", "timeperiod"), f"SELECT value, score, row_number() OVER (ORDER BY score DESC, value) = 1 AS best FROM ({each})")
     register("swp5_profit_sweep", "bars", lambda b: match.profit_sweep(b, "MOM", [{"timeperiod": n} for n in (5, 10, 20)], "loss_sharpe").select("combo_id", "loss", "best"), "SELECT combo_id, loss, row_number() OVER (ORDER BY loss, combo_id) = 1 AS best FROM (" + " UNION ALL ".join(f"SELECT {k} AS combo_id, avg(loss_sharpe) AS loss FROM ({stats_sql(trades_sql(sql_indicator('MOM', timeperiod=n)))})".replace("/*round: " + STATS + "*/", "").replace("/*count: n_trades*/", "") for k, n in enumerate((5, 10, 20))) + ") /*round: loss*/ /*count: combo_id*/")
     register("swp6_best_params", "bars", lambda b: dataset.best_params({("SMA", "gs"): match.sweep(labels.label_periods(b), *SWEEP)}).select("indicator", "type", "score"), f"SELECT 'SMA' AS indicator, 'gs' AS type, score FROM ({sweep_sql().replace('/*count: combo_id*/', '')}) WHERE best /*round: score*/")
 
@@ -252,6 +256,7 @@ def add_to(register) -> None:
     tables = lambda b: dataset.build(labels.label_periods(b), chosen)
     shown = ("symbol", "bar_ts", "bar_idx", *names)
     register("ds1_binary", "bars", lambda b: tables(b).select(*shown), f"SELECT {', '.join(shown)} FROM ({wide}) /*count: {', '.join(['bar_idx', *names])}*/")
+    register("prd11_without_metadata", "bars", lambda b: dataset.without_metadata(tables(b)), f"SELECT {', '.join(names)} FROM ({wide}) /*count: {', '.join(names)}*/")
     register("ds1_raw", "bars", lambda b: dataset.build(b, {"SMA": {}, "WILLR": {}}, mode="raw").select("symbol", "bar_ts", "SMA_gs_sma_fast", "SMA_gs_sma_slow", "WILLR_gs_willr"), f"SELECT a.symbol, a.bar_ts, a.sma_fast AS SMA_gs_sma_fast, a.sma_slow AS SMA_gs_sma_slow, b.willr AS WILLR_gs_willr FROM ({parts['SMA']}) a JOIN ({parts['WILLR']}) b ON a.symbol = b.symbol AND a.bar_idx = b.bar_idx /*round: SMA_gs_sma_fast, SMA_gs_sma_slow, WILLR_gs_willr*/")
     lagged = ", ".join(f"lag({c}, 2) OVER (PARTITION BY symbol ORDER BY bar_ts) AS {c}" for c in names)
     register("ds2_shifted", "bars", lambda b: dataset.build(labels.label_periods(b), chosen, shift=2).select(*shown), f"SELECT * FROM (SELECT symbol, bar_ts, bar_idx, {lagged} FROM ({wide})) WHERE bar_idx >= 2 /*count: {', '.join(['bar_idx', *names])}*/")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import association, dataset, labels, mlprep
+from tidemark.plans.common import sql_student
 from tidemark.plans.queries_bars import labelled_sql
 from tidemark.sources.views import sql_view
 
@@ -97,8 +98,12 @@ def add_to(register) -> None:
     register("as1_chi_square", "features01", lambda f: association.chi_square(counts(f)).select(*base, "chi2"), f"SELECT feature, n, n1, sx, sxy, chi2 FROM ({NUMBERS}) /*round: chi2*/ {cast}")
     register("as2_mutual_information", "features01", lambda f: association.mutual_information(counts(f)).select(*base, "mi"), f"SELECT feature, n, n1, sx, sxy, mi FROM ({NUMBERS}) /*round: mi*/ {cast}", 9)
     register("as3_point_biserial", "features01", lambda f: association.point_biserial(counts(f)).select(*base, "r_pb"), f"SELECT feature, n, n1, sx, sxy, r_pb FROM ({NUMBERS}) /*round: r_pb*/ {cast}")
-    register("as3_p_value", "features01", lambda f: association.point_biserial(counts(f)).select("feature", "r_pb", "r_pb_p"))
-    register("as4_fisher", "features01", lambda f: association.fisher(counts(f)).select("feature", "odds_ratio", "fisher_p"))
+    register("as3_p_value", "features01", lambda f: association.point_biserial(counts(f)).select("feature", "r_pb", "r_pb_p"), f"SELECT feature, r_pb, {sql_student('r_pb', 'n')} AS r_pb_p FROM ({NUMBERS}) /*round: r_pb, r_pb_p*/")
+    choose = lambda n, k: f"(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - ({k}) + 1))"
+    chance = lambda x: f"({choose('row_', x)} + {choose('n - row_', f'col_ - ({x})')} - {choose('n', 'col_')})"
+    places = "range(CAST(greatest(0, row_ + col_ - n) AS BIGINT), CAST(least(row_, col_) + 1 AS BIGINT))"
+    exact = f"SELECT feature, odds_ratio, least(1.0, list_sum(list_transform(list_filter(list_transform({places}, lambda x: {chance('x')}), lambda v: v <= own + 1e-7), lambda v: exp(v)))) AS fisher_p FROM (SELECT *, {chance('a')} AS own FROM (SELECT feature, odds_ratio, a, a + b AS row_, a + c AS col_, a + b + c + d AS n FROM ({NUMBERS}) JOIN (SELECT feature AS f, a, b, c, d FROM ({CELLS})) ON feature = f)) /*round: odds_ratio, fisher_p*/"
+    register("as4_fisher", "features01", lambda f: association.fisher(counts(f)).select("feature", "odds_ratio", "fisher_p"), exact)
     register("as4_odds_ratio", "features01", lambda f: association.fisher(counts(f)).select(*base, "odds_ratio"), f"SELECT feature, n, n1, sx, sxy, odds_ratio FROM ({NUMBERS}) /*round: odds_ratio*/ {cast}")
     register("as5_lift", "features01", lambda f: association.lift(counts(f)).select(*base, "trade_support", "hold_support", "lift"), f"SELECT feature, n, n1, sx, sxy, trade_support, hold_support, lift FROM ({NUMBERS}) /*round: trade_support, hold_support, lift*/ {cast}")
     stats = lambda f: association.all_statistics(counts(f))

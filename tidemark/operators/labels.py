@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
 def _w():
     return Window.partitionBy("symbol").orderBy("bar_ts")
 
@@ -27,21 +31,36 @@ def best_exits(bars: DataFrame, period: int = 4, threshold: float = 1.0) -> Data
 def count_from_offsets(bars: DataFrame, period: int = 4, threshold: float = 1.0) -> DataFrame:
     """symbol, offset (0 to period), signals: hits met when a hit moves on by a period and a miss by one bar; whole periods only.
 
-    Which bars are hits is one bit for each bar; a symbol's bits are folded in order with a counter of the bars to pass over.
+    A symbol's bars pass through a task in order; each start holds the bars that it still has to pass over, and its hits.
     """
     df = best_exits(bars, period, threshold)
     n = F.count("*").over(Window.partitionBy("symbol"))
-    bits = df.withColumn("n_", n).select("symbol", "bar_idx", "n_", (F.col("best_pct").isNotNull() & (F.col("bar_idx") + period <= F.col("n_"))).cast("int").alias("hit_"))
-    rows = bits.groupBy("symbol").agg(F.transform(F.sort_array(F.collect_list(F.struct("bar_idx", "hit_"))), lambda x: x["hit_"]).alias("hits_"))
-    offsets = rows.withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(period)))).filter(F.col("offset") < F.size("hits_"))
-    start = F.struct(F.lit(0).alias("wait"), F.lit(0).alias("hits"))
-
-    def step(acc: Column, hit: Column) -> Column:
-        take = (acc["wait"] == 0) & (hit == 1)
-        return F.struct(F.when(take, F.lit(period - 1)).otherwise(F.greatest(acc["wait"] - 1, F.lit(0))).alias("wait"), (acc["hits"] + take.cast("int")).alias("hits"))
-
-    tail = F.slice("hits_", F.col("offset") + 1, F.size("hits_"))
-    return offsets.select("symbol", "offset", F.aggregate(tail, start, step, lambda a: a["hits"]).alias("signals"))
+    hit = F.col("best_pct").isNotNull() & (F.col("bar_idx") + period <= F.col("n_"))
+    bits = df.withColumn("n_", n).select("symbol", "bar_idx", hit.alias("hit_")).repartition("symbol").sortWithinPartitions("symbol", "bar_idx")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(symbol, bars: int, hits: list[int]) -> pa.RecordBatch:
+            k = min(period + 1, bars)
+            return pa.RecordBatch.from_arrays([pa.array([symbol] * k, pa.string()), pa.array(range(k), pa.int32()), pa.array(hits[:k], pa.int32())], ["symbol", "offset", "signals"])
+
+        symbol, bars = None, 0
+        for batch in batches:
+            for now, taken in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if now != symbol or not bars:
+                    if bars:
+                        yield rows(symbol, bars, hits)
+                    symbol, bars, hits, waits = now, 0, [0] * (period + 1), list(range(period + 1))
+                bars += 1
+                for k, wait in enumerate(waits):
+                    if wait:
+                        waits[k] = wait - 1
+                    elif taken:
+                        waits[k] = period - 1
+                        hits[k] += 1
+        if bars:
+            yield rows(symbol, bars, hits)
+
+    return bits.mapInArrow(count, "symbol string, offset int, signals int")
 
 
 def best_offset(bars: DataFrame, period: int = 4, threshold: float = 1.0) -> DataFrame:

@@ -87,7 +87,30 @@ def add_to(register) -> None:
     register("log19_confidence", log, runlog.confidence, certain)
     totals = f"SELECT list_sort(list(DISTINCT run_id)) AS run_ids, count(*) AS n, count(DISTINCT iteration) AS iterations, min(fitness) AS best_fitness FROM ({V}) /*round: best_fitness*/"
     register("log20_report", log, lambda d: runlog.report(d).select("run_ids", "n", "iterations", "best_fitness"), totals)
-    register("snk4_report_json", log, lambda d: files.report_json(runlog.report(d).select("n", "iterations")), f"SELECT concat('{{\"n\":', count(*), ',\"iterations\":', count(DISTINCT iteration), '}}') AS report FROM ({V})")
+    def through(write, read):
+        """Rows written by ``write`` (rows, path) and what ``read`` (session, path) finds there."""
+
+        def run(rows: DataFrame) -> DataFrame:
+            path = files.scratch(rows.sparkSession, "export")
+            write(rows, path)
+            return read(rows.sparkSession, path)
+
+        return run
+
+    fields = "n long, iterations long, best_fitness double, rate double, converged boolean"
+    register("snk4_report_json", log, lambda d: files.report_json(runlog.report(d)).select(F.from_json("report", fields).alias("r")).select("r.*"), f"SELECT count(*) AS n, count(DISTINCT iteration) AS iterations, min(fitness) AS best_fitness, any_value(rate) AS rate, any_value(rate) >= 0.7 AS converged FROM ({V}), ({CONVERGENCE}) /*round: best_fitness, rate*/")
+    chosen = ("run_id", "iteration", "individual_idx", *FEATS, "dropout", "hidden_size", "fitness")
+    logs = through(lambda d, path: files.append_log(d.select(*chosen), path), lambda spark, path: files.load_logs(spark, [path], ["A", "R"]))
+    register("src3_csv_logs", log, logs, f"SELECT {', '.join(chosen)} FROM ({V}) WHERE run_id IN ('A', 'R') /*round: dropout, hidden_size, fitness*/ /*count: iteration, individual_idx, {', '.join(FEATS)}*/", 9)
+    wide = through(lambda d, path: files.export(d, path, "csv"), lambda spark, path: files.load_table(spark, path))
+    register("src4_wide_csv", "features01", wide, f"SELECT * FROM ({sql_view('features01')}) /*count: l_orderkey, l_linenumber, QTY_gs_entry, DISC_gs_entry, TAX_gs_exit, STAT_gs_exit*/")
+    parts = through(lambda d, path: files.export(d, path, partition_by="tradeable"), lambda spark, path: spark.read.parquet(path).filter("tradeable = 'trade'"))
+    register("snk1_partitioned_export", "features01", parts, f"SELECT * FROM ({sql_view('features01')}) WHERE tradeable = 'trade' /*count: l_orderkey, l_linenumber, QTY_gs_entry, DISC_gs_entry, TAX_gs_exit, STAT_gs_exit*/")
+    history = through(
+        lambda d, path: runlog.progression(d).groupBy().agg(F.max("iteration").alias("iteration"), F.transform(F.sort_array(F.collect_list(F.struct("iteration", "best"))), lambda x: x["best"]).alias("fitness_history")).write.json(path),  # a number for each iteration
+        lambda spark, path: files.fitness_history(spark.read.json(path)),
+    )
+    register("src5_checkpoint_history", log, history, f"SELECT max(iteration) OVER () AS iteration, row_number() OVER (ORDER BY iteration) - 1 AS step, best AS fitness FROM ({PROGRESS}) /*round: fitness*/ /*count: iteration, step*/")
 
     stats = f"SELECT iteration, max(max(fitness)) OVER (ORDER BY iteration) AS best_so_far, max(fitness) AS iteration_best, avg(fitness) AS mean, stddev_pop(fitness) AS std, count(*) AS valid FROM ({POP}) GROUP BY iteration /*round: best_so_far, iteration_best, mean, std*/ /*count: iteration*/"
     register("pop1_iterations", log, lambda d: population.iteration_stats(individuals(d)), stats)

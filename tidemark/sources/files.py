@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,18 @@ from tidemark.operators.indicators import REGISTRY, Indicator
 from tidemark.sources.views import with_index
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``); a local one only if unset and Spark runs in one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def load_bars(spark: SparkSession, path: str, pattern: str = r"([A-Z0-9]+)_USDT") -> DataFrame:
     """Bars from parquet files, one for each symbol, which the file's name has: symbol, bar_ts, open .. volume, bar_idx. ``date`` becomes bar_ts."""
     df = spark.read.parquet(path).withColumn("symbol", F.regexp_extract(F.element_at(F.split(F.input_file_name(), "/"), -1), pattern, 1))
@@ -51,6 +65,12 @@ def export(df: DataFrame, path: str, kind: str = "parquet", partition_by: str |
     writer.option("header", True).format(kind).save(path)
 
 
+def load_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """A wide table in CSV with a header; with a schema the file is read once, without one its types are found first."""
+    reader = spark.read.option("header", True)
+    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+
+
 def export_association(stats: DataFrame, rules: DataFrame, path: str, top: int = 20) -> None:
     """Scores, the best features and the best combinations, as JSON tables."""
     stats.write.mode("overwrite").json(f"{path}/scores")

@@ -148,7 +148,7 @@ def _counts(chunks: DataFrame, tokenizer: str, most: int = 1_000_000) -> DataFra
     return places.repartition("piece").sortWithinPartitions("piece").mapInArrow(run, "chunk long, counts binary")
 
 
-def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, chunk_bytes: int = 16 << 20) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, chunk_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every whole text.
 
     ``tokenizer``: path of a tokenizers .json file (byte-level vocabulary, GPT-2 pre-tokens) or of a sentencepiece .model; the latter

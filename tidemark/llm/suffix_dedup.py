@@ -276,8 +276,11 @@ def repeated_ranges(docs: DataFrame, group: int = GROUP) -> DataFrame:
     groups = kinds.groupBy("kh").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("singles"))
     lo, hi = F.shiftright("at", 16).cast("int"), (F.shiftright("at", 16) + F.col("at").bitwiseAND(255)).cast("int")
     a = (F.shiftright("at", 16) + F.shiftright("at", 8).bitwiseAND(255)).cast("int")
-    again = hot_split(kinds.filter("n > 1").select("kh", "fh", "n"), "n")
-    whole = hot_join(rows, *again, ["kh", "fh"]).select("id", "th", lo.alias("lo"), hi.alias("hi"))
+    again = kinds.filter("n > 1").select("kh", "fh", "n")
+    # only where a fragment has a hundredth of the rows are these read twice, to join it by broadcast
+    hot, others = hot_split(again, "n", parts=100)
+    found_whole = rows.join(others, ["kh", "fh"]) if others is not None and hot.isEmpty() else hot_join(rows, hot, others, ["kh", "fh"])
+    whole = found_whole.select("id", "th", lo.alias("lo"), hi.alias("hi"))
     looked_at = kinds.join(groups.filter("kinds > 1 AND singles > 0"), "kh")
     wanted = looked_at.select("id", "th", a.alias("a"), lo.alias("lo"), hi.alias("hi"), F.col("kh").alias("key"), (F.col("n") == 1).alias("open"))
     fragments = stored(_contents(docs, wanted), "fragment-bytes")

@@ -14,7 +14,7 @@ from tidemark.llm import decontamination, suffix_dedup
 from tidemark.llm.components import components
 from tidemark.llm.decontamination import find_contamination, is_contaminated, remove_contaminated
 from tidemark.llm.simhash import GrayIndex, gray_rank, keep_one, links, near_duplicates
-from tidemark.llm.similarity import similar_groups
+from tidemark.llm.similarity import _by_index, similar_groups
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -216,6 +216,17 @@ def test_similar_groups_against_brute_force(spark, docs, odd, small):
     assert sorted(map(tuple, found.collect())) == sorted((i, least[g]) for (i, _), g in zip(rows, labels))
 
 
+def test_index_connects_nodes_within_the_bits(spark):
+    rng = random.Random(5)
+    prints = [rng.randrange(1 << 64) for _ in range(40)]
+    prints += [f ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for f in prints[:20]] + prints[:5]
+    rows = [(100 + k, f - (1 << 64) if f >> 63 else f) for k, f in enumerate(prints)]
+    roots = components(_by_index(spark.createDataFrame(rows, "node long, fp long"), 3))
+    found = {r.node: r.root for r in roots.collect()}
+    near = {n: min(m for (m, _), g in zip(rows, prints) if bin(f ^ g).count("1") <= 3) for (n, _), f in zip(rows, prints)}
+    assert {n: found.get(n, n) for n, _ in rows} == {n: near[near[n]] for n, _ in rows}
+
+
 def test_pipeline_stage_drops_planted_near_copies(spark, sf):
     rows = near_copies(4)
     labels = similar_components([t for _, t in rows])

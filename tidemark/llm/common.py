@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from urllib.parse import urlparse
 
@@ -26,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``); a local one of our own only if unset and all is local."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 

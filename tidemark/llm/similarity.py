@@ -1,7 +1,8 @@
-"""Groups of texts at a Jaccard similarity of shingle sets, found by MinHash bands and checked exactly.
+"""Groups of texts at a Jaccard similarity of shingle sets, found by the SimHash index and by MinHash bands, and checked exactly.
 
-Texts of equal sets are one node. Nodes that agree in a whole band of minima meet in a bucket; pairs met there are linked only if their sets, which are
-compared whole, are similar enough. Small buckets give all their pairs. A large one is met by one random member a round, and what stays apart after
+Texts of equal sets are one node. The Gray-order index links nodes whose SimHashes differ in a few bits; these are nearly equal sets. Less similar ones
+differ in more bits than that index can search, so nodes that agree in a whole band of minima also meet in a bucket. Pairs met either way are linked only
+if their sets, which are compared whole, are similar enough. Small buckets give all their pairs. A large one is met by one random member a round, and what stays apart after
 ``HUB_ROUNDS`` is paired across groups; members already in one group are never compared, so many copies of a text are no large job.
 """
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_rows, slices, stored, text_bytes
 from tidemark.llm.components import components
-from tidemark.llm.simhash import keep_least, shingle_hashes
+from tidemark.llm.simhash import keep_least, links as index_links, shingle_hashes, simhash
 
 #: At a similarity of 0.8 all bands differ with chance (1 - 0.8 ** ROWS) ** BANDS = 0.0004, at 0.9 below 1e-7.
 BANDS, ROWS, HUB_ROUNDS = 20, 5, 4
@@ -31,7 +32,7 @@ def min_hashes(hashes: np.ndarray, starts: np.ndarray, seed: int) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, words: int = 5, seed: int = 42) -> DataFrame:
-    """doc_id (long), node (hash of the whole set; 0: no words), shingles (the set) and bands of every row of ``docs`` (doc_id, text)."""
+    """doc_id (long), node (hash of the whole set; 0: no words), fp (its SimHash), shingles (the set) and bands of every row of ``docs`` (doc_id, text)."""
     arrow_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,6 +43,7 @@ def shingle_sets(docs: DataFrame, words: int = 5, seed: int = 42) -> DataFrame:
                 counts = np.array([len(s) for s in sets])
                 flat, some = np.concatenate(sets), np.flatnonzero(counts)
                 nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), seed) if len(s) else 0 for s in sets], np.uint64)
+                prints = simhash(flat, counts)
                 keys = np.zeros((0, BANDS), np.uint64)
                 if len(some):
                     least = min_hashes(flat, (np.cumsum(counts) - counts)[some], seed).reshape(len(some), BANDS, ROWS)
@@ -50,9 +52,9 @@ def shingle_sets(docs: DataFrame, words: int = 5, seed: int = 42) -> DataFrame:
                     pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), pa.array(values.view(np.int64)))
                     for n, values in ((counts, flat), (np.where(counts > 0, BANDS, 0), keys.reshape(-1)))
                 ]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(nodes.view(np.int64)), *lists], ["doc_id", "node", "shingles", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(nodes.view(np.int64)), pa.array(prints.view(np.int64)), *lists], ["doc_id", "node", "fp", "shingles", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, node long, shingles array<long>, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, node long, fp long, shingles array<long>, bands array<long>")
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
@@ -74,26 +76,36 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
-def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, small: int = 16) -> DataFrame:
+def _by_index(nodes: DataFrame, most: int) -> DataFrame:
+    """u, v: nodes (columns node, fp) that the Gray-order index links, each fingerprint standing for its least node, and other nodes with that one."""
+    firsts = _stored(nodes.groupBy("fp").agg(F.min("node").alias("first")), "set-fingerprints")
+    same = nodes.join(firsts, "fp").filter("node <> first").select(*_ordered("node", "first"))
+    a, b = (firsts.select(F.col("fp").alias(k), F.col("first").alias(f"of_{k}")) for k in ("u", "v"))
+    return same.union(index_links(firsts.select("fp"), most).join(a, "u").join(b, "v").select(*_ordered("of_u", "of_v")))
+
+
+def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, small: int = 16, most: int = 3) -> DataFrame:
     """doc_id, component_id: the smallest doc_id that links of similar texts reach, its own included; rows and null ids as in ``simhash.near_duplicates``.
 
-    Texts without words are one group.
+    Texts without words are one group. ``most``: bits that the SimHashes of indexed links may differ in.
     """
     no_id = F.lit(-(1 << 63))
     sets = stored(shingle_sets(docs, words).drop("shingles"), "shingle-bands")
-    nodes = _stored(sets.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "shingle-nodes")
+    nodes = _stored(sets.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "shingle-nodes")
+    indexed = _stored(_by_index(nodes.filter("node <> 0").select("node", "fp"), most), "index-links")
     members = nodes.select("node", F.explode("bands").alias("band"))
     sizes = members.groupBy("band").count().filter("count > 1")
     members = _stored(members.join(sizes, "band"), "band-members")
     # the sets of nodes that meet others, each from one of its texts
-    met = nodes.join(members.select("node").distinct(), "node").select(F.coalesce("least", no_id).alias("key"), F.col("node").alias("own"))
+    meeting = members.select("node").union(indexed.select("u")).union(indexed.select("v")).distinct()
+    met = nodes.join(meeting, "node").select(F.coalesce("least", no_id).alias("key"), F.col("node").alias("own"))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), no_id).alias("key"), "text").join(met.select("key").distinct(), "key", "left_semi")
     again = shingle_sets(texts.withColumnRenamed("key", "doc_id"), words).select(F.col("doc_id").alias("key"), "node", "shingles")
     again = again.join(met, (again["key"] == met["key"]) & (again["node"] == met["own"]), "left_semi")
     whole = _stored(again.groupBy("node").agg(F.first("shingles").alias("shingles")), "met-sets")
     lists = members.filter(F.col("count") <= small).groupBy("band").agg(F.sort_array(F.collect_list("node")).alias("ns"))
     pairs = lists.select(F.expr("explode(flatten(transform(ns, (a, i) -> transform(slice(ns, i + 2, size(ns)), b -> struct(a AS u, b AS v)))))").alias("p")).select("p.*")
-    links, large = _similar(pairs, whole, least), members.filter(F.col("count") > small).select("band", "node")
+    links, large = _similar(indexed.union(pairs), whole, least), members.filter(F.col("count") > small).select("band", "node")
     groups = components(links)
     for turn in range(HUB_ROUNDS + 1):
         named = large.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -76,15 +76,28 @@ def test_empty_tables(spark, nothing):
 
 
 def test_each_distinct_pre_token_is_counted_once(docs):
-    from tidemark.llm.token_counts import _chunks, _counts, _unpacked
+    from tidemark.llm.common import unpacked
+    from tidemark.llm.token_counts import _NAME_BITS, _chunks, _counts
 
-    chunks = _chunks(docs.repartition(5), False, 20_000).cache()
+    # as if from the last partitions that can be: names and places are columns of their own and never overflow
+    far = (1 << 31) - 10 << _NAME_BITS
+    chunks = _chunks(docs.repartition(5), False, 20_000).selectExpr(f"chunk + {far}L AS chunk", "pieces").cache()
+    assert chunks.agg({"chunk": "min"}).first()[0] >= far > 0
     assert chunks.count() > 5
     found = {r.chunk: {} for r in chunks.select("chunk").collect()}
     for row in _counts(chunks, BYTE).collect():
-        place, n = _unpacked(row.counts)
+        place, n = unpacked(row.counts)
         assert not set(place.tolist()) & set(found[row.chunk])
         found[row.chunk].update(zip(place.tolist(), n.tolist()))
     model = Tokenizer.from_file(BYTE)
     for row in chunks.select("chunk", "pieces").collect():
         assert [found[row.chunk][k] for k in range(len(row.pieces))] == [len(model.encode(p, add_special_tokens=False).ids) for p in row.pieces]
+
+
+def test_counts_query_as_registered(spark, sf, docs):
+    from tidemark.llm.registry import QUERIES
+
+    found, model = QUERIES["op9_token_counts"](spark, sf), Tokenizer.from_file(BYTE)
+    assert found.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+    expected = [(r.doc_id, len(r.text.encode()), len(model.encode(r.text, add_special_tokens=False).ids)) for r in docs.fillna("", ["text"]).collect()]
+    assert sorted(map(tuple, found.collect())) == sorted((*r, r[2] > 512) for r in expected)

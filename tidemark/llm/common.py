@@ -105,6 +105,24 @@ class Generations:
         return young
 
 
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of int32, compressed by byte planes."""
+    import zstandard
+
+    flat = np.concatenate(arrays).astype("<i4")
+    head = np.array([len(arrays), *map(len, arrays)], "<i8").tobytes()
+    return head + zstandard.ZstdCompressor(level=1).compress(flat.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpacked(blob: bytes) -> list[np.ndarray]:
+    import zstandard
+
+    k = int(np.frombuffer(blob[:8], "<i8")[0])
+    sizes = np.frombuffer(blob[8 : 8 + 8 * k], "<i8")
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8 + 8 * k :]), np.uint8).reshape(4, -1)
+    return np.split(np.ascontiguousarray(planes.T).view("<i4").ravel(), np.cumsum(sizes)[:-1])
+
+
 def by_id_range(docs: DataFrame, key: str, partitions: int, descending: bool = False) -> DataFrame:
     """Rows in partitions that hold ascending (or descending) ranges of ``key``, sorted inside; nulls come last."""
     order = F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_last()

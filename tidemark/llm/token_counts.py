@@ -19,13 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_rows, stored, text_bytes
+from tidemark.llm.common import arrow_rows, packed, stored, text_bytes, unpacked
 
 _DOUBLE = re.compile(r"\s\s")
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
 _LOADED: dict = {}
-#: Bits of a pre-token's place in its chunk; a chunk's name and they are one number.
-_PLACE_BITS = 24
+#: A chunk's name: the number of its partition (31 bits), then of the chunk in it (32 bits).
+_NAME_BITS = 32
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -60,24 +60,6 @@ def _counter(path: str):
 _CHUNK = "chunk long, doc_id array<long>, n_bytes array<long>, pieces array<string>, own binary"
 
 
-def _packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of int32, compressed by byte planes."""
-    import zstandard
-
-    flat = np.concatenate(arrays).astype("<i4")
-    head = np.array([len(arrays), *map(len, arrays)], "<i8").tobytes()
-    return head + zstandard.ZstdCompressor(level=1).compress(flat.view(np.uint8).reshape(-1, 4).T.tobytes())
-
-
-def _unpacked(blob: bytes) -> list[np.ndarray]:
-    import zstandard
-
-    k = int(np.frombuffer(blob[:8], "<i8")[0])
-    sizes = np.frombuffer(blob[8 : 8 + 8 * k], "<i8")
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8 + 8 * k :]), np.uint8).reshape(4, -1)
-    return np.split(np.ascontiguousarray(planes.T).view("<i4").ravel(), np.cumsum(sizes)[:-1])
-
-
 def _chunks(docs: DataFrame, whole: bool, chunk_bytes: int) -> DataFrame:
     """A row for each chunk: ids and sizes of its documents, its distinct pre-tokens, and how many each document has, their numbers and frequencies."""
 
@@ -94,12 +76,12 @@ def _chunks(docs: DataFrame, whole: bool, chunk_bytes: int) -> DataFrame:
         many, numbers, frequencies = (np.frombuffer(x, np.int32) for x in (many, numbers, frequencies))
         # ascending in each document, as steps: small numbers take little room
         order = np.lexsort((numbers, np.repeat(np.arange(len(many)), many)))
-        own = _packed(many, np.diff(numbers[order], prepend=0), frequencies[order])
+        own = packed(many, np.diff(numbers[order], prepend=0), frequencies[order])
         columns = [pa.array([name]), *long_lists, pa.array([list(number)], pa.list_(pa.string())), pa.array([own], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["chunk", "doc_id", "n_bytes", "pieces", "own"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, name = [], 0, TaskContext.get().partitionId() << 20
+        held, size, name = [], 0, TaskContext.get().partitionId() << _NAME_BITS
         for batch in batches:
             sizes = np.diff(text_bytes(batch.column(1))[1]).tolist()
             for row in zip(batch.column(0).to_pylist(), sizes, batch.column(1).to_pylist()):
@@ -121,7 +103,7 @@ def _counts(chunks: DataFrame, tokenizer: str, most: int = 1_000_000) -> DataFra
         chunk, place, n = (np.concatenate(x) for x in zip(*held))
         order = np.argsort(chunk, kind="stable")
         ids, starts = np.unique(chunk[order], return_index=True)
-        blobs = [_packed(place[rows], n[rows]) for rows in np.split(order, starts[1:])]
+        blobs = [packed(place[rows], n[rows]) for rows in np.split(order, starts[1:])]
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(blobs, pa.binary())], ["chunk", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,8 +117,7 @@ def _counts(chunks: DataFrame, tokenizer: str, most: int = 1_000_000) -> DataFra
             known = last | dict(zip(new, _counter(tokenizer)(new) if new else []))
             last = {pieces[-1]: known[pieces[-1]]}  # rows are sorted: only the last pre-token can go on
             n = np.array([known[p] for p in pieces], np.int64)[distinct.indices.to_numpy()]
-            at = batch.column(1).to_numpy()
-            held.append((at >> _PLACE_BITS, at & ((1 << _PLACE_BITS) - 1), n))
+            held.append((batch.column(1).to_numpy(), batch.column(2).to_numpy(), n))
             size += batch.num_rows
             if size >= most:
                 yield by_chunk(held)
@@ -144,7 +125,7 @@ def _counts(chunks: DataFrame, tokenizer: str, most: int = 1_000_000) -> DataFra
         if held:
             yield by_chunk(held)
 
-    places = chunks.select(F.posexplode("pieces").alias("place", "piece"), "chunk").select("piece", (F.shiftleft("chunk", _PLACE_BITS) + F.col("place")).alias("at"))
+    places = chunks.select(F.posexplode("pieces").alias("place", "piece"), "chunk").select("piece", "chunk", "place")
     return places.repartition("piece").sortWithinPartitions("piece").mapInArrow(run, "chunk long, counts binary")
 
 
@@ -164,10 +145,10 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, chunk_bytes:
         for batch in batches:
             for row in range(batch.num_rows):
                 doc_id, n_bytes = (batch.column(k)[row].values for k in (0, 1))
-                many, numbers, frequencies = _unpacked(batch.column(3)[row].as_py())
+                many, numbers, frequencies = unpacked(batch.column(3)[row].as_py())
                 each = np.zeros(batch.column(2)[row].as_py(), np.int64)
                 for blob in batch.column(4)[row].as_py() or []:
-                    place, n = _unpacked(blob)
+                    place, n = unpacked(blob)
                     each[place] = n
                 sums = np.concatenate([[0], np.cumsum(each[np.cumsum(numbers)] * frequencies)])
                 ends = np.concatenate([[0], np.cumsum(many.astype(np.int64))])

@@ -9,9 +9,10 @@ from tidemark.llm.language_id import op10_language_id
 from tidemark.llm.mixing import op3_mixing
 from tidemark.llm.simhash import op7_simhash
 from tidemark.llm.suffix_dedup import op2_suffix_dedup
+from tidemark.llm.token_alignment import op11_token_alignment
 from tidemark.llm.token_counts import op9_token_counts
 from tidemark.llm.token_output import op5_token_output
 from tidemark.llm.toxicity import op8_toxicity
 
-QUERIES = {f.__name__: f for f in (url_filter.op1_url_filter, op2_suffix_dedup, op3_mixing, op4_fingerprints, op5_token_output, op6_decontamination, op7_simhash, op8_toxicity, op9_token_counts, op10_language_id)}
+QUERIES = {f.__name__: f for f in (url_filter.op1_url_filter, op2_suffix_dedup, op3_mixing, op4_fingerprints, op5_token_output, op6_decontamination, op7_simhash, op8_toxicity, op9_token_counts, op10_language_id, op11_token_alignment)}
 ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.oracle(), "op6_decontamination": decontamination.oracle()}

@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -30,8 +31,8 @@ from tidemark.llm.common import Generations, arrow_rows, packed, slices, stored,
 _DOUBLE = re.compile(r"\s\s")
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
 _LOADED: dict = {}
-#: Characters of a part that is remembered beyond its chunk.
-_SHORT = 64
+#: Characters of a part that is remembered beyond its chunk; parts encoded in one call.
+_SHORT, _TOGETHER = 64, 1024
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 _CHUNK = "part int, chunk int, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, a array<int>, b array<int>, docs array<long>, own binary"
 
@@ -87,32 +88,36 @@ class Aligner:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         #: whether no piece goes on beyond a space, so that parts stand alone
         self.cuts = not any(re.search("[^▁]▁", p) for p in pieces) and self.b.encode("a  b") == self.b.encode("a") + self.b.encode(" b")
-        self.memo = Generations(200_000)
+        self.memo = Generations(100_000)
 
     def align(self, parts: list[str]) -> list[tuple]:
-        """For each part: whether both give its bytes back, n_a, n_b, n_groups, n_links, its groups as text, and its linked id pairs with their numbers."""
-        texts = [" " + p for p in parts]
-        of_a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-        return [self._aligned(t.encode(), a, b) for t, a, b in zip(texts, of_a, self.b.encode(parts, num_threads=1))]
+        """For each part: whether both give its bytes back, n_a, n_b, n_groups, n_links, its groups as text, its linked pairs (id of A << 32 | id of B) and how often each is."""
+        out = []
+        for lo in range(0, len(parts), _TOGETHER):
+            some = parts[lo : lo + _TOGETHER]
+            texts = [" " + p for p in some]
+            of_a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+            out += [self._aligned(t.encode(), a, b) for t, a, b in zip(texts, of_a, self.b.encode(some, num_threads=1))]
+        return out
 
     def _aligned(self, raw: bytes, a: list[int], b: list[int]) -> tuple:
         bytes_a, bytes_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
         if b"".join(bytes_a) != raw or b"".join(bytes_b) != raw:
-            return False, 0, 0, 0, 0, b"", {}
+            return False, 0, 0, 0, 0, b"", (), ()
         cuts, links, pairs, names, i, j = common_ends([*accumulate(map(len, bytes_a))], [*accumulate(map(len, bytes_b))]), 0, Counter(), [], 0, 0
         for to_i, to_j in cuts:
             own_a, own_b = a[i : to_i + 1], b[j : to_j + 1]
             names.append(f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}")
             links += len(own_a) * len(own_b)
             if len(own_a) == 1 == len(own_b):
-                pairs[own_a[0], own_b[0]] += 1
+                pairs[own_a[0] << 32 | own_b[0]] += 1
             else:
                 many_b = Counter(own_b)
                 for x, n in Counter(own_a).items():
                     for y, m in many_b.items():
-                        pairs[x, y] += n * m
+                        pairs[x << 32 | y] += n * m
             i, j = to_i + 1, to_j + 1
-        return True, len(a), len(b), len(cuts), links, ";".join(names).encode(), pairs
+        return True, len(a), len(b), len(cuts), links, ";".join(names).encode(), tuple(pairs), tuple(pairs.values())
 
 
 def _aligner(path_a: str, path_b: str) -> Aligner:
@@ -125,17 +130,18 @@ class _Chunk:
     """Texts side by side: distinct parts with what ``Aligner.align`` says of them, and how often each document has which."""
 
     def __init__(self, aligner: Aligner) -> None:
-        self.aligner, self.number, self.known, self.pair = aligner, {}, [], {}
-        self.counts, self.names, self.ok = [], [], []
-        self.ids, self.totals, self.shas, self.docs = [], [], [], []
-        self.size = 0
+        self.aligner, self.number, self.pair, self.size = aligner, {}, {}, 0
+        self.ok, self.counts, self.names, self.sizes, self.at, self.times = [], [], [], array("i"), array("i"), array("i")
+        self.ids, self.totals, self.shas, self.many, self.words, self.frequencies = [], [], [], array("i"), array("i"), array("i")
 
     def _new(self, entry: tuple) -> int:
         self.ok.append(entry[0])
         self.counts.append(entry[1:5])
         self.names.append(entry[5])
-        self.known.append([(self.pair.setdefault(p, len(self.pair)), n) for p, n in entry[6].items()])
-        return len(self.known) - 1
+        self.sizes.append(len(entry[6]))
+        self.at.extend([self.pair.setdefault(p, len(self.pair)) for p in entry[6]])
+        self.times.extend(entry[7])
+        return len(self.ok) - 1
 
     def add(self, ids: list, texts: list[str | None]) -> None:
         cuts = self.aligner.cuts
@@ -156,29 +162,28 @@ class _Chunk:
             self.ids.append(doc_id)
             self.totals.append([sum(c[k] * n for c, n in rows) for k in range(4)])
             self.shas.append(hashlib.sha256(b";".join([self.names[k] for k in at])).hexdigest() if at else "")
-            self.docs.append(distinct)
+            self.many.append(len(distinct))
+            self.words.extend(distinct)
+            self.frequencies.extend(distinct.values())
             self.size += len(text or "")
 
     def row(self, part: int, chunk: int) -> pa.RecordBatch:
-        many = np.array([len(d) for d in self.docs], np.int64)
-        words = np.fromiter(chain.from_iterable(self.docs), np.int64, many.sum())
-        times = np.fromiter(chain.from_iterable(d.values() for d in self.docs), np.int64, many.sum())
-        sizes = np.array([len(k) for k in self.known], np.int64)
-        flat = np.array([x for k in self.known for x in k], np.int64).reshape(-1, 2)
+        many, words, frequencies, sizes, flat, times = (np.frombuffer(x, np.int32) for x in (self.many, self.words, self.frequencies, self.sizes, self.at, self.times))
+        many, sizes = many.astype(np.int64), sizes.astype(np.int64)
         docs, first, ends = np.zeros(len(self.pair), np.int64), np.cumsum(sizes) - sizes, np.concatenate([[0], np.cumsum(many)])
         lo = 0
-        while lo < len(many):  # documents of some 4 million parts at once
-            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + (4 << 20), "right")) - 1)
+        while lo < len(many):  # documents of some million parts at once
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + (1 << 20), "right")) - 1)
             own, doc = words[ends[lo] : ends[hi]], np.repeat(np.arange(hi - lo), many[lo:hi])
             n = sizes[own]
             at = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            met = np.unique(np.repeat(doc, n) * len(docs) + flat[at, 0])
+            met = np.unique(np.repeat(doc, n) * len(docs) + flat[at])
             docs += np.bincount(met % len(docs), minlength=len(docs)) if len(docs) else 0
             lo = hi
-        pairs = np.array(list(self.pair), np.int32).reshape(-1, 2)
+        pairs = np.fromiter(self.pair, np.int64, len(self.pair))
         totals = np.array(self.totals, np.int64).reshape(-1, 4).T
-        lists = [pa.array([x], pa.list_(t)) for x, t in ((self.ids, pa.int64()), *((t, pa.int64()) for t in totals), (self.shas, pa.string()), *((p, pa.int32()) for p in pairs.T), (docs, pa.int64()))]
-        own = packed(many, words, times, sizes, flat[:, 0], flat[:, 1])
+        lists = [pa.array([x], pa.list_(t)) for x, t in ((self.ids, pa.int64()), *((t, pa.int64()) for t in totals), (self.shas, pa.string()), *((p.astype(np.int32), pa.int32()) for p in (pairs >> 32, pairs & 0xFFFFFFFF)), (docs, pa.int64()))]
+        own = packed(many, words, frequencies, sizes, flat, times)
         return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), *lists, pa.array([own], pa.binary())], [c.split()[0] for c in _CHUNK.split(", ")])
 
 
@@ -199,7 +204,7 @@ def _chunks(docs: DataFrame, path_a: str, path_b: str, chunk_chars: int, most_pa
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _CHUNK)
 
 
-def align_tokens(docs: DataFrame, path_a: str, path_b: str, chunk_chars: int = 32 << 20, most_pairs: int = 500_000) -> DataFrame:
+def align_tokens(docs: DataFrame, path_a: str, path_b: str, chunk_chars: int = 16 << 20, most_pairs: int = 200_000) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum (long) and groups_sha256 of every whole text.
 
     ``path_a``: a byte-level tokenizers .json file, applied to space + text; ``path_b``: a sentencepiece .model, applied to the text. Tokens of special
@@ -220,15 +225,15 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, chunk_chars: int = 3
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                many, words, times, sizes, pair, n = (x.astype(np.int64) for x in unpacked(batch.column(0)[row].as_py()))
+                many, words, frequencies, sizes, pair, times = (x.astype(np.int64) for x in unpacked(batch.column(0)[row].as_py()))
                 sums, facts = [], batch.column(1)[row].values
                 place, *values = (facts.field(k).to_numpy().astype(np.int64) if facts is not None else np.zeros(0, np.int64) for k in range(3))
                 ends, starts = np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([[0], np.cumsum(many)])
                 for value in reversed(values):
                     each = np.zeros(len(place), np.int64)
                     each[place] = value
-                    word = np.diff(np.concatenate([[0], np.cumsum(each[pair] * n)])[ends])
-                    sums.append(np.diff(np.concatenate([[0], np.cumsum(word[words] * times)])[starts]))
+                    word = np.diff(np.concatenate([[0], np.cumsum(each[pair] * times)])[ends])
+                    sums.append(np.diff(np.concatenate([[0], np.cumsum(word[words] * frequencies)])[starts]))
                 lists = [batch.column(k)[row].values for k in range(2, 8)]
                 yield pa.RecordBatch.from_arrays([*lists[:5], *map(pa.array, sums), lists[5]], ["doc_id", *_COUNTS, "n_best", "count_sum", "groups_sha256"])
 

@@ -114,7 +114,7 @@ class GrayIndex:
             yield query[other > query], other[other > query]
 
 
-def _least_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def least_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     while len(a):
         x, y = labels[a], labels[b]
         differ = x != y
@@ -168,7 +168,7 @@ def links(prints: DataFrame, most: int = 3, bucket: int = 4096) -> DataFrame:
             index = GrayIndex(table[:, 2].copy().view(np.uint64), np.cumsum(change))
             labels = np.arange(len(table))
             for a, b in index.links(most):
-                labels = _least_labels(labels, a, b)
+                labels = least_labels(labels, a, b)
             tied = np.flatnonzero(labels != np.arange(len(table)))
             prints = index.fps.view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(prints[tied]), pa.array(prints[labels[tied]])], ["u", "v"])

@@ -2,12 +2,14 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 pytest.importorskip("tokenizers")
 pytest.importorskip("sentencepiece")
 import public_tokenizers  # noqa: E402
 
+from tidemark.llm import token_alignment as T  # noqa: E402
 from tidemark.llm.registry import QUERIES  # noqa: E402
 from tidemark.llm.token_alignment import align_tokens, common_ends, parts_of  # noqa: E402
 
@@ -68,10 +70,29 @@ def rows_of(found):
 
 def test_galloping_finds_every_common_end():
     rng = random.Random(5)
-    for _ in range(300):
-        a, b = (sorted(rng.sample(range(200), rng.randint(0, n))) for n in (5, 150))
-        expected = [(a.index(x), b.index(x)) for x in sorted(set(a) & set(b))]
-        assert common_ends(a, b) == expected and common_ends(b, a) == [(j, i) for i, j in expected]
+    a, b, many_a, many_b, expected, base = [], [], [], [], [], 0
+    for n, m in [(5, 150), (150, 5), (0, 9), (9, 0), (0, 0), (40, 40)] * 60:
+        x, y = (sorted(rng.sample(range(200), rng.randint(0, k))) for k in (n, m))
+        expected += [(len(a) + x.index(e), len(b) + y.index(e)) for e in sorted(set(x) & set(y))]
+        a, b, base = a + [base + e for e in x], b + [base + e for e in y], base + 200
+        many_a.append(len(x))
+        many_b.append(len(y))
+    i, j = common_ends(*(np.array(x, np.int64) for x in (a, many_a, b, many_b)))
+    assert list(zip(i.tolist(), j.tolist())) == expected
+
+
+def test_pairs_of_large_groups_are_counted(monkeypatch):
+    model = T.Aligner(A, B)
+    parts = ["日本語のテキスト漢字かな", "aaaa", "", "𝒳𝒴𝒵𝒳𝒴𝒵"]
+    whole = model.align(parts)
+    monkeypatch.setattr(T, "_LARGE", 1)
+    split = model.align(parts)
+
+    def per_part(x):
+        stops = np.cumsum(x.sizes)
+        return [sorted(Counter({p: int(x.times[lo:hi][x.pairs[lo:hi] == p].sum()) for p in x.pairs[lo:hi]}).items()) for lo, hi in zip(stops - x.sizes, stops)]
+
+    assert per_part(whole) == per_part(split) and sum(n for p in per_part(split) for _, n in p) == split.counts[:, 3].sum()
 
 
 @pytest.mark.parametrize("text", ["a b", " a", "a ", "a  b", "  ", "\n\n x  y \n", "a b c "])
@@ -82,7 +103,7 @@ def test_parts_join_to_the_text(text):
 EXTRA = ["a▁b c", "  two  leading", "trailing ", " ", "\t\t x", "<s> <unk> <0x41> </s> <|endoftext|>", "日本語のテキスト と 漢字", "naïve 😀😀 café", "\x00 nul", "x▁ ▁ y"]
 
 
-@pytest.mark.parametrize("limits", [(32 << 20, 500_000), (2000, 50)])
+@pytest.mark.parametrize("limits", [(16 << 20, 1_000_000), (2000, 50)])
 def test_alignment_is_the_definition(spark, odd, texts, limits):
     rows = [(r.doc_id, r.text) for r in odd.collect()] + texts + [(900_000 + k, t) for k, t in enumerate(EXTRA)]
     expected = sorted((i if i is not None else -1, *x) for (i, _), x in zip(rows, plain([t for _, t in rows])))

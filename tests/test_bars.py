@@ -6,8 +6,9 @@ import pytest
 
 from tidemark.operators import dataset, labels, match, trades
 from tidemark.operators.indicators import REGISTRY, add, condition
-from tidemark.operators.kernels import cycle, stop_and_reverse
-from tidemark.operators.series import SparkSeries, scan
+from tidemark.operators.kernels import KINDS
+from tidemark.operators.passes import Places
+from tidemark.operators.series import SparkSeries
 from tidemark.operators.strategies import first_of_shared_outputs, strategy
 from tidemark.plans.common import with_indicator
 from tidemark.plans.presets import NO_ENTRY, NO_EXIT, PRESETS
@@ -171,15 +172,51 @@ def test_scan_in_blocks_is_the_scan_in_order(spark):
     for r in rows:
         y = None if r["b"] is None else r["b"] if y is None else r["a"] * y + r["b"]
         expected.append(y)
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     for block in (None, 7, 64, 1000):
-        close_to([r.y for r in scan(df, [("a", "b", "y")], block=block).orderBy("bar_idx").collect()], expected)
+        s = SparkSeries(df, block=block)
+        y = s.affine("a", "b")
+        close_to([r.y for r in s.select("bar_idx", f"{y} AS y").orderBy("bar_idx").collect()], expected)
+
+
+@pytest.mark.parametrize("name", ["MACD", "ADX", "TRIX", "KAMA", "RSI", "PLUS_DI", "ADOSC"])
+def test_blocks_and_batches_change_nothing(spark, name):
+    rows = [{**r, "symbol": s} for s in "AB" for r in walk(150, ord(s))]
+    df, outputs = frame(spark, rows), REGISTRY[name].outputs
+    order = ("symbol", "bar_ts")
+    expected = with_indicator(df, name).orderBy(*order).collect()
+    for block in (16, 1000):
+        found = with_indicator(df, name, block=block).orderBy(*order).collect()
+        for o in (*outputs, "entry", "exit"):
+            close_to([r[o] for r in found], [r[o] for r in expected])
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "7")
+    try:
+        found = with_indicator(df, name).orderBy(*order).collect()
+    finally:
+        spark.conf.unset(key)
+    for o in (*outputs, "entry", "exit"):
+        close_to([r[o] for r in found], [r[o] for r in expected])
+
+
+def run_job(kind, *inputs, cuts=(), **params):
+    """A job's outputs over one symbol's values, with the bars cut into batches."""
+    import numpy as np
+
+    machine, out = KINDS[kind](**params), []
+    for lo, hi in zip([0, *cuts], [*cuts, len(inputs[0])]):
+        new = np.zeros(hi - lo, bool)
+        new[0] = lo == 0
+        out.append(machine(Places(new), *(np.array(x[lo:hi], float) for x in inputs)))
+    return [np.concatenate(x) for x in zip(*out)]
+
+
+SIDES = {f"{k}{side}": v for side in ("long", "short") for k, v in (("init", 0.02), ("step", 0.02), ("max", 0.2))}
 
 
 def test_stop_and_reverse_stays_on_its_side():
     rows = walk(300, 9)
     h, l = [r["high"] for r in rows], [r["low"] for r in rows]
-    out = stop_and_reverse(h, l, (0.02, 0.02, 0.2), (0.02, 0.02, 0.2))
+    out = run_job("stop_and_reverse", h, l, **SIDES)[0]
     assert math.isnan(out[0])
     for t in range(2, len(out)):
         if out[t] > 0 and out[t - 1] > 0:
@@ -189,11 +226,37 @@ def test_stop_and_reverse_stays_on_its_side():
     assert any(x > 0 for x in out[1:]) and any(x < 0 for x in out[1:])
 
 
+def test_machines_go_on_where_a_batch_ended():
+    import numpy as np
+
+    rows = walk(400, 3)
+    close, cuts = [r["close"] for r in rows], (1, 5, 6, 70, 71, 333)
+    whole = run_job("cycle", close)
+    smooth, i1, q1, period = whole
+    angle, line = run_job("phase", smooth, period)[0], run_job("trendline", close, period)[0]
+    cases = {"cycle": ((close,), {}), "phase": ((smooth, period), {}), "trendline": ((close, period), {}), "trend_mode": ((smooth, period, angle, line), {}), "adaptive": ((close, i1, q1), {"fast": 0.5, "slow": 0.05}), "stop_and_reverse": (([r["high"] for r in rows], [r["low"] for r in rows]), SIDES)}
+    assert set(cases) == set(KINDS)
+    for kind, (inputs, params) in cases.items():
+        for a, b in zip(run_job(kind, *inputs, **params), run_job(kind, *inputs, cuts=cuts, **params)):
+            assert np.array_equal(a, b, equal_nan=True), kind
+
+
 def test_cycle_finds_the_period_of_a_sine():
     import numpy as np
 
     close = 100 + 5 * np.sin(2 * np.pi * np.arange(300) / 20)
-    assert abs(cycle(close)["smooth_period"][200:].mean() - 20) < 1.5
+    assert abs(run_job("cycle", close)[3][200:].mean() - 20) < 1.5
+
+
+def test_equal_steps_are_one_step_and_unused_ones_none(spark):
+    s = SparkSeries(frame(spark, walk(60)))
+    add(s, "EMA")
+    steps = len(s.steps)
+    out, entry, _ = add(s, "EMA")
+    assert len(s.steps) == steps and s.ema("close", 9) == out[0]
+    add(s, "HT_SINE")
+    plan = s.select(f"{out[0]} AS x")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "phase" not in plan and len(s.select(f"{out[0]} AS x").collect()) == 60
 
 
 def test_conditions_on_unknown_values(spark):

@@ -24,7 +24,7 @@ def build(labelled: DataFrame, indicators: dict[str, dict], mode: str = "binary"
             columns += [(s.put(f"CAST({c} AS INT)"), f"{name}_{suffix}_{side}") for c, side in ((entry, "entry"), (exit_, "exit")) if c]
         else:
             columns += [(c, f"{name}_{suffix}_{o}") for c, o in zip(outputs, REGISTRY[name].outputs)]
-    df = s.df.select(*labelled.columns, *[F.col(a).alias(b) for a, b in columns])
+    df = s.select(*labelled.columns, *[f"{a} AS {b}" for a, b in columns])
     return shifted(df, [b for _, b in columns], shift) if shift else df
 
 

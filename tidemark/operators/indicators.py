@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from tidemark.operators.kernels import LONG, SHORT
 from tidemark.operators.series import Series
 
 
@@ -27,10 +28,9 @@ class Indicator:
     category: str
     params: dict[str, Param]
     outputs: tuple[str, ...]
-    build: Callable | None
+    build: Callable
     entry: Callable | None = None
     exit: Callable | None = None
-    kernel: str | None = None
     aliases: tuple[str, ...] = field(default=())
 
     def defaults(self, **given: float) -> dict[str, float]:
@@ -43,21 +43,26 @@ class Indicator:
 REGISTRY: dict[str, Indicator] = {}
 
 
-def _side(s: Series, a: str, b: str) -> str:
+def _side(s: Series, a: str, b: str, close: str) -> str:
     """1, 0 or -1 as a is above, at or below b; differences below 1e-9 of the price (of one, for higher prices), which the order of additions makes, are none."""
     gap = f"(CAST({a} AS DOUBLE) - CAST({b} AS DOUBLE))"
-    return s.put(f"CASE WHEN abs({gap}) <= 1e-9 * least(1.0, abs(close)) THEN 0 WHEN {gap} > 0 THEN 1 WHEN {gap} < 0 THEN -1 END")
+    return s.put(f"CASE WHEN abs({gap}) <= 1e-9 * least(1.0, abs({close})) THEN 0 WHEN {gap} > 0 THEN 1 WHEN {gap} < 0 THEN -1 END")
+
+
+def _sides(s: Series, a: str, b: str) -> tuple[str, str]:
+    """The side now and on the bar before."""
+    return _side(s, a, b, "close"), _side(s, s.lag(a), s.lag(b), s.lag("close"))
 
 
 def crossed_above(s: Series, a: str, b: str) -> str:
     """a > b now and a <= b on the bar before; false where unknown, so on a symbol's first bar."""
-    side = _side(s, a, b)
-    return f"coalesce({side} > 0 AND lag({side}) {s.window()} <= 0, false)"
+    now, before = _sides(s, a, b)
+    return f"coalesce({now} > 0 AND {before} <= 0, false)"
 
 
 def crossed_below(s: Series, a: str, b: str) -> str:
-    side = _side(s, a, b)
-    return f"coalesce({side} < 0 AND lag({side}) {s.window()} >= 0, false)"
+    now, before = _sides(s, a, b)
+    return f"coalesce({now} < 0 AND {before} >= 0, false)"
 
 
 COMPARISONS = {"lt": "<", "gt": ">", "lte": "<=", "gte": ">="}
@@ -131,9 +136,10 @@ def _wilder_moves(s: Series, n: int) -> list[str]:
 
 
 def _macd(s: Series, fast: str, slow: str, signal: Callable) -> list[str]:
-    line = s.put(f"{fast} - {slow}")
+    line = s.minus(fast, slow)
     sig = signal(line)
-    return [s.put(f"CASE WHEN {sig} IS NOT NULL THEN {line} END"), sig, s.put(f"{line} - {sig}")]
+    apart = s.minus(line, sig)
+    return [s.put(f"CASE WHEN {sig} IS NOT NULL THEN {line} END"), sig, apart]
 
 
 @indicator("momentum", "macd macdsignal macdhist", fastperiod=(12, 5, 20), slowperiod=(26, 15, 40), signalperiod=(9, 5, 15), **PAIR)
@@ -230,10 +236,8 @@ def _directional(s: Series, n: int) -> tuple[str, str]:
 
 
 def _dx(s: Series, n: int) -> str:
-    plus, minus = _directional(s, n)
-    raw = s.put(f"100.0 * abs({plus} - {minus}) / nullif({plus} + {minus}, 0.0)")
-    latest = [s.running(f"last({raw}, true)"), s.running(f"last_value({raw} IGNORE NULLS)")]
-    return s.put(*[f"CASE WHEN {plus} IS NOT NULL THEN coalesce({x}, 0.0) END" for x in latest])
+    plus, minus, tr = s.wilder_sums([*_moves(s), _true_range(s)], n)
+    return s.sequential("dx", [plus, minus, tr], 1, n=n)[0]
 
 
 @indicator("momentum", "adx", timeperiod=(14, 7, 28), entry_constant=(25, 20, 40), exit_constant=(20, 15, 25), **HIGH_LOW)
@@ -395,8 +399,10 @@ def _kama(s: Series, x: str, n: int) -> str:
 
 
 def _wma(s: Series, x: str, n: int) -> str:
-    total, weighted = s.roll("sum", x, n), s.roll("sum", s.put(f"bar_idx * {x}"), n)
-    return s.put(f"({weighted} - (bar_idx - {n}) * {total}) / {n * (n + 1) / 2!r}")
+    # weights 1 to n by place in the frame, so no number grows with the bar's place
+    values = s.put(f"collect_list({x}) {s.frame(n)}", f"list({x}) {s.frame(n)}")
+    total = s.put(f"aggregate(transform({values}, (v, i) -> v * (i + 1)), 0.0D, (t, v) -> t + v)", f"list_sum(list_transform({values}, lambda v, i: v * i))")
+    return s.put(f"CASE WHEN count({x}) {s.frame(n)} = {n} THEN {total} / {n * (n + 1) / 2!r} END")
 
 
 def _trima(s: Series, x: str, n: int) -> str:
@@ -410,13 +416,26 @@ def _t3(s: Series, x: str, n: int, v: float = 0.7) -> str:
     return s.put(" + ".join(f"({w!r}) * {y}" for w, y in zip(c, (e[5], e[4], e[3], e[2]))))
 
 
+def _cycle(s: Series, x: str = "close") -> list[str]:
+    """Smoothed price, in-phase and quadrature parts, and period of the dominant cycle; whatever asks for it, it is found once."""
+    return s.sequential("cycle", [x], 4)
+
+
+def _mama(s: Series, x: str, fast: float = 0.5, slow: float = 0.05) -> list[str]:
+    _, i1, q1, _ = _cycle(s, x)
+    return s.sequential("adaptive", [x, i1, q1], 2, fast=float(fast), slow=float(slow))
+
+
 def moving_average(s: Series, x: str, n: int, matype: int = 0) -> str:
-    """Kinds 0 to 8 in the usual numbering; 7 (MAMA) needs the sequential kernel and is not one of them here."""
+    """Kinds 0 to 8 in the usual numbering; 7 (MAMA, with its usual limits) follows the cycle and not n."""
     if n <= 1:
         return x
-    kinds = {0: s.sma, 1: s.ema, 2: lambda x, n: _wma(s, x, n), 3: lambda x, n: _dema(s, x, n), 4: lambda x, n: _tema(s, x, n), 5: lambda x, n: _trima(s, x, n), 6: lambda x, n: _kama(s, x, n), 8: lambda x, n: _t3(s, x, n)}
+    kinds = {
+        0: s.sma, 1: s.ema, 2: lambda x, n: _wma(s, x, n), 3: lambda x, n: _dema(s, x, n), 4: lambda x, n: _tema(s, x, n), 5: lambda x, n: _trima(s, x, n), 6: lambda x, n: _kama(s, x, n),
+        7: lambda x, n: _mama(s, x)[0], 8: lambda x, n: _t3(s, x, n),
+    }
     if matype not in kinds:
-        raise ValueError(f"moving average kind {matype} is not a window or scan")
+        raise ValueError(f"no moving average of kind {matype}")
     return kinds[matype](x, n)
 
 
@@ -530,38 +549,81 @@ def trange(s: Series, **_) -> list[str]:
     return [x, s.sma(x, 14)]
 
 
-# sequential: a task goes through a symbol's bars in order
+# sequential: a machine goes through a symbol's bars in order
+
 
+def _ready(s: Series, first: int, *xs: str) -> list[str]:
+    """Values from the bar of that place on; the bars before warm up."""
+    return [s.put(f"CASE WHEN bar_idx >= {first} THEN {x} END") for x in xs]
 
-def _kernel(name: str, category: str, outputs: str, entry, exit, **params: tuple) -> None:
-    REGISTRY[name] = Indicator(name, category, {k: Param(*v) for k, v in params.items()}, tuple(outputs.split()), None, entry, exit, kernel=name.lower())
 
+def _stop(s: Series, long: tuple, short: tuple, **rest: float) -> str:
+    sides = {f"{k}{side}": float(v) for side, own in (("long", long), ("short", short)) for k, v in zip(("init", "step", "max"), own)}
+    return s.sequential("stop_and_reverse", ["high", "low"], 1, **sides, **rest)[0]
 
-_kernel("SAR", "overlap", "sar", **PRICE, acceleration=(0.02, 0.01, 0.05), maximum=(0.2, 0.1, 0.4))
-_kernel(
-    "SAREXT", "overlap", "sarext", **PRICE, startvalue=(0.0, 0.0, 0.0), offsetonreverse=(0.0, 0.0, 0.1), accelerationinitlong=(0.02, 0.01, 0.05), accelerationlong=(0.02, 0.01, 0.05),
+
+@indicator("overlap", "sar", **PRICE, acceleration=(0.02, 0.01, 0.05), maximum=(0.2, 0.1, 0.4))
+def sar(s: Series, acceleration: float, maximum: float) -> list[str]:
+    return [s.put(f"abs({_stop(s, *[(acceleration, acceleration, maximum)] * 2)})")]
+
+
+@indicator(
+    "overlap", "sarext", **PRICE, startvalue=(0.0, 0.0, 0.0), offsetonreverse=(0.0, 0.0, 0.1), accelerationinitlong=(0.02, 0.01, 0.05), accelerationlong=(0.02, 0.01, 0.05),
     accelerationmaxlong=(0.2, 0.1, 0.4), accelerationinitshort=(0.02, 0.01, 0.05), accelerationshort=(0.02, 0.01, 0.05), accelerationmaxshort=(0.2, 0.1, 0.4),
 )
-_kernel("MAMA", "overlap", "mama fama", **PAIR, fastlimit=(0.5, 0.1, 0.9), slowlimit=(0.05, 0.01, 0.2))
-_kernel("HT_TRENDLINE", "overlap", "ht_trendline", **PRICE)
-_kernel("HT_DCPERIOD", "cycle", "ht_dcperiod", **LOW_HIGH, entry_constant=(20, 10, 40), exit_constant=(30, 20, 50))
-_kernel("HT_DCPHASE", "cycle", "ht_dcphase", **LOW_HIGH, entry_constant=(-45, -90, 0), exit_constant=(45, 0, 90))
-_kernel("HT_PHASOR", "cycle", "inphase quadrature", **PAIR)
-_kernel("HT_SINE", "cycle", "sine leadsine", **PAIR)
-_kernel(
-    "HT_TRENDMODE", "cycle", "trendmode",
-    lambda s, o, p: f"coalesce({o[0]} = 1 AND lag({o[0]}) {s.window()} = 0, false)", lambda s, o, p: f"coalesce({o[0]} = 0 AND lag({o[0]}) {s.window()} = 1, false)",
+def sarext(s: Series, startvalue: float, offsetonreverse: float, **p: float) -> list[str]:
+    sides = [[p[f"acceleration{k}{side}"] for k in ("init", "", "max")] for side in ("long", "short")]
+    return [_stop(s, *sides, startvalue=float(startvalue), offset=float(offsetonreverse))]
+
+
+@indicator("overlap", "mama fama", **PAIR, fastlimit=(0.5, 0.1, 0.9), slowlimit=(0.05, 0.01, 0.2))
+def mama(s: Series, fastlimit: float, slowlimit: float) -> list[str]:
+    return _mama(s, "close", fastlimit, slowlimit)
+
+
+@indicator("overlap", "ht_trendline", **PRICE)
+def ht_trendline(s: Series) -> list[str]:
+    return _ready(s, LONG, *s.sequential("trendline", ["close", _cycle(s)[3]], 1))
+
+
+@indicator("cycle", "ht_dcperiod", **LOW_HIGH, entry_constant=(20, 10, 40), exit_constant=(30, 20, 50))
+def ht_dcperiod(s: Series, **_) -> list[str]:
+    return _ready(s, SHORT, _cycle(s)[3])
+
+
+def _phase(s: Series) -> str:
+    smooth, _, _, period = _cycle(s)
+    return s.sequential("phase", [smooth, period], 1)[0]
+
+
+@indicator("cycle", "ht_dcphase", **LOW_HIGH, entry_constant=(-45, -90, 0), exit_constant=(45, 0, 90))
+def ht_dcphase(s: Series, **_) -> list[str]:
+    return _ready(s, LONG, _phase(s))
+
+
+@indicator("cycle", "inphase quadrature", **PAIR)
+def ht_phasor(s: Series) -> list[str]:
+    return _ready(s, SHORT, *_cycle(s)[1:3])
+
+
+@indicator("cycle", "sine leadsine", **PAIR)
+def ht_sine(s: Series) -> list[str]:
+    angle = _phase(s)
+    return _ready(s, LONG, f"sin(radians({angle}))", f"sin(radians({angle} + 45))")
+
+
+@indicator(
+    "cycle", "trendmode", entry=lambda s, o, p: f"coalesce({o[0]} = 1 AND {s.lag(o[0])} = 0, false)", exit=lambda s, o, p: f"coalesce({o[0]} = 0 AND {s.lag(o[0])} = 1, false)",
 )
+def ht_trendmode(s: Series) -> list[str]:
+    smooth, _, _, period = _cycle(s)
+    line = s.sequential("trendline", ["close", period], 1)[0]
+    return _ready(s, LONG, *s.sequential("trend_mode", [smooth, period, _phase(s), line], 1))
 
 
 def add(s: Series, name: str, **given: float) -> tuple[list[str], str | None, str | None]:
     """Outputs of an indicator and its entry and exit conditions, added to a series."""
     spec = REGISTRY[name]
     params = spec.defaults(**given)
-    if spec.kernel:
-        from tidemark.operators.kernels import run_kernel
-
-        outputs = run_kernel(s, spec.kernel, spec.outputs, params)
-    else:
-        outputs = spec.build(s, **params)
+    outputs = spec.build(s, **params)
     return outputs, spec.entry(s, outputs, params) if spec.entry else None, spec.exit(s, outputs, params) if spec.exit else None

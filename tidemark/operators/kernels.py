@@ -1,4 +1,8 @@
-"""Indicators whose next value depends on the ones before in ways that neither windows nor scans express: one pass over each symbol's bars."""
+"""Machines for jobs whose next value depends on the ones before in ways that no recurrence of ``passes`` expresses.
+
+Each goes through a symbol's bars one by one, keeps a fixed state (the longest is a ring of the last 64 values) and begins anew with the next symbol. Nulls are
+passed over. Batches may end anywhere.
+"""
 
 from __future__ import annotations
 
@@ -6,165 +10,209 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
-from pyspark.sql.types import DoubleType, StructField, StructType
+
+from tidemark.operators.passes import Places
 
 #: First bars without a value: the Hilbert transform's warm-up, and that of what is smoothed from it.
 SHORT, LONG = 32, 63
-
-
-def stop_and_reverse(high, low, long_af: tuple[float, float, float], short_af: tuple[float, float, float], start: float = 0.0, offset: float = 0.0) -> np.ndarray:
-    """Wilder's stop from bar 1 on, negative while short. Factors: initial, step, most. start: 0 (direction from bar 1's movement) or a first stop."""
-    n, out = len(high), np.full(len(high), np.nan)
-    if n < 2:
-        return out
-    down = low[0] - low[1]
-    is_long = start > 0 if start else not (down > 0 and down > high[1] - high[0])
-    stop = abs(start) or (low[0] if is_long else high[0])
-    extreme, factor = (high[1], long_af[0]) if is_long else (low[1], short_af[0])
-    for t in range(1, n):
-        side = 1 if is_long else -1
-        if (low[t] <= stop) if is_long else (high[t] >= stop):
+#: Places of a ring of past values; the longest cycle has 50 bars.
+_RING = 64
+
+
+class Machine:
+    """``start`` sets the state for a symbol, ``step`` takes a bar's values and gives its outputs."""
+
+    outputs = 1
+
+    def start(self) -> None:
+        raise NotImplementedError
+
+    def step(self, *values: float) -> tuple[float, ...]:
+        raise NotImplementedError
+
+    def __init__(self) -> None:
+        self.start()
+
+    def __call__(self, places: Places, *inputs: np.ndarray) -> list[np.ndarray]:
+        out = np.full((len(places.new), self.outputs), np.nan)
+        some = ~np.isnan(np.stack(inputs)).any(axis=0)
+        rows = np.flatnonzero(some | places.new)
+        for t, new, good, *values in zip(rows.tolist(), places.new[rows].tolist(), some[rows].tolist(), *(x[rows].tolist() for x in inputs)):
+            if new:
+                self.start()
+            if good:
+                out[t] = self.step(*values)
+        return list(out.T)
+
+
+class StopAndReverse(Machine):
+    """Wilder's stop of (high, low) from the second bar on, negative while short. Factors: initial, step, most. startvalue: 0 (direction from the second bar's movement) or a first stop."""
+
+    def __init__(self, initlong: float, steplong: float, maxlong: float, initshort: float, stepshort: float, maxshort: float, startvalue: float = 0.0, offset: float = 0.0) -> None:
+        self.sides = {True: (initlong, steplong, maxlong), False: (initshort, stepshort, maxshort)}
+        self.first, self.offset = startvalue, offset
+        self.start()
+
+    def start(self) -> None:
+        self.before, self.stop = None, None
+
+    def step(self, high: float, low: float) -> tuple[float, ...]:
+        if self.before is None:
+            self.before = high, low
+            return (math.nan,)
+        old_high, old_low = self.before
+        if self.stop is None:
+            down = old_low - low
+            self.long = self.first > 0 if self.first else not (down > 0 and down > high - old_high)
+            self.stop = abs(self.first) or (old_low if self.long else old_high)
+            self.extreme, self.factor = high if self.long else low, self.sides[self.long][0]
+        if (low <= self.stop) if self.long else (high >= self.stop):
             # touched: turn, with the old extreme as the stop, beyond the last two bars
-            is_long, side = not is_long, -side
-            edge = (min if is_long else max)(extreme, low[t - 1] if is_long else high[t - 1], low[t] if is_long else high[t])
-            stop = edge - side * abs(edge) * offset
-            extreme, factor = (high[t], long_af[0]) if is_long else (low[t], short_af[0])
-            out[t] = side * stop
+            self.long = not self.long
+            edge = max(self.extreme, old_high, high) if not self.long else min(self.extreme, old_low, low)
+            self.stop = edge + (-1 if self.long else 1) * abs(edge) * self.offset
+            self.extreme, self.factor = high if self.long else low, self.sides[self.long][0]
+            out = self.stop if self.long else -self.stop
         else:
-            out[t] = side * stop
-            better = high[t] > extreme if is_long else low[t] < extreme
-            if better:
-                _, step, most = long_af if is_long else short_af
-                extreme, factor = (high[t] if is_long else low[t]), min(factor + step, most)
-        stop += factor * (extreme - stop)
-        stop = min(stop, low[t - 1], low[t]) if is_long else max(stop, high[t - 1], high[t])
-    return out
-
-
-def cycle(close: np.ndarray) -> dict[str, np.ndarray]:
-    """Ehlers' homodyne discriminator over closes: smoothed price, in-phase and quadrature parts, and periods, bar by bar."""
-    n = len(close)
-    names = ("smooth", "detrender", "q1", "i1", "i2", "q2", "re", "im", "period", "smooth_period")
-    x = {k: np.zeros(n) for k in names}
-
-    def hilbert(series: np.ndarray, t: int, scale: float) -> float:
-        return (0.0962 * series[t] + 0.5769 * series[t - 2] - 0.5769 * series[t - 4] - 0.0962 * series[t - 6]) * scale
-
-    for t in range(n):
-        x["smooth"][t] = (4 * close[t] + 3 * close[t - 1] + 2 * close[t - 2] + close[t - 3]) / 10 if t >= 3 else close[t]
+            out = self.stop if self.long else -self.stop
+            if (high > self.extreme) if self.long else (low < self.extreme):
+                _, step, most = self.sides[self.long]
+                self.extreme, self.factor = high if self.long else low, min(self.factor + step, most)
+        self.stop += self.factor * (self.extreme - self.stop)
+        self.stop = min(self.stop, old_low, low) if self.long else max(self.stop, old_high, high)
+        self.before = high, low
+        return (out,)
+
+
+class Cycle(Machine):
+    """Ehlers' homodyne discriminator: smoothed price, in-phase and quadrature parts, and the smoothed period."""
+
+    outputs = 4
+
+    def start(self) -> None:
+        self.t = -1
+        self.close, self.smooth, self.detrender, self.q1, self.i1 = ([0.0] * 8 for _ in range(5))
+        self.i2 = self.q2 = self.re = self.im = self.period = self.smooth_period = 0.0
+
+    def _hilbert(self, ring: list[float], scale: float) -> float:
+        t = self.t
+        return (0.0962 * ring[t & 7] + 0.5769 * ring[t - 2 & 7] - 0.5769 * ring[t - 4 & 7] - 0.0962 * ring[t - 6 & 7]) * scale
+
+    def step(self, close: float) -> tuple[float, ...]:
+        self.t = t = self.t + 1
+        now, c = t & 7, self.close
+        c[now] = close
+        self.smooth[now] = smooth = (4 * close + 3 * c[t - 1 & 7] + 2 * c[t - 2 & 7] + c[t - 3 & 7]) / 10 if t >= 3 else close
         if t < 6:
-            continue
-        scale = 0.075 * x["period"][t - 1] + 0.54
-        x["detrender"][t] = hilbert(x["smooth"], t, scale)
-        x["q1"][t], x["i1"][t] = hilbert(x["detrender"], t, scale), x["detrender"][t - 3]
-        ji, jq = hilbert(x["i1"], t, scale), hilbert(x["q1"], t, scale)
-        x["i2"][t] = 0.2 * (x["i1"][t] - jq) + 0.8 * x["i2"][t - 1]
-        x["q2"][t] = 0.2 * (x["q1"][t] + ji) + 0.8 * x["q2"][t - 1]
-        x["re"][t] = 0.2 * (x["i2"][t] * x["i2"][t - 1] + x["q2"][t] * x["q2"][t - 1]) + 0.8 * x["re"][t - 1]
-        x["im"][t] = 0.2 * (x["i2"][t] * x["q2"][t - 1] - x["q2"][t] * x["i2"][t - 1]) + 0.8 * x["im"][t - 1]
-        before = period = x["period"][t - 1]
-        if x["im"][t] and x["re"][t]:
-            angle = math.degrees(math.atan(x["im"][t] / x["re"][t]))
-            period = 360 / angle if angle else before
+            return smooth, 0.0, 0.0, 0.0
+        before = self.period
+        scale = 0.075 * before + 0.54
+        self.detrender[now] = self._hilbert(self.smooth, scale)
+        self.q1[now], self.i1[now] = self._hilbert(self.detrender, scale), self.detrender[t - 3 & 7]
+        ji, jq = self._hilbert(self.i1, scale), self._hilbert(self.q1, scale)
+        i2, q2 = 0.2 * (self.i1[now] - jq) + 0.8 * self.i2, 0.2 * (self.q1[now] + ji) + 0.8 * self.q2
+        self.re = 0.2 * (i2 * self.i2 + q2 * self.q2) + 0.8 * self.re
+        self.im = 0.2 * (i2 * self.q2 - q2 * self.i2) + 0.8 * self.im
+        self.i2, self.q2, period = i2, q2, before
+        if self.im and self.re and (angle := math.degrees(math.atan(self.im / self.re))):
+            period = 360 / angle
         period = min(max(period, 0.67 * before), 1.5 * before) if before else period
-        period = 0.2 * min(max(period, 6.0), 50.0) + 0.8 * before
-        x["period"][t] = period
-        x["smooth_period"][t] = 0.33 * period + 0.67 * x["smooth_period"][t - 1]
-    return x
-
-
-def phase(x: dict[str, np.ndarray]) -> np.ndarray:
-    out = np.zeros(len(x["smooth"]))
-    for t in range(6, len(out)):
-        span = int(x["smooth_period"][t] + 0.5)
-        turn = 2 * math.pi * np.arange(span) / max(span, 1)
-        part = np.zeros(span)
-        part[: min(span, t + 1)] = x["smooth"][max(0, t - span + 1) : t + 1][::-1]
-        re, im = float((np.sin(turn) * part).sum()), float((np.cos(turn) * part).sum())
+        self.period = period = 0.2 * min(max(period, 6.0), 50.0) + 0.8 * before
+        self.smooth_period = 0.33 * period + 0.67 * self.smooth_period
+        return smooth, self.i1[now], self.q1[now], self.smooth_period
+
+
+class _Ring:
+    """The last values, the latest first."""
+
+    def __init__(self) -> None:
+        self.twice, self.at, self.count = np.zeros(2 * _RING), _RING, 0
+
+    def add(self, value: float) -> None:
+        self.at = (self.at - 1) % _RING
+        self.twice[self.at] = self.twice[self.at + _RING] = value
+        self.count += 1
+
+    def last(self, n: int) -> np.ndarray:
+        return self.twice[self.at : self.at + n]
+
+
+class Phase(Machine):
+    """The dominant cycle's phase in degrees, of (smoothed price, period)."""
+
+    turns = [np.array([np.sin(x), np.cos(x)]) for x in (2 * math.pi * np.arange(n) / max(n, 1) for n in range(_RING))]
+
+    def start(self) -> None:
+        self.ring = _Ring()
+
+    def step(self, smooth: float, period: float) -> tuple[float, ...]:
+        self.ring.add(smooth)
+        if self.ring.count <= 6:
+            return (0.0,)
+        span = int(period + 0.5)
+        re, im = (self.turns[span] * self.ring.last(span)).sum(axis=1).tolist()
         angle = math.degrees(math.atan(re / im)) if abs(im) > 0.001 else math.copysign(90.0, re) if re else 0.0
-        angle += 90.0 + (360.0 / x["smooth_period"][t] if x["smooth_period"][t] else 0.0) + (180.0 if im < 0 else 0.0)
-        out[t] = angle - 360.0 if angle > 315.0 else angle
-    return out
-
-
-def trendline(close: np.ndarray, x: dict[str, np.ndarray]) -> np.ndarray:
-    mean = close.copy()
-    for t in range(6, len(close)):
-        span = int(x["smooth_period"][t] + 0.5)
-        mean[t] = close[max(0, t - span + 1) : t + 1].mean() if span else close[t]
-    out = mean.copy()
-    out[3:] = (4 * mean[3:] + 3 * mean[2:-1] + 2 * mean[1:-2] + mean[:-3]) / 10
-    return out
-
-
-def trend_mode(close: np.ndarray, x: dict[str, np.ndarray]) -> np.ndarray:
-    angle, line = phase(x), trendline(close, x)
-    sine, lead = np.sin(np.radians(angle)), np.sin(np.radians(angle + 45))
-    out, days = np.zeros(len(close)), 0
-    for t in range(1, len(close)):
-        trend, period = 1, x["smooth_period"][t]
-        if (sine[t] > lead[t]) != (sine[t - 1] > lead[t - 1]):
-            days = trend = 0
-        days += 1
-        if days < 0.5 * period:
-            trend = 0
-        turn = angle[t] - angle[t - 1]
-        if period and 0.67 * 360 / period < turn < 1.5 * 360 / period:
-            trend = 0
-        if line[t] and abs((x["smooth"][t] - line[t]) / line[t]) >= 0.015:
-            trend = 1
-        out[t] = trend
-    return out
-
-
-def adaptive(close: np.ndarray, fast: float, slow: float) -> tuple[np.ndarray, np.ndarray]:
-    """MAMA and FAMA: averages whose weight follows how fast the phase turns."""
-    x = cycle(close)
-    mama, fama, before = close.copy(), close.copy(), 0.0
-    for t in range(1, len(close)):
-        angle = math.degrees(math.atan(x["q1"][t] / x["i1"][t])) if x["i1"][t] else 0.0
-        weight = max(fast / max(before - angle, 1.0), slow)
-        before = angle
-        mama[t] = weight * close[t] + (1 - weight) * mama[t - 1]
-        fama[t] = 0.5 * weight * mama[t] + (1 - 0.5 * weight) * fama[t - 1]
-    return mama, fama
-
-
-def _after(first: int, *series: np.ndarray) -> list[np.ndarray]:
-    return [np.where(np.arange(len(s)) >= first, s, np.nan) for s in series]
-
-
-def _sarext(g: pd.DataFrame, p: dict) -> list[np.ndarray]:
-    sides = [tuple(float(p[f"acceleration{k}{d}"]) for k in ("init", "", "max")) for d in ("long", "short")]
-    return [stop_and_reverse(g["high"].to_numpy(), g["low"].to_numpy(), *sides, float(p["startvalue"]), float(p["offsetonreverse"]))]
-
-
-KERNELS: dict[str, Callable[[pd.DataFrame, dict], list[np.ndarray]]] = {
-    "sar": lambda g, p: [np.abs(stop_and_reverse(g["high"].to_numpy(), g["low"].to_numpy(), *[(p["acceleration"], p["acceleration"], p["maximum"])] * 2))],
-    "sarext": _sarext,
-    "mama": lambda g, p: _after(SHORT, *adaptive(g["close"].to_numpy(), p["fastlimit"], p["slowlimit"])),
-    "ht_dcperiod": lambda g, p: _after(SHORT, cycle(g["close"].to_numpy())["smooth_period"]),
-    "ht_phasor": lambda g, p: _after(SHORT, *(cycle(g["close"].to_numpy())[k] for k in ("i1", "q1"))),
-    "ht_dcphase": lambda g, p: _after(LONG, phase(cycle(g["close"].to_numpy()))),
-    "ht_sine": lambda g, p: _after(LONG, *(np.sin(np.radians(phase(cycle(g["close"].to_numpy())) + shift)) for shift in (0, 45))),
-    "ht_trendline": lambda g, p: _after(LONG, trendline(g["close"].to_numpy(), cycle(g["close"].to_numpy()))),
-    "ht_trendmode": lambda g, p: _after(LONG, trend_mode(g["close"].to_numpy(), cycle(g["close"].to_numpy()))),
-}
-
-
-def run_kernel(s, kernel: str, outputs: tuple[str, ...], params: dict) -> list[str]:
-    """Adds a kernel's outputs to a SparkSeries: its symbols (and combinations of parameters) are independent groups."""
-    if not hasattr(s, "df"):
-        raise NotImplementedError("sequential indicators have no SQL form")
-    names, run, columns = [s.name() for _ in outputs], KERNELS[kernel], s.df.columns
-
-    def group(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("bar_idx", ignore_index=True)
-        for name, values in zip(names, run(g.astype({"open": float, "high": float, "low": float, "close": float}), params)):
-            g[name] = pd.Series(values, index=g.index).astype(object).where(~np.isnan(values), None)
-        return g[[*columns, *names]]
-
-    schema = StructType([*s.df.schema.fields, *(StructField(n, DoubleType()) for n in names)])
-    s.df = s.df.groupBy(*s.keys).applyInPandas(group, schema)
-    return names
+        angle += 90.0 + (360.0 / period if period else 0.0) + (180.0 if im < 0 else 0.0)
+        return (angle - 360.0 if angle > 315.0 else angle,)
+
+
+class Trendline(Machine):
+    """The mean of (price, period) over a dominant cycle, smoothed over four bars."""
+
+    def start(self) -> None:
+        self.ring, self.means = _Ring(), []
+
+    def step(self, close: float, period: float) -> tuple[float, ...]:
+        self.ring.add(close)
+        span = min(int(period + 0.5), self.ring.count)
+        self.means = [*self.means[-3:], float(self.ring.last(span).mean()) if span and self.ring.count > 6 else close]
+        m = self.means
+        return ((4 * m[3] + 3 * m[2] + 2 * m[1] + m[0]) / 10 if len(m) == 4 else m[-1],)
+
+
+class TrendMode(Machine):
+    """1 in a trend, 0 in a cycle, of (smoothed price, period, phase, trendline)."""
+
+    def start(self) -> None:
+        self.before, self.days = None, 0
+
+    def step(self, smooth: float, period: float, angle: float, line: float) -> tuple[float, ...]:
+        leads = math.sin(math.radians(angle)) > math.sin(math.radians(angle + 45))
+        before, self.before = self.before, (leads, angle)
+        if before is None:
+            return (0.0,)
+        trend = 1.0
+        if leads != before[0]:
+            self.days, trend = 0, 0.0
+        self.days += 1
+        if self.days < 0.5 * period or period and 0.67 * 360 / period < angle - before[1] < 1.5 * 360 / period:
+            trend = 0.0
+        return (1.0 if line and abs((smooth - line) / line) >= 0.015 else trend,)
+
+
+class Adaptive(Machine):
+    """MAMA and FAMA of (price, in-phase, quadrature): averages whose weight follows how fast the phase turns."""
+
+    outputs = 2
+
+    def __init__(self, fast: float, slow: float) -> None:
+        self.fast, self.slow = fast, slow
+        self.start()
+
+    def start(self) -> None:
+        self.mama, self.fama, self.angle, self.count = None, None, 0.0, 0
+
+    def step(self, close: float, i1: float, q1: float) -> tuple[float, ...]:
+        if self.mama is None:
+            self.mama = self.fama = close
+        else:
+            angle = math.degrees(math.atan(q1 / i1)) if i1 else 0.0
+            weight = max(self.fast / max(self.angle - angle, 1.0), self.slow)
+            self.angle = angle
+            self.mama = weight * close + (1 - weight) * self.mama
+            self.fama = 0.5 * weight * self.mama + (1 - 0.5 * weight) * self.fama
+        self.count += 1
+        return (self.mama, self.fama) if self.count > SHORT else (math.nan, math.nan)
+
+
+KINDS: dict[str, Callable] = {"stop_and_reverse": StopAndReverse, "cycle": Cycle, "phase": Phase, "trendline": Trendline, "trend_mode": TrendMode, "adaptive": Adaptive}

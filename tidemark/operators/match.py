@@ -136,7 +136,7 @@ def sweep_signals(labelled: DataFrame, name: str, combos: list[dict]) -> DataFra
     for k, params in enumerate(combos):
         s = SparkSeries(targets)
         _, entry, exit_ = add(s, name, **params)
-        one = s.df.selectExpr(f"{k} AS combo_id", "symbol", "bar_ts", "bar_idx", "close", f"{entry} AS entry", f"{exit_} AS exit", "target_entry", "target_exit")
+        one = s.select(f"{k} AS combo_id", "symbol", "bar_ts", "bar_idx", "close", f"{entry} AS entry", f"{exit_} AS exit", "target_entry", "target_exit")
         parts = one if parts is None else parts.unionByName(one)
     return parts
 

@@ -1,25 +1,33 @@
 """Series operators: columns over each symbol's bars in time order.
 
-A ``Series`` collects steps; each adds one column by an SQL expression over the columns so far (window functions included, as all steps share
-one partitioning and order, Spark sorts once). ``SparkSeries`` runs them on a DataFrame, ``SqlSeries`` writes the same steps as SQL text for a
-check by another engine. Missing values are null; quotients of zero are null.
+A ``Series`` collects steps, each of which adds a column: an SQL expression over the columns so far (window functions included), or a job that goes
+through a symbol's bars in order. Equal steps are one step, so indicators that share an average or a range compute it once, whatever asks for it.
+
+``SparkSeries`` runs the steps that a result needs, and only when it is asked for. Expressions share one partitioning and order, so Spark shuffles and sorts
+the bars once; all jobs whose inputs are there run in one pass over the sorted bars (``passes.run_pass``). ``SqlSeries`` writes the same steps as SQL text for
+a check by another engine. Missing values are null; quotients of zero are null.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from tidemark.operators.passes import Job, run_blocks, run_pass
+
+_OWN = re.compile(r"\bt\d+_\b")
+_WORD = re.compile(r"\w+")
+_NUMBER = re.compile(r"[-+]?[\d.]+(e[-+]?\d+)?", re.IGNORECASE)
 
 
 class Series:
-    """The steps' vocabulary; ``put`` and ``affine`` are left to the engine."""
+    """The steps' vocabulary; ``put``, ``affine_all`` and ``sequential`` are left to the engine."""
 
     def __init__(self, keys: tuple[str, ...] = ("symbol",)) -> None:
         self.keys, self.count = keys, 0
+        self.known: dict[tuple, object] = {}
 
     def name(self) -> str:
         self.count += 1
@@ -31,6 +39,9 @@ class Series:
     def affine_all(self, pairs: list[tuple[str, str]]) -> list[str]:
         raise NotImplementedError
 
+    def sequential(self, kind: str, inputs: list[str], outputs: int, **params: float) -> list[str]:
+        raise NotImplementedError
+
     def affine(self, a: str, b: str) -> str:
         return self.affine_all([(a, b)])[0]
 
@@ -44,7 +55,7 @@ class Series:
         return f"{aggregate} {self.window('ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW')}"
 
     def lag(self, x: str, k: int = 1) -> str:
-        return self.put(f"lag({x}, {k}) {self.window()}")
+        return x if _NUMBER.fullmatch(x) else self.put(f"lag({x}, {k}) {self.window()}")
 
     def roll(self, aggregate: str, x: str, n: int) -> str:
         """An aggregate of the last n values; null until there are n."""
@@ -56,6 +67,9 @@ class Series:
     def total(self, aggregate: str) -> str:
         return self.put(self.running(aggregate))
 
+    def minus(self, x: str, y: str) -> str:
+        return self.put(f"{x} - {y}")
+
     def ema(self, x: str, n: int, alpha: float | None = None, seed_at: int | None = None) -> str:
         """y = (1 - alpha) * y + alpha * x, from the mean of n values on that end with the ``seed_at``-th one (the n-th by default)."""
         return self.emas([x], n, alpha, seed_at)[0]
@@ -64,7 +78,7 @@ class Series:
         return self.emas_of([(x, n, alpha, seed_at) for x in xs])
 
     def emas_of(self, items: list[tuple[str, int, float | None, int | None]]) -> list[str]:
-        """The averages of several (x, n, alpha, seed_at) in one pass over the bars."""
+        """The averages of several (x, n, alpha, seed_at)."""
         pairs = []
         for x, n, alpha, seed_at in items:
             alpha, at = 2.0 / (n + 1) if alpha is None else alpha, seed_at or n
@@ -92,25 +106,102 @@ class Series:
         return self.ema(x, n, alpha=1.0 / n)
 
 
+@dataclass
+class _Step:
+    """An expression (``text``) or a job; ``turn``: the number of passes before it, ``depth``: expressions of that turn that it stands on."""
+
+    turn: int
+    depth: int
+    text: str | None = None
+    job: Job | None = None
+
+
 class SparkSeries(Series):
-    def __init__(self, df: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> None:
+    """``block``: with it, recurrences of symbols of more bars than that are folded by several tasks at once, a pass for each that stands on another."""
+
+    def __init__(self, df: DataFrame, keys: tuple[str, ...] = ("symbol",), block: int | None = None) -> None:
         super().__init__(keys)
-        self.df = df
+        self.base, self.steps, self.block = df, {}, block
+
+    def _add(self, text: str | None = None, job: Job | None = None) -> list[str]:
+        key = ("put", text) if job is None else ("job", job.kind, job.inputs, job.params)
+        if key not in self.known:
+            names = (self.name(),) if job is None else tuple(self.name() for _ in range(job.outputs))
+            on = [self.steps[r] for r in dict.fromkeys(_OWN.findall(text) if job is None else job.inputs) if r in self.steps]
+            if job is None:
+                turn = max((s.turn + (s.job is not None) for s in on), default=0)
+                step = _Step(turn, 1 + max((s.depth for s in on if s.job is None and s.turn == turn), default=-1), text=text)
+            else:
+                step = _Step(max((s.turn for s in on), default=0), 0, job=job.named(names))
+            self.steps |= dict.fromkeys(names, step)
+            self.known[key] = list(names)
+        return list(self.known[key])
 
     def put(self, spark: str, other: str | None = None) -> str:
-        name = self.name()
-        self.df = self.df.selectExpr("*", f"{spark} AS {name}")
-        return name
+        return spark if _OWN.fullmatch(spark) else self._add(text=spark)[0]
+
+    def _column(self, x: str) -> str:
+        return x if self._of_job(x) and not self.block else self.put(f"CAST({x} AS DOUBLE)")
+
+    def job(self, kind: str, inputs: list[str], outputs: int = 1, **params: float) -> list[str]:
+        return self._add(job=Job(kind, tuple(self._column(x) for x in inputs), outputs, tuple(sorted(params.items()))))
+
+    sequential = job
+
+    def _of_job(self, x: str) -> bool:
+        return x in self.steps and self.steps[x].job is not None
+
+    def lag(self, x: str, k: int = 1) -> str:
+        return self.job("lag", [x], k=k)[0] if self._of_job(x) and not self.block else super().lag(x, k)
+
+    def minus(self, x: str, y: str) -> str:
+        return self.job("minus", [x, y])[0] if (self._of_job(x) or self._of_job(y)) and not self.block else super().minus(x, y)
 
     def affine_all(self, pairs: list[tuple[str, str]]) -> list[str]:
-        rows = [(self.put(f"CAST({a} AS DOUBLE)"), self.put(f"CAST({b} AS DOUBLE)"), self.name()) for a, b in pairs]
-        self.df = scan(self.df, rows, self.keys)
-        return [out for _, _, out in rows]
+        return [self.job("affine", [a, b])[0] for a, b in pairs]
 
-    def cascade(self, x: str, n: int, times: int) -> list[str]:
-        x, outs = self.put(f"CAST({x} AS DOUBLE)"), [self.name() for _ in range(times)]
-        self.df = cascade(self.df, x, n, outs, self.keys)
-        return outs
+    def emas_of(self, items: list[tuple[str, int, float | None, int | None]]) -> list[str]:
+        if self.block:
+            return super().emas_of(items)
+        return [self.job("ema", [x], n=n, alpha=2.0 / (n + 1) if alpha is None else alpha, seed_at=seed_at or n)[0] for x, n, alpha, seed_at in items]
+
+    def wilder_sums(self, xs: list[str], n: int) -> list[str]:
+        if self.block:
+            return super().wilder_sums(xs, n)
+        return [self.job("wilder_sum", [x], n=n)[0] for x in xs]
+
+    @property
+    def df(self) -> DataFrame:
+        """All columns, those of every step included."""
+        return self.select(*[f"`{c}`" for c in self.base.columns], *self.steps)
+
+    def select(self, *exprs: str) -> DataFrame:
+        """The expressions, after the steps that they need."""
+        needed, todo = set(), _OWN.findall(" ".join(exprs))
+        while todo:
+            if (name := todo.pop()) in self.steps and name not in needed:
+                step = self.steps[name]
+                needed |= {name} if step.job is None else set(step.job.names)
+                todo += _OWN.findall(step.text) if step.job is None else step.job.inputs
+        steps = {id(s): s for n, s in self.steps.items() if n in needed}.values()
+        names = {id(s): n for n, s in self.steps.items()}
+        df, carried = self.base, list(self.base.columns)
+        for turn in range(max((s.turn for s in steps), default=0) + 1):
+            own = [s for s in steps if s.turn == turn and s.job is None]
+            for depth in sorted({s.depth for s in own}):
+                new = [s for s in own if s.depth == depth]
+                df = df.selectExpr("*", *[f"{s.text} AS {names[id(s)]}" for s in new])
+                carried += [names[id(s)] for s in new]
+            jobs = [s.job for s in steps if s.turn == turn and s.job is not None]
+            if jobs:
+                later = [s for s in steps if s.turn > turn]
+                text = " ".join([*exprs, *[s.text if s.job is None else " ".join(s.job.inputs) for s in later]])
+                used = {*_WORD.findall(text), *self.keys, "bar_ts", "bar_idx"}
+                keep = [c for c in carried if c in used]
+                alone = self.block and all(j.kind == "affine" for j in jobs)
+                df = run_blocks(df, self.keys, jobs, keep, self.block) if alone else run_pass(df, self.keys, jobs, keep)
+                carried = [*keep, *[n for j in jobs for n in j.names]]
+        return df.selectExpr(*exprs)
 
 
 class SqlSeries(Series):
@@ -121,102 +212,44 @@ class SqlSeries(Series):
         self.parts = [f"v0 AS MATERIALIZED ({source})"]
 
     def put(self, spark: str, other: str | None = None) -> str:
-        name, last = self.name(), len(self.parts) - 1
-        self.parts.append(f"v{last + 1} AS (SELECT *, {other or spark} AS {name} FROM v{last})")
-        return name
+        text = other or spark
+        if _OWN.fullmatch(text):
+            return text
+        if ("put", text) not in self.known:
+            self.known["put", text] = name = self.name()
+            self.parts.append(f"v{len(self.parts)} AS (SELECT *, {text} AS {name} FROM v{len(self.parts) - 1})")
+        return self.known["put", text]
 
     def affine_all(self, pairs: list[tuple[str, str]]) -> list[str]:
         return [self._affine(a, b) for a, b in pairs]
 
     def _affine(self, a: str, b: str) -> str:
-        a, b = self.put(f"CAST({a} AS DOUBLE)"), self.put(f"CAST({b} AS DOUBLE)")
-        name, last = self.name(), len(self.parts) - 1
-        self.parts[last] = self.parts[last].replace(" AS (", " AS MATERIALIZED (", 1)
-        on = " AND ".join(f"s.{k} = r.{k}" for k in self.keys)
+        if ("affine", a, b) in self.known:
+            return self.known["affine", a, b]
+        key, a, b = ("affine", a, b), self.put(f"CAST({a} AS DOUBLE)"), self.put(f"CAST({b} AS DOUBLE)")
+        name = self.known[key] = self.name()
         keys = ", ".join(self.keys)
-        self.parts.append(f"r{last + 1}({keys}, bar_idx, {name}) AS (SELECT {keys}, bar_idx, {b} FROM v{last} WHERE {a} = 0 UNION ALL SELECT {', '.join('s.' + k for k in self.keys)}, s.bar_idx, s.{a} * r.{name} + s.{b} FROM r{last + 1} r JOIN v{last} s ON {on} AND s.bar_idx = r.bar_idx + 1)")
-        self.parts.append(f"v{last + 2} AS MATERIALIZED (SELECT s.*, r.{name} FROM v{last} s LEFT JOIN r{last + 1} r ON {on} AND s.bar_idx = r.bar_idx)")
+        self.recursive(
+            [name], lambda v, r, on: f"SELECT {keys}, bar_idx, {b} FROM {v} WHERE {a} = 0 UNION ALL SELECT {', '.join('s.' + k for k in self.keys)}, s.bar_idx, s.{a} * r.{name} + s.{b} FROM {r} r JOIN {v} s ON {on} AND s.bar_idx = r.bar_idx + 1"
+        )
         return name
 
-    def sql(self, select: str) -> str:
-        return f"WITH RECURSIVE {', '.join(self.parts)} SELECT {select} FROM v{len(self.parts) - 1}"
+    def recursive(self, columns: list[str], body, place: str = "bar_idx") -> None:
+        """Columns by bar (of number ``place``) of a recursive query: ``body`` takes the rows so far, the query's own name and the join of keys of s and r; what it selects begins with the keys and the place."""
+        last = len(self.parts) - 1
+        self.parts[last] = self.parts[last].replace(" AS (", " AS MATERIALIZED (", 1)
+        on = " AND ".join(f"s.{k} = r.{k}" for k in self.keys)
+        self.parts.append(f"r{last + 1}({', '.join([*self.keys, place, *columns])}) AS ({body(f'v{last}', f'r{last + 1}', on)})")
+        shown = [c for c in columns if _OWN.fullmatch(c)]
+        self.parts.append(f"v{last + 2} AS MATERIALIZED (SELECT s.*, {', '.join('r.' + c for c in shown)} FROM v{last} s LEFT JOIN r{last + 1} r ON {on} AND s.{place} = r.{place})")
+
+    def sequential(self, kind: str, inputs: list[str], outputs: int, **params: float) -> list[str]:
+        from tidemark.plans.recursions import RECURSIONS
 
+        key = (kind, *inputs, *sorted(params.items()))
+        if key not in self.known:
+            self.known[key] = RECURSIONS[kind](self, *inputs, **params)
+        return self.known[key]
 
-def cascade(df: DataFrame, x: str, n: int, outs: list[str], keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Columns ``outs``: exponential averages of x, of the first average, and so on, all in one pass over each key's bars in order.
-
-    A level is null until it has met n values; only each level's count and value are held.
-    """
-    ordered = df.repartition(*keys).sortWithinPartitions(*keys, "bar_idx")
-    at, alpha = {c: k for k, c in enumerate(ordered.columns)}, 2.0 / (n + 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, state = None, []
-        for batch in batches:
-            columns: list[list] = [[] for _ in outs]
-            for *key, value in zip(*(batch.column(at[c]).to_pylist() for c in (*keys, x))):
-                if key != last:
-                    last, state = key, [[0, 0.0] for _ in outs]
-                for level, out in zip(state, columns):
-                    if value is not None:
-                        level[0] += 1
-                        if level[0] > n:
-                            level[1] = (1.0 - alpha) * level[1] + alpha * value
-                        else:
-                            level[1] += value / n
-                    value = level[1] if value is not None and level[0] >= n else None
-                    out.append(value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.float64()) for c in columns)], [*batch.schema.names, *outs])
-
-    return ordered.mapInArrow(run, StructType([*ordered.schema.fields, *(StructField(c, DoubleType()) for c in outs)]))
-
-
-def scan(df: DataFrame, pairs: list[tuple[str, str, str]], keys: tuple[str, ...] = ("symbol",), block: int | None = None) -> DataFrame:
-    """For each (a, b, out) a column ``out``: y = a * y(previous bar) + b along each key's bars; null where b is null. The first b has a = 0.
-
-    A key's bars pass through a task in order, and only the last values are held. With ``block``, series of more bars are split: steps compose,
-    so each block of bars is folded from zero together with the product of its a, and what comes in from the blocks before it is added.
-    """
-    names = df.columns
-    part = F.floor(F.col("bar_idx") / block).cast("int") if block else F.lit(0)
-    blocks = df.withColumn("block_", part).repartition(*keys, "block_").sortWithinPartitions(*keys, "block_", "bar_idx")
-    at = {c: k for k, c in enumerate(blocks.columns)}
-    own = [at[k] for k in (*keys, "block_")]
-    added = [f"{kind}{k}_" for k in range(len(pairs)) for kind in "yp"]
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, state = None, [(0.0, 1.0)] * len(pairs)
-        for batch in batches:
-            changes = [True] * batch.num_rows
-            for k, key in enumerate(zip(*(batch.column(c).to_pylist() for c in own))):
-                changes[k] = key != last
-                last = key
-            columns = []
-            for k, (a, b, _) in enumerate(pairs):
-                (y, p), ys, ps = state[k], [], []
-                for new, u, v in zip(changes, batch.column(at[a]).to_pylist(), batch.column(at[b]).to_pylist()):
-                    if new:
-                        y, p = 0.0, 1.0
-                    u = 0.0 if u is None or v is None else u
-                    y, p = u * y + (0.0 if v is None else v), u * p
-                    ys.append(y)
-                    ps.append(p)
-                state[k] = (y, p)
-                columns += [pa.array(ys, pa.float64()), pa.array(ps, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *added])
-
-    folded = blocks.mapInArrow(fold, StructType([*blocks.schema.fields, *(StructField(c, DoubleType()) for c in added)]))
-    if not block:
-        return folded.select(*names, *[F.when(F.col(b).isNotNull(), F.col(f"y{k}_")).alias(out) for k, (_, b, out) in enumerate(pairs)])
-    folded = folded.checkpoint()
-    ends = folded.filter(f"bar_idx % {block} = {block - 1}").select(*keys, (F.col("block_") + 1).alias("block_"), *added)
-    w = Window.partitionBy(*keys).orderBy("block_").rowsBetween(Window.unboundedPreceding, 0)
-    past = F.collect_list(F.struct(*added)).over(w)
-
-    def arriving(k: int):
-        return F.aggregate("past_", F.lit(0.0), lambda acc, x: x[f"p{k}_"] * acc + x[f"y{k}_"])
-
-    sums = [arriving(k).alias(f"in{k}_") for k in range(len(pairs))]
-    incoming = ends.withColumn("past_", past).select(*keys, "block_", *sums)
-    joined = folded.join(incoming, [*keys, "block_"], "left")
-    return joined.select(*names, *[F.when(F.col(b).isNotNull(), F.col(f"y{k}_") + F.col(f"p{k}_") * F.coalesce(f"in{k}_", F.lit(0.0))).alias(out) for k, (_, b, out) in enumerate(pairs)])
+    def sql(self, select: str) -> str:
+        return f"WITH RECURSIVE {', '.join(self.parts)} SELECT {select} FROM v{len(self.parts) - 1}"

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from tidemark.operators.indicators import REGISTRY, add, crossed_above, crossed_below
-from tidemark.operators.series import Series
+from tidemark.operators.series import Series, SparkSeries
 from tidemark.plans.presets import NO_ENTRY, NO_EXIT, PRESETS
 
 
@@ -48,5 +51,19 @@ def strategy(s: Series, entries: list[str], exits: list[str]) -> tuple[str | Non
     return side(entries, 0), side(exits, 1)
 
 
+def preset_counts(bars: DataFrame, names: list[str]) -> DataFrame:
+    """preset, symbol, entries, exits: how often each preset's conditions hold; all presets are columns of one Series and one aggregation."""
+    s, sums = SparkSeries(bars), []
+    columns = []
+    for k, name in enumerate(names):
+        _, *sides = preset(s, name)
+        for side, condition in zip(("entries", "exits"), sides):
+            columns.append(f"CAST({condition or 'false'} AS INT) AS {side}_{k}")
+            sums.append(f"sum({side}_{k}) AS {side}_{k}")
+    counts = s.select(*s.keys, *columns).groupBy(*s.keys).agg(*map(F.expr, sums))
+    each = ", ".join(f"named_struct('preset', '{name}', 'entries', entries_{k}, 'exits', exits_{k})" for k, name in enumerate(names))
+    return counts.selectExpr(*s.keys, f"inline(array({each}))").select("preset", *s.keys, "entries", "exits")
+
+
 def valid_individual(n_entries: int, n_exits: int, low: int = 2, high: int = 5) -> bool:
     return low <= n_entries <= high and low <= n_exits <= high

@@ -31,12 +31,12 @@ def rounded(sql: str, digits: int) -> str:
     return f"SELECT * REPLACE ({', '.join(parts)}) FROM ({sql})" if parts else sql
 
 
-def with_indicator(bars: DataFrame, name: str, **params) -> DataFrame:
-    """Bars with an indicator's outputs (o1, o2, ..), entry and exit."""
-    s = SparkSeries(bars)
+def with_indicator(bars: DataFrame, name: str, block: int | None = None, **params) -> DataFrame:
+    """Bars with an indicator's outputs (o1, o2, ..), entry and exit; ``block`` as in ``SparkSeries``."""
+    s = SparkSeries(bars, block=block)
     outputs, entry, exit_ = add(s, name, **params)
     sides = [f"{c or 'false'} AS {n}" for c, n in ((entry, "entry"), (exit_, "exit"))]
-    return s.df.selectExpr(*bars.columns, *[f"{o} AS {n}" for o, n in zip(outputs, REGISTRY[name].outputs)], *sides)
+    return s.select(*bars.columns, *[f"{o} AS {n}" for o, n in zip(outputs, REGISTRY[name].outputs)], *sides)
 
 
 def sql_indicator(name: str, view: str = "bars", **params) -> str:

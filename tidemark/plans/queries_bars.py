@@ -12,9 +12,8 @@ from tidemark.plans.common import sql_indicator, with_indicator
 from tidemark.plans.presets import PRESETS
 from tidemark.sources.views import sql_view
 
-DIGITS = {"ROC": 7, "ROCP": 7, "ROCR": 7, "ROCR100": 7}
-#: In the presets query: one preset of each kind of indicator but the sequential ones.
-SHOWN = [n for n in PRESETS if not REGISTRY[PRESETS[n][0]].kernel]
+DIGITS = {"HT_TRENDLINE": 9, "ROC": 7, "ROCP": 7, "ROCR": 7, "ROCR100": 7}
+SHOWN = [n for n in PRESETS if PRESETS[n][0] != "SAR"]
 RULES = (["ROC_fast", "OBV_fast"], ["MACD_standard", "TRIMA_standard"])
 
 B = sql_view("bars")
@@ -108,7 +107,7 @@ def sweep_sql() -> str:
 def add_to(register) -> None:
     for name, spec in REGISTRY.items():
         columns = ["symbol", "bar_ts", *spec.outputs, "entry", "exit"]
-        sql = None if spec.kernel else f"SELECT {', '.join(columns)} FROM ({sql_indicator(name)}) /*round: {', '.join(spec.outputs)}*/"
+        sql = f"SELECT {', '.join(columns)} FROM ({sql_indicator(name)}) /*round: {', '.join(spec.outputs)}*/"
         register(f"ind_{name.lower()}", "bars", lambda bars, name=name, columns=columns: with_indicator(bars, name).select(*columns), sql, DIGITS.get(name, 6))
 
     register("flagship", "bars", lambda bars: trades.trade_stats(trades.pair_trades(with_indicator(bars, "SMA")), bars), stats_sql(trades_sql(sql_indicator("SMA"))), 4)
@@ -125,7 +124,7 @@ def add_to(register) -> None:
     def run_predicates(bars: DataFrame) -> DataFrame:
         s = SparkSeries(bars)
         found = predicates(s)
-        return s.df.selectExpr("symbol", "bar_ts", *[f"{v} AS {k}" for k, v in found.items()])
+        return s.select("symbol", "bar_ts", *[f"{v} AS {k}" for k, v in found.items()])
 
     s = SqlSeries(B)
     found = predicates(s)
@@ -134,7 +133,7 @@ def add_to(register) -> None:
     def run_candles(bars: DataFrame) -> DataFrame:
         s = SparkSeries(bars)
         found = candles.add_patterns(s)
-        return s.df.selectExpr("symbol", "bar_ts", *[f"{c} AS {n}" for n, c in found.items()])
+        return s.select("symbol", "bar_ts", *[f"{c} AS {n}" for n, c in found.items()])
 
     s = SqlSeries(B)
     patterns = candles.add_patterns(s)
@@ -144,7 +143,7 @@ def add_to(register) -> None:
     def run_strategy(bars: DataFrame) -> DataFrame:
         s = SparkSeries(bars)
         entry, exit_ = strategies.strategy(s, *RULES)
-        return s.df.selectExpr("symbol", "bar_ts", "bar_idx", "close", f"{entry} AS entry", f"{exit_} AS exit")
+        return s.select("symbol", "bar_ts", "bar_idx", "close", f"{entry} AS entry", f"{exit_} AS exit")
 
     s = SqlSeries(B)
     sides = strategies.strategy(s, *RULES)
@@ -152,15 +151,6 @@ def add_to(register) -> None:
     register("prd6_7_strategy", "bars", run_strategy, f"SELECT * FROM ({rules_sql}) /*count: bar_idx, entry, exit*/ /*round: close*/")
     register("prd6_strategy_trades", "bars", lambda bars: trades.trade_stats(trades.pair_trades(run_strategy(bars)), bars), stats_sql(trades_sql(rules_sql)), 4)
 
-    def run_presets(bars: DataFrame) -> DataFrame:
-        parts = None
-        for name in SHOWN:
-            s = SparkSeries(bars)
-            _, entry, exit_ = strategies.preset(s, name)
-            one = s.df.selectExpr(f"'{name}' AS preset", "symbol", f"CAST({entry or 'false'} AS INT) AS e", f"CAST({exit_ or 'false'} AS INT) AS x")
-            parts = one if parts is None else parts.unionByName(one)
-        return parts.groupBy("preset", "symbol").agg(F.sum("e").alias("entries"), F.sum("x").alias("exits"))
-
     def preset_sql(name: str) -> str:
         s = SqlSeries(B)
         _, entry, exit_ = strategies.preset(s, name)
@@ -174,19 +164,10 @@ def add_to(register) -> None:
         for lo in range(0, len(names), 12):
             chosen = names[lo : lo + 12]
 
-            def run_some(bars: DataFrame, chosen=chosen) -> DataFrame:
-                parts = None
-                for name in chosen:
-                    s = SparkSeries(bars)
-                    _, entry, exit_ = strategies.preset(s, name)
-                    one = s.df.selectExpr(f"'{name}' AS preset", "symbol", f"CAST({entry or 'false'} AS INT) AS e", f"CAST({exit_ or 'false'} AS INT) AS x").groupBy("preset", "symbol").agg(F.sum("e").alias("entries"), F.sum("x").alias("exits"))
-                    parts = one if parts is None else parts.unionByName(one)
-                return parts
-
-            register(f"presets_{category}_{lo // 12}", "bars", run_some, " UNION ALL ".join(preset_sql(n) for n in chosen).join(["SELECT * FROM (", ") /*count: entries, exits*/"]))
-    sides = [F.sum(F.col(c).cast("int")).alias(n) for c, n in (("entry", "entries"), ("exit", "exits"))]
+            register(f"presets_{category}_{lo // 12}", "bars", lambda bars, chosen=chosen: strategies.preset_counts(bars, chosen), " UNION ALL ".join(preset_sql(n) for n in chosen).join(["SELECT * FROM (", ") /*count: entries, exits*/"]))
     for preset in ("SAR_loose", "SAR_standard", "SAR_tight"):
-        register(f"presets_{preset.lower()}", "bars", lambda bars, p=PRESETS[preset][1]: with_indicator(bars, "SAR", **p).groupBy("symbol").agg(*sides))
+        counts = f"SELECT symbol, sum(CAST(entry AS INT)) AS entries, sum(CAST(exit AS INT)) AS exits FROM ({sql_indicator('SAR', **PRESETS[preset][1])}) GROUP BY symbol /*count: entries, exits*/"
+        register(f"presets_{preset.lower()}", "bars", lambda bars, preset=preset: strategies.preset_counts(bars, [preset]).drop("preset"), counts)
 
     # labels
     lab = ("symbol", "bar_ts", "bar_idx")

@@ -410,3 +410,44 @@ def test_candlesticks(spark):
     out = s.df.selectExpr("bar_idx", *[f"{c} AS {n}" for n, c in found.items()]).orderBy("bar_idx").collect()
     assert len(PATTERNS) == 19 and all(v in (0, 100, -100) for r in out for v in r[1:])
     assert out[14].engulfing == -100 and out[15].doji == 100 and out[2].three_black_crows == -100 and not any(out[0][1:])
+
+
+def test_matches_at_every_tolerance(spark):
+    rng, parts, sides = random.Random(18), None, {}
+    for k in range(12):
+        dense = [0, 1] if k % 3 else [0, 0, 0, 1]
+        rows = [{"close": 1, "entry": rng.choice(dense), "t": rng.choice(dense)} for _ in range(60)]
+        one = frame(spark, rows, "entry int, t int", symbol=f"S{k}")
+        parts = one if parts is None else parts.union(one)
+        sides[f"S{k}"] = [[i for i, r in enumerate(rows) if r[c]] for c in ("entry", "t")]
+    parts = parts.cache()
+    for tol in (0, 1, 2, 4, 9):
+        found = {r.symbol: (r.n_indicator, r.n_target, r.matches) for r in match.match_greedy(parts, "entry", "t", tol).collect()}
+        assert found == {s: (len(a), len(b), greedy(a, b, tol)) for s, (a, b) in sides.items()}, tol
+
+
+@pytest.mark.parametrize("block", [4, 16, 1000])
+def test_offsets_in_blocks_are_those_in_order(spark, block):
+    for period, n in ((1, 5), (4, 61), (7, 90), (4, 2)):
+        rng = random.Random(period)
+        closes = [100 + rng.uniform(-1, 1) for _ in range(n)]
+        hit = lambda t: any((closes[t + k] - closes[t]) / closes[t] * 100 >= 0.8 for k in range(1, period) if t + k < n)
+        expected = {}
+        for o in range(min(period + 1, n)):
+            i, hits = o, 0
+            while i + period <= n:
+                hits, i = (hits + 1, i + period) if hit(i) else (hits, i + 1)
+            expected[o] = hits
+        if block >= period:
+            assert {r.offset: r.signals for r in labels.count_from_offsets(frame(spark, closes), period, 0.8, block).collect()} == expected
+
+
+@pytest.mark.parametrize("name", ["ATR", "BBANDS", "PLUS_DM", "HT_TRENDMODE", "AROON", "RSI", "TRANGE"])
+def test_a_sweep_has_each_combinations_own_signals(spark, name):
+    df = labels.label_periods(frame(spark, walk(120, 5)))
+    combos = match.sampled(match.grid(name, most=50), 4)
+    found = match.sweep_signals(df, name, combos).orderBy("combo_id", "bar_idx").collect()
+    expected = [(k, r.bar_idx, r.entry, r.exit) for k, c in enumerate(combos) for r in with_indicator(df, name, **c).orderBy("bar_idx").collect()]
+    assert [(r.combo_id, r.bar_idx, r.entry, r.exit) for r in found] == expected
+    few = match.sweep_signals(df, name, combos, only_signals=True)
+    assert match.match_score(few, keys=("combo_id", "symbol")).orderBy("combo_id").collect() == match.match_score(match.sweep_signals(df, name, combos), keys=("combo_id", "symbol")).orderBy("combo_id").collect()

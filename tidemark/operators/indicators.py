@@ -102,11 +102,16 @@ def _below(k: int, value: str | float) -> Callable:
 
 
 def _value(o: list[str], p: dict, value) -> str:
-    return o[value] if isinstance(value, int) else repr(float(p[value])) if value in p else value
+    return o[value] if isinstance(value, int) else number(p, value) if value in p else value
+
+
+def number(p: dict, name: str) -> str:
+    """A parameter as SQL text: of a number its value; a text stands as it is."""
+    return p[name] if isinstance(p[name], str) else repr(float(p[name]))
 
 
 def _is(operator: str, param: str, k: int = 0) -> Callable:
-    return lambda s, o, p: compare(o[k], operator, repr(float(p[param])))
+    return lambda s, o, p: compare(o[k], operator, number(p, param))
 
 
 ZERO = {"entry": _above(0, "0.0"), "exit": _below(0, "0.0")}
@@ -476,7 +481,7 @@ def ma(s: Series, timeperiod: int, matype: int) -> list[str]:
 
 @indicator(
     "overlap", "upperband middleband lowerband", timeperiod=(20, 10, 50), nbdevup=(2.0, 1.0, 3.0), nbdevdn=(2.0, 1.0, 3.0), entry_factor=(1.02, 1.0, 1.05), exit_factor=(0.98, 0.95, 1.0),
-    entry=lambda s, o, p: compare("close", "lt", f"{o[2]} * {float(p['entry_factor'])!r}"), exit=lambda s, o, p: compare("close", "gt", f"{o[0]} * {float(p['exit_factor'])!r}"),
+    entry=lambda s, o, p: compare("close", "lt", f"{o[2]} * {number(p, 'entry_factor')}"), exit=lambda s, o, p: compare("close", "gt", f"{o[0]} * {number(p, 'exit_factor')}"),
 )
 def bbands(s: Series, timeperiod: int, nbdevup: float, nbdevdn: float, **_) -> list[str]:
     middle, spread = s.sma("close", timeperiod), s.roll("stddev_pop", "close", timeperiod)
@@ -525,8 +530,8 @@ def adosc(s: Series, fastperiod: int, slowperiod: int) -> list[str]:
 
 @indicator(
     "volatility", "atr", timeperiod=(14, 7, 28), stop_loss_multiplier=(2.0, 1.5, 4.0),
-    entry=lambda s, o, p: compare(f"(close - {s.lag('close')})", "gt", f"({o[0]} * {float(p['stop_loss_multiplier']) * 0.5!r})"),
-    exit=lambda s, o, p: compare(f"(close - {s.lag('close')})", "lt", f"(-{o[0]} * {float(p['stop_loss_multiplier']) * 0.5!r})"),
+    entry=lambda s, o, p: compare(f"(close - {s.lag('close')})", "gt", f"({o[0]} * {number(p, 'stop_loss_multiplier')} * 0.5)"),
+    exit=lambda s, o, p: compare(f"(close - {s.lag('close')})", "lt", f"(-{o[0]} * {number(p, 'stop_loss_multiplier')} * 0.5)"),
 )
 def atr(s: Series, timeperiod: int, **_) -> list[str]:
     return [s.wilder(_true_range(s), timeperiod)]
@@ -534,7 +539,7 @@ def atr(s: Series, timeperiod: int, **_) -> list[str]:
 
 @indicator(
     "volatility", "natr", timeperiod=(14, 7, 28), entry_constant=(2.0, 1.0, 5.0),
-    entry=_is("gt", "entry_constant"), exit=lambda s, o, p: compare(o[0], "lt", repr(float(p["entry_constant"]) * 0.5)),
+    entry=_is("gt", "entry_constant"), exit=lambda s, o, p: compare(o[0], "lt", f"({number(p, 'entry_constant')} * 0.5)"),
 )
 def natr(s: Series, timeperiod: int, **_) -> list[str]:
     return [s.put(f"100.0 * {s.wilder(_true_range(s), timeperiod)} / nullif(close, 0.0)")]
@@ -542,7 +547,7 @@ def natr(s: Series, timeperiod: int, **_) -> list[str]:
 
 @indicator(
     "volatility", "trange trange_avg", entry_multiplier=(1.5, 1.0, 3.0), exit_multiplier=(0.5, 0.3, 1.0),
-    entry=lambda s, o, p: compare(o[0], "gt", f"{o[1]} * {float(p['entry_multiplier'])!r}"), exit=lambda s, o, p: compare(o[0], "lt", f"{o[1]} * {float(p['exit_multiplier'])!r}"),
+    entry=lambda s, o, p: compare(o[0], "gt", f"{o[1]} * {number(p, 'entry_multiplier')}"), exit=lambda s, o, p: compare(o[0], "lt", f"{o[1]} * {number(p, 'exit_multiplier')}"),
 )
 def trange(s: Series, **_) -> list[str]:
     x = _true_range(s)

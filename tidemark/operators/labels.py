@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.passes import begins
+
 
 def _w():
     return Window.partitionBy("symbol").orderBy("bar_ts")
@@ -28,39 +31,66 @@ def best_exits(bars: DataFrame, period: int = 4, threshold: float = 1.0) -> Data
     return df.withColumn("best_pct", best).withColumn("best_offset", F.when(F.col("best_pct").isNotNull(), F.array_position("changes_", F.col("best_pct")).cast("int"))).drop("changes_")
 
 
-def count_from_offsets(bars: DataFrame, period: int = 4, threshold: float = 1.0) -> DataFrame:
-    """symbol, offset (0 to period), signals: hits met when a hit moves on by a period and a miss by one bar; whole periods only.
+def _composed(to: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The map of all bars (rows of ``to``: the state after a bar from each state before it, and the hits on the way): halves are composed until one is left."""
+    while len(to) > 1:
+        if len(to) % 2:
+            to = np.concatenate([to, np.arange(to.shape[1])[None]])
+            hits = np.concatenate([hits, np.zeros_like(hits[:1])])
+        first, second = to[::2], to[1::2]
+        to, hits = np.take_along_axis(second, first, axis=1), hits[::2] + np.take_along_axis(hits[1::2], first, axis=1)
+    return to[0], hits[0]
 
-    A symbol's bars pass through a task in order; each start holds the bars that it still has to pass over, and its hits.
-    """
-    df = best_exits(bars, period, threshold)
-    n = F.count("*").over(Window.partitionBy("symbol"))
-    hit = F.col("best_pct").isNotNull() & (F.col("bar_idx") + period <= F.col("n_"))
-    bits = df.withColumn("n_", n).select("symbol", "bar_idx", hit.alias("hit_")).repartition("symbol").sortWithinPartitions("symbol", "bar_idx")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(symbol, bars: int, hits: list[int]) -> pa.RecordBatch:
-            k = min(period + 1, bars)
-            return pa.RecordBatch.from_arrays([pa.array([symbol] * k, pa.string()), pa.array(range(k), pa.int32()), pa.array(hits[:k], pa.int32())], ["symbol", "offset", "signals"])
+def count_from_offsets(bars: DataFrame, period: int = 4, threshold: float = 1.0, block: int = 1 << 16) -> DataFrame:
+    """symbol, offset (0 to period), signals: hits met when a hit moves on by a period and a miss by one bar; whole periods only.
 
-        symbol, bars = None, 0
+    The state of a start is the number of bars that it still has to pass over. A bar maps states to states, and maps compose, so each block of bars (with the
+    bars of a period beyond it) is a task's own and gives one map; a symbol's maps are then applied in order. A null close is no hit.
+    """
+    if block < period:
+        raise ValueError("a block holds a period at least")
+    size = period + 1
+    where = F.floor(F.col("bar_idx") / block)
+    ahead = (F.col("bar_idx") % block < period - 1) & (where > 0)  # also seen by the block before
+    df = bars.select("symbol", "bar_idx", "close", F.explode(F.when(ahead, F.array(where - 1, where)).otherwise(F.array(where))).alias("block_"))
+    w = Window.partitionBy("symbol", "block_").orderBy("bar_idx")
+    reach = [(F.lead("close", k).over(w) - F.col("close")) / F.nullif("close", F.lit(0.0)) * 100 >= threshold for k in range(1, period)]
+    hit = F.exists(F.array(*reach), lambda c: c) & F.lead("bar_idx", period - 1).over(w).isNotNull() if reach else F.lit(False)
+    bits = df.withColumn("hit_", F.coalesce(hit, F.lit(False))).filter(F.floor(F.col("bar_idx") / block) == F.col("block_")).select("symbol", "block_", "hit_", "bar_idx")
+    bits = bits.repartition("symbol", "block_").sortWithinPartitions("symbol", "block_", "bar_idx")  # as the window left them
+
+    wait = np.maximum(np.arange(size) - 1, 0)
+    taken = np.concatenate([[max(period - 1, 0)], wait[1:]])
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
         for batch in batches:
-            for now, taken in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                if now != symbol or not bars:
-                    if bars:
-                        yield rows(symbol, bars, hits)
-                    symbol, bars, hits, waits = now, 0, [0] * (period + 1), list(range(period + 1))
-                bars += 1
-                for k, wait in enumerate(waits):
-                    if wait:
-                        waits[k] = wait - 1
-                    elif taken:
-                        waits[k] = period - 1
-                        hits[k] += 1
-        if bars:
-            yield rows(symbol, bars, hits)
-
-    return bits.mapInArrow(count, "symbol string, offset int, signals int")
+            if not batch.num_rows:
+                continue
+            key, hits = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), batch.column(2).to_numpy(zero_copy_only=False)
+            new, _ = begins([batch.column(0), batch.column(1)], last)
+            for lo, hi in zip(starts := [0, *(np.flatnonzero(new[1:]) + 1).tolist()], [*starts[1:], len(key)]):
+                if key[lo] != last and held:
+                    yield row(last, *held)
+                    held = []
+                to = np.where(hits[lo:hi, None], taken, wait)
+                count = np.zeros((hi - lo, size), np.int64)
+                count[:, 0] = hits[lo:hi]
+                to, count = _composed(to, count)
+                held = [to[held[0]], held[1] + count[held[0]], held[2] + hi - lo] if held else [to, count, hi - lo]
+                last = key[lo]
+        if held:
+            yield row(last, *held)
+
+    def row(key: tuple, to: np.ndarray, count: np.ndarray, bars: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.string()), pa.array([key[1]], pa.int64()), pa.array([to.tolist()], pa.list_(pa.int32())), pa.array([count.tolist()], pa.list_(pa.int64())), pa.array([bars], pa.int64())], ["symbol", "block_", "to", "hits", "bars"])
+
+    found = bits.mapInArrow(maps, "symbol string, block_ long, to array<int>, hits array<long>, bars long")
+    blocks = found.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("block_", "to", "hits"))).alias("maps"), F.sum("bars").alias("bars"))
+    start = f"transform(sequence(0, {period}), k -> struct(k AS at, 0L AS hits))"
+    folded = f"aggregate(maps, {start}, (all, m) -> transform(all, x -> struct(m.to[x.at] AS at, x.hits + m.hits[x.at] AS hits)))"
+    return blocks.select("symbol", "bars", F.posexplode(F.expr(folded)).alias("offset", "x")).filter("offset < bars").selectExpr("symbol", "offset", "CAST(x.hits AS INT) AS signals")
 
 
 def best_offset(bars: DataFrame, period: int = 4, threshold: float = 1.0) -> DataFrame:

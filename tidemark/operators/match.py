@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
+import json
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.indicators import REGISTRY, add
-from tidemark.operators.series import SparkSeries
+from tidemark.operators.indicators import REGISTRY
+from tidemark.operators.series import Series, SparkSeries
 from tidemark.operators.trades import pair_trades, trade_stats
 
 
@@ -18,52 +21,52 @@ def _flag(c: str) -> Column:
 
 
 def matched(df: DataFrame, indicator: str, target: str, tolerance: int = 1, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """keys, n_indicator, n_target, matches: one-to-one matches of signals at most ``tolerance`` (0 or 1) bars apart.
-
-    Pairs on one bar come first. What is left lies in islands of bars that follow each other and are indicator and target by turns; an island of n
-    bars gives n // 2 matches, whichever end one starts from.
-    """
+    """``match_greedy`` for signals on one bar or next to each other."""
     if tolerance not in (0, 1):
         raise ValueError("tolerances beyond 1 are for match_greedy")
+    return match_greedy(df, indicator, target, tolerance, keys)
+
+
+def match_greedy(df: DataFrame, indicator: str, target: str, tolerance: int, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """keys, n_indicator, n_target, matches: one-to-one matches of signals at most ``tolerance`` bars apart, by distance, then bar, then earlier target.
+
+    The greedy order takes all pairs on one bar, then all pairs one bar apart, and so on, so there is a round for each distance d. Free signals whose bars
+    follow each other d apart and are indicator and target by turns form a chain; from its first bar on, its members pair up two by two whichever side the first is on: an
+    indicator takes the earlier target if that is free, else the later one. So a chain of n gives n // 2 matches, and an odd one leaves its last bar. Each
+    round numbers chains in windows over the same partitioning: bars are shuffled once.
+    """
+    if tolerance < 0 or tolerance != int(tolerance):
+        raise ValueError("the tolerance is a number of bars")
     i, t = _flag(indicator), _flag(target)
     df = df.select(*keys, "bar_idx", i.alias("i_"), t.alias("t_"))
+    single = F.col("i_") != F.col("t_")
+    if tolerance == 0:
+        found = df.withColumn("matched_", F.lit(False))
+    elif tolerance == 1:
+        return _islands(df, single, keys)
+    else:
+        found = df.withColumn("free_", single)
+        for d in range(1, tolerance + 1):
+            w = Window.partitionBy(*keys).orderBy("free_", F.col("bar_idx") % d, "bar_idx")
+            before = F.lag(F.struct("free_", "bar_idx", "i_")).over(w)
+            goes_on = F.coalesce(F.col("free_") & before["free_"] & (F.col("bar_idx") - before["bar_idx"] == d) & (F.col("i_") != before["i_"]), F.lit(False))
+            found = found.withColumn("begin_", F.when(~goes_on, F.row_number().over(w))).withColumn("place_", F.row_number().over(w) - F.last("begin_", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+            # odd places end a pair; an even one begins it if the next bar goes on with the chain
+            pairs = F.col("free_") & ((F.col("place_") % 2 == 1) | (F.coalesce(F.lead("place_").over(w), F.lit(0)) == F.col("place_") + 1))
+            found = found.withColumn("free_", F.col("free_") & ~pairs)
+        found = found.withColumn("matched_", single & ~F.col("free_"))
+    sums = (F.count_if("i_").alias("n_indicator"), F.count_if("t_").alias("n_target"), (F.count_if(F.col("i_") & F.col("t_")) + F.floor(F.count_if("matched_") / 2)).alias("matches"))
+    return found.groupBy(*keys).agg(*sums)
+
+
+def _islands(df: DataFrame, single: Column, keys: tuple[str, ...]) -> DataFrame:
+    """A single distance needs no marks on rows: a row for each island (with the bars after it that are in none), then sums of these."""
     w = Window.partitionBy(*keys).orderBy("bar_idx")
     before = F.lag(F.when(F.col("i_") != F.col("t_"), F.struct("bar_idx", "i_"))).over(w)
     goes_on = F.coalesce((F.col("bar_idx") - before["bar_idx"] == 1) & (F.col("i_") != before["i_"]), F.lit(False))
-    single = F.col("i_") != F.col("t_")
-    # one pass: a row for each island (with the bars after it that are in none), then sums of these
     df = df.withColumn("begins_", (single & ~goes_on).cast("int")).withColumn("island_", F.sum("begins_").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     islands = df.groupBy(*keys, "island_").agg(F.count_if("i_").alias("a_"), F.count_if("t_").alias("b_"), F.count_if(F.col("i_") & F.col("t_")).alias("exact_"), F.count_if(single).alias("n_"))
-    near = F.floor(F.col("n_") / 2) if tolerance else F.lit(0)
-    return islands.groupBy(*keys).agg(F.sum("a_").alias("n_indicator"), F.sum("b_").alias("n_target"), F.sum(F.col("exact_") + near).alias("matches"))
-
-
-def match_greedy(df: DataFrame, indicator: str, target: str, tolerance: int, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """The same for any tolerance, by distance, then bar, then earlier target: each pair within tolerance (a band join) is taken if both are free.
-
-    Rows that no chain of candidates ties together are independent, so the greedy pass runs on one such cluster at a time, never on a whole symbol.
-    """
-    import pandas as pd
-
-    w = Window.partitionBy(*keys).orderBy("bar_idx")
-    df = df.select(*keys, "bar_idx", _flag(indicator).alias("i_"), _flag(target).alias("t_"))
-    sides = df.groupBy(*keys).agg(F.count_if("i_").alias("n_indicator"), F.count_if("t_").alias("n_target"))
-    marks = df.filter("i_ OR t_")
-    marks = marks.withColumn("cluster_", F.sum(F.coalesce((F.col("bar_idx") - F.lag("bar_idx").over(w) > tolerance).cast("int"), F.lit(1))).over(w))
-
-    def greedy(g: pd.DataFrame) -> pd.DataFrame:
-        ind, tgt = g.loc[g["i_"], "bar_idx"].tolist(), g.loc[g["t_"], "bar_idx"].tolist()
-        pairs = sorted((abs(a - b), a, b) for a in ind for b in tgt if abs(a - b) <= tolerance)
-        used_a, used_b = set(), set()
-        for _, a, b in pairs:
-            if a not in used_a and b not in used_b:
-                used_a.add(a)
-                used_b.add(b)
-        return pd.DataFrame([[*(g[k].iloc[0] for k in keys), len(used_a)]], columns=[*keys, "m_"])
-
-    types = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys)
-    found = marks.groupBy(*keys, "cluster_").applyInPandas(greedy, f"{types}, m_ long").groupBy(*keys).agg(F.sum("m_").alias("m_"))
-    return sides.join(found, list(keys), "left").select(*keys, "n_indicator", "n_target", F.coalesce("m_", F.lit(0)).alias("matches"))
+    return islands.groupBy(*keys).agg(F.sum("a_").alias("n_indicator"), F.sum("b_").alias("n_target"), F.sum(F.col("exact_") + F.floor(F.col("n_") / 2)).alias("matches"))
 
 
 def with_scores(counts: DataFrame) -> DataFrame:
@@ -76,7 +79,7 @@ def with_scores(counts: DataFrame) -> DataFrame:
 def match_score(df: DataFrame, tolerance: int = 1, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Entry and exit sides (columns entry, exit, target_entry, target_exit) with scores, and the sum of matches."""
     sides = F.explode(F.array(*[F.struct(F.lit(a).alias("side_"), _flag(a).alias("a_"), _flag(f"target_{a}").alias("b_")) for a in ("entry", "exit")]))
-    found = with_scores(matched(df.select(*keys, "bar_idx", sides.alias("s_")).select(*keys, "bar_idx", "s_.*"), "a_", "b_", tolerance, (*keys, "side_")))
+    found = with_scores(match_greedy(df.select(*keys, "bar_idx", sides.alias("s_")).select(*keys, "bar_idx", "s_.*"), "a_", "b_", tolerance, (*keys, "side_")))
     names = ("n_indicator", "n_target", "matches", "precision", "recall", "f1")
     both = found.groupBy(*keys).agg(*[F.max(F.when(F.col("side_") == side, F.col(n))).alias(f"{side}_{n}") for side in ("entry", "exit") for n in names])
     return both.withColumn("combined_score", F.col("entry_matches") + F.col("exit_matches"))
@@ -126,24 +129,70 @@ def sample_grid(combos: DataFrame, most: int = 3000, seed: int = 42) -> DataFram
     return combos.orderBy(F.xxhash64(F.col("combo_id").cast("long"), F.lit(seed)), "combo_id").limit(most)
 
 
-def sweep_signals(labelled: DataFrame, name: str, combos: list[dict]) -> DataFrame:
-    """Entry and exit of each combination beside the targets; columns of combinations that share a build share its windows.
+def sampled(combos: list[dict], most: int, seed: int = 42) -> list[dict]:
+    """A seeded choice of ``most`` combinations in their order: those of the least md5 of seed and place."""
+    order = sorted(range(len(combos)), key=lambda k: hashlib.md5(f"{seed}:{k}".encode()).hexdigest())
+    return [combos[k] for k in sorted(order[:most])]
+
+
+class _Template(Series):
+    """Conditions over outputs of any combination: V, P and Q hold all outputs' values on this bar and the two before, c the combination."""
+
+    def __init__(self, shared: Series) -> None:
+        super().__init__(shared.keys)
+        self.shared = shared
+
+    def put(self, spark: str, other: str | None = None) -> str:
+        """A field of the combination, found once for entry and exit; what stands on such a field is written out."""
+        return f"({spark})" if "c.l" in spark else self.known.setdefault(spark, f"c.l{len(self.known)}")
+
+    def lag(self, x: str, k: int = 1) -> str:
+        if re.fullmatch(r"[VP]\[c\.o\d+\]", x) and k == 1:
+            return {"V": "P", "P": "Q"}[x[0]] + x[1:]
+        if x.startswith("c.p_"):
+            return x
+        if "c." in x:
+            raise ValueError(f"no {x} on bars before")
+        return self.shared.lag(x, k)
+
+
+def sweep_signals(labelled: DataFrame, name: str, combos: list[dict], only_signals: bool = False) -> DataFrame:
+    """Entry and exit of each combination on each bar (``only_signals``: where it or a target has one, and on the last bar), beside the targets.
 
-    One pass for each combination over one partitioning by symbol: no combination is joined to another, and they all meet in one aggregation.
+    All combinations are one Series, so each distinct output is computed once and the bars are read once. The outputs are elements of one array of a row, and a
+    table of combinations, a constant, says which of them each takes with what constants; the conditions are evaluated for one after another.
     """
-    parts = None
-    targets = labelled.withColumn("target_entry", (F.col("signal") == "entry").cast("int")).withColumn("target_exit", (F.col("signal") == "exit").cast("int"))
+    spec, s = REGISTRY[name], SparkSeries(labelled)
+    place: dict[str, int] = {}
+    rows = []
     for k, params in enumerate(combos):
-        s = SparkSeries(targets)
-        _, entry, exit_ = add(s, name, **params)
-        one = s.select(f"{k} AS combo_id", "symbol", "bar_ts", "bar_idx", "close", f"{entry} AS entry", f"{exit_} AS exit", "target_entry", "target_exit")
-        parts = one if parts is None else parts.unionByName(one)
-    return parts
+        given = spec.defaults(**params)
+        outputs = [place.setdefault(o, len(place)) for o in spec.build(s, **given)]
+        rows.append({"id": k} | {f"o{j}": o for j, o in enumerate(outputs)} | {f"p_{n}": float(v) for n, v in given.items()})
+    template, symbols = _Template(s), [f"V[c.o{j}]" for j in range(len(spec.outputs))]
+    entry, exit_ = (f(template, symbols, {n: f"c.p_{n}" for n in spec.params}) if f else "false" for f in (spec.entry, spec.exit))
+    texts = " ".join([entry, exit_, *template.known])
+    columns, arrays, last = list(place), [], max((k for k, x in enumerate("VPQ") if f"{x}[" in texts), default=-1)
+    for k, letter in enumerate("VPQ"[: last + 1]):
+        columns = [s.lag(c) for c in columns] if k else columns
+        arrays.append(f"array({', '.join(f'CAST({c} AS DOUBLE)' for c in columns)}) AS {letter}")
+    fields = {"id": "int"} | {f"o{j}": "int" for j in range(len(spec.outputs))} | {f"p_{n}": "double" for n in spec.params}
+    table = f"from_json('{json.dumps(rows)}', 'array<struct<{', '.join(f'{n}: {t}' for n, t in fields.items())}>>')"
+    own = [f"c.{n} AS {n}" for n in fields if re.search(rf"\bc\.{n}\b", f"{entry} {exit_}") or n == "id"]
+    table = f"transform({table}, c -> struct({', '.join([*own, *[f'{text} AS {name[2:]}' for text, name in template.known.items()]])}))"
+    shared = dict.fromkeys(re.findall(r"\bt\d+_\b", texts))
+    bars = s.select("symbol", "bar_ts", "bar_idx", "close", *shared, f"coalesce(signal = 'entry', false) AS target_entry", f"coalesce(signal = 'exit', false) AS target_exit", f"lead(bar_idx) {s.window()} IS NULL AS last_", *arrays)
+    each = f"transform({table}, c -> struct(c.id AS combo_id, {entry} AS entry, {exit_} AS exit))"
+    each = f"filter({each}, c -> c.entry OR c.exit OR target_entry OR target_exit OR last_)" if only_signals else each
+    if len(combos) > 64:  # bars of one symbol are no longer tied to each other, and each is much work
+        bars = bars.repartition(max(int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions")), bars.sparkSession.sparkContext.defaultParallelism), "symbol", "bar_idx")
+    found = bars.selectExpr("symbol", "bar_ts", "bar_idx", "close", "CAST(target_entry AS INT) AS target_entry", "CAST(target_exit AS INT) AS target_exit", f"inline({each})")
+    return found.select("combo_id", "symbol", "bar_ts", "bar_idx", "close", "entry", "exit", "target_entry", "target_exit")
 
 
 def sweep(labelled: DataFrame, name: str, combos: list[dict], tolerance: int = 1) -> DataFrame:
     """combo_id, params, score, best: summed matches of each combination; best is the first of the highest score."""
-    signals = sweep_signals(labelled, name, combos)
+    signals = sweep_signals(labelled, name, combos, only_signals=True)
     scores = match_score(signals, tolerance, keys=("combo_id", "symbol")).groupBy("combo_id").agg(F.sum("combined_score").alias("score"))
     w = Window.orderBy(F.desc("score"), "combo_id")  # as many rows as combinations
     return scores.join(grid_table(labelled.sparkSession, combos), "combo_id").withColumn("best", F.row_number().over(w) == 1)
@@ -157,7 +206,7 @@ def sensitivity(labelled: DataFrame, name: str, parameter: str, tolerance: int =
 
 def profit_sweep(bars: DataFrame, name: str, combos: list[dict], loss: str = "loss_sharpe") -> DataFrame:
     """combo_id, params, loss, best: mean loss over symbols of the trades that each combination makes; the least is best, then the first."""
-    signals = sweep_signals(bars.withColumn("signal", F.lit(None).cast("string")), name, combos)
+    signals = sweep_signals(bars.withColumn("signal", F.lit(None).cast("string")), name, combos, only_signals=True)
     keys = ("combo_id", "symbol")
     stats = trade_stats(pair_trades(signals, keys=keys), signals, keys)
     scores = stats.groupBy("combo_id").agg(F.avg(loss).alias("loss"))

@@ -104,6 +104,51 @@ def sweep_sql() -> str:
     return f"SELECT combo_id, CAST(score AS BIGINT) AS score, row_number() OVER (ORDER BY score DESC, combo_id) = 1 AS best FROM ({parts}) /*count: combo_id*/"
 
 
+def greedy_sql(source: str, tolerance: int) -> str:
+    """The greedy matching as it is defined: one candidate pair after another, with what is taken so far."""
+    return f"""WITH RECURSIVE f AS MATERIALIZED (SELECT symbol, bar_idx, coalesce(CAST(entry AS INT), 0) = 1 AS i, coalesce(CAST(target_entry AS INT), 0) = 1 AS t FROM ({source})),
+p AS MATERIALIZED (SELECT a.symbol, a.bar_idx AS x, b.bar_idx AS y, row_number() OVER (PARTITION BY a.symbol ORDER BY abs(a.bar_idx - b.bar_idx), a.bar_idx, b.bar_idx) AS k
+FROM f a JOIN f b ON a.symbol = b.symbol AND a.i AND b.t AND b.bar_idx BETWEEN a.bar_idx - {tolerance} AND a.bar_idx + {tolerance}),
+r(symbol, k, xs, ys) AS (SELECT DISTINCT symbol, 0::BIGINT, []::BIGINT[], []::BIGINT[] FROM f UNION ALL
+SELECT symbol, k, CASE WHEN free THEN list_append(xs, x) ELSE xs END, CASE WHEN free THEN list_append(ys, y) ELSE ys END FROM (
+SELECT r.symbol, p.k, r.xs, r.ys, p.x, p.y, NOT list_contains(r.xs, p.x) AND NOT list_contains(r.ys, p.y) AS free FROM r JOIN p ON p.symbol = r.symbol AND p.k = r.k + 1)),
+m AS (SELECT symbol, max(len(xs)) AS matches FROM r GROUP BY symbol)
+SELECT c.*, m.matches FROM (SELECT symbol, count(*) FILTER (i) AS n_indicator, count(*) FILTER (t) AS n_target FROM f GROUP BY symbol) c JOIN m USING (symbol) /*count: matches*/"""
+
+
+def crossing_grid_sql(combos: list[dict]) -> str:
+    """Scores of all (fast, slow) averages by a table of combinations, averages and bars."""
+    periods = sorted({n for c in combos for n in c.values()})
+    means = " UNION ALL ".join(f"SELECT symbol, bar_idx, {n} AS n, CASE WHEN bar_idx >= {n - 1} THEN avg(close) OVER (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) END AS v FROM b" for n in periods)
+    rows = ", ".join(f"({k}, {c['fast_period']}, {c['slow_period']})" for k, c in enumerate(combos))
+    side = lambda i, t: f"""c{i} AS (SELECT combo_id, symbol, count(*) FILTER ({i} AND {t}) AS exact FROM e GROUP BY ALL),
+l{i} AS (SELECT combo_id, symbol, bar_idx, CASE WHEN bar_idx - lag(bar_idx) OVER w = 1 AND {i} <> lag({i}) OVER w THEN 0 ELSE 1 END AS b FROM e WHERE {i} <> {t} WINDOW w AS (PARTITION BY combo_id, symbol ORDER BY bar_idx)),
+n{i} AS (SELECT combo_id, sum(c // 2) AS m FROM (SELECT combo_id, symbol, k, count(*) AS c FROM (SELECT combo_id, symbol, sum(b) OVER (PARTITION BY combo_id, symbol ORDER BY bar_idx) AS k FROM l{i}) GROUP BY ALL) GROUP BY combo_id),
+s{i} AS (SELECT combo_id, exact + coalesce(m, 0) AS score FROM (SELECT combo_id, sum(exact) AS exact FROM c{i} GROUP BY combo_id) LEFT JOIN n{i} USING (combo_id))"""
+    return f"""WITH g(combo_id, fast, slow) AS (VALUES {rows}), b AS MATERIALIZED (SELECT symbol, bar_idx, close, coalesce(signal = 'entry', false) AS te, coalesce(signal = 'exit', false) AS tx FROM ({labelled_sql()})),
+m AS MATERIALIZED ({means}),
+s AS (SELECT combo_id, b.symbol, b.bar_idx, te, tx, CASE WHEN abs(x.v - y.v) <= 1e-9 * least(1.0, abs(b.close)) THEN 0 WHEN x.v > y.v THEN 1 WHEN x.v < y.v THEN -1 END AS side
+FROM g JOIN m x ON x.n = g.fast JOIN m y ON y.n = g.slow AND y.symbol = x.symbol AND y.bar_idx = x.bar_idx JOIN b ON b.symbol = x.symbol AND b.bar_idx = x.bar_idx),
+a AS (SELECT *, lag(side) OVER (PARTITION BY combo_id, symbol ORDER BY bar_idx) AS was FROM s),
+e AS MATERIALIZED (SELECT combo_id, symbol, bar_idx, coalesce(side > 0 AND was <= 0, false) AS ie, coalesce(side < 0 AND was >= 0, false) AS ix, te, tx FROM a),
+{side('ie', 'te')}, {side('ix', 'tx')}
+SELECT combo_id, CAST(a.score + b.score AS BIGINT) AS score FROM sie a JOIN six b USING (combo_id)"""
+
+
+#: Averages of each kind, and the MACD made of them.
+KINDS = range(9)
+
+
+def kinds(s, macd: bool) -> dict[str, str]:
+    if macd:
+        return {f"{o}_{k}": x for k in KINDS for o, x in zip(REGISTRY["MACDEXT"].outputs, REGISTRY["MACDEXT"].build(s, **REGISTRY["MACDEXT"].defaults(fastmatype=k, slowmatype=k, signalmatype=k)))}
+    return {f"ma_{k}": REGISTRY["MA"].build(s, timeperiod=20, matype=k)[0] for k in KINDS}
+
+
+#: RSI presets share their output column: the first one's is computed, and the others put their own constants to it.
+SHARED = (["RSI_standard", "RSI_aggressive"], ["RSI_conservative"])
+
+
 def add_to(register) -> None:
     for name, spec in REGISTRY.items():
         columns = ["symbol", "bar_ts", *spec.outputs, "entry", "exit"]
@@ -140,6 +185,23 @@ def add_to(register) -> None:
     shapes = s.sql(", ".join(["symbol", "bar_ts", *[f"{c} AS {n}" for n, c in patterns.items()]]))
     register("ind_candlesticks", "bars", run_candles, f"SELECT * FROM ({shapes}) /*count: {', '.join(patterns)}*/")
 
+    for name, macd in (("ind_ma_kinds", False), ("ind_macdext_kinds", True)):
+
+        def run_kinds(bars: DataFrame, macd=macd) -> DataFrame:
+            s = SparkSeries(bars)
+            return s.select("symbol", "bar_ts", *[f"{x} AS {n}" for n, x in kinds(s, macd).items()])
+
+        s = SqlSeries(B)
+        found = kinds(s, macd)
+        register(name, "bars", run_kinds, f"SELECT * FROM ({s.sql(', '.join(['symbol', 'bar_ts', *[f'{x} AS {n}' for n, x in found.items()]]))}) /*round: {', '.join(found)}*/", 7)
+
+    def run_shared(bars: DataFrame) -> DataFrame:
+        s = SparkSeries(bars)
+        entry, exit_ = strategies.strategy(s, *SHARED)
+        return s.select("symbol", "bar_ts", f"{entry} AS entry", f"{exit_} AS exit")
+
+    register("prd7_shared_outputs", "bars", run_shared, f"SELECT symbol, bar_ts, CASE WHEN rsi < 30 AND rsi < 25 THEN 1 END AS entry, CASE WHEN rsi > 65 THEN 1 END AS exit FROM ({sql_indicator('RSI', timeperiod=14)}) /*count: entry, exit*/")
+
     def run_strategy(bars: DataFrame) -> DataFrame:
         s = SparkSeries(bars)
         entry, exit_ = strategies.strategy(s, *RULES)
@@ -216,16 +278,26 @@ def add_to(register) -> None:
     # matching and sweeps
     source = targets_sql("MOM")
     register("mat1_matches", "bars", lambda b: match.with_scores(match.matched(with_targets(b, "MOM"), "entry", "target_entry")), f"SELECT * FROM ({SCORED.format(MATCHED.format(i='entry', t='target_entry', source=source))}) /*round: precision, recall, f1*/")
-    register("mat1_greedy_tolerance_3", "bars", lambda b: match.match_greedy(with_targets(b, "MOM"), "entry", "target_entry", 3))
+    register("mat1_greedy_tolerance_3", "bars", lambda b: match.match_greedy(with_targets(b, "MOM"), "entry", "target_entry", 3), greedy_sql(source, 3))
+    register("mat1_greedy_tolerance_7", "bars", lambda b: match.match_greedy(with_targets(b, "MOM"), "entry", "target_entry", 7), greedy_sql(source, 7))
     register("mat2_score", "bars", lambda b: match.match_score(with_targets(b, "MOM")), f"SELECT * FROM ({score_sql(source)}) {SCORE_ROUND}")
     near = f"SELECT symbol, bar_idx, i AS indicator, t AS target, i AND max(t) OVER (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS matched FROM (SELECT symbol, bar_idx, coalesce(entry, false) AS i, coalesce(target_entry, 0) = 1 AS t FROM ({source}))"
     register("mat3_alignment", "bars", lambda b: match.alignment(with_targets(b, "MOM")), f"SELECT * FROM ({near}) /*count: bar_idx*/")
     register("mat4_unmatched", "bars", lambda b: match.unmatched(with_targets(b, "MOM")), f"SELECT symbol, bar_idx, 'indicator' AS side FROM ({near}) WHERE indicator AND NOT matched UNION ALL SELECT symbol, bar_idx, 'target' FROM ({near}) WHERE target AND NOT indicator".join(["SELECT * FROM (", ") /*count: bar_idx*/"]))
     register("swp3_sweep", "bars", lambda b: match.sweep(labels.label_periods(b), *SWEEP).select("combo_id", "score", "best"), sweep_sql())
+    whole = match.grid("SMA")
+    register("swp1_3_whole_grid", "bars", lambda b: match.sweep(labels.label_periods(b), "SMA", whole).select("combo_id", "score", "best"), f"SELECT *, row_number() OVER (ORDER BY score DESC, combo_id) = 1 AS best FROM ({crossing_grid_sql(whole)}) /*count: combo_id*/")
+    some = match.sampled(whole, 100)
+    params = [f"CAST(params['{k}'] AS BIGINT) AS {k}" for k in ("fast_period", "slow_period")]
+    chosen_rows = ", ".join(f"({k}, {c['fast_period']}, {c['slow_period']})" for k, c in enumerate(some))
+    register("swp2_6_sampled_grid", "bars", lambda b: dataset.best_params({("SMA", "gs"): match.sweep(labels.label_periods(b), "SMA", some)}).selectExpr("indicator", "type", "score", *params), f"WITH c(combo_id, fast_period, slow_period) AS (VALUES {chosen_rows}) SELECT 'SMA' AS indicator, 'gs' AS type, CAST(score AS DOUBLE) AS score, fast_period, slow_period FROM ({crossing_grid_sql(some)}) JOIN c USING (combo_id) ORDER BY score DESC, combo_id LIMIT 1 /*count: fast_period, slow_period*/ /*round: score*/")
     values = match.axis(*(lambda q: (q.low, q.high, q.whole))(REGISTRY["MOM"].params["timeperiod"]))
     each = " UNION ALL ".join(f"SELECT {float(n)}::DOUBLE AS value, CAST(sum(combined_score) AS BIGINT) AS score FROM ({score_sql(targets_sql('MOM', timeperiod=n))})" for n in values)
     register("swp4_sensitivity", "bars", lambda b: match.sensitivity(labels.label_periods(b), "MOM", "timeperiod"), f"SELECT value, score, row_number() OVER (ORDER BY score DESC, value) = 1 AS best FROM ({each})")
     register("swp5_profit_sweep", "bars", lambda b: match.profit_sweep(b, "MOM", [{"timeperiod": n} for n in (5, 10, 20)], "loss_sharpe").select("combo_id", "loss", "best"), "SELECT combo_id, loss, row_number() OVER (ORDER BY loss, combo_id) = 1 AS best FROM (" + " UNION ALL ".join(f"SELECT {k} AS combo_id, avg(loss_sharpe) AS loss FROM ({stats_sql(trades_sql(sql_indicator('MOM', timeperiod=n)))})".replace("/*round: " + STATS + "*/", "").replace("/*count: n_trades*/", "") for k, n in enumerate((5, 10, 20))) + ") /*round: loss*/ /*count: combo_id*/")
+    lots = [{"timeperiod": n} for n in values]
+    each = " UNION ALL ".join(f"SELECT {k} AS combo_id, avg(loss_sharpe) AS loss FROM ({stats_sql(trades_sql(sql_indicator('MOM', **c)))})".replace("/*round: " + STATS + "*/", "").replace("/*count: n_trades*/", "") for k, c in enumerate(lots))
+    register("swp5_profit_axis", "bars", lambda b: match.profit_sweep(b, "MOM", lots, "loss_sharpe").select("combo_id", "loss", "best"), f"SELECT combo_id, loss, row_number() OVER (ORDER BY loss, combo_id) = 1 AS best FROM ({each}) /*round: loss*/ /*count: combo_id*/")
     register("swp6_best_params", "bars", lambda b: dataset.best_params({("SMA", "gs"): match.sweep(labels.label_periods(b), *SWEEP)}).select("indicator", "type", "score"), f"SELECT 'SMA' AS indicator, 'gs' AS type, score FROM ({sweep_sql().replace('/*count: combo_id*/', '')}) WHERE best /*round: score*/")
 
     # datasets

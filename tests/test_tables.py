@@ -217,3 +217,39 @@ def test_stream_and_batch_agree(spark, sf, tmp_path):
     batch = {(r.symbol, r.bar_ts): (r.open, r.high, r.low, r.close, r.volume) for r in load_view(spark, sf, "bars").collect()}
     live = {(r.symbol, r.bar_ts): (r.open, r.high, r.low, r.close, r.volume) for r in spark.table("live").collect()}
     assert live and all(batch[k] == v for k, v in live.items())
+
+
+def test_percentiles_are_exact(spark):
+    import numpy as np
+
+    from tidemark.functions.percentiles import percentiles
+
+    rng = np.random.default_rng(2)
+    groups = {"one": [3.5], "equal": [2.0] * 9, "few": [1.0, 2.0, 2.0, 7.0], "normal": rng.normal(size=500).tolist(), "wide": (10 ** rng.uniform(-300, 300, 300)).tolist(), "steps": rng.integers(0, 5, 400).astype(float).tolist()}
+    df = spark.createDataFrame([(g, v) for g, own in groups.items() for v in [*own, None]], "g string, v double").repartition(4)
+    shares = [0.0, 0.05, 0.5, 0.9, 1.0]
+    for bins in (2, 4096):
+        found = {r.g: r.q for r in percentiles(df, "v", shares, ("g",), bins).collect()}
+        assert set(found) == set(groups)
+        for g, own in groups.items():
+            assert np.allclose(found[g], np.quantile(own, shares), rtol=1e-12, atol=0), (g, bins)
+    every = [v for own in groups.values() for v in own]
+    assert np.allclose(percentiles(df, "v", [0.3]).first().q, np.quantile(every, [0.3]))
+    assert not percentiles(df.filter("v IS NULL"), "v", [0.5]).collect()
+
+
+def test_clamped_maps_compose():
+    import numpy as np
+
+    from tidemark.operators.passes import folded, folded_between
+
+    rng = np.random.default_rng(4)
+    for n in (1, 127, 128, 1000):
+        a, b, low = rng.uniform(0, 1.2, n), rng.normal(0, 3, n), rng.uniform(-2, 0, n)
+        high = low + rng.uniform(0, 4, n)
+        y, z, expected, plain = 0.5, 0.5, [], []
+        for k in range(n):
+            y, z = min(max(a[k] * y + b[k], low[k]), high[k]), a[k] * 0.5 * z + b[k]
+            expected.append(y)
+            plain.append(z)
+        assert np.allclose(folded_between(a, b, low, high, 0.5), expected) and np.allclose(folded(a * 0.5, b, 0.5), plain)

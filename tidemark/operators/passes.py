@@ -80,6 +80,41 @@ class Affine:
         return [np.where(none, np.nan, y)]
 
 
+def folded_between(a: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray, before: float) -> np.ndarray:
+    """y[t] = min(max(a[t] * y[t - 1] + b[t], low[t]), high[t]) for a >= 0, with y[-1] = before: such maps compose to maps of their kind."""
+    n = len(a)
+    rows = -(-n // _LANE)
+    maps = [np.full(rows * _LANE, v) for v in (1.0, 0.0, -np.inf, np.inf)]
+    for m, v in zip(maps, (a, b, low, high)):
+        m[:n] = v
+    a, b, low, high = (m.reshape(rows, _LANE) for m in maps)
+    step = 1
+    while step < _LANE:
+        a2, b2, low2, high2 = (m[:, step:] for m in (a, b, low, high))
+        a1, b1, low1, high1 = (m[:, :-step].copy() for m in (a, b, low, high))
+        b1, low1, high1 = a2 * b1 + b2, *(np.minimum(np.maximum(a2 * np.nan_to_num(x, posinf=1e300, neginf=-1e300) + b2, low2), high2) for x in (low1, high1))
+        a, b, low, high = (np.concatenate([m[:, :step], new], axis=1) for m, new in ((a, a2 * a1), (b, b1), (low, low1), (high, high1)))
+        step *= 2
+    into = np.empty(rows)
+    for k in range(rows):
+        into[k] = before
+        before = min(max(a[k, -1] * before + b[k, -1], low[k, -1]), high[k, -1])
+    return np.minimum(np.maximum(a * into[:, None] + b, low), high).reshape(-1)[:n]
+
+
+class Clamped:
+    """y = a * y + b, held between ``least`` and ``most``; a symbol begins from ``start``."""
+
+    def __init__(self, least: float, most: float, start: float) -> None:
+        self.least, self.most, self.first, self.y = least, most, start, start
+
+    def __call__(self, places: Places, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+        n = len(a)
+        y = folded_between(np.where(places.new, 0.0, a), np.where(places.new, a * self.first + b, b), np.full(n, self.least), np.full(n, self.most), self.y)
+        self.y = y[-1]
+        return [y]
+
+
 class Ema:
     """An exponential average from the mean of the n values on that end with the ``seed_at``-th; a null leaves it as it is."""
 
@@ -149,7 +184,7 @@ class Dx:
         return [np.where(ready, filled, np.nan)]
 
 
-KINDS: dict[str, Callable] = {"affine": Affine, "ema": Ema, "wilder_sum": WilderSum, "lag": Lag, "minus": Minus, "dx": Dx}
+KINDS: dict[str, Callable] = {"affine": Affine, "ema": Ema, "wilder_sum": WilderSum, "lag": Lag, "minus": Minus, "dx": Dx, "clamped": Clamped}
 
 
 def begins(columns: list[pa.Array], last: tuple | None) -> tuple[np.ndarray, tuple]:
@@ -162,13 +197,13 @@ def begins(columns: list[pa.Array], last: tuple | None) -> tuple[np.ndarray, tup
     return new, tuple(c[-1].as_py() for c in columns)
 
 
-def run_pass(df: DataFrame, keys: tuple[str, ...], jobs: list[Job], keep: list[str]) -> DataFrame:
-    """Columns ``keep`` and the outputs of all jobs, in one pass over each key's bars by time; Spark shuffles nothing if the bars lie by key already."""
+def run_pass(df: DataFrame, keys: tuple[str, ...], jobs: list[Job], keep: list[str], order: str = "bar_ts") -> DataFrame:
+    """Columns ``keep`` and the outputs of all jobs, in one pass over each key's bars by time (or ``order``); Spark shuffles nothing if the bars lie by key already."""
     from tidemark.operators import kernels
 
     kinds = KINDS | kernels.KINDS
     made = {n for j in jobs for n in j.names}
-    ordered = df.repartition(*keys).sortWithinPartitions(*keys, "bar_ts")
+    ordered = df.repartition(*keys).sortWithinPartitions(*keys, order)
     read = list(dict.fromkeys([*keep, *[x for j in jobs for x in j.inputs if x not in made]]))
     ordered, where = ordered.select(*[f"`{c}`" for c in read]), {c: k for k, c in enumerate(read)}
 

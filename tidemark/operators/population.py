@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.passes import Job, run_pass
+
 PENALTY, LEAST, MOST, START, Q, EVAPORATION = -1000.0, 0.1, 15.0, 1.0, 100.0, 0.1
 
 
@@ -46,7 +48,8 @@ def slot_credit(population: DataFrame, scale: float = 30_000.0) -> DataFrame:
     """slot, iteration, credit after each iteration, from iteration, fitness and slots (an array of the chosen ones).
 
     Credit falls by a tenth in every iteration; individuals that chose a slot take Q * |f| / scale from it if their fitness is below zero (and above the
-    penalty) and add Q * (f / best so far)^2 / 7 if above. It is held between LEAST and MOST once an iteration.
+    penalty) and add Q * (f / best so far)^2 / 7 if above. It is held between LEAST and MOST once an iteration. An iteration is a map min(max(a * x + b, lo), hi);
+    such maps compose, so a slot's iterations are folded in one pass without a list of them.
     """
     best = Window.orderBy("iteration").rowsBetween(Window.unboundedPreceding, 0)  # a row for each iteration
     tops = population.groupBy("iteration").agg(F.max("fitness").alias("top_")).withColumn("best_", F.max("top_").over(best)).select("iteration", "best_")
@@ -55,15 +58,9 @@ def slot_credit(population: DataFrame, scale: float = 30_000.0) -> DataFrame:
     deltas = population.join(F.broadcast(tops), "iteration").select("iteration", F.explode("slots").alias("slot"), share.alias("d_")).groupBy("slot", "iteration").agg(F.sum("d_").alias("d_"))
     every = tops.select("iteration").crossJoin(deltas.select("slot").distinct())  # iterations by slots, both few: slots are columns of a vector
     rows = every.join(deltas, ["slot", "iteration"], "left").select("slot", "iteration", F.coalesce("d_", F.lit(0.0)).alias("d_"))
-    folded = rows.groupBy("slot").agg(F.sort_array(F.collect_list(F.struct("iteration", "d_"))).alias("x"))
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.when(F.size(acc) > 0, F.element_at(acc, -1)["credit"]).otherwise(F.lit(START))
-        now = F.least(F.greatest(last * (1 - EVAPORATION) + x["d_"], F.lit(LEAST)), F.lit(MOST))
-        return F.concat(acc, F.array(F.struct(x["iteration"].alias("iteration"), now.alias("credit"))))
-
-    empty = F.array().cast("array<struct<iteration:int,credit:double>>")
-    return folded.withColumn("x", F.transform("x", lambda v: F.struct(v["iteration"].cast("int").alias("iteration"), v["d_"].alias("d_")))).select("slot", F.explode(F.aggregate("x", empty, step)).alias("y")).select("slot", "y.*")
+    rows = rows.select("slot", F.col("iteration").cast("int").alias("iteration"), F.lit(1 - EVAPORATION).alias("a_"), "d_")
+    job = Job("clamped", ("a_", "d_"), 1, (("least", LEAST), ("most", MOST), ("start", START))).named(("credit",))
+    return run_pass(rows, ("slot",), [job], ["slot", "iteration"], order="iteration")
 
 
 def top_and_bottom(credit: DataFrame, n: int = 5) -> DataFrame:

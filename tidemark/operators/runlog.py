@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.percentiles import percentiles
 from tidemark.functions.tails import kolmogorov_tail, normal_two_sided, student_two_sided
 
 
@@ -25,12 +26,12 @@ def _long(log: DataFrame, columns: list[str], *keep: str) -> DataFrame:
 
 
 def _bound(log: DataFrame, percent: float) -> DataFrame:
-    return log.agg(F.percentile("fitness", F.lit(percent / 100)).alias("bound"))
+    return percentiles(log, "fitness", [percent / 100]).select(F.col("q")[0].alias("bound"))
 
 
 def with_top(log: DataFrame, percent: float = 10.0) -> DataFrame:
     """Adds top: fitness at or below the percentile (linear between ranks)."""
-    return log.crossJoin(F.broadcast(_bound(log, percent))).withColumn("top", F.col("fitness") <= F.col("bound")).drop("bound")  # one row
+    return log.join(F.broadcast(_bound(log, percent))).withColumn("top", F.col("fitness") <= F.col("bound")).drop("bound")  # one row
 
 
 def feature_importance(log: DataFrame) -> DataFrame:
@@ -79,8 +80,8 @@ def parameter_ranges(log: DataFrame) -> DataFrame:
     names = parameters_of(log)
     wide = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value"), F.col(f"{c}_lower").cast("double").alias("lo"), F.col(f"{c}_upper").cast("double").alias("hi")) for c in names])
     rows = with_top(valid(log)).filter("top").select(F.explode(wide).alias("x")).select("x.*")
-    q = F.percentile("value", F.array(*[F.lit(v) for v in (0.05, 0.1, 0.9, 0.95)]))
-    base = rows.groupBy("name").agg(F.coalesce(F.min("lo"), F.min("value")).alias("lower"), F.coalesce(F.max("hi"), F.max("value")).alias("upper"), q.alias("q"), F.count("*").alias("n"))
+    base = rows.groupBy("name").agg(F.coalesce(F.min("lo"), F.min("value")).alias("lower"), F.coalesce(F.max("hi"), F.max("value")).alias("upper"), F.count("*").alias("n"))
+    base = base.join(percentiles(rows, "value", [0.05, 0.1, 0.9, 0.95], ("name",)), "name")
     span = F.col("upper") - F.col("lower")
     edges = rows.join(F.broadcast(base.select("name", "lower", "upper")), "name").groupBy("name").agg(F.avg((F.col("value") <= F.col("lower") + 0.2 * span).cast("double")).alias("low_share"), F.avg((F.col("value") >= F.col("upper") - 0.2 * span).cast("double")).alias("high_share"))
     df = base.join(edges, "name").select("name", "n", "lower", "upper", *[F.col("q")[k].alias(p) for k, p in enumerate(("p5", "p10", "p90", "p95"))], "low_share", "high_share")

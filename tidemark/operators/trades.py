@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.percentiles import percentiles
+
 CAPITAL = 10_000.0
 
 
@@ -70,11 +72,15 @@ def closed_trade_summary(trades: DataFrame) -> DataFrame:
     """By pair: trades, profit, hours held (mean, min, max, median), wins, losses, averages, best, worst, profit factor."""
     p, hours = F.col("profit_abs"), (F.unix_timestamp(F.col("close_date").cast("timestamp")) - F.unix_timestamp(F.col("open_date").cast("timestamp"))) / 3600.0
     gain, loss = F.coalesce(F.sum(F.when(p > 0, p)), F.lit(0.0)), F.abs(F.coalesce(F.sum(F.when(p < 0, p)), F.lit(0.0)))
-    return trades.withColumn("hours_", hours).groupBy("pair").agg(
+    held = trades.withColumn("hours_", hours)
+    rest = ("wins", "losses", "avg_win", "avg_loss", "best", "worst", "profit_factor")
+    sums = held.groupBy("pair").agg(
         F.count("*").alias("n_trades"), F.sum(p).alias("profit"), F.avg("hours_").alias("mean_hours"), F.min("hours_").alias("min_hours"), F.max("hours_").alias("max_hours"),
-        F.percentile("hours_", F.lit(0.5)).alias("median_hours"), F.count_if(p > 0).alias("wins"), F.count_if(p < 0).alias("losses"), F.avg(F.when(p > 0, p)).alias("avg_win"),
+        F.count_if(p > 0).alias("wins"), F.count_if(p < 0).alias("losses"), F.avg(F.when(p > 0, p)).alias("avg_win"),
         F.avg(F.when(p < 0, p)).alias("avg_loss"), F.max(p).alias("best"), F.min(p).alias("worst"), (gain / F.greatest(loss, F.lit(0.01))).alias("profit_factor"),
     )
+    median = percentiles(held, "hours_", [0.5], ("pair",)).select("pair", F.col("q")[0].alias("median_hours"))
+    return sums.join(median, "pair", "left").select("pair", "n_trades", "profit", "mean_hours", "min_hours", "max_hours", "median_hours", *rest)
 
 
 def exit_reasons(trades: DataFrame) -> DataFrame:

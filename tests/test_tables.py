@@ -253,3 +253,26 @@ def test_clamped_maps_compose():
             expected.append(y)
             plain.append(z)
         assert np.allclose(folded_between(a, b, low, high, 0.5), expected) and np.allclose(folded(a * 0.5, b, 0.5), plain)
+
+
+@pytest.mark.parametrize("longest", [1, 2, 3, 4])
+def test_rules_are_those_of_all_sets(spark, longest):
+    import itertools
+
+    rng = random.Random(3)
+    names = [f"f{k}" for k in range(7)]
+    rows = [([rng.choice([None, 0, 1]) if rng.random() < 0.4 else int(rng.random() < 0.6) for _ in names], rng.choice(["trade", "hold", None])) for _ in range(300)]
+    df = spark.createDataFrame([(*r, t) for r, t in rows], ", ".join(f"{n} int" for n in reversed(names)) + ", tradeable string").repartition(5)
+    order = list(reversed(names))
+    expected, n1 = {}, sum(t == "trade" for _, t in rows)
+    for size in range(1, longest + 1):
+        for s in itertools.combinations(names, size):
+            held = [t for r, t in rows if all(r[order.index(f)] == 1 for f in s)]
+            both = sum(t == "trade" for t in held)
+            if both >= 0.05 * len(rows):
+                expected[s] = (both, both / len(held), both / len(held) / (n1 / len(rows)))
+    found = {tuple(r.antecedent): (r.n_both, r.confidence, r.lift) for r in association.rules(df, names, least_support=0.05, least_confidence=0.0, least_lift=0.0, longest=longest).collect()}
+    assert set(found) == set(expected)
+    for s, values in expected.items():
+        assert found[s][0] == values[0] and abs(found[s][1] - values[1]) < 1e-12 and abs(found[s][2] - values[2]) < 1e-9
+    assert association.rules(df.filter("false"), names, longest=longest).count() == 0

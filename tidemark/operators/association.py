@@ -6,10 +6,16 @@ follows is arithmetic on a row for each feature.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.tails import chi2_tail, fisher_p, student_two_sided
+from tidemark.sources.files import scratch
 
 MOST = 1000.0
 
@@ -94,31 +100,92 @@ def overview(stats: DataFrame) -> DataFrame:
     return stats.agg(F.count_if(F.col("chi2_p") < 0.05).alias("significant"), *[F.count_if(F.col("lift") > k).alias(f"lift_above_{name}") for k, name in ((1.0, "1"), (1.2, "1_2"), (1.5, "1_5"), (2.0, "2"), (3.0, "3"))], F.avg("mi").alias("mean_mi"))
 
 
+def _rows_of(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows as a 0/1 matrix of features, their number, and the number of those with the class."""
+    on, y, k = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
+    x = np.zeros((batch.num_rows, width))
+    x[np.repeat(np.arange(batch.num_rows), pc.list_value_length(on).to_numpy(zero_copy_only=False)), on.flatten().to_numpy(zero_copy_only=False)] = 1
+    return x, k.astype(float), (k * y).astype(float)
+
+
+def _pair_counts(rows: DataFrame, width: int) -> DataFrame:
+    """a, b, n_set, n_both of all features (a = b) and pairs that rows have, and of all rows (a = b = -1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both, every, totals = np.zeros((width, width)), np.zeros((width, width)), np.zeros(2)
+        for batch in batches:
+            x, k, ky = _rows_of(batch, width)
+            every += x.T @ (x * k[:, None])
+            both += x.T @ (x * ky[:, None])
+            totals += k.sum(), ky.sum()
+        a, b = np.nonzero(np.triu(every))
+        columns = [np.append(a, -1), np.append(b, -1), np.append(every[a, b], totals[0]), np.append(both[a, b], totals[1])]
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["a", "b", "n_set", "n_both"])
+
+    return rows.mapInArrow(run, "a long, b long, n_set long, n_both long").groupBy("a", "b").agg(F.sum("n_set").alias("n_set"), F.sum("n_both").alias("n_both"))
+
+
+def _grown_counts(rows: DataFrame, width: int, sets: np.ndarray, last: list[np.ndarray], together: int = 1024) -> DataFrame:
+    """prefix, feature, n_set, n_both of each set (a row of ``sets``) with each of its features in ``last``."""
+    sizes = np.array([len(x) for x in last])
+    flat, prefix = np.concatenate(last), np.repeat(np.arange(len(sets)), sizes)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every, both = np.zeros(len(flat)), np.zeros(len(flat))
+        for batch in batches:
+            x, k, ky = _rows_of(batch, width)
+            for lo in range(0, len(sets), together):
+                some = sets[lo : lo + together]
+                held = np.ones((len(x), len(some)))
+                for place in range(sets.shape[1]):
+                    held *= x[:, some[:, place]]
+                own = slice(starts[lo], starts[min(lo + together, len(sets))])
+                every[own] += (held.T @ (x * k[:, None]))[prefix[own] - lo, flat[own]]
+                both[own] += (held.T @ (x * ky[:, None]))[prefix[own] - lo, flat[own]]
+        some = np.flatnonzero(every)
+        yield pa.RecordBatch.from_arrays([pa.array(c[some].astype(np.int64)) for c in (prefix, flat, every, both)], ["prefix", "feature", "n_set", "n_both"])
+
+    return rows.mapInArrow(run, "prefix long, feature long, n_set long, n_both long").groupBy("prefix", "feature").agg(F.sum("n_set").alias("n_set"), F.sum("n_both").alias("n_both"))
+
+
 def rules(df: DataFrame, features: list[str], target: str = "tradeable", positive: str = "trade", least_support: float = 0.01, least_confidence: float = 0.3, least_lift: float = 1.0, longest: int = 3, most: int = 1000) -> DataFrame:
     """antecedent (sorted names), n_both, support, confidence, lift, leverage, conviction of rules {features} -> trade; the ``most`` of highest lift.
 
-    Each row names its own sets of up to ``longest`` features that are 1; counting them is one aggregation with partial sums. Sets grow by one
-    feature a time, and only from sets that are frequent with trade.
+    Rows that agree in all features and the class are one, and are written once; what follows reads only these. All features and pairs are counted in one
+    pass, as a product of 0/1 matrices. Larger sets grow by one feature, and only where all that they are made of is frequent with trade; a pass counts all
+    of a size. What tasks send is a number for each set, and the driver holds the frequent sets that still grow (features times features of them for the usual three).
     """
+    names, spark = sorted(features), df.sparkSession
     y = (F.coalesce(F.col(target), F.lit("hold")) == positive).cast("int")
-    names = sorted(features)
-    rows = df.select(y.alias("y"), F.filter(F.array(*[F.when(F.col(f) == 1, f) for f in names]), lambda c: c.isNotNull()).alias("on"))
-    # rows with the same features and class are one
-    rows = rows.groupBy("on", "y").agg(F.count("*").alias("k"))
-    totals = rows.agg(F.sum("k").alias("n"), F.coalesce(F.sum(F.col("k") * F.col("y")), F.lit(0)).alias("n1"))
-    n = totals.select("n", "n1")
-    found, sets = None, rows.withColumn("set", F.explode(F.transform("on", lambda c: F.array(c))))
-    for size in range(1, longest + 1):
-        counted = sets.groupBy("set").agg(F.sum("k").alias("n_set"), F.sum(F.col("k") * F.col("y")).alias("n_both")).join(F.broadcast(n)).filter(F.col("n_both") >= least_support * F.col("n"))
-        found = counted if found is None else found.unionByName(counted)
+    on = F.filter(F.array(*[F.when(F.col(f) == 1, k) for k, f in enumerate(names)]), lambda c: c.isNotNull())
+    path = scratch(spark, "feature-sets")
+    df.select(on.alias("on"), y.alias("y")).groupBy("on", "y").agg(F.count("*").alias("k")).write.parquet(path)
+    rows = spark.read.parquet(path).select("on", "y", "k")
+    pairs = {(r.a, r.b): (r.n_set, r.n_both) for r in _pair_counts(rows, len(names)).collect()}  # features times features
+    n, n1 = pairs.pop((-1, -1), (0, 0))
+    frequent = {p: c for p, c in pairs.items() if c[1] >= least_support * n and n}
+    schema = "set array<string>, n_set long, n_both long"
+    small = [([names[a]] if a == b else [names[a], names[b]], *c) for (a, b), c in frequent.items() if a == b or longest > 1]
+    found, sets = spark.createDataFrame(small, schema), sorted([p for p in frequent if p[0] != p[1]])
+    near = {a: {b for b in range(len(names)) if (min(a, b), max(a, b)) in frequent and a != b} for a in range(len(names))}
+    for size in range(3, longest + 1):
+        grown = [(s, sorted(x for x in set.intersection(*(near[f] for f in s)) if x > s[-1])) for s in sets]
+        grown = [(s, x) for s, x in grown if x]
+        if not grown:
+            break
+        counted = _grown_counts(rows, len(names), np.array([s for s, _ in grown]), [np.array(x) for _, x in grown]).filter(F.col("n_both") >= least_support * n)
+        prefixes = spark.createDataFrame([(k, [names[f] for f in s]) for k, (s, _) in enumerate(grown)], "prefix long, names array<string>")
+        at = F.array(*map(F.lit, names))
+        counted = counted.join(prefixes, "prefix").select(F.concat("names", F.array(F.get(at, F.col("feature").cast("int")))).alias("set"), "n_set", "n_both", "prefix", "feature")
+        found = found.unionByName(counted.drop("prefix", "feature"))
         if size < longest:
-            kept = counted.select("set")
-            grown = sets.join(kept, "set").withColumn("next", F.filter("on", lambda c: c > F.element_at("set", -1)))
-            sets = grown.withColumn("one", F.explode("next")).withColumn("set", F.concat("set", F.array("one"))).drop("next", "one")
-    confidence, share = _d("n_both") / _d("n_set"), _d("n1") / _d("n")
+            sets = sorted((*grown[r.prefix][0], r.feature) for r in counted.select("prefix", "feature").collect())
+    n, share = F.lit(float(n)), F.lit(n1 / n if n else 0.0)
+    confidence = _d("n_both") / _d("n_set")
     out = found.select(
-        F.col("set").alias("antecedent"), "n_both", (_d("n_both") / _d("n")).alias("support"), confidence.alias("confidence"), (confidence / F.nullif(share, F.lit(0.0))).alias("lift"),
-        (_d("n_both") / _d("n") - _d("n_set") / _d("n") * share).alias("leverage"), F.when(confidence >= 1, MOST).otherwise((1 - share) / F.nullif(1 - confidence, F.lit(0.0))).alias("conviction"),
+        F.col("set").alias("antecedent"), "n_both", (_d("n_both") / n).alias("support"), confidence.alias("confidence"), (confidence / F.nullif(share, F.lit(0.0))).alias("lift"),
+        (_d("n_both") / n - _d("n_set") / n * share).alias("leverage"), F.when(confidence >= 1, MOST).otherwise((1 - share) / F.nullif(1 - confidence, F.lit(0.0))).alias("conviction"),
     )
     return out.filter((F.col("confidence") >= least_confidence) & (F.col("lift") >= least_lift)).orderBy(F.desc("lift"), "antecedent").limit(most)
 

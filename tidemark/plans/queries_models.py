@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import association, dataset, labels, mlprep
-from tidemark.plans.common import sql_student
+from tidemark.plans.common import sql_erfc, sql_student
 from tidemark.plans.queries_bars import labelled_sql
 from tidemark.sources.views import sql_view
 
@@ -107,7 +107,11 @@ def add_to(register) -> None:
     register("as4_odds_ratio", "features01", lambda f: association.fisher(counts(f)).select(*base, "odds_ratio"), f"SELECT feature, n, n1, sx, sxy, odds_ratio FROM ({NUMBERS}) /*round: odds_ratio*/ {cast}")
     register("as5_lift", "features01", lambda f: association.lift(counts(f)).select(*base, "trade_support", "hold_support", "lift"), f"SELECT feature, n, n1, sx, sxy, trade_support, hold_support, lift FROM ({NUMBERS}) /*round: trade_support, hold_support, lift*/ {cast}")
     stats = lambda f: association.all_statistics(counts(f))
-    register("as6_all_statistics", "features01", stats)
+    whole = f"""SELECT s.feature, n, n1, sx, sxy, chi2, {sql_erfc('sqrt(chi2 / 2)')} AS chi2_p, mi, r_pb, {sql_student('r_pb', 'n')} AS r_pb_p, e.odds_ratio, e.fisher_p, trade_support, hold_support, lift
+        FROM ({NUMBERS}) s JOIN ({exact.replace('/*round: odds_ratio, fisher_p*/', '')}) e ON s.feature = e.feature"""
+    scaled = lambda c: f"CASE WHEN max({c}) OVER () > min({c}) OVER () THEN ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) ELSE 0.0 END"
+    composite = f"SELECT *, ({scaled('chi2')} + {scaled('mi')} + {scaled('least(greatest(lift, 0), 10)')} + 1 - fisher_p) / 4 AS composite FROM ({whole})"
+    register("as6_all_statistics", "features01", stats, f"SELECT * FROM ({composite}) /*round: chi2, chi2_p, mi, r_pb, r_pb_p, odds_ratio, fisher_p, trade_support, hold_support, lift, composite*/ {cast}")
     register("as7_rules", "features01", lambda f: association.rules(f, FEATURES, least_confidence=0.25), f"SELECT * FROM ({rules_sql(0.25, 1.0)}) /*round: support, confidence, lift, leverage, conviction*/")
     ranks = lambda c, by: c.withColumn("place", F.row_number().over(Window.orderBy(F.desc(by), "feature")))
     register("as8_ranked_by_lift", "features01", lambda f: ranks(association.ranked(association.lift(counts(f)), "lift"), "lift").select("feature", "lift", "place"), f"SELECT feature, lift, row_number() OVER (ORDER BY lift DESC, feature) AS place FROM ({NUMBERS}) /*round: lift*/ /*count: place*/")

@@ -276,3 +276,51 @@ def test_rules_are_those_of_all_sets(spark, longest):
     for s, values in expected.items():
         assert found[s][0] == values[0] and abs(found[s][1] - values[1]) < 1e-12 and abs(found[s][2] - values[2]) < 1e-9
     assert association.rules(df.filter("false"), names, longest=longest).count() == 0
+
+
+def test_exact_tails_are_those_of_all_orders():
+    import itertools
+
+    from tidemark.functions.tails import rank_sum_two_sided, smirnov_two_sided
+
+    for n1, n2 in ((2, 3), (4, 4), (3, 7), (6, 5)):
+        ds, us = [], []
+        for first in itertools.combinations(range(n1 + n2), n1):
+            a, b, gap = 0, 0, 0.0
+            for k in range(n1 + n2):
+                a, b = a + (k in first), b + (k not in first)
+                gap = max(gap, abs(a / n1 - b / n2))
+            ds.append(gap)
+            us.append(sum(first) + n1 - n1 * (n1 + 1) // 2)
+        for d in set(ds):
+            assert math.isclose(smirnov_two_sided(d, n1, n2), sum(x >= d - 1e-9 for x in ds) / len(ds), abs_tol=1e-12)
+        for u in set(us):
+            far = max(u, n1 * n2 - u)
+            assert math.isclose(rank_sum_two_sided(u, n1, n2), min(1.0, 2 * sum(x >= far for x in us) / len(us)))
+    assert 0.001 < smirnov_two_sided(0.03, 5000, 9000) < 0.01 and math.isclose(rank_sum_two_sided(0, 3, 4000), 2 / math.comb(4003, 3))
+
+
+def test_arrow_files_round_trip(spark, tmp_path, sf):
+    import pandas as pd
+    import pyarrow as pa
+    from pyarrow import feather
+
+    bars = load_view(spark, sf, "bars")
+    upper = bars.selectExpr("upper(symbol) AS symbol", *[c for c in bars.columns if c != "symbol"])
+    files.export_arrow_bars(upper, str(tmp_path / "out"))
+    names = sorted(p.name for p in (tmp_path / "out").iterdir())
+    assert len(names) == bars.select("symbol").distinct().count() and all("_USDT-" in n and n.endswith(".feather") for n in names)
+    found = files.load_arrow_bars(spark, str(tmp_path / "out"))
+    assert sorted(map(tuple, found.select(upper.columns).collect())) == sorted(map(tuple, upper.collect()))
+    # files as other tools write them: zoned times, further columns, another order, no rows, names without a symbol
+    frame = pd.DataFrame({"volume": [1, 2], "date": pd.to_datetime(["2024-01-01 00:00", "2024-01-01 01:00"], utc=True), "close": [1.5, 2.5], "open": [1.0, 1.5], "high": [2.0, 3.0], "low": [0.5, 1.0], "extra": ["a", "b"]})
+    for name, rows in (("BTC_USDT-1h.feather", frame), ("ETH_USDT-1h.feather", frame[:0]), ("XRP_USDT-1h.feather", frame[1:]), ("notes.feather", frame)):
+        feather.write_feather(pa.Table.from_pandas(rows, preserve_index=False), str(tmp_path / name))
+    (tmp_path / "BTC_USDT.txt").write_text("no table")
+    found = [(r.symbol, str(r.bar_ts), r.close, r.volume, r.bar_idx) for r in files.load_arrow_bars(spark, str(tmp_path)).orderBy("symbol", "bar_ts").collect()]
+    assert found == [("BTC", "2024-01-01 00:00:00", 1.5, 1.0, 0), ("BTC", "2024-01-01 01:00:00", 2.5, 2.0, 1), ("XRP", "2024-01-01 01:00:00", 2.5, 2.0, 0)]
+    (tmp_path / "XRP_USDT-1h.feather").write_bytes(b"damaged")  # a file that the filter leaves out is not opened
+    assert files.load_arrow_bars(spark, str(tmp_path), only=["BTC"]).count() == 2
+    empty = tmp_path / "none"
+    empty.mkdir()
+    assert files.load_arrow_bars(spark, str(empty)).count() == 0

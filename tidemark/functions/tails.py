@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,12 +29,69 @@ def normal_two_sided(z: Column) -> Column:
 def kolmogorov_tail(x: pd.Series) -> pd.Series:
     """Asymptotic two-sided tail of the Kolmogorov-Smirnov statistic times the root of the effective size."""
 
-    def tail(v: float) -> float:
-        if v < 0.2:
+    return x.map(_kolmogorov, na_action="ignore")
+
+
+def _kolmogorov(v: float) -> float:
+    if v < 0.2:
+        return 1.0
+    return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * v * v) for k in range(1, 101))))
+
+
+def smirnov_two_sided(d: float, n1: int, n2: int) -> float:
+    """P(D >= d) of the two-sample statistic over all orders of n1 + n2 different values: lattice paths that leave the band, a row of it at a time."""
+    few, many = sorted((n1, n2))
+    band = (0.5 + math.floor(d * few * many - 1e-7)) / (few * many)
+    j = np.arange(many + 1) / many
+    paths, log = (j <= band).astype(float), 0.0  # to (i, j), over the exponential of ``log``
+    for i in range(1, few + 1):
+        within = np.abs(i / few - j) <= band
+        paths = np.where(within, np.cumsum(np.where(within, paths, 0.0)), 0.0)
+        most = paths.max()
+        if not most:
             return 1.0
-        return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * v * v) for k in range(1, 101))))
+        paths, log = paths / most, log + math.log(most)
+    if not paths[-1]:
+        return 1.0
+    every = math.lgamma(few + many + 1) - math.lgamma(few + 1) - math.lgamma(many + 1)
+    return min(1.0, max(0.0, 1.0 - math.exp(math.log(paths[-1]) + log - every)))
+
+
+def rank_sum_two_sided(u: float, n1: int, n2: int) -> float:
+    """P of a U as far from its mean over all orders of different values: counts of U are the coefficients of a Gaussian binomial."""
+    few, many = sorted((n1, n2))
+    far = math.ceil(max(u, n1 * n2 - u) - 1e-9)
+    size = n1 * n2 + 1
+    ways = np.zeros(size)
+    ways[0] = 1.0
+    for i in range(1, few + 1):
+        if many + i < size:
+            ways[many + i :] -= ways[: -(many + i)].copy()
+        for start in range(i):
+            ways[start::i] = np.cumsum(ways[start::i])
+    return min(1.0, 2 * float(ways[: size - far].sum() / ways.sum()))
+
+
+#: Up to what size of the larger sample D's p, and of the smaller one U's, are those of all orders.
+EXACT_D, EXACT_U = 10_000, 8
 
-    return x.map(tail, na_action="ignore")
+
+@F.pandas_udf(DoubleType())
+def smirnov_p(d: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+    """p of D: of all orders up to EXACT_D values in either sample, asymptotic beyond; null without values."""
+
+    def p(d: float, n1: int, n2: int) -> float | None:
+        if not n1 or not n2 or d != d:
+            return None
+        return smirnov_two_sided(d, n1, n2) if max(n1, n2) <= EXACT_D else _kolmogorov(d * math.sqrt(n1 * n2 / (n1 + n2)))
+
+    return pd.Series([p(*map(float, t[:1]), *map(int, t[1:])) for t in zip(d.fillna(math.nan), n1.fillna(0), n2.fillna(0))], dtype=float)
+
+
+@F.pandas_udf(DoubleType())
+def rank_sum_p(u: pd.Series, n1: pd.Series, n2: pd.Series, otherwise: pd.Series) -> pd.Series:
+    """p of U without ties: of all orders if a sample has EXACT_U values at most, else what is given."""
+    return pd.Series([rank_sum_two_sided(a, int(b), int(c)) if 0 < min(b, c) <= EXACT_U and a == a else o for a, b, c, o in zip(u, n1.fillna(0), n2.fillna(0), otherwise)], dtype=float)
 
 
 def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.percentiles import percentiles
-from tidemark.functions.tails import kolmogorov_tail, normal_two_sided, student_two_sided
+from tidemark.functions.tails import normal_two_sided, rank_sum_p, smirnov_p, student_two_sided
 
 
 def features_of(log: DataFrame) -> list[str]:
@@ -124,7 +124,8 @@ def elite(log: DataFrame, percent: float = 10.0) -> DataFrame:
 def elite_tests(log: DataFrame, percent: float = 10.0) -> DataFrame:
     """name, cohens_d, ks, ks_p, u, u_p, influence, low, high, rank, effect: each parameter of the elite against the rest.
 
-    d: pooled sample deviation, 0 if there is none. D is exact and its p asymptotic. U is the elite's, with ties and continuity corrected. low and high: the elite's 5th and
+    d: pooled sample deviation, 0 if there is none. D is exact; its p is that of all orders for samples of up to 10,000, asymptotic beyond. U is the elite's; without ties
+    and with a sample of up to 8 its p is that of all orders, else normal with ties and continuity corrected. low and high: the elite's 5th and
     95th percentiles, linear between ranks. All come from counts by distinct value, so nothing larger than these is put in order.
     """
     rows = _long(with_top(valid(log), percent), parameters_of(log), "top")
@@ -150,7 +151,8 @@ def elite_tests(log: DataFrame, percent: float = 10.0) -> DataFrame:
     df = df.withColumn("u", F.col("ranks") - n1 * (n1 + 1) / 2)
     spread = F.sqrt(n1 * n0 / 12 * ((n + 1) - F.col("ties") / F.nullif(n * (n - 1), F.lit(0.0))))
     z = F.greatest(F.abs(F.col("u") - n1 * n0 / 2) - 0.5, F.lit(0.0)) / F.nullif(spread, F.lit(0.0))
-    df = df.withColumn("u_p", F.coalesce(normal_two_sided(z), F.lit(1.0))).withColumn("ks_p", F.coalesce(kolmogorov_tail(F.col("ks") * F.sqrt(n1 * n0 / F.nullif(n, F.lit(0.0)))), F.lit(1.0)))
+    normal = F.coalesce(normal_two_sided(z), F.lit(1.0))
+    df = df.withColumn("u_p", F.when(F.col("ties") == 0, rank_sum_p(F.col("u"), n1, n0, normal)).otherwise(normal)).withColumn("ks_p", F.coalesce(smirnov_p(F.col("ks"), n1, n0), F.lit(1.0)))
     influence = 0.4 * F.least(F.abs("cohens_d"), F.lit(2.0)) / 2 + 0.3 * F.col("ks") + 0.3 * (1 - F.least("ks_p", "u_p"))
     between = lambda k, q: (F.col(f"{k}0") + (F.col(f"{k}1") - F.col(f"{k}0")) * (((F.col("n1") - 1) * q) % 1)).alias(k)
     df = df.select("name", "cohens_d", "ks", "ks_p", "u", "u_p", influence.alias("influence"), between("low", 0.05), between("high", 0.95))

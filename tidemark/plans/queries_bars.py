@@ -10,6 +10,7 @@ from tidemark.operators.indicators import REGISTRY, condition
 from tidemark.operators.series import SparkSeries, SqlSeries
 from tidemark.plans.common import sql_indicator, with_indicator
 from tidemark.plans.presets import PRESETS
+from tidemark.sources import files
 from tidemark.sources.views import sql_view
 
 DIGITS = {"HT_TRENDLINE": 9, "ROC": 7, "ROCP": 7, "ROCR": 7, "ROCR100": 7}
@@ -158,6 +159,14 @@ def add_to(register) -> None:
     register("flagship", "bars", lambda bars: trades.trade_stats(trades.pair_trades(with_indicator(bars, "SMA")), bars), stats_sql(trades_sql(sql_indicator("SMA"))), 4)
     register("supplier_bars_trades", "supp_bars", lambda bars: trades.trade_stats(trades.pair_trades(with_indicator(bars, "SMA")), bars), stats_sql(trades_sql(sql_indicator("SMA", "supp_bars")), sql_view("supp_bars")), 3)
     register("src1_bars", "bars", lambda bars: bars, f"SELECT * FROM ({B}) /*round: open, high, low, close, volume*/ /*count: bar_idx*/")
+    def through_files(bars: DataFrame, only: list[str] | None = None) -> DataFrame:
+        path = files.scratch(bars.sparkSession, "bars")
+        files.export_arrow_bars(bars.withColumn("symbol", F.upper("symbol")), path)
+        return files.load_arrow_bars(bars.sparkSession, path, only=only).withColumn("symbol", F.lower("symbol"))
+
+    stored = "/*round: open, high, low, close, volume*/ /*count: bar_idx*/"
+    register("src1_arrow_files", "bars", through_files, f"SELECT * FROM ({B}) {stored}")
+    register("src1_arrow_symbols", "bars", lambda bars: through_files(bars, ["CLICK", "VIEW"]), f"SELECT * FROM ({B}) WHERE symbol IN ('click', 'view') {stored}")
     register("src2_symbols", "bars", lambda bars: bars.select("symbol").distinct(), f"SELECT DISTINCT symbol FROM ({B})")
 
     # predicates and rules

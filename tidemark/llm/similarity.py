@@ -2,8 +2,8 @@
 
 Texts of equal sets are one node. The Gray-order index links nodes whose SimHashes differ in a few bits; these are nearly equal sets. Less similar ones
 differ in more bits than that index can search, so nodes that agree in a whole band of minima also meet in a bucket. Pairs met either way are linked only
-if their sets, which are compared whole, are similar enough. Small buckets give all their pairs. A large one is met by one random member a round, and what stays apart after
-``HUB_ROUNDS`` is paired across groups; members already in one group are never compared, so many copies of a text are no large job.
+if their sets, which are compared whole, are similar enough. Small buckets give all their pairs. Of a large one all members are paired with ``HUBS`` of them, the same in
+every bucket where they are, and what then is in different groups is paired across these; so members already in one group are not compared, and many near copies of a text are no large job.
 """
 
 from __future__ import annotations
@@ -16,12 +16,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_rows, slices, stored, text_bytes
+from tidemark.llm.common import arrow_rows, hot_join, hot_split, slices, stored, text_bytes
 from tidemark.llm.components import components
 from tidemark.llm.simhash import keep_least, links as index_links, shingle_hashes, simhash
 
 #: At a similarity of 0.8 all bands differ with chance (1 - 0.8 ** ROWS) ** BANDS = 0.0004, at 0.9 below 1e-7.
-BANDS, ROWS, HUB_ROUNDS = 20, 5, 4
+BANDS, ROWS, HUBS = 20, 5, 4
 
 
 def min_hashes(hashes: np.ndarray, starts: np.ndarray, seed: int) -> np.ndarray:
@@ -57,19 +57,12 @@ def shingle_sets(docs: DataFrame, words: int = 5, seed: int = 42) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, node long, fp long, shingles array<long>, bands array<long>")
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """``stored``; then the driver's collection of garbage lets Spark delete shuffles that nothing reads any more."""
-    out = stored(df, name)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
-
-
 def _similar(pairs: DataFrame, whole: DataFrame, least: float) -> DataFrame:
     """The pairs (u, v) of nodes whose sets (``whole``: node, shingles) have a Jaccard similarity of ``least`` or more."""
-    pairs = _stored(pairs.distinct(), "pairs")
+    pairs = stored(pairs.distinct(), "pairs")
     a, b = (whole.select(F.col("node").alias(k), F.col("shingles").alias(f"of_{k}")) for k in ("u", "v"))
     both = F.size(F.array_intersect("of_u", "of_v"))
-    return _stored(pairs.join(a, "u").join(b, "v").filter(both >= least * (F.size("of_u") + F.size("of_v") - both) - 1e-9).select("u", "v"), "similar")
+    return stored(pairs.join(a, "u").join(b, "v").filter(both >= least * (F.size("of_u") + F.size("of_v") - both) - 1e-9).select("u", "v"), "similar")
 
 
 def _ordered(a: str, b: str) -> list:
@@ -78,7 +71,7 @@ def _ordered(a: str, b: str) -> list:
 
 def _by_index(nodes: DataFrame, most: int) -> DataFrame:
     """u, v: nodes (columns node, fp) that the Gray-order index links, each fingerprint standing for its least node, and other nodes with that one."""
-    firsts = _stored(nodes.groupBy("fp").agg(F.min("node").alias("first")), "set-fingerprints")
+    firsts = stored(nodes.groupBy("fp").agg(F.min("node").alias("first")), "set-fingerprints")
     same = nodes.join(firsts, "fp").filter("node <> first").select(*_ordered("node", "first"))
     a, b = (firsts.select(F.col("fp").alias(k), F.col("first").alias(f"of_{k}")) for k in ("u", "v"))
     return same.union(index_links(firsts.select("fp"), most).join(a, "u").join(b, "v").select(*_ordered("of_u", "of_v")))
@@ -91,38 +84,36 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, small: i
     """
     no_id = F.lit(-(1 << 63))
     sets = stored(shingle_sets(docs, words).drop("shingles"), "shingle-bands")
-    nodes = _stored(sets.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "shingle-nodes")
-    indexed = _stored(_by_index(nodes.filter("node <> 0").select("node", "fp"), most), "index-links")
+    nodes = stored(sets.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "shingle-nodes")
+    indexed = stored(_by_index(nodes.filter("node <> 0").select("node", "fp"), most), "index-links")
     members = nodes.select("node", F.explode("bands").alias("band"))
     sizes = members.groupBy("band").count().filter("count > 1")
-    members = _stored(members.join(sizes, "band"), "band-members")
+    members = stored(members.join(sizes, "band"), "band-members")
     # the sets of nodes that meet others, each from one of its texts
     meeting = members.select("node").union(indexed.select("u")).union(indexed.select("v")).distinct()
     met = nodes.join(meeting, "node").select(F.coalesce("least", no_id).alias("key"), F.col("node").alias("own"))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), no_id).alias("key"), "text").join(met.select("key").distinct(), "key", "left_semi")
     again = shingle_sets(texts.withColumnRenamed("key", "doc_id"), words).select(F.col("doc_id").alias("key"), "node", "shingles")
     again = again.join(met, (again["key"] == met["key"]) & (again["node"] == met["own"]), "left_semi")
-    whole = _stored(again.groupBy("node").agg(F.first("shingles").alias("shingles")), "met-sets")
+    whole = stored(again.groupBy("node").agg(F.first("shingles").alias("shingles")), "met-sets")
     lists = members.filter(F.col("count") <= small).groupBy("band").agg(F.sort_array(F.collect_list("node")).alias("ns"))
     pairs = lists.select(F.expr("explode(flatten(transform(ns, (a, i) -> transform(slice(ns, i + 2, size(ns)), b -> struct(a AS u, b AS v)))))").alias("p")).select("p.*")
-    links, large = _similar(indexed.union(pairs), whole, least), members.filter(F.col("count") > small).select("band", "node")
+    large = members.filter(F.col("count") > small).select("band", "node")
+    least_of = large.groupBy("band").agg(F.array(*[F.min(F.struct(F.xxhash64("node", F.lit(k)), "node"))["node"] for k in range(HUBS)]).alias("hubs"))
+    hubs = large.join(least_of.select("band", F.explode("hubs").alias("hub")), "band").filter("node <> hub").select(*_ordered("node", "hub"))
+    links = _similar(indexed.union(pairs).union(hubs), whole, least)
     groups = components(links)
-    for turn in range(HUB_ROUNDS + 1):
-        named = large.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        apart = named.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "root")).alias("hub")).filter("lo <> hi")
-        large = stored(named.join(apart.select("band", F.col("hub.node").alias("hub"), F.col("hub.root").alias("hub_root")), "band"), "large-bands")
-        if large.isEmpty():
-            break
-        if turn < HUB_ROUNDS:
-            pairs = large.filter("root <> hub_root").select(*_ordered("node", "hub"))
-        else:
-            other = large.select("band", F.col("node").alias("other"), F.col("root").alias("other_root"))
-            pairs = large.join(other, "band").filter("root < other_root").select(*_ordered("node", "other"))
-        links = links.union(_similar(pairs, whole, least))
-        groups, large = components(links), large.select("band", "node")
-    tied = nodes.select("node", "least").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = tied.join(tied.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
-    return sets.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    named = large.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = named.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
+    apart = stored(named.join(apart, "band"), "large-bands")
+    if not apart.isEmpty():
+        other = apart.select("band", F.col("node").alias("other"), F.col("root").alias("other_root"))
+        across = apart.join(other, "band").filter("root < other_root").select(*_ordered("node", "other"))
+        groups = components(links.union(_similar(across, whole, least)))
+    tied = nodes.select("node", "least", "copies").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = tied.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("weight"))
+    named = stored(hot_join(tied, *hot_split(stored(roots, "set-roots"), "weight"), "root").select("node", "component_id", "copies"), "set-groups")
+    return hot_join(sets.select("doc_id", "node"), *hot_split(named, "copies"), "node").select("doc_id", "component_id")
 
 
 def keep_one_similar(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:

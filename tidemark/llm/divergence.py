@@ -25,35 +25,38 @@ from tidemark.llm.common import arrow_rows, hot_join, hot_split, stored, text_by
 #: ASCII letters become lower case, other ASCII bytes become spaces, bytes of further characters stay.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 _SCALE = 10**9
-_POSTING = "lang string, term string, source string, n long"
+_POSTING = "lang string, term string, source string, n long, docs long"
 _FREQUENCY = "lang string, term string, source string, n long, total long, first int"
 
 
 def runs(docs: DataFrame, block: int = 600_000) -> DataFrame:
-    """lang, term, source, n: sorted runs of blocks of at most ``block`` postings and one text; a row with a null source counts the term's documents in the block."""
+    """lang, term, source, n (occurrences), docs (documents that have it): sorted runs of blocks of at most ``block`` postings and one text."""
     arrow_rows(docs.sparkSession)
 
-    def spilled(held: dict[tuple[str, str | None], Counter]) -> Iterator[pa.RecordBatch]:
-        keys = sorted(held, key=lambda k: (k[0], k[1] is not None, k[1]))
-        terms = np.array([t for k in keys for t in held[k]], object)
-        lang = np.repeat(np.array([k[0] for k in keys], object), [len(held[k]) for k in keys])
-        source = np.repeat(np.array([k[1] for k in keys], object), [len(held[k]) for k in keys])
-        n = np.array([n for k in keys for n in held[k].values()], np.int64)
-        table = pa.table({"lang": pa.array(lang, pa.string()), "term": pa.array(terms, pa.binary()).cast(pa.string()), "source": pa.array(source, pa.string()), "n": n})
+    def spilled(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
+        keys = sorted(held)
+        sizes = [len(held[k][0]) for k in keys]
+        lang, source = (np.repeat(np.array([k[i] for k in keys], object), sizes) for i in (0, 1))
+        terms = pa.array([t for k in keys for t in held[k][0]], pa.binary()).cast(pa.string())
+        n = np.array([n for k in keys for n in held[k][0].values()], np.int64)
+        in_docs = np.array([held[k][1][t] for k in keys for t in held[k][0]], np.int64)
+        table = pa.table({"lang": pa.array(lang, pa.string()), "term": terms, "source": pa.array(source, pa.string()), "n": n, "docs": in_docs})
         yield from table.take(pc.sort_indices(table, [("lang", "ascending"), ("term", "ascending")])).to_batches(20_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str | None], Counter] = {}
+        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
         size = 0
         for batch in batches:
             raw, at = text_bytes(batch.column(2))
-            for row, (lang, source) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            for row, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 words = raw[at[row] : at[row + 1]].tobytes().translate(_WORDS).split()
-                for key, more in (((lang, source), words), ((lang, None), set(words))):
-                    own = held.setdefault(key, Counter())
-                    size -= len(own)
-                    own.update(more)
-                    size += len(own)
+                if not words:
+                    continue
+                n, in_docs = held.setdefault(key, (Counter(), Counter()))
+                size -= len(n)
+                n.update(words)
+                in_docs.update(set(words))
+                size += len(n)
                 if size >= block:
                     yield from spilled(held)
                     held, size = {}, 0
@@ -96,20 +99,20 @@ def frequencies(sorted_runs: DataFrame, least_docs: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_terms(batches):
-            lang, term, source, n = (c.combine_chunks() for c in table.columns)
+            lang, term, source, n, in_docs = (c.combine_chunks() for c in table.columns)
             starts = np.flatnonzero(_changes(lang, term, source))
-            rows, sums = table.take(pa.array(starts)), np.add.reduceat(n.to_numpy(), starts)
+            rows, sums, in_docs = table.take(pa.array(starts)), np.add.reduceat(n.to_numpy(), starts), np.add.reduceat(in_docs.to_numpy(), starts)
             lang, term, source = (rows.column(k).combine_chunks() for k in range(3))
-            firsts = np.flatnonzero(_changes(lang, term))  # nulls come first: the number of documents
+            firsts = np.flatnonzero(_changes(lang, term))
             sizes = np.diff([*firsts, len(starts)])
-            totals = np.add.reduceat(sums, firsts) - sums[firsts]
+            totals, in_docs = np.add.reduceat(sums, firsts), np.add.reduceat(in_docs, firsts)
             at = np.arange(len(starts)) - np.repeat(firsts, sizes)
-            kept = np.flatnonzero((np.repeat(sums[firsts], sizes) >= least_docs) & (at > 0))
+            kept = np.flatnonzero(np.repeat(in_docs, sizes) >= least_docs)
             out = [c.take(pa.array(kept)) for c in (lang, term, source)]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(sums[kept]), pa.array(np.repeat(totals, sizes)[kept]), pa.array((at[kept] == 1).astype(np.int32))], [c.split()[0] for c in _FREQUENCY.split(", ")])
+            yield pa.RecordBatch.from_arrays([*out, pa.array(sums[kept]), pa.array(np.repeat(totals, sizes)[kept]), pa.array((at[kept] == 0).astype(np.int32))], [c.split()[0] for c in _FREQUENCY.split(", ")])
 
     order = ("lang", "term", "source")
-    return sorted_runs.repartition("lang", "term").sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order]).mapInArrow(run, _FREQUENCY)
+    return sorted_runs.repartition("lang", "term").sortWithinPartitions(*order).mapInArrow(run, _FREQUENCY)
 
 
 def _share(n: Column, total: Column) -> Column:

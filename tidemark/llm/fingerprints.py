@@ -9,14 +9,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_rows, partitions_of
+from tidemark.llm.common import arrow_rows, partitions_of, stored
 
 PRIMES = (2**31 - 1, 2**31 - 19)
 BASES = (1_103_515_245, 742_938_285)
@@ -113,74 +113,73 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _range_number(key, bounds: list[int]):
-    """How many of the sorted bounds are at most ``key``, in two short steps."""
-    if not bounds:
-        return F.lit(0)
-    step = max(1, isqrt(len(bounds)))
-    groups = [bounds[k : k + step] for k in range(0, len(bounds), step)]
-    at_most = lambda values: F.size(F.filter(values, lambda b: b <= key))
-    coarse = at_most(F.array(*[F.lit(g[0]) for g in groups]))
-    fine = at_most(F.element_at(F.array(*[F.array(*[F.lit(b) for b in g]) for g in groups]), F.greatest(coarse, F.lit(1))))
-    return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + fine)
+_NAMES = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "same_edited", "same_next")
+_KINDS = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
+_TYPES = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, same_edited long, same_next long"
 
 
-def with_following(docs: DataFrame) -> DataFrame:
-    """doc_id, text, range, after: rows dealt by ranges of doc_id and sorted descending, nulls last (rows of equal doc_id: by text).
+class _Hashed:
+    """A row with its text's prefix hashes and fingerprint, which serve it and the row before it."""
 
-    The row that comes next after a range's last one (after the very last: the first of all) is put at its end, marked ``after`` = 1.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = partitions_of(docs)
-    found = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10_000)).first()[0] or []
-    ranged = docs.withColumn("range", F.coalesce(_range_number(F.col("doc_id"), sorted(set(found))), F.lit(-1)))
-    heads = {r[0]: r[1] for r in ranged.groupBy("range").agg(F.max("doc_id")).collect()}  # as many rows as ranges
-    order = sorted(heads, reverse=True)
-    rows = [(heads[k], order[i - 1]) for i, k in enumerate(order)] or [(None, 0)]
-    spark = docs.sparkSession
-    heads_df = spark.createDataFrame(rows, "head long, before int")
-    own = ranged.withColumn("after", F.lit(0))
-    # a row for each range: no more than there are partitions
-    extra = docs.join(F.broadcast(heads_df), F.col("doc_id").eqNullSafe(F.col("head"))).select("doc_id", "text", F.col("before").alias("range"), F.lit(1).alias("after"))
-    return own.union(extra).repartition(n, "range").sortWithinPartitions("range", "after", F.col("doc_id").desc_nulls_last(), "text")
+    def __init__(self, doc_id: int | None, text: str) -> None:
+        self.doc_id, self.text, self.prefix = doc_id, text, PrefixHashes(_points(text))
+        self.mark, self.sketch = self.prefix.fingerprint()
+
+    def followed_by(self, after: _Hashed) -> tuple:
+        changed = edited(self.text, after.text)
+        other = PrefixHashes(_points(changed))
+        mark, sketch = other.fingerprint()
+        sha = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
+        return self.doc_id, len(self.text), sha, self.mark, mark, likeness(self.sketch, sketch), likeness(self.sketch, after.sketch), self.prefix.extension(0, other, 0), self.prefix.extension(0, after.prefix, 0)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Of every whole text (null: empty): n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, same_edited, same_next.
 
-    The last two are the code points that the text shares from its start with the edited text and with the next document. A table of one row is
-    followed by itself. Repeated rows follow each other and all stay. Further columns are not read.
+    The last two are the code points that the text shares from its start with the edited text and with the next document. Documents follow each other by
+    descending doc_id, nulls last, those of equal doc_id by a hash of their text; the first follows the last. A table of one row is followed by itself, an empty one
+    gives no rows. Repeated rows follow each other and all stay. Further columns, whatever their names, are not read.
+
+    Texts are shuffled once, by ranges. Inside a range a row meets the next one in its task; a range's first and last row are kept beside the results, and the last one is
+    joined to the first of the next range that has rows.
     """
     arrow_rows(docs.sparkSession)
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "same_edited", "same_next"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    order = (F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
+    ranged = docs.repartitionByRange(partitions_of(docs), *order).sortWithinPartitions(*order, "text")
 
-    def pair(one, two) -> tuple:
-        doc_id, text, prefix, mark, sketch = one
-        changed = edited(text, two[1])
-        other = PrefixHashes(_points(changed))
-        other_mark, other_sketch = other.fingerprint()
-        sha = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-        return doc_id, len(text), sha, mark, other_mark, likeness(sketch, other_sketch), likeness(sketch, two[4]), prefix.extension(0, other, 0), prefix.extension(0, two[2], 0)
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def edge(name: str, row: _Hashed) -> pa.RecordBatch:
+            values = [[row.doc_id], *[[None]] * (len(_NAMES) - 1), [name], [part], [row.text]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(values, (*_KINDS, pa.string(), pa.int32(), pa.string()))], [*_NAMES, "edge", "part", "text"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at = None, None
+        part, last = TaskContext.get().partitionId(), None
         for batch in batches:
             out = []
-            for doc_id, text, number, after in zip(*(c.to_pylist() for c in batch.columns)):
-                if number != at:
-                    held, at = None, number
-                elif held is None:
-                    continue  # a repeat of the row at the range's end
-                prefix = PrefixHashes(_points(text))
-                row = (doc_id, text, prefix, *prefix.fingerprint())
-                if held is not None:
-                    out.append(pair(held, row))
-                held = None if after else row
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(names), kinds)], names)
-
-    types = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, same_edited long, same_next long"
-    return with_following(docs).mapInArrow(run, types)
+            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+                row = _Hashed(doc_id, text)
+                if last is None:
+                    yield edge("head", row)
+                else:
+                    out.append(last.followed_by(row))
+                last = row
+            columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(_NAMES), _KINDS)]
+            none = [pa.nulls(len(out), t) for t in (pa.string(), pa.int32(), pa.string())]
+            yield pa.RecordBatch.from_arrays([*columns, *none], [*_NAMES, "edge", "part", "text"])
+        if last is not None:
+            yield edge("tail", last)
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [_Hashed(doc_id, text).followed_by(_Hashed(None, after)) for doc_id, text, after in zip(*(c.to_pylist() for c in batch.columns))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(_NAMES), _KINDS)], list(_NAMES))
+
+    found = stored(ranged.mapInArrow(within, f"{_TYPES}, edge string, part int, text string"), "fingerprints")
+    heads, tails = found.filter("edge = 'head'"), found.filter("edge = 'tail'").select("part", "doc_id", "text")
+    places = Window.orderBy("part")  # a number for each range
+    following = heads.select("part", F.coalesce(F.lead("part").over(places), F.first("part").over(places)).alias("next"))
+    edges = tails.join(following, "part").join(heads.select(F.col("part").alias("next"), F.col("text").alias("after")), "next")
+    return found.filter("edge IS NULL").select(*_NAMES).union(edges.select("doc_id", "text", "after").mapInArrow(across, _TYPES))
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

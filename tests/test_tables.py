@@ -324,3 +324,13 @@ def test_arrow_files_round_trip(spark, tmp_path, sf):
     empty = tmp_path / "none"
     empty.mkdir()
     assert files.load_arrow_bars(spark, str(empty)).count() == 0
+
+
+def test_config_from_a_file():
+    text = '{"operators": {"lt": "<"}, "indicators": {"A": {"name": "Alpha", "category": "x", "params": {"n": {"default": 3, "range": [1, 5]}, "fixed": 7}, "outputs": ["a"]}, "B": {"category": "y"}}}'
+    found = files.load_config(text)
+    assert found.names() == ["A", "B"] and found.categories() == ["x", "y"] and list(found.by_category("y")) == ["B"] and len(found.by_category()) == 2
+    assert found.indicator("A")["params"] == {"n": {"default": 3, "range": [1, 5]}} and found.indicator("B")["full_name"] == "B"
+    assert found.symbol("lt") == "<" and found.symbol("crosses_above") == "crosses_above"
+    with pytest.raises(ValueError):
+        found.indicator("C")

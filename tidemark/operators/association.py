@@ -210,3 +210,39 @@ def by_indicator(stats: DataFrame) -> DataFrame:
     wide = named.groupBy("indicator").pivot("side", ["entry", "exit"]).agg(F.max("composite"))
     e, x = F.coalesce("entry", F.lit(0.0)), F.coalesce("exit", F.lit(0.0))
     return wide.select("indicator", e.alias("entry"), x.alias("exit"), (e + x).alias("combined"), (e > x).alias("entry_dominant"))
+
+
+def _as_list(rows: DataFrame, order: list, most: int, *columns: str) -> DataFrame:
+    """One row: the first ``most`` rows in order, as an array of structs (a top-k, so it is small)."""
+    top = rows.orderBy(*order).limit(most).withColumn("place_", F.row_number().over(Window.orderBy(*order)))
+    return top.agg(F.transform(F.sort_array(F.collect_list(F.struct("place_", *columns))), lambda x: F.struct(*[x[c].alias(c) for c in columns])).alias("list_"))
+
+
+def association_report(stats: DataFrame, found: DataFrame, top: int = 30, first: int = 50) -> DataFrame:
+    """One row with what a report says: summary, top_features, association_rules, statistics_summary, feature_mask (in the order of features' names)."""
+    share = F.count_if
+    sums = stats.join(percentile_mask(stats).select("feature", "selected"), "feature").agg(
+        F.struct(F.max("n").alias("total_samples"), F.max("n1").alias("trade_samples"), (F.max("n") - F.max("n1")).alias("hold_samples"), F.count("*").alias("num_features")).alias("summary"),
+        F.struct(
+            share(F.col("chi2_p") < 0.05).alias("chi2_significant_count"), share(F.col("fisher_p") < 0.05).alias("fisher_significant_count"), share(F.col("lift") > 1.0).alias("lift_count"),
+            share(F.col("lift") > 1.5).alias("high_lift_count"), F.avg("mi").alias("mean_mutual_info"),
+        ).alias("statistics_summary"),
+        F.transform(F.sort_array(F.collect_list(F.struct("feature", "selected"))), lambda x: x["selected"]).alias("feature_mask"),
+    )
+    best = _as_list(stats, [F.desc("composite"), "feature"], top, "feature", "composite", "chi2", "chi2_p", "mi", "r_pb", "odds_ratio", "fisher_p", "lift", "trade_support", "hold_support")
+    listed = _as_list(found, [F.desc("lift"), "antecedent"], first, "antecedent", "support", "confidence", "lift")
+    # one row each
+    return sums.crossJoin(best.withColumnRenamed("list_", "top_features")).crossJoin(listed.withColumnRenamed("list_", "association_rules"))
+
+
+def association_export(stats: DataFrame, found: DataFrame, percent: float = 50.0, top: int = 30, combinations: int = 20) -> DataFrame:
+    """One row: feature_columns, feature_mask, feature_scores, top_features, top_feature_indices, indicator_combinations, class_distribution, percentile_threshold."""
+    order = Window.orderBy("feature")  # a row for each feature
+    rows = percentile_mask(stats, percent).withColumn("at", F.row_number().over(order) - 1).join(stats.select("feature", "n", "n1"), "feature")
+    one = F.sort_array(F.collect_list(F.struct("at", "feature", "score", "selected")))
+    sums = rows.agg(one.alias("x"), F.struct(F.max("n1").alias("trade"), (F.max("n") - F.max("n1")).alias("hold")).alias("class_distribution"))
+    each = lambda name: F.transform("x", lambda v: v[name])
+    sums = sums.select(each("feature").alias("feature_columns"), each("selected").alias("feature_mask"), F.map_from_arrays(each("feature"), each("score")).alias("feature_scores"), "class_distribution", F.lit(percent).alias("percentile_threshold"))
+    best = _as_list(rows, [F.desc("score"), "feature"], top, "feature", "at").select(F.transform("list_", lambda v: v["feature"]).alias("top_features"), F.transform("list_", lambda v: v["at"]).alias("top_feature_indices"))
+    sets = _as_list(found, [F.desc("lift"), "antecedent"], combinations, "antecedent").select(F.transform("list_", lambda v: v["antecedent"]).alias("indicator_combinations"))
+    return sums.crossJoin(best).crossJoin(sets)  # one row each

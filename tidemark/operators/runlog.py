@@ -208,8 +208,15 @@ def confidence(log: DataFrame) -> DataFrame:
     return df.select(F.when(F.col("n") > 1, (F.col("a") + F.col("b") + F.coalesce(gain, F.lit(0.0))) / 3).otherwise((F.col("a") + F.col("b")) / 2).alias("confidence"))
 
 
-def report(log: DataFrame) -> DataFrame:
-    """One row: runs, totals, best individual, rate of convergence, confidence."""
+def report(log: DataFrame, percent: float = 10.0) -> DataFrame:
+    """One row: run_ids, n, iterations, best_fitness, best (the whole individual; of equal ones the first by run, iteration and place), rate and converged,
+    confidence, bounds (recommended, by parameter), settings and top_percentile."""
     df = valid(log)
-    totals = df.agg(F.sort_array(F.collect_set("run_id")).alias("run_ids"), F.count("*").alias("n"), F.count_distinct("iteration").alias("iterations"), F.min("fitness").alias("best_fitness"))
-    return totals.crossJoin(convergence(log)).crossJoin(confidence(log))  # one row each
+    first = F.struct(*[c for c in ("fitness", "run_id", "iteration", "individual_idx") if c in df.columns])
+    own = [c for c in df.columns if not c.endswith(("_lower", "_upper"))]
+    totals = df.agg(
+        F.sort_array(F.collect_set("run_id")).alias("run_ids"), F.count("*").alias("n"), F.count_distinct("iteration").alias("iterations"), F.min("fitness").alias("best_fitness"), F.min_by(F.struct(*own), first).alias("best"),
+    )
+    ranges = parameter_ranges(log).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", F.struct(F.col("new_lower").alias("lower"), F.col("new_upper").alias("upper")))))).alias("bounds"))
+    advice = settings_advice(log).select(F.struct(F.col("iterations").alias("iterations"), "pf_max").alias("settings"))
+    return totals.crossJoin(convergence(log)).crossJoin(confidence(log)).crossJoin(ranges).crossJoin(advice).withColumn("top_percentile", F.lit(percent))  # one row each

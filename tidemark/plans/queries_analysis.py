@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,6 +89,19 @@ def add_to(register) -> None:
     register("log19_confidence", log, runlog.confidence, certain)
     totals = f"SELECT list_sort(list(DISTINCT run_id)) AS run_ids, count(*) AS n, count(DISTINCT iteration) AS iterations, min(fitness) AS best_fitness FROM ({V}) /*round: best_fitness*/"
     register("log20_report", log, lambda d: runlog.report(d).select("run_ids", "n", "iterations", "best_fitness"), totals)
+    hp = ("dropout", "hidden_size")
+    plain = lambda text: re.sub(r"/\*(round|count): [^*]*\*/", "", text)
+    best = f"SELECT run_id, iteration, individual_idx, {', '.join((*FEATS, *hp))} FROM ({V}) ORDER BY fitness, run_id, iteration, individual_idx LIMIT 1"
+    sides = ", ".join(f"max(new_{side}) FILTER (name = '{k}') AS {k}_{side}" for k in hp for side in ("lower", "upper"))
+    joined = f"SELECT t.*, b.*, rate, rate >= 0.7 AS converged, confidence, r.*, iterations_ AS advised, pf_max, 10.0 AS top_percentile FROM ({plain(totals)}) t, ({best}) b, ({CONVERGENCE}) c, ({plain(certain)}) e, (SELECT {sides} FROM ({plain(bounds)})) r, (SELECT iterations AS iterations_, pf_max FROM ({plain(advice)})) a"
+    notes = f"/*round: best_fitness, dropout, hidden_size, rate, confidence, {', '.join(f'{k}_{side}' for k in hp for side in ('lower', 'upper'))}, advised, pf_max, top_percentile*/ /*count: iteration, individual_idx, {', '.join(FEATS)}*/"
+    flat = lambda r: r.select("run_ids", "n", "iterations", "best_fitness", *[f"best.{c}" for c in ("run_id", "iteration", "individual_idx", *FEATS, *hp)], "rate", "converged", "confidence", *[F.col("bounds")[k][side].alias(f"{k}_{side}") for k in hp for side in ("lower", "upper")], F.col("settings.iterations").alias("advised"), "settings.pf_max", "top_percentile")
+    register("log20_full_report", log, lambda d: flat(runlog.report(d)), f"SELECT * FROM ({joined}) {notes}")
+    individual = f"run_id string, iteration int, individual_idx int, {', '.join(f'{f} int' for f in FEATS)}, dropout double, hidden_size double"
+    kinds = f"run_ids array<string>, n long, iterations long, best_fitness double, best struct<{individual.replace(' ', ': ').replace(',: ', ', ')}>, rate double, converged boolean, confidence double, bounds map<string, struct<lower: double, upper: double>>, settings struct<iterations: double, pf_max: double>, top_percentile double"
+    parsed = lambda d: files.report_json(runlog.report(d)).select(F.from_json("report", kinds).alias("r")).select("r.*")
+    register("snk4_full_report_json", log, lambda d: flat(parsed(d)), f"SELECT * FROM ({joined}) {notes}")
+
     def through(write, read):
         """Rows written by ``write`` (rows, path) and what ``read`` (session, path) finds there."""
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import association, dataset, labels, mlprep
 from tidemark.plans.common import sql_erfc, sql_student
 from tidemark.plans.queries_bars import labelled_sql
+from tidemark.sources import files
 from tidemark.sources.views import sql_view
 
 B, F01, P = sql_view("bars"), sql_view("features01"), sql_view("predictions")
@@ -117,6 +118,27 @@ def add_to(register) -> None:
     register("as8_ranked_by_lift", "features01", lambda f: ranks(association.ranked(association.lift(counts(f)), "lift"), "lift").select("feature", "lift", "place"), f"SELECT feature, lift, row_number() OVER (ORDER BY lift DESC, feature) AS place FROM ({NUMBERS}) /*round: lift*/ /*count: place*/")
     register("as9_percentile_mask", "features01", lambda f: association.percentile_mask(association.lift(counts(f)), 50.0, "lift"), f"SELECT feature, lift AS score, lift >= quantile_cont(lift, 0.5) OVER () AS selected FROM ({NUMBERS}) /*round: score*/")
     register("as10_top_features", "features01", lambda f: association.ranked(association.chi_square(counts(f)), "chi2").limit(2).select("feature", "chi2"), f"SELECT feature, chi2 FROM ({NUMBERS}) ORDER BY chi2 DESC, feature LIMIT 2 /*round: chi2*/")
+    mined = lambda f: association.rules(f, FEATURES, least_confidence=0.25)
+    rule_rows = f"SELECT antecedent, row_number() OVER (ORDER BY lift DESC, antecedent) AS place, support, confidence, lift AS rule_lift FROM ({rules_sql(0.25, 1.0)})"
+    facts = f"SELECT max(n) AS total_samples, max(n1) AS trade_samples, count(*) AS num_features, count(*) FILTER (chi2_p < 0.05) AS chi2_significant_count, count(*) FILTER (fisher_p < 0.05) AS fisher_significant_count, count(*) FILTER (lift > 1.5) AS high_lift_count, avg(mi) AS mean_mutual_info FROM ({composite})"
+    marked = f"SELECT feature, composite, row_number() OVER (ORDER BY feature) - 1 AS idx, row_number() OVER (ORDER BY composite DESC, feature) AS place, composite >= quantile_cont(composite, 0.5) OVER () AS selected, n1 AS trade, n - n1 AS hold FROM ({composite})"
+
+    def told(f: DataFrame) -> DataFrame:
+        """A report's JSON, read back: a row for each of its features and rules by place."""
+        fields = "summary struct<total_samples: long, trade_samples: long, num_features: long>, statistics_summary struct<chi2_significant_count: long, fisher_significant_count: long, high_lift_count: long, mean_mutual_info: double>, feature_mask array<boolean>, top_features array<struct<feature: string, composite: double>>, association_rules array<struct<antecedent: array<string>, support: double, confidence: double, lift: double>>"
+        report = files.report_json(association.association_report(stats(f), mined(f))).select(F.from_json("report", fields).alias("r")).select("r.*")
+        rows = report.select("summary.*", "statistics_summary.*", F.posexplode(F.arrays_zip("top_features", "association_rules")).alias("place", "x"))
+        return rows.select("total_samples", "trade_samples", "num_features", "chi2_significant_count", "fisher_significant_count", "high_lift_count", "mean_mutual_info", (F.col("place") + 1).cast("long").alias("place"), "x.top_features.feature", "x.top_features.composite", "x.association_rules.antecedent", "x.association_rules.support", "x.association_rules.confidence", F.col("x.association_rules.lift").alias("rule_lift"))
+
+    told_sql = f"SELECT f.*, coalesce(m.place, r.place) AS place, feature, composite, antecedent, support, confidence, rule_lift FROM ({facts}) f, (SELECT * FROM ({marked}) WHERE place <= 30) m FULL JOIN (SELECT * FROM ({rule_rows}) WHERE place <= 50) r ON m.place = r.place"
+    register("snk2_association_report", "features01", told, f"SELECT * FROM ({told_sql}) /*round: mean_mutual_info, composite, support, confidence, rule_lift*/ /*count: total_samples, trade_samples*/")
+
+    def exported(f: DataFrame) -> DataFrame:
+        e = association.association_export(stats(f), mined(f), top=2)
+        rows = e.select(F.posexplode(F.arrays_zip("feature_columns", "feature_mask")).alias("at", "x"), "feature_scores", "top_features", "top_feature_indices", "class_distribution.*")
+        return rows.select(F.col("x.feature_columns").alias("feature"), F.element_at("feature_scores", F.col("x.feature_columns")).alias("composite"), F.col("at").cast("long").alias("idx"), F.col("x.feature_mask").alias("selected"), "trade", "hold", F.array_contains("top_features", F.col("x.feature_columns")).alias("in_top"), F.array_contains("top_feature_indices", F.col("at")).alias("at_top"))
+
+    register("snk3_association_export", "features01", exported, f"SELECT feature, composite, idx, selected, trade, hold, place <= 2 AS in_top, place <= 2 AS at_top FROM ({marked}) /*round: composite*/ /*count: idx, trade, hold*/")
     register("as11_complete", "features01", lambda f: association.best_combinations(association.rules(f, FEATURES, least_confidence=0.25)).select("antecedent", "place", "lift"), f"SELECT antecedent, row_number() OVER (ORDER BY lift DESC, antecedent) AS place, lift FROM ({rules_sql(0.25, 1.0)}) QUALIFY row_number() OVER (ORDER BY lift DESC, antecedent) <= 20 /*round: lift*/ /*count: place*/")
     register("as12_overview", "features01", lambda f: association.overview(association.lift(association.mutual_information(association.chi_square(counts(f))))).select("lift_above_1", "lift_above_1_2", "lift_above_1_5", "lift_above_2", "lift_above_3", "mean_mi"), f"SELECT count(*) FILTER (lift > 1) AS lift_above_1, count(*) FILTER (lift > 1.2) AS lift_above_1_2, count(*) FILTER (lift > 1.5) AS lift_above_1_5, count(*) FILTER (lift > 2) AS lift_above_2, count(*) FILTER (lift > 3) AS lift_above_3, avg(mi) AS mean_mi FROM ({NUMBERS}) /*round: mean_mi*/", 9)
     register("as13_co_occurrence", "features01", lambda f: association.co_occurrence(association.rules(f, FEATURES, least_confidence=0.2, least_lift=0.5)), f"WITH q AS (SELECT lift, antecedent FROM ({rules_sql(0.2, 0.5)}) WHERE len(antecedent) >= 2) SELECT a, b, count(*) AS n_rules, avg(lift) AS mean_lift FROM (SELECT lift, a, unnest(antecedent) AS b FROM (SELECT lift, antecedent, unnest(antecedent) AS a FROM q)) WHERE a < b GROUP BY a, b /*round: mean_lift*/")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,6 +100,42 @@ def report_json(report: DataFrame) -> DataFrame:
     return report.select(F.to_json(F.struct("*")).alias("report"))
 
 
+@dataclass(frozen=True)
+class IndicatorConfig:
+    """Indicator definitions of a JSON text: ``indicators`` by name, ``operators`` (symbols by name)."""
+
+    indicators: dict[str, dict]
+    operators: dict[str, str]
+
+    def indicator(self, name: str) -> dict:
+        if name not in self.indicators:
+            raise ValueError(f"no indicator {name}")
+        return self.indicators[name]
+
+    def by_category(self, category: str | None = None) -> dict[str, dict]:
+        return {n: d for n, d in self.indicators.items() if category is None or d["category"] == category}
+
+    def names(self) -> list[str]:
+        return list(self.indicators)
+
+    def categories(self) -> list[str]:
+        return sorted({d["category"] for d in self.indicators.values()})
+
+    def symbol(self, operator: str) -> str:
+        """An operator's symbol; one that is not listed stands for itself."""
+        return self.operators.get(operator, operator)
+
+
+def load_config(text: str) -> IndicatorConfig:
+    """Of a parameter only those with a range count; what a definition leaves out is empty."""
+    found = json.loads(text)
+    out = {}
+    for name, d in found.get("indicators", {}).items():
+        params = {k: p for k, p in d.get("params", {}).items() if isinstance(p, dict) and "range" in p}
+        out[name] = {"full_name": d.get("name", name), "category": d.get("category", ""), "function": d.get("talib_function", ""), "params": params, "outputs": d.get("outputs", []), "entry": d.get("entry", {}), "exit": d.get("exit", {}), "requires": d.get("requires", [])}
+    return IndicatorConfig(out, found.get("operators", {}))
+
+
 def load_indicator_config(text: str) -> dict[str, dict]:
     """Indicator definitions of a JSON text: name, category, params (default, range, type), outputs, entry and exit conditions."""
     found = json.loads(text)

@@ -349,3 +349,22 @@ def test_branches_below_the_third_level(spark):
     found = {r.page_id: (r.template, r.verdict) for r in url_filter.filter_urls(pages, bad).collect()}
     assert len(found) == len(rows) and found[500][0] == "/*/*/*" and found[501][0] == "/*/*/*/**"
     assert all(found[k] == (("/*/*/*/*/spam/*/*/*", "block") if k % 2 else ("/*/*/*/*/news/*/*/*", "allow")) for k in range(200))
+
+
+def test_subtrees_are_the_same_in_one_task_and_level_by_level(spark):
+    import random
+
+    from tidemark.llm.url_filter import template_verdicts
+
+    rng = random.Random(11)
+    rows = []
+    for k in range(400):
+        depth = rng.choice([2, 4, 5, 6, 7])
+        segments = [rng.choice(["a", "b"]) if at < 3 else rng.choice(["shop", "news", "spam", "*", str(k), "é"]) for at in range(depth)]
+        bad = None if rng.random() < 0.2 else int(("spam" in segments) ^ (rng.random() < 0.1))
+        rows.append(("h" if k % 5 else "g", "/" + "/".join(segments), bad))
+    rows += [("trap", "/" + "/".join(["x"] * 300), None)] * 8
+    df = spark.createDataFrame(rows, "host string, path string, bad int").repartition(3)
+    local, levels = (sorted(map(tuple, template_verdicts(d, whole).collect()), key=str) for d, whole in ((df, 1_000_000), (df.filter("host <> 'trap'"), 0)))
+    assert [r for r in local if r[0] != "trap"] == levels and {r[3] for r in local if r[0] == "trap"} == {"/*" * 300}
+    assert len({r[3] for r in local}) > 15

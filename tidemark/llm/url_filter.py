@@ -10,6 +10,10 @@ branch grows as long as ``LEAST_URLS`` of its URLs go on, to the deepest path; w
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,11 +48,76 @@ def _rate(bad, labelled, prior) -> Column:
     return (bad + SMOOTHING * prior) / (labelled + SMOOTHING)
 
 
-def template_verdicts(urls: DataFrame) -> DataFrame:
+def _subtree(paths: list[list[str]], sums: list[tuple[int, int, int]], level: int, template: str, prior: float) -> list[str]:
+    """Templates of all paths (``sums``: n, labelled, bad_n) below one node, by the rule of ``template_verdicts`` from ``level`` on."""
+    out, todo = [""] * len(paths), [(template, level, list(range(len(paths))))]
+    while todo:
+        name, at, members = todo.pop()
+        going = []
+        for k in members:
+            if len(paths[k]) > at:
+                going.append(k)
+            else:
+                out[k] = name
+        if sum(sums[k][0] for k in going) < LEAST_URLS:
+            for k in going:
+                out[k] = f"{name}/**"
+            continue
+        children: dict[str, list[int]] = {}
+        for k in going:
+            own = children.setdefault(paths[k][at], [0, 0, 0])
+            for j in range(3):
+                own[j] += sums[k][j]
+        rate = (sum(c[2] for c in children.values()) + SMOOTHING * prior) / (sum(c[1] for c in children.values()) + SMOOTHING)
+        alike: dict[int, list[str]] = {}
+        for segment, (n, labelled, bad) in children.items():
+            own = (bad + SMOOTHING * rate) / (labelled + SMOOTHING)
+            if n >= LEAST_URLS and segment not in ("*", "**") and abs(own - rate) > Z * math.sqrt(rate * (1 - rate) / (labelled + SMOOTHING)):
+                alike.setdefault(math.floor(math.asin(math.sqrt(own)) / ALIKE), []).append(segment)
+        branch = {}
+        for segments in alike.values():
+            first = min(segments, key=str.encode)
+            branch |= dict.fromkeys(segments, first if len(segments) == 1 else f"{first}#{len(segments) - 1}")
+        grown: dict[str, list[int]] = {}
+        for k in going:
+            grown.setdefault(branch.get(paths[k][at], "*"), []).append(k)
+        todo += [(f"{name}/{b}", at + 1, own) for b, own in grown.items()]
+    return out
+
+
+def _small_subtrees(tree: DataFrame, level: int, prior: float) -> DataFrame:
+    """``tree`` with the templates of whole subtrees; each node's rows (few enough) meet in one task, and are held one node at a time."""
+    names = ["host", "template", "segments", "n", "labelled", "bad_n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solved(node: tuple, held: list[tuple]) -> pa.RecordBatch:
+            segments, *sums = zip(*held)
+            templates = _subtree(list(segments), list(zip(*sums)), level, node[1], prior)
+            columns = [[node[0]] * len(held), templates, list(segments), *map(list, sums)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int64()))], names)
+
+        node, held = None, []
+        for batch in batches:
+            for host, template, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (host, template) != node:
+                    if held:
+                        yield solved(node, held)
+                    node, held = (host, template), []
+                held.append(tuple(row))
+        if held:
+            yield solved(node, held)
+
+    types = "host string, template string, segments array<string>, n long, labelled long, bad_n long"
+    dealt = tree.select(*names).repartition("host", "template").sortWithinPartitions("host", "template")
+    return dealt.mapInArrow(run, types).select(*tree.columns)
+
+
+def template_verdicts(urls: DataFrame, whole: int = 1_000_000) -> DataFrame:
     """Columns of ``urls`` (host, path, bad: 1, 0 or null) with template, template_rate and method (allow or block).
 
     All counts are sums by (host, template so far, segment), and the few nodes, templates and paths that have many rows are joined by broadcast
-    (``hot_join``), so a host or a URL with a third of all rows is no large group.
+    (``hot_join``), so a host or a URL with a third of all rows is no large group. Below the third level a node with at most ``whole`` segments left under it is
+    solved in one task, to the deepest path; only nodes with more cost a round of jobs a level.
     """
     count = (F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad_n"))
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
@@ -85,17 +154,19 @@ def template_verdicts(urls: DataFrame) -> DataFrame:
     for level in range(LEVELS):
         tree = grow(tree, level)
     # deeper levels only where enough URLs go on; a branch with fewer could not stay below either
-    deepest = paths.agg(F.max(F.size("segments"))).first()[0] or 0
-    for level in range(LEVELS, deepest):
+    level = LEVELS
+    while True:
         done.append(tree.filter(F.size("segments") <= level))
-        tree = tree.filter(F.size("segments") > level)
-        going = tree.groupBy("host", "template").agg(F.sum("n").alias("going"), rows)
-        split = stored(hot_join(tree, *hot_split(going, "rows"), ["host", "template"]), "url-level")
-        done.append(split.filter(F.col("going") < LEAST_URLS).withColumn("template", F.concat("template", F.lit("/**"))).drop("going"))
-        tree = split.filter(F.col("going") >= LEAST_URLS).drop("going")
+        going = tree.filter(F.size("segments") > level)
+        nodes = going.groupBy("host", "template").agg(F.sum("n").alias("going"), F.sum(F.size("segments") - level).alias("left"), rows)
+        split = stored(hot_join(going, *hot_split(nodes, "rows"), ["host", "template"]), "url-level")
+        done.append(split.filter(F.col("going") < LEAST_URLS).withColumn("template", F.concat("template", F.lit("/**"))).drop("going", "left"))
+        done.append(_small_subtrees(split.filter((F.col("going") >= LEAST_URLS) & (F.col("left") <= whole)).drop("going", "left"), level, prior))
+        tree = split.filter((F.col("going") >= LEAST_URLS) & (F.col("left") > whole)).drop("going", "left")
         if tree.isEmpty():
             break
-        tree = grow(tree, level)
+        tree, level = grow(tree, level), level + 1
+    tree = done.pop()
     for piece in done:
         tree = tree.unionByName(piece)
     tree = stored(tree, "url-tree")

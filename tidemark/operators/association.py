@@ -218,6 +218,9 @@ def _as_list(rows: DataFrame, order: list, most: int, *columns: str) -> DataFram
     return top.agg(F.transform(F.sort_array(F.collect_list(F.struct("place_", *columns))), lambda x: F.struct(*[x[c].alias(c) for c in columns])).alias("list_"))
 
 
+# The names of the fields of both reports are those that readers of them expect.
+
+
 def association_report(stats: DataFrame, found: DataFrame, top: int = 30, first: int = 50) -> DataFrame:
     """One row with what a report says: summary, top_features, association_rules, statistics_summary, feature_mask (in the order of features' names)."""
     share = F.count_if

@@ -86,7 +86,7 @@ def match_score(df: DataFrame, tolerance: int = 1, keys: tuple[str, ...] = ("sym
 
 
 def alignment(df: DataFrame, tolerance: int = 1) -> DataFrame:
-    """Each bar with target_near and indicator_near: whether the other side has any signal within tolerance; match where both do."""
+    """Each bar with indicator and target (whether it has such a signal), and matched: an indicator with any target within the tolerance."""
     w = Window.partitionBy("symbol").orderBy("bar_idx").rowsBetween(-tolerance, tolerance)
     near = F.max(_flag("target_entry").cast("int")).over(w) == 1
     return df.select("symbol", "bar_idx", _flag("entry").alias("indicator"), _flag("target_entry").alias("target"), (_flag("entry") & near).alias("matched"))

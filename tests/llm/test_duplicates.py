@@ -288,3 +288,21 @@ def test_repetitive_text_has_few_runs():
     text = bytes(np.random.default_rng(2).integers(97, 123, 400).astype(np.uint8)) * 50
     index = suffix_dedup.RunLengthIndex(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
     assert len(index.symbols) < 1000 < len(text) and index.statistics()[0] == len(text) - 400
+
+
+@pytest.mark.parametrize("nodes", [3, 2048])
+def test_links_across_groups_are_those_of_all_pairs(spark, nodes):
+    import random
+
+    from tidemark.llm.similarity import _across
+
+    rng = random.Random(7)
+    sets = {k: sorted(rng.sample(range(40), 20) if k % 3 else [x for x in range(40) if rng.random() < 0.9]) for k in range(60)}
+    root = {k: k % 5 for k in sets}
+    apart = spark.createDataFrame([(b, k, root[k]) for b in (1, 2) for k in sets if b == 1 or k % 2], "band long, node long, root long")
+    whole = spark.createDataFrame(list(sets.items()), "node long, shingles array<long>")
+    similar = {(a, b) for a in sets for b in sets if a < b and root[a] != root[b] and len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))}
+    found = {(r.u, r.v) for r in _across(apart.repartition(4), whole, 0.8, nodes=nodes).collect()}
+    assert found <= similar
+    # every node that is similar to one of a later group has a link to that group
+    assert {(min(a, b, key=root.get), max(root[a], root[b])) for a, b in similar} == {(min(a, b, key=root.get), max(root[a], root[b])) for a, b in found}

@@ -77,6 +77,59 @@ def _by_index(nodes: DataFrame, most: int) -> DataFrame:
     return same.union(index_links(firsts.select("fp"), most).join(a, "u").join(b, "v").select(*_ordered("of_u", "of_v")))
 
 
+def _across(apart: DataFrame, whole: DataFrame, least: float, nodes: int = 2048, shingles: int = 4 << 20) -> DataFrame:
+    """u, v: links of similar sets in one band whose nodes (``apart``: band, node, root) are in different groups, for each node one to each other group at most in a block.
+
+    A band is cut into blocks of about ``nodes`` nodes and ``shingles`` shingles, and each two blocks meet in a task; pairs are compared there by counts of
+    common shingles, so what is shuffled are sets, a copy for each block of their band, and never pairs.
+    """
+    rows = apart.join(whole, "node")
+    cut = rows.groupBy("band").agg(F.ceil(F.greatest(F.count("*") / nodes, F.sum(F.size("shingles")) / shingles)).cast("int").alias("parts"))
+    rows = rows.join(cut, "band").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "root", "shingles")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(table: pa.Table) -> pa.RecordBatch:
+            own, node, root = (table.column(k).to_numpy() for k in (3, 4, 5))
+            sets = table.column(6).combine_chunks()
+            sizes = np.diff(sets.offsets.to_numpy().astype(np.int64))
+            _, shingle = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+            holder, ends = np.repeat(np.arange(len(node)), sizes), np.cumsum(sizes)
+            order = np.argsort(shingle, kind="stable")
+            many = np.bincount(shingle)
+            first, holder = np.cumsum(many) - many, holder[order]
+            split, u, v = table.column(1)[0].as_py() != table.column(2)[0].as_py(), [], []
+            for k in range(len(node)):
+                mine = shingle[ends[k] - sizes[k] : ends[k]]
+                n = many[mine]
+                at = np.repeat(first[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                both = np.bincount(holder[at], minlength=len(node))
+                near = (both >= least * (sizes[k] + sizes - both) - 1e-9) & (root > root[k])
+                near = np.flatnonzero(near & (own != own[k]) if split else near)
+                if len(near):
+                    _, one = np.unique(root[near], return_index=True)
+                    u += [node[k]] * len(one)
+                    v += node[near[one]].tolist()
+            a, b = np.array(u, np.int64), np.array(v, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["u", "v"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([*held, batch])
+            group = np.stack([table.column(k).to_numpy() for k in range(3)])
+            starts = [0, *(np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1).tolist()]
+            for a, b in zip(starts, starts[1:]):
+                yield found(table.slice(a, b - a).combine_chunks())
+            held = table.slice(starts[-1]).to_batches()
+        if held:
+            yield found(pa.Table.from_batches(held).combine_chunks())
+
+    keys = ("band", "lo", "hi")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(search, "u long, v long").distinct()
+
+
 def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, small: int = 16, most: int = 3) -> DataFrame:
     """doc_id, component_id: the smallest doc_id that links of similar texts reach, its own included; rows and null ids as in ``simhash.near_duplicates``.
 
@@ -107,9 +160,7 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, small: i
     apart = named.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
     apart = stored(named.join(apart, "band"), "large-bands")
     if not apart.isEmpty():
-        other = apart.select("band", F.col("node").alias("other"), F.col("root").alias("other_root"))
-        across = apart.join(other, "band").filter("root < other_root").select(*_ordered("node", "other"))
-        groups = components(links.union(_similar(across, whole, least)))
+        groups = components(links.union(stored(_across(apart, whole, least), "similar-across")))
     tied = nodes.select("node", "least", "copies").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = tied.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("weight"))
     named = stored(hot_join(tied, *hot_split(stored(roots, "set-roots"), "weight"), "root").select("node", "component_id", "copies"), "set-groups")

@@ -5,13 +5,15 @@ Equal vectors are one node. A node's unit vector is rotated at random; the signs
 estimates the vectors' cosine without bias, with an error of deviation sqrt((1 - factor**2) / factor**2 * (1 - cosine**2) / (bits - 1)). Pairs whose estimate
 is below the wanted cosine by more than ``SIGMAS`` deviations are dropped, and all others are recomputed in double precision.
 
-Pairs are searched where they meet: in each of ``TABLES`` further rotations, a vector's cell is its largest coordinate and that one's sign. A cell of more
-than ``bucket`` nodes is divided by the cells of another rotation, again and again. What is still larger at the last level are nearly equal vectors; their
-pairs are searched block against block. A pair counts in the first table in which it meets.
+Pairs are searched where they meet: in a table, a vector's cell is its largest coordinate and that one's sign in each of some further rotations. How many (the level)
+is chosen once for all vectors of a length, by the work that it makes; a higher level has more tables, so that a pair at 0.95 is missed with a chance of
+``MISSED`` at any level, and at level 0 all vectors share one cell. No cell is ever divided: the pairs of one with more than ``bucket`` nodes are
+all searched, block against block. A pair counts in the first table in which it meets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +26,9 @@ from tidemark.llm.common import arrow_rows, hot_join, hot_split, stored
 from tidemark.llm.components import components
 from tidemark.llm.simhash import least_labels
 
-#: A pair at a cosine of 0.95 shares a cell of 64 dimensions with chance 0.59 (measured), so it meets in one of 12 tables with chance 0.99998 at one level, 0.995 at two, 0.94 at three.
-TABLES, LEVELS, CELL_BITS = 12, 5, 12
+LEVELS, CELL_BITS = 3, 12
+#: The chance that a pair at a cosine of 0.95 shares a cell of one rotation, for lengths up to 64, 128, 512 and above (measured, rounded down), and that it meets in no table.
+SHARED, MISSED = ((64, 0.59), (128, 0.56), (512, 0.51), (1 << 62, 0.46)), 2e-5
 SIGMAS = 5.0
 _LEAST_BITS, _MOST_CELLS = 128, 1 << (CELL_BITS - 1)
 
@@ -60,10 +63,16 @@ def codes(unit: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.n
     return turned, np.packbits(turned > 0, axis=1), np.abs(turned).sum(axis=1) / np.sqrt(turned.shape[1])
 
 
-def cells(unit: np.ndarray, seed: int) -> np.ndarray:
-    """Cell numbers at all levels of a table, packed into one long each."""
+def tables(dim: int, level: int) -> int:
+    """Tables that keep the chance to miss a pair at 0.95 at ``MISSED``."""
+    shared = next(p for most, p in SHARED if dim <= most) ** level
+    return 1 if level == 0 else math.ceil(math.log(MISSED) / math.log1p(-shared))
+
+
+def cells(unit: np.ndarray, seed: int, levels: int = LEVELS) -> np.ndarray:
+    """Cell numbers of a table's first ``levels`` rotations, packed into one long each."""
     out = np.zeros(len(unit), np.int64)
-    for level in range(LEVELS):
+    for level in range(levels):
         turned = rotated(unit, seed * LEVELS + level + 2, _power(unit.shape[1]))[:, :_MOST_CELLS]
         at = np.abs(turned).argmax(axis=1)
         out |= (2 * at + (turned[np.arange(len(at)), at] > 0)) << (CELL_BITS * level)
@@ -77,12 +86,15 @@ def units(raw: list[bytes], kind: str) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def near_pairs(unit: np.ndarray, code: np.ndarray, factor: np.ndarray, least: float, apart: np.ndarray | None = None, step: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places i < j whose cosine is ``least`` or more (with ``apart``: and whose values there differ), a block of i at a time."""
+def near_pairs(unit: np.ndarray, code: np.ndarray, factor: np.ndarray, least: float, apart: np.ndarray | None = None, step: int = 1024, exact: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places i < j whose cosine is ``least`` or more (with ``apart``: and whose values there differ), a block of i at a time.
+
+    With ``exact`` only pairs are dropped whose estimate proves a lesser cosine: what a vector has outside of its code adds at most sqrt(1 - cosine**2) times that part's length.
+    """
     bits = 8 * code.shape[1]
     turned = rotated(unit, 1, bits).astype(np.float32)
     signs = (2.0 * np.unpackbits(code, axis=1) - 1).astype(np.float32) / np.float32(np.sqrt(bits))
-    slack = SIGMAS * np.sqrt(np.maximum(0, 1 - factor**2) / factor**2 * (1 - least**2) / (bits - 1)) + 1e-4
+    slack = (1.0 if exact else SIGMAS / np.sqrt(bits - 1)) * np.sqrt(np.maximum(0, 1 - factor**2) / factor**2 * (1 - least**2)) + 1e-4
     for lo in range(0, len(unit), step):
         estimate = turned[lo : lo + step] @ signs[lo:].T / factor[lo:]
         i, j = np.nonzero(estimate >= least - slack[lo:])
@@ -111,63 +123,78 @@ def _vectors(rows: DataFrame, key: str, column: str, kind: str) -> DataFrame:
     return rows.select(F.col(f"`{key}`").cast("long").alias("vec_id"), F.col(f"`{column}`").alias("vec")).mapInArrow(run, "vec_id long, vec binary")
 
 
-def _coded(nodes: DataFrame, kind: str) -> DataFrame:
-    """node, n, dim, vec, code, factor and cells (one long for each table) of each distinct vector."""
+def _by_length(batch: pa.RecordBatch, kind: str) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """dim, places and unit vectors, for each length in a batch of node, n, dim, vec."""
+    raw, dims = batch.column(3).to_pylist(), batch.column(2).to_numpy()
+    for dim in np.unique(dims):
+        at = np.flatnonzero(dims == dim)
+        yield int(dim), pa.array(at), units([raw[k] for k in at], kind)
+
+
+def _levels(nodes: DataFrame, kind: str, bucket: int) -> dict[int, int]:
+    """The level of each length that more than ``bucket`` nodes have (1 for the others): what costs least, by the cells of one table.
+
+    A node costs what its cell holds, and ``bucket`` more for being sent there, in each of the level's tables.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, at, unit in _by_length(batch, kind):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), dim, np.int32)), pa.array(cells(unit, 0))], ["dim", "cell"])
+
+    rows = nodes.select("node", "n", "dim", "vec").mapInArrow(run, "dim int, cell long").select("dim", "cell", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("level"))
+    key = F.expr(f"cell & (shiftleft(1L, {CELL_BITS} * level) - 1)").alias("key")
+    sizes = rows.groupBy("dim", "level", key).agg(F.count("*").alias("size")).groupBy("dim", "level").agg(F.sum("size").alias("all"), F.sum(F.col("size").cast("double") * (F.col("size") + bucket)).alias("work"))
+    costs: dict[int, list[tuple[float, int]]] = {}
+    for dim, level, work in sizes.filter(F.col("all") > bucket).select("dim", "level", "work").collect():
+        costs.setdefault(dim, []).append((tables(dim, level) * work, level))
+    return {dim: min(some)[1] for dim, some in costs.items()}
+
+
+def _coded(nodes: DataFrame, kind: str, levels: dict[int, int], usual: int = 1) -> DataFrame:
+    """node, n, dim, vec, code, factor and cells (one long for each table) of each distinct vector; ``usual``: the level of lengths without one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, dims = batch.column(3).to_pylist(), batch.column(2).to_numpy()
-            for dim in np.unique(dims):
-                at = np.flatnonzero(dims == dim)
-                unit = units([raw[k] for k in at], kind)
+            for dim, at, unit in _by_length(batch, kind):
                 _, code, factor = codes(unit)
-                table = np.stack([cells(unit, t) for t in range(TABLES)], axis=1)
-                lists = pa.ListArray.from_arrays(np.arange(0, table.size + 1, TABLES, dtype=np.int32), pa.array(table.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in batch.columns), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(factor), lists], ["node", "n", "dim", "vec", "code", "factor", "cells"])
+                level = levels.get(dim, usual)
+                number = tables(dim, level)
+                table = np.stack([cells(unit, t, level) for t in range(number)], axis=1)
+                lists = pa.ListArray.from_arrays(np.arange(0, table.size + 1, number, dtype=np.int32), pa.array(table.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(factor), lists], ["node", "n", "dim", "vec", "code", "factor", "cells"])
 
     return nodes.select("node", "n", "dim", "vec").mapInArrow(run, "node long, n long, dim int, vec binary, code binary, factor double, cells array<long>")
 
 
-def _buckets(coded: DataFrame, bucket: int) -> DataFrame:
-    """node, tab, key, parts: the bucket of each node in each table, unless it is alone there; ``parts``: blocks that a bucket of the last level is cut into."""
-    rows = coded.select("node", "dim", F.posexplode("cells").alias("tab", "cell"))
-    done = None
-    for level in range(1, LEVELS + 1):
-        keyed = rows.withColumn("key", F.shiftleft(F.col("cell").bitwiseAND((1 << CELL_BITS * level) - 1), 3).bitwiseOR(level))
-        sizes = stored(keyed.groupBy("dim", "tab", "key").agg(F.count("*").alias("size")).filter("size > 1"), "cells")
-        met = hot_join(keyed, *hot_split(sizes.withColumn("weight", F.col("size")), "weight"), ["dim", "tab", "key"])
-        fits = F.lit(True) if level == LEVELS else F.col("size") <= bucket
-        parts = F.greatest(F.lit(1), F.ceil(F.col("size") / bucket)).cast("int")
-        here = met.filter(fits).select("node", "tab", "key", parts.alias("parts"))
-        done = here if done is None else done.union(here)
-        if level == LEVELS or sizes.filter(~fits).isEmpty():
-            return done
-        rows = stored(met.filter(~fits).select("node", "dim", "tab", "cell"), "large-cells")
-
-
-def links(nodes: DataFrame, kind: str, least: float = 0.95, bucket: int = 2048) -> DataFrame:
-    """node, root, links: for nodes that have links in a bucket, their number there (copies counted, each pair in one bucket only) and the least node that they reach there."""
-    coded = stored(_coded(nodes, kind), "vector-codes")
-    mine = [F.coalesce(F.max(F.when(F.col("tab") == t, F.col("key"))), F.lit(-1).cast("long")) for t in range(TABLES)]
-    parts = [F.coalesce(F.max(F.when(F.col("tab") == t, F.col("parts"))), F.lit(0)) for t in range(TABLES)]
-    probes = _buckets(coded.select("node", "dim", "cells"), bucket).groupBy("node").agg(F.array(*mine).alias("keys"), F.array(*parts).alias("parts"))
-    probes = probes.join(coded.drop("cells"), "node").select("*", F.posexplode("parts").alias("tab", "cut")).filter("cut > 0")
+def _cuts(coded: DataFrame, bucket: int) -> DataFrame:
+    """node and cuts: the tables (tab) where a node is not alone in its cell, and the blocks (cut) that the cell is searched in."""
+    rows = coded.select("node", "dim", F.posexplode("cells").alias("tab", "key"))
+    sizes = stored(rows.groupBy("dim", "tab", "key").agg(F.count("*").alias("size")).filter("size > 1"), "cells")
+    met = hot_join(rows, *hot_split(sizes.withColumn("weight", F.col("size")), "weight"), ["dim", "tab", "key"])
+    return met.groupBy("node").agg(F.collect_list(F.struct("tab", F.ceil(F.col("size") / bucket).cast("int").alias("cut"))).alias("cuts"))
+
+
+def links(nodes: DataFrame, kind: str, least: float = 0.95, bucket: int = 2048, exact: bool = False) -> DataFrame:
+    """node, root, links: for nodes that have links in a cell, their number there (copies counted, each pair in one cell only) and the least node that they reach there."""
+    coded = stored(_coded(nodes, kind, {}, 0) if exact else _coded(nodes, kind, _levels(nodes, kind, bucket)), "vector-codes")
+    probes = coded.join(_cuts(coded, bucket), "node").select("*", F.explode("cuts").alias("at")).select("*", "at.*")
     probes = probes.withColumn("block", F.pmod(F.xxhash64("node"), F.col("cut")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
     keys = ["dim", "tab", "key", "lo", "hi"]
-    probes = probes.select("dim", "tab", F.element_at("keys", F.col("tab") + 1).alias("key"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "n", "factor", "code", "vec", "keys")
+    probes = probes.select("dim", "tab", F.element_at("cells", F.col("tab") + 1).alias("key"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "n", "factor", "code", "vec", F.slice("cells", F.lit(1), F.col("tab")).alias("keys"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(table: pa.Table) -> pa.RecordBatch:
             dim, tab, _, lo, hi = (table.column(k)[0].as_py() for k in range(5))
             block, node, n, factor = (table.column(k).to_numpy() for k in range(5, 9))
             code, vec = (table.column(k).to_pylist() for k in (9, 10))
-            before = np.array(table.column(11).combine_chunks().flatten()).reshape(-1, TABLES)[:, :tab]
+            before = np.array(table.column(11).combine_chunks().flatten()).reshape(table.num_rows, tab)
             order = np.argsort(node, kind="stable")
             block, node, n, factor, before = block[order], node[order], n[order], factor[order], before[order]
             unit, code = units([vec[k] for k in order], kind), np.frombuffer(b"".join(code[k] for k in order), np.uint8).reshape(len(order), -1)
             count, labels = np.zeros(len(node), np.int64), np.arange(len(node))
-            for i, j in near_pairs(unit, code, factor, least, block if lo != hi else None):
-                new = ~((before[i] == before[j]) & (before[i] >= 0)).any(axis=1)
+            for i, j in near_pairs(unit, code, factor, least, block if lo != hi else None, exact=exact):
+                new = ~(before[i] == before[j]).any(axis=1)
                 i, j = i[new], j[new]
                 np.add.at(count, i, n[j])
                 np.add.at(count, j, n[i])
@@ -192,14 +219,15 @@ def links(nodes: DataFrame, kind: str, least: float = 0.95, bucket: int = 2048)
     return probes.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(search, "node long, root long, links long")
 
 
-def near_vectors(rows: DataFrame, key: str = "vec_id", column: str = "embedding", least: float = 0.95, bucket: int = 2048) -> DataFrame:
+def near_vectors(rows: DataFrame, key: str = "vec_id", column: str = "embedding", least: float = 0.95, bucket: int = 2048, exact: bool = False) -> DataFrame:
     """vec_id (long), n_links (long), component_id (long), kept (boolean) of every row.
 
     Links are the other rows whose vectors have a cosine of ``least`` or more; component_id is the smallest vec_id reachable, its own included. Vectors that are
     null, empty or zero, or have a null or a number that is not finite, link with nothing, and vectors of different lengths not with each other. Rows that repeat a
     vec_id are vectors of their own that share a name; a null vec_id is a component's id only if it has no other, and null <=> null is kept. Further columns, whatever
-    their names, are not read. An empty table gives no rows. Nothing is capped: no pair below ``least`` is given, and one at it is missed with the chance of never
-    meeting (see ``TABLES``).
+    their names, are not read. An empty table gives no rows. Nothing is capped: no pair below ``least`` is given, and one at 0.95 or more is missed with a chance of ``MISSED``
+    at most, however many vectors there are and however many share a cell; below a ``least`` of 0.95 that grows. With ``exact`` all pairs of distinct vectors are
+    searched, block against block, and none is missed: the work grows with their square, memory does not.
     """
     arrow_rows(rows.sparkSession, 2048)
     kind = "<f4" if isinstance(rows.schema[column].dataType.elementType, T.FloatType) else "<f8"
@@ -207,7 +235,7 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", column: str = "embedding"
     distinct = vectors.filter("vec IS NOT NULL").groupBy("vec").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
     width = np.dtype(kind).itemsize
     nodes = stored(distinct.select(F.monotonically_increasing_id().alias("node"), "least", "n", F.expr(f"cast(octet_length(vec) div {width} as int)").alias("dim"), "vec"), "vectors")
-    found = stored(links(nodes, kind, least, bucket).groupBy("node", "root").agg(F.sum("links").alias("links")), "vector-links")
+    found = stored(links(nodes, kind, least, bucket, exact).groupBy("node", "root").agg(F.sum("links").alias("links")), "vector-links")
     ties = components(found.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     tied = stored(nodes.select("node", "least").join(ties, "node", "left").withColumn("root", F.coalesce("root", "node")), "vector-roots")

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from tidemark.functions.tails import fisher_two_sided, student_tail
@@ -334,3 +335,66 @@ def test_config_from_a_file():
     assert found.symbol("lt") == "<" and found.symbol("crosses_above") == "crosses_above"
     with pytest.raises(ValueError):
         found.indicator("C")
+
+
+def test_running_sums_and_ranks_over_ranges(spark):
+    """A key with nearly all rows, nulls, ties and one value of many rows: sums and ranks as of one window, no range with more than a small part."""
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import running
+
+    df = spark.range(6000).selectExpr("if(id % 50 = 0, null, if(id % 50 = 1, 'b', 'a')) AS g", "CAST(id * 7919 % 6007 AS DOUBLE) AS o", "if(id % 7 = 0 OR id < 100, null, id) AS v").cache()
+    w = "OVER (PARTITION BY g ORDER BY o ROWS UNBOUNDED PRECEDING)"
+    expected = sorted(map(str, df.selectExpr("*", f"sum(v) {w} AS s").collect()))
+    for each in (50, 700, 10**6):
+        found = running.running_sums(df, ["g"], ["o"], {"s": "v"}, each=each)
+        assert sorted(map(str, found.collect())) == expected
+    found = running.running_sums(df, ["g"], ["o"], {"s": "v"}, each=50)
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 600
+    values = df.selectExpr("CASE WHEN o < 2000 THEN -0.0D WHEN o = 2500 THEN null WHEN o = 2600 THEN double('NaN') ELSE floor(o / 3) END AS x").cache()
+    ranks = running.mean_ranks(values, [], "x", "r", values.count())
+    plain = values.filter("x IS NOT NULL").selectExpr("x", "rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0D AS r")
+    for each in (50, 10**6):
+        assert sorted(map(str, running.join_ranks(values, ranks, "x", values.count(), each=each).selectExpr("x + 0.0D AS x", "r").collect())) == sorted(map(str, plain.selectExpr("x + 0.0D AS x", "r").collect()))
+
+
+def test_spearman_of_nulls_and_ties(spark):
+    rng = np.random.default_rng(4)
+    n = 3000
+    fitness = np.where(rng.random(n) < 0.3, 1000.0, rng.normal(size=n))
+    a = np.where(rng.random(n) < 0.5, np.round(fitness, 1), rng.normal(size=n))
+    rows = [(0, float(f), float(x), None if k % 3 else float(x > 0), 1.0) for k, (f, x) in enumerate(zip(fitness, a))]
+    log = spark.createDataFrame(rows, "iteration int, fitness double, a double, b double, c double").selectExpr("*", *[f"0D AS {p}_{s}" for p in "abc" for s in ("lower", "upper")])
+    found = {r.name: r.rho for r in runlog.spearman(log).collect()}
+
+    def ranks(x):
+        _, at, count = np.unique(x, return_inverse=True, return_counts=True)
+        return (np.cumsum(count) - (count - 1) / 2)[at]
+
+    gain, some = ranks(-fitness), np.arange(n) % 3 == 0
+    assert found["a"] == pytest.approx(np.corrcoef(ranks(a), gain)[0, 1], abs=1e-12)
+    assert found["b"] == pytest.approx(np.corrcoef(ranks(a[some] > 0), gain[some])[0, 1], abs=1e-12)
+    assert found["c"] == 0
+
+
+@pytest.fixture
+def asked(monkeypatch):
+    """What running sums are asked for, all in ranges of 64 rows."""
+    from tidemark.functions import running
+    from tidemark.operators import trades
+
+    found, plain = [], running.running_sums
+
+    def seen(df, keys, order, sums, most=None, each=64):
+        found.append(sorted(sums.values()))
+        return plain(df, keys, order, sums, most, each)
+
+    for module in (running, trades, runlog):
+        monkeypatch.setattr(module, "running_sums", seen, raising=False)
+    return found
+
+
+def test_no_task_ranks_a_whole_parameter(spark, asked):
+    log = spark.range(5000).selectExpr("1 AS iteration", "CAST(id * 7919 % 6007 AS DOUBLE) AS fitness", "CAST(id AS DOUBLE) AS a", "0D AS a_lower", "0D AS a_upper")
+    assert abs(runlog.spearman(log).first().rho) < 0.1 and asked == [["rows_"], ["rows_"]]

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.percentiles import percentiles
+from tidemark.functions.running import join_ranks, mean_ranks, running_sums
 from tidemark.functions.tails import normal_two_sided, rank_sum_p, smirnov_p, student_two_sided
+from tidemark.sources.files import scratch
 
 
 def features_of(log: DataFrame) -> list[str]:
@@ -50,25 +52,26 @@ def feature_cosine(log: DataFrame) -> DataFrame:
     return sums.select("a", "b", (F.col("n") / F.sqrt(one("x") * one("y"))).alias("cosine"))
 
 
-def _average_rank(values: str, *partition: str) -> Column:
-    w = Window.partitionBy(*partition).orderBy(values)
-    return F.rank().over(w) + (F.count("*").over(Window.partitionBy(*partition, values)) - 1) / 2.0
-
-
 def spearman(log: DataFrame) -> DataFrame:
     """name, rho: rank correlation of each parameter with -fitness, ties by their mean rank.
 
-    Ranks of equal values come from counts by value, so what is ranked in order is a row for each distinct value, not each row.
+    Ranks come from counts by value, in ranges of values, so no task puts all values of a parameter in order. Ranks of the gain, which is the same for all parameters,
+    are joined to the rows, and rows of one value are summed up before the value's own rank is joined.
     """
-    rows = _long(valid(log).withColumn("gain", -F.col("fitness")), parameters_of(log), "gain")
-
-    def ranks(column: str, out: str) -> DataFrame:
-        counts = rows.groupBy("name", column).agg(F.count("*").alias("c_"))
-        before = F.sum("c_").over(Window.partitionBy("name").orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
-        return counts.select("name", column, (before - F.col("c_") + (F.col("c_") + 1) / 2.0).alias(out))
-
-    both = rows.join(ranks("value", "rv_"), ["name", "value"]).join(ranks("gain", "rg_"), ["name", "gain"])
-    return both.groupBy("name").agg(F.coalesce(F.corr("rv_", "rg_"), F.lit(0.0)).alias("rho"))
+    names, spark = parameters_of(log), log.sparkSession
+    base = valid(log).select((-F.col("fitness")).alias("gain_"), *[F.col(c).cast("double").alias(c) for c in names])
+    n = base.count()
+    ranked = join_ranks(base, mean_ranks(base, [], "gain_", "rg_", n), "gain_", n)
+    cells = _long(ranked, names, "rg_").groupBy("name", "value").agg(F.count("*").alias("n_"), F.avg("rg_").alias("x_"), (F.count("*") * F.var_pop("rg_")).alias("xx_"))
+    values = mean_ranks(_long(base, names), ["name"], "value", "y_", n * len(names))
+    path = scratch(spark, "ranks")
+    cells.join(values, ["name", "value"]).select("name", "n_", "x_", "xx_", "y_").write.parquet(path)
+    both = spark.read.parquet(path)  # a row for each distinct value
+    means = both.groupBy("name").agg(*[(F.sum(F.col("n_") * F.col(c)) / F.sum("n_")).alias(f"mean_{c}") for c in ("x_", "y_")])
+    x, y = F.col("x_") - F.col("mean_x_"), F.col("y_") - F.col("mean_y_")
+    sums = both.join(F.broadcast(means), "name").groupBy("name", "mean_x_", "mean_y_").agg(F.sum("n_").alias("n_"), F.sum(F.col("xx_") + F.col("n_") * x * x).alias("xx_"), F.sum(F.col("n_") * y * y).alias("yy_"), F.sum(F.col("n_") * x * y).alias("xy_"))
+    spread = lambda c: F.col(c * 2 + "_") > 1e-28 * F.col("n_") * F.col(f"mean_{c}_") * F.col(f"mean_{c}_")  # noqa: E731  more than what rounding leaves of equal ranks
+    return sums.select("name", F.when(spread("x") & spread("y"), F.col("xy_") / (F.sqrt("xx_") * F.sqrt("yy_"))).otherwise(0.0).alias("rho"))
 
 
 def parameter_ranges(log: DataFrame) -> DataFrame:
@@ -132,8 +135,7 @@ def elite_tests(log: DataFrame, percent: float = 10.0) -> DataFrame:
     t, value = F.col("top"), F.col("value")
     stats = rows.groupBy("name").agg(*[f(F.when(c, value)).alias(f"{k}{s}") for s, c in (("1", t), ("0", ~t)) for k, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))])
     counts = rows.groupBy("name", "value").agg(F.count_if(t).alias("c1"), F.count_if(~t).alias("c0"))
-    w = Window.partitionBy("name").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("f1", F.sum("c1").over(w)).withColumn("f0", F.sum("c0").over(w)).join(F.broadcast(stats.select("name", "n1", "n0")), "name")
+    counts = running_sums(counts, ["name"], ["value"], {"f1": "c1", "f0": "c0"}).join(F.broadcast(stats.select("name", "n1", "n0")), "name")
     c = F.col("c1") + F.col("c0")
     rank = F.col("f1") + F.col("f0") - c + (c + 1) / 2.0
     gap = F.abs(F.try_divide(F.col("f1"), F.col("n1")) - F.try_divide(F.col("f0"), F.col("n0")))

@@ -398,3 +398,14 @@ def asked(monkeypatch):
 def test_no_task_ranks_a_whole_parameter(spark, asked):
     log = spark.range(5000).selectExpr("1 AS iteration", "CAST(id * 7919 % 6007 AS DOUBLE) AS fitness", "CAST(id AS DOUBLE) AS a", "0D AS a_lower", "0D AS a_upper")
     assert abs(runlog.spearman(log).first().rho) < 0.1 and asked == [["rows_"], ["rows_"]]
+
+
+def test_no_task_sums_a_whole_pair(spark, asked):
+    from tidemark.operators import trades
+
+    df = spark.range(5000).selectExpr("'p' AS pair", "timestamp_seconds(id * 7919 % 6007) AS close_date", "timestamp_seconds(0) AS open_date", "id AS l_orderkey", "1 AS l_linenumber", "CAST(id % 11 - 5 AS DOUBLE) AS profit_abs")
+    total, rows = 0, sorted(trades.cumulative_profit(df).collect(), key=lambda r: r.close_date)
+    for r in rows:
+        total += r.profit_abs
+        assert r.running_profit == total
+    assert len(rows) == 5000 and asked == [["profit_abs"]]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.percentiles import percentiles
+from tidemark.functions.running import running_sums
 
 CAPITAL = 10_000.0
 
@@ -88,9 +89,8 @@ def exit_reasons(trades: DataFrame) -> DataFrame:
 
 
 def cumulative_profit(trades: DataFrame) -> DataFrame:
-    """Trades in closing order within their pair, with the running profit."""
-    w = Window.partitionBy("pair").orderBy("close_date", "open_date", "l_orderkey", "l_linenumber", "profit_abs").rowsBetween(Window.unboundedPreceding, 0)
-    return trades.withColumn("running_profit", F.sum("profit_abs").over(w))
+    """Trades with the running profit of their pair in closing order, several tasks to a pair."""
+    return running_sums(trades, ["pair"], ["close_date", "open_date", "l_orderkey", "l_linenumber", "profit_abs"], {"running_profit": "profit_abs"})
 
 
 def compare_strategies(stats: DataFrame) -> DataFrame:

@@ -274,7 +274,7 @@ def add_to(register) -> None:
     )
     register("trd5_exit_reasons", "bt_trades", trades.exit_reasons, f"SELECT pair, exit_reason, count(*) AS n_trades, sum(profit_abs) AS profit FROM ({closed}) GROUP BY pair, exit_reason /*round: profit*/", 3)
     register(
-        "trd5_running_profit", "bt_trades", lambda t: trades.cumulative_profit(t).select("pair", "l_orderkey", "l_linenumber", "close_date", "profit_abs", "running_profit"),
+        "trd5_running_profit", "bt_trades", lambda t: trades.cumulative_profit(t.drop("profit_ratio", "exit_reason")).select("pair", "l_orderkey", "l_linenumber", "close_date", "profit_abs", "running_profit"),
         f"SELECT pair, l_orderkey, l_linenumber, close_date, profit_abs, sum(profit_abs) OVER (PARTITION BY pair ORDER BY close_date, open_date, l_orderkey, l_linenumber, profit_abs ROWS UNBOUNDED PRECEDING) AS running_profit FROM ({closed}) /*round: profit_abs, running_profit*/ /*count: l_linenumber*/", 5,
     )
     by_pair = lambda t: trades.compare_strategies(t.groupBy(F.col("pair").alias("strategy")).agg(F.count("*").alias("trades"), F.sum("profit_abs").alias("profit"), F.count_if(F.col("profit_abs") > 0).alias("wins")))
